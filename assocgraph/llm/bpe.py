@@ -116,6 +116,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def default_vocabulary() -> str:
+    """The public byte-level vocabulary of 50,257 tokens, from the tokenizer files installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids: the token ids of the whole text, packed as little-endian unsigned 32-bit integers.
 

@@ -73,35 +73,62 @@ def differing_leaves(a: Column, b: Column) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def next_in_order(own: DataFrame, blocks: int) -> DataFrame:
-    """Each row with the following row's text, in descending doc_id; after the last comes the first.
+def block_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many cuts are at or below doc_id, by halving an array literal: log2 of the cuts' number steps for a row."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(str(cuts)), "array<bigint>")
+    span = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
-    Rows go to `blocks` ranges of doc_id at quantiles of the ids and are sorted inside them; a range's last row takes the
-    first of the next range. So no task sees more than its share, and only `blocks` rows are handled together. Hot ids
-    make one range larger, but the sort spills.
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = doc_id >= F.get(table, mid)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), span, halve)["lo"]
+
+
+def next_in_order(own: DataFrame, rows_per_block: int, most_blocks: int = 100_000) -> DataFrame:
+    """Each row with the following row's text and fingerprint, in descending doc_id; after the last comes the first.
+
+    own: doc_id, text, fingerprint. Rows go to ranges of doc_id at quantiles of the ids and are sorted inside them; a
+    range's last row takes the first of the next range. So no task sees more than its share, and only a row for each range
+    is handled together. An id that very many rows share makes one range larger; its sort spills.
     """
     own = own.withColumn("tie", F.xxhash64("text"))
+    blocks = max(1, min(most_blocks, own.count() // rows_per_block))
     cuts = sorted({int(x) for x in own.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks)}) if blocks > 1 else []
-    # the number of cuts at or below the id, by halving: log2(blocks) comparisons
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= cuts[mid], place(mid + 1, hi)).otherwise(place(lo, mid))
-
-    placed = own.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(place(0, len(cuts))))
+    placed = own.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block_of(F.col("doc_id"), cuts)))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     inside = Window.partitionBy("block").orderBy(*order)
-    ranked = placed.select("doc_id", "text", "block", F.lead("text").over(inside).alias("next_text"), F.row_number().over(inside).alias("at"))
-    heads = ranked.filter("at = 1").select(F.col("block").alias("b"), F.col("text").alias("head"))
-    # heads has a row for each block: at most blocks + 1 rows
-    follow = heads.select(F.lead("b").over(Window.orderBy(F.desc("b"))).alias("nb"), F.col("b").alias("block"), F.first("b").over(Window.orderBy(F.desc("b"))).alias("top"))
-    after = follow.select("block", F.coalesce("nb", "top").alias("nb")).join(heads, F.col("nb") == F.col("b")).select("block", "head")
-    return ranked.join(after, "block", "left").select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
-
-
-def edited_pairs(docs: DataFrame, blocks: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next_text, edited: the text with its last half replaced by the start of the next one."""
-    rows = next_in_order(id_and_text(docs, id_col, text_col), blocks)
+    ranked = placed.select("doc_id", "text", "fingerprint", "block", F.lead(F.struct("text", "fingerprint")).over(inside).alias("follower"))
+    # the first row of each block: at most `blocks` + 1 rows, the smallest in order by a map-side aggregation
+    heads = placed.groupBy("block").agg(F.min_by(F.struct("text", "fingerprint"), F.struct(-F.coalesce("doc_id", F.lit(0)), "tie")).alias("head"))
+    chain = Window.orderBy(F.desc("block"))
+    follow = heads.select("block").select("block", F.lead("block").over(chain).alias("nb"), F.first("block").over(chain).alias("top"))
+    after = follow.select("block", F.coalesce("nb", "top").alias("nb")).join(heads.select(F.col("block").alias("nb"), "head"), "nb").select("block", "head")
+    return ranked.join(after, "block", "left").select("doc_id", "text", "fingerprint", F.coalesce("follower", "head").alias("follower"))
+
+
+def edited_pairs(docs: DataFrame, rows_per_block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, fingerprint, next_fingerprint, edited: the text with its last half replaced by the start of the next."""
+    own = id_and_text(docs, id_col, text_col)
+    rows = next_in_order(own.select("doc_id", "text", merkle(F.col("text")).alias("fingerprint")), rows_per_block)
     half = F.expr("CAST(char_length(text) DIV 2 AS INT)")
-    return rows.withColumn("edited", F.concat(F.expr("left(text, char_length(text) - CAST(char_length(text) DIV 2 AS INT))"), F.substring(F.col("next_text"), F.lit(1), half)))
+    edited = F.concat(F.expr("left(text, char_length(text) - CAST(char_length(text) DIV 2 AS INT))"), F.substring(F.col("follower.text"), F.lit(1), half))
+    return rows.select("doc_id", "text", "fingerprint", F.col("follower.fingerprint").alias("next_fingerprint"), edited.alias("edited"))
+
+
+def edits(docs: DataFrame, rows_per_block: int = 2000) -> DataFrame:
+    """The fingerprints of each document and its edited text, and their likeness to each other and to the next one's."""
+    rows = edited_pairs(docs, rows_per_block).withColumn("edited_fingerprint", merkle(F.col("edited")))
+    own = F.col("fingerprint")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        sha(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
