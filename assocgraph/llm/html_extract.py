@@ -38,7 +38,7 @@ NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|footer|header|masthead|topbar|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+PIECE = re.compile(r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*(?:>|\Z)|<", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements that end when the next one like them starts.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -194,7 +194,7 @@ def stats(pages: DataFrame) -> DataFrame:
     rows = pages.select("url", "html").mapInArrow(run, "host string, token long, element string, vector long, pages long, uses long, place long, held long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
     summed = rows.groupBy("host", "token").agg(F.max("element").alias("element"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("place").alias("place"), F.sum("held").alias("held"))
-    return summed.withColumn("vector", F.pmod("v", F.lit(2**64).cast("decimal(38,0)"))).drop("v")
+    return summed.withColumn("vector", F.pmod("v", F.lit(str(2**64)).cast("decimal(38,0)"))).drop("v")
 
 
 def template(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, langid, near_dedup, packing, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.texts(table(spark, sf_dir, "pages"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -46,6 +50,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html_extract": op2_html_extract,
     "op3_near_dedup": op3_near_dedup,
     "op5_langid": op5_langid,
     "op6_exact_dedup": op6_exact_dedup,
