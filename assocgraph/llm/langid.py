@@ -123,7 +123,7 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_local(rows: list[tuple[str, str]]) -> Model:
-    rows = [(t, y) for t, y in dict.fromkeys(rows) if LETTER.search(t)]
+    rows = sorted((t, y) for t, y in set(rows) if LETTER.search(t))  # the same order however rows arrive
     if not rows:
         return Model(np.zeros(BINS), np.zeros((0, BINS)), (), np.zeros(0))
     vectors = np.empty((len(rows), BINS), np.float32)
@@ -147,9 +147,11 @@ def fit_local(rows: list[tuple[str, str]]) -> Model:
 
 
 def labelled(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = FIT_ROWS) -> DataFrame:
-    """At most `rows` texts with a language outside the held-out fold: those with the smallest hash of the id, then text."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != held)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang")
+    """At most `rows` texts with a language outside the held-out fold: those with the smallest hash of the id."""
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != held))
+    # ids are chosen first, so that only the texts of the sample move; `rows` ids are small enough to broadcast
+    chosen = F.broadcast(own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return own.join(chosen, "doc_id").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).limit(rows)
 
 
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = FIT_ROWS) -> Model:
