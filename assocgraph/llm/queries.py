@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
+from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html_extract": op2_html_extract,
     "op3_near_dedup": op3_near_dedup,
+    "op4_chat": op4_chat,
     "op5_langid": op5_langid,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
@@ -72,6 +77,28 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM d JOIN g USING (bare)
 """
 
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN role = 'assistant' THEN 'result' ELSE 'call' END AS kind,
+         conv_id || '-' || CASE WHEN role = 'assistant' THEN turn - 1 ELSE turn END AS id
+  FROM conversations
+), c AS (SELECT conv_id, id, min(turn) AS call_turn FROM t WHERE kind = 'call' GROUP BY ALL),
+r AS (SELECT conv_id, id, max(turn) AS result_turn FROM t WHERE kind = 'result' GROUP BY ALL),
+j AS (
+  SELECT t.*, CASE WHEN kind = 'call' THEN coalesce(result_turn > turn, false) ELSE coalesce(call_turn < turn, false) END AS linked,
+         array_to_string(list_filter([CASE WHEN role NOT IN ('system', 'user') THEN 'role not permitted' END, CASE WHEN text = '' THEN 'text empty' END], lambda x: x IS NOT NULL), '; ') AS wrong
+  FROM t LEFT JOIN c USING (conv_id, id) LEFT JOIN r USING (conv_id, id)
+)
+SELECT conv_id, turn, 0 AS position, kind, id, CASE WHEN kind = 'call' THEN 'reply' END AS name, linked,
+       kind = 'result' OR wrong = '' AS valid, CASE WHEN kind = 'call' THEN wrong END AS violations,
+       CASE WHEN kind = 'result' AND linked THEN 1 ELSE 0 END AS level,
+       CASE WHEN kind = 'call'
+         THEN '{"arguments":{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(id) || ',"name":"reply","type":"call"}'
+         ELSE '{"content":' || to_json(text) || ',"id":' || to_json(id) || ',"type":"result"}' END AS json
+FROM j
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
@@ -92,4 +119,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op4_chat": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
