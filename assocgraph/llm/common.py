@@ -56,3 +56,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of ids and digests that may be broadcast, after a count; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, lost: DataFrame, same: Column) -> DataFrame:
+    """docs without the rows that have a partner in lost."""
+    small = lost.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(lost) if small else lost, same, "left_anti")

@@ -14,10 +14,10 @@ all carry the same keep_id; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_and_text
+from .common import SPACES, durable, id_and_text, spare_name, without
 
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -38,14 +38,28 @@ def winners(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("sha", "xx", "salt", "bare").agg(F.max(rank).alias("best"), F.count("*").alias("n"))
     final = first.groupBy("sha", "xx", "bare").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
     keep = (top - F.col("best") % shift).cast("long")
-    return final.select("sha", "xx", F.char_length("bare").alias("bare_size"), F.nullif(keep, F.lit(2**63 - 1)).alias("keep_id"), "group_size")
+    return final.select("sha", "xx", F.char_length("bare").alias("bare_size"), F.nullif(keep, F.lit(2**63 - 1)).alias("keep_id"), F.expr(f"best DIV CAST({2**64} AS DECIMAL(20,0))").alias("keep_size"), "group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row."""
+    """doc_id, keep_id, group_size, kept, text_sha256, size (code points of the original) of each row."""
     rows = prepared(docs, id_col, text_col, salts)
     best = winners(rows)
-    slim = rows.select("doc_id", "sha", "xx", F.char_length("bare").alias("bare_size"))
-    return slim.join(best, ["sha", "xx", "bare_size"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    slim = rows.select("doc_id", "size", "sha", "xx", F.char_length("bare").alias("bare_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))
+    return slim.join(best, ["sha", "xx", "bare_size"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "size")
+
+
+def unique_rows(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """The rows of docs, all columns, that stay; of rows that repeat an id and text one."""
+    groups = durable(exact_groups(docs, salts=salts))
+    bare = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES, "")
+    here = [F.sha2(bare.cast("binary"), 256), F.char_length(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    lost = groups.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("size").alias("_size")).distinct()
+    out = without(docs, lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (here[0] == lost["_sha"]) & (here[1] == lost["_size"]))
+    twice = groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
+    if twice.head(1):
+        first = Window.partitionBy("doc_id", *here).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c in ("lang", "source", "n_chars")])
+        at = spare_name(docs, "at")
+        out = out.withColumn(at, F.row_number().over(first)).filter(F.col(at) == 1).drop(at)
+    return out

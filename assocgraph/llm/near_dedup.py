@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_and_text
+from .common import durable, id_and_text, without
 from .components import components
 from .shingles import mix, shingles
 
@@ -92,7 +92,7 @@ def set_key(elements: np.ndarray, weights: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (digest of the weighted set), total weight, sig (null without words)."""
+    """doc_id, h (hash of the text), key (digest of the weighted set), total weight, sig (null without words)."""
 
     def run(batches):
         for batch in batches:
@@ -101,10 +101,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 keys.append(set_key(e, w))
                 totals.append(int(w.sum()))
                 sigs.append(darts(e, w).astype("<u4").tobytes() if len(e) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(totals, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "total", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(totals, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "total", "sig"])
 
-    own = id_and_text(docs, id_col, text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, key binary, total long, sig binary")
+    own = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, key binary, total long, sig binary")
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,18 +194,26 @@ def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, class_id, class_size, kept: the class of each row, and whether it is the one that stays.
+    """doc_id, h (hash of the text), class_id, class_size, kept: the class of each row, and whether it is the one that stays.
 
-    Of rows that share the class's id, the one with the smallest digest stays.
+    The row with the smallest (doc_id, h) of a class stays.
     """
     docs = id_and_text(docs, id_col, text_col)
     sketched = durable(sketches(docs))
-    grouped = sketched.groupBy("key").agg(F.min("doc_id").alias("head"), F.any_value("total").alias("total"), F.any_value("sig").alias("sig"), F.count("*").alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    grouped = sketched.groupBy("key").agg(F.min(first).alias("first"), F.any_value("total").alias("total"), F.any_value("sig").alias("sig"), F.count("*").alias("rows"))
     # numbered once and written, so that the numbers hold when a task is run again
-    nodes = durable(grouped.withColumn("node", F.monotonically_increasing_id()))
+    nodes = durable(grouped.select("*", F.col("first.doc_id").alias("head"), F.monotonically_increasing_id().alias("node")))
     roots = link(docs, nodes)
-    placed = nodes.join(roots, "node", "left").select("key", "head", "rows", F.coalesce("root", "node").alias("root"))
-    whole = placed.groupBy("root").agg(F.min("head").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("key", F.struct(F.col("head").isNull(), "head", "key")).alias("first"))
-    named = placed.join(whole, "root").select("key", "class_id", "class_size", "first")
-    out = sketched.select("doc_id", "key").join(named, "key")
-    return out.select("doc_id", "key", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first"))).alias("kept"))
+    placed = nodes.join(roots, "node", "left").select("key", "first", "rows", F.coalesce("root", "node").alias("root"))
+    whole = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
+    named = placed.select("key", "root").join(whole, "root").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("first_h"), "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("first_h"))
+    return sketched.select("doc_id", "h", "key").join(named, "key").select("doc_id", "h", "class_id", "class_size", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay."""
+    lost = durable(classes(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    here = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return without(docs, lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (here == lost["_h"]))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_and_text, written
+from .common import WORD, written
 from .fm_index import END, FIRST, SEPARATOR, FMIndex
 from .shingles import mix, rolling, word_blocks
 
@@ -82,7 +82,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             key = np.where(head, a, mix(a ^ did.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(did), pa.array(shared), pa.array(a.view(np.int64), mask=head)], ["k", "did", "sure", "a"])
 
-    rows = docs.mapInArrow(run, "k long, did long, sure boolean, a long")
+    rows = docs.select("did", "text").mapInArrow(run, "k long, did long, sure boolean, a long")
     same = Window.partitionBy("k")
     seen = rows.select("did", F.coalesce("a", "k").alias("a"), ((F.min("did").over(same) != F.max("did").over(same)) | F.max("sure").over(same)).alias("again"))
     return seen.filter("again").select("did", "a").distinct()
@@ -93,8 +93,8 @@ def segments(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            wanted = [np.sort(np.array(w, np.int64)) for w in batch.column(2).to_pylist()]
+            ids, texts = batch.column("did").to_numpy(), batch.column("text").to_pylist()
+            wanted = [np.sort(np.array(w, np.int64)) for w in batch.column("anchors").to_pylist()]
             out: list[list] = [[], [], [], [], []]
             for at, owner, a, start, count in anchored(texts):
                 a = a.view(np.int64)
@@ -111,7 +111,8 @@ def segments(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["did", "h", "a", "start", "seg"])
 
     marked = repeated_anchors(docs).groupBy("did").agg(F.collect_list("a").alias("anchors"))
-    return docs.join(marked, "did").select("did", "text", "anchors").mapInArrow(run, "did long, h long, a long, start int, seg string")
+    # doc_id comes along so that strip() can read the same exchange of the texts
+    return docs.join(marked, "did").select("did", "doc_id", "text", "anchors").mapInArrow(run, "did long, h long, a long, start int, seg string")
 
 
 def cut_hot(found: DataFrame) -> DataFrame:
@@ -198,17 +199,21 @@ def drops(docs: DataFrame) -> DataFrame:
     return hits.filter("mask > 0").groupBy("did").agg(F.collect_list(F.struct("h", "start", "mask")).alias("drops"))
 
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (the words that stay, joined by one space), n_words, n_removed, spans (removed words: first, end)."""
-    plain = id_and_text(docs, id_col, text_col)
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    own = plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text", F.col("doc_id"))
+def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+    """doc_id, text (the words that stay, joined by one space), n_words, n_removed, spans (removed words: first, end).
+
+    carry: columns to hand on, in a struct `row`. Without rejoin a text that loses nothing stays as it is.
+    """
+    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    own = plain.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist()):
                 words, spans, gone = WORD.findall(text), [], 0
+                kept = words
                 if drop:
                     h = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -223,14 +228,13 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     spans = turns.reshape(-1, 2).tolist()
                     gone = int(covered.sum())
                     kept = [w for w, c in zip(words, covered.tolist()) if not c]
-                else:
-                    kept = words
-                for values, v in zip(out, (" ".join(kept), len(words), gone, spans)):
+                for values, v in zip(out, (" ".join(kept) if rejoin or gone else text, len(words), gone, spans)):
                     values.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())))))], ["doc_id", "text", "n_words", "n_removed", "spans"])
+            made = [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])
 
-    marked = own.join(drops(own.select("did", "text")), "did", "left").select("doc_id", "text", "drops")
-    return marked.mapInArrow(run, f"doc_id {kind}, text string, n_words long, n_removed long, spans array<array<long>>")
+    marked = own.join(drops(own.select("did", "doc_id", "text")), "did", "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
+    return marked.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
 
 
 def digests(docs: DataFrame) -> DataFrame:
