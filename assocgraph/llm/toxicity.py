@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,7 +176,7 @@ def beyond(n: int, m: int, n1: int, n0: int) -> float:
 
 def fit_local(rows: list[tuple[str, int]]) -> Model:
     """Two of three rows train the dictionaries; the third, which they did not see, calibrates."""
-    rows = list(dict.fromkeys(rows))
+    rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0].encode()), r))  # the same order however rows arrive
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
     if not 0 < share < 1:
         return Model(b"", b"", (share,))
@@ -200,11 +201,11 @@ def fit_local(rows: list[tuple[str, int]]) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = FIT_ROWS) -> DataFrame:
-    """At most `rows` labelled texts outside the held-out fold: those with the smallest hash of the id, then of the text."""
-    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(crc_mod("doc_id", folds) != held)
-    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
-    return own.join(known, "doc_id").orderBy(*order).limit(rows).select("text", "toxic")
+    """At most `rows` labelled texts outside the held-out fold: those with the smallest hash of the id."""
+    known = labels.filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # ids are chosen first, so that only the texts of the sample move; `rows` ids are small enough to broadcast
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic").limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = FIT_ROWS) -> Model:
