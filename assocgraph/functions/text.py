@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: What separates tokens: anything but letters and numbers.
 BREAKS = r"[^\p{IsAlphabetic}\p{N}]+"
 #: Named character references that are decoded besides numeric ones, and what they stand for (fixed values).
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&sect;": "§", "&amp;": "&"}
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&sect;": "§", "&para;": "¶", "&amp;": "&"}
 #: Namespaces whose wiki links are dropped (fixed values).
-NAMESPACES = ("file", "image", "category", "template", "wikipedia", "help", "portal", "special", "media")
+NAMESPACES = ("file:", "image:", "category:", "wikipedia:", "help:", "template:", "user:", "talk:", "portal:")
 
 
 def tokens(text: Column) -> Column:
@@ -123,10 +123,12 @@ def wikitext_to_markdown(text: Column) -> Column:
 
 
 def kept_wikilink(target: Column) -> Column:
-    """The slug of a wiki link's target without its fragment; null for the dropped namespaces."""
-    bare = F.trim(F.regexp_replace(target, "#.*$", ""))
-    space = F.lower(F.when(bare.contains(":"), F.substring_index(bare, ":", 1)).otherwise(F.lit("")))
-    return F.when(~space.isin(*NAMESPACES) & (bare != ""), F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "-"))
+    """The normalized target of a wiki link without its fragment; null for the dropped namespaces and bare fragments."""
+    low, bare = F.lower(F.trim(target)), F.trim(F.regexp_replace(target, "(?s)#.*$", ""))
+    dropped = low.startswith(NAMESPACES[0])
+    for name in NAMESPACES[1:]:
+        dropped = dropped | low.startswith(name)
+    return F.when(~dropped & (bare != ""), normalized_link(bare))
 
 
 def cosine(a: Column, b: Column) -> Column:
