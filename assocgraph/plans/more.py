@@ -247,7 +247,7 @@ def backlinks(spark: SparkSession, d: str) -> DataFrame:
     return pages.add_backlinks(rows, links)
 
 
-@register(f"WITH {inp.WIKI_SQL} SELECT node, lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id, CASE WHEN contains(body, '[[') THEN 0.51 ELSE 0.5 END AS priority FROM wiki")
+@register(f"WITH {inp.WIKI_SQL} SELECT node, lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id, CAST(CASE WHEN contains(body, '[[') THEN 0.51 ELSE 0.5 END AS DOUBLE) AS priority FROM wiki")
 def sitemap(spark: SparkSession, d: str) -> DataFrame:
     rows = inp.wiki(spark, d).select("node", tx.page_id(F.col("path")).alias("page_id"), tx.links(F.col("body")).alias("links_to"))
     return pages.sitemap(rows).join(rows.select("node", "page_id"), "page_id").select("node", "page_id", "priority")
