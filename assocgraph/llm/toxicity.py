@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary documents, one on toxic ones. A text is cut into
 windows of a few words; each window is compressed with either dictionary, and the number of bytes by which the toxic one
-does better is the window's margin. A document's score comes from its largest margins, by thresholds calibrated on
-labelled documents that the dictionaries did not see.
+does better is the window's margin. A document's score comes from its largest margins, its number of windows and their mean
+margin, by a logistic calibration on labelled documents that the dictionaries did not see.
 
 Training picks the dictionary's content by coverage, as dictionary builders do, but by contrast: a segment (a word or the
 beginning of one) is worth the number of different neighbourhoods that it has in toxic documents beyond what chance
@@ -43,6 +43,8 @@ DICTIONARY_BYTES = 16 * 1024
 #: standard deviations beyond chance.
 MIN_DOCS, MIN_Z = 5, 6.0
 LEVEL = 5
+#: Bytes from which a window's margin counts as clear.
+CLEAR = 3
 BLOCK = 4096
 PUNCTUATION = ".,;:!?\"'()[]"
 #: Lengths of the beginnings of words that can be segments.
@@ -80,11 +82,11 @@ def contexts(texts: list[str], wanted: set[str]) -> Counter:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and the calibrated chance of a toxic label for each number of toxic bytes."""
+    """Dictionaries and the weights of a text's features in the log odds of a toxic label."""
 
     ordinary: bytes
     toxic: bytes
-    chances: tuple[float, ...]
+    weights: tuple[float, ...]
 
     def compressors(self):
         make = lambda content: zs.ZstdCompressor(
@@ -93,6 +95,9 @@ class Model:
         )
         return make(self.ordinary), make(self.toxic)
 
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -50, 50)))
+
 
 def sizes(compressor, windows: list[bytes]) -> np.ndarray:
     out = np.empty(len(windows), np.int32)
@@ -102,40 +107,51 @@ def sizes(compressor, windows: list[bytes]) -> np.ndarray:
     return out
 
 
-def margins(model: Model, pair, texts: list[str]) -> np.ndarray:
-    """The two largest window margins of each text, added: 0 if the toxic dictionary never helps."""
-    out = np.zeros(len(texts), np.int64)
+def features(model: Model, pair, texts: list[str]) -> np.ndarray:
+    """For each text: 1, its three largest window margins (0 at least), the log of its number of windows, the share of
+    windows with a margin of `CLEAR` bytes, the mean margin."""
+    out = np.zeros((len(texts), 7))
+    out[:, 0] = 1
     if not model.toxic:
         return out
     windows: list[bytes] = []
-    starts: list[int] = []
-    owners: list[int] = []
-    best: dict[int, tuple[int, int]] = {}
+    pieces: list[tuple[int, int]] = []  # owner, start
 
     def flush():
         gain = sizes(pair[0], windows) - sizes(pair[1], windows)
-        for at, end, k in zip(starts, [*starts[1:], len(windows)], owners):
-            top = np.sort(gain[at:end])[-2:].tolist()
-            best[k] = tuple(sorted([*best.get(k, (0, 0)), *top])[-2:])
+        ends = [start for _, start in pieces[1:]] + [len(windows)]
+        for (k, start), end in zip(pieces, ends):
+            own = gain[start:end]
+            out[k, 1:4] = np.sort(np.concatenate([out[k, 1:4], own]))[:-4:-1]
+            out[k, 4] += len(own)
+            out[k, 5] += (own >= CLEAR).sum()
+            out[k, 6] += own.sum()
         windows.clear()
-        starts.clear()
-        owners.clear()
+        pieces.clear()
 
     for k, text in enumerate(texts):
         own = windows_of(text)
         for i in range(0, len(own), 4 * BLOCK):
-            starts.append(len(windows))
-            owners.append(k)
+            pieces.append((k, len(windows)))
             windows.extend(own[i : i + 4 * BLOCK])
             if len(windows) >= 4 * BLOCK:
                 flush()
     if windows:
         flush()
-    for k, top in best.items():
-        out[k] = max(0, sum(top))
+    out[:, 5:] /= out[:, 4:5]
+    out[:, 4] = np.log(out[:, 4])
     return out
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+    """The weights of a logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+    return tuple(float(v) for v in w)
+
+
 def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and the toxic dictionary. What is worth most stands last, where matches are cheapest."""
     n1, n0 = len(toxic), len(ordinary)
@@ -178,26 +194,14 @@ def fit_local(rows: list[tuple[str, int]]) -> Model:
     """Two of three rows train the dictionaries; the third, which they did not see, calibrates."""
     rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0].encode()), r))  # the same order however rows arrive
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
+    constant = (math.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * 6)
     if not 0 < share < 1:
-        return Model(b"", b"", (share,))
+        return Model(b"", b"", constant)
     own, other = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    half = Model(*train([t for t, y in own if y], [t for t, y in own if not y]), ())
-    got = margins(half, half.compressors() if half.toxic else None, [t for t, _ in other])
-    seen = list(zip(got.tolist(), [y for _, y in other]))
-    # the chance of a label at each margin: kernel of +-1 byte, shrunk to the share, made monotone by pooling neighbours
-    top = max(m for m, _ in seen)
-    blocks: list[list[float]] = []
-    for m in range(top + 1):
-        near = [y for x, y in seen if x == m]
-        if near:
-            blocks.append([sum(near) + share, len(near) + 1.0, 1])
-        else:
-            blocks.append([0.0, 0.0, 1])
-        while len(blocks) > 1 and (blocks[-1][1] == 0 or (blocks[-2][1] and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1])):
-            last = blocks.pop()
-            blocks[-1] = [blocks[-1][i] + last[i] for i in range(3)]
-    chances = [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
-    return Model(half.ordinary, half.toxic, tuple(chances))
+    half = Model(*train([t for t, y in own if y], [t for t, y in own if not y]), constant)
+    if not half.toxic:
+        return half
+    return Model(half.ordinary, half.toxic, logistic(features(half, half.compressors(), [t for t, _ in other]), np.array([y for _, y in other])))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = FIT_ROWS) -> DataFrame:
@@ -213,21 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and margin (bytes) of each whole text."""
+    """doc_id, score and margin (the largest of a window, in bytes) of each whole text."""
 
     def run(batches):
         pair = model.compressors() if model.toxic else None
-        chances = np.array(model.chances)
         for batch in batches:
-            got = margins(model, pair, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chances[np.minimum(got, len(chances) - 1)], pa.float64()), pa.array(got, pa.int64())], ["doc_id", "score", "margin"])
+            got = features(model, pair, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(got), pa.float64()), pa.array(got[:, 1].astype(np.int64), pa.int64())], ["doc_id", "score", "margin"])
 
     own = id_and_text(docs, id_col, text_col)
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, margin long")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: fitted outside the held-out fold, scored everywhere."""
+    """doc_id, held_out, score, predicted, margin: fitted outside the held-out fold, scored everywhere."""
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
 
@@ -237,9 +240,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         pair = model.compressors() if model.toxic else None
-        chances = np.array(model.chances)
         for batch in batches:
-            got = margins(model, pair, [t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(chances[np.minimum(got, len(chances) - 1)] < 0.5))
+            got = features(model, pair, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(model.scores(got) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
