@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, pieces
 
 #: Elements without content, elements whose content is no text, elements that start and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,7 +166,7 @@ def stats(pages: DataFrame) -> DataFrame:
     """Per host and token: its class (sum of page hashes times occurrences), pages, order and, for elements, text held."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 4096):
             sums: dict[tuple[str, str], list[int]] = {}
             for source, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 page, host = Page(source or ""), host_of(url)
@@ -236,12 +236,13 @@ def blocks_of(page: Page, main: str) -> list[str]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, blocks (array), slot (path of the main element) of each page."""
-    found = durable(template(stats(pages)))
+    # written once: the template needs them twice, and they are much smaller than the pages
+    found = durable(template(durable(stats(pages))))
     # one row for each host of more than one page; the chosen path is a short string
     chosen = found.mapInArrow(choose, "host string, main string")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[], [], []]
             for source, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist()):
                 page = Page(source or "")
