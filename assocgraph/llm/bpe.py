@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, pieces
 
 #: Entries of the memo of encoded pieces, per generation and Python worker. It only saves time.
-MEMO = 250_000
+MEMO = 150_000
 #: How byte-level vocabularies cut a text into pieces before merging (a published, fixed pattern).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     plain = id_and_text(docs, id_col, text_col)
@@ -143,7 +143,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([own.decode(i or b"") for i in ids.to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text
+from .common import crc_mod, id_and_text, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 3000
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score (cosine) and rejected of each whole text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             named, scores, out = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 

@@ -32,7 +32,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text
+from .common import crc_mod, id_and_text, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 8000
@@ -194,7 +194,7 @@ def fit_local(rows: list[tuple[str, int]]) -> Model:
     """Two of three rows train the dictionaries; the third, which they did not see, calibrates."""
     rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0].encode()), r))  # the same order however rows arrive
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    constant = (math.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * 6)
+    constant = (math.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * 6)  # the share itself as score
     if not 0 < share < 1:
         return Model(b"", b"", constant)
     own, other = [r for i, r in enumerate(rows) if i % 3], rows[::3]
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         pair = model.compressors() if model.toxic else None
-        for batch in batches:
+        for batch in pieces(batches):
             got = features(model, pair, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(got), pa.float64()), pa.array(got[:, 1].astype(np.int64), pa.int64())], ["doc_id", "score", "margin"])
 
@@ -240,7 +240,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         pair = model.compressors() if model.toxic else None
-        for batch in batches:
+        for batch in pieces(batches):
             got = features(model, pair, [t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(model.scores(got) < 0.5))
 

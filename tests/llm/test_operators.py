@@ -248,7 +248,8 @@ def test_toxicity_accuracy(spark, odd, empty):
     model = toxicity.fit(docs, labels)
     assert toxicity.score(odd, model).count() == len(ODD)
     assert toxicity.keep_clean(odd, model).columns == odd.columns
-    assert {r.score for r in toxicity.score(odd, toxicity.fit_local([("a", 1)])).collect()} == {1.0}
+    assert all(r.score > 0.99 for r in toxicity.score(odd, toxicity.fit_local([("a", 1)])).collect())
+    assert all(r.score < 0.01 for r in toxicity.score(odd, toxicity.fit_local([])).collect())
 
 
 # ---- op6
