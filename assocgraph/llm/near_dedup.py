@@ -9,11 +9,13 @@ when their weighted Jaccard similarity is 0.8 or more. A class is a connected co
    about k ln k + 2k of them however large the set; if a coordinate stays empty the rank is doubled.
 2. Texts with equal sets become one node, so copies are never expanded.
 3. Bands of four coordinates are grouped. A pair of similarity 0.8 shares none of the 24 bands in about 3 of 10^6 cases.
-4. In every bucket the first member is compared with all others, over their whole sets; what it is similar to joins its
-   component. It has then been compared with the whole bucket and leaves it, and buckets whose members are all in one
-   component are done. This is repeated while the pairs between different components that are left exceed `SLACK` times the
-   number of nodes; then those pairs, all of them, are compared. So no link between components is lost, and a bucket of n
-   copies costs n comparisons, not n * n.
+   Nodes that share bands, directly or through others, are a candidate group; a band's nodes are linked to its first one,
+   so this takes as many links as there are band entries.
+4. Inside a group of up to `BLOCK` nodes all pairs are compared over their whole sets, with an inverted index. A larger
+   group is first dealt twice into random blocks of that size, which brings together what is well connected at a cost in
+   proportion to the group; then the nodes outside the group's largest component are compared with all others, block by
+   block. So every pair of a group that could connect two components is compared, a set travels once for each block and
+   not for each pair, and no task holds more than two blocks.
 
 Defined results: null counts as empty; texts without a word are one class; a text of fewer than five words is one element;
 of a class the smallest doc_id (null only if all are) names it; rows that repeat are members each; an empty table gives an
@@ -31,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_and_text, without
+from .common import durable, id_and_text, pieces, without
 from .components import components
 from .shingles import mix, shingles
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 96, 4
-SALTS = 64
-#: Pairs between components per node at which the rest is compared at once.
-SLACK = 2
+#: Nodes of a block.
+BLOCK = 1000
 #: Ids of candidates that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -95,7 +96,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, h (hash of the text), key (digest of the weighted set), total weight, sig (null without words)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, totals, sigs = [], [], []
             for e, w in shingles(batch.column(1).to_pylist(), WORDS):
                 keys.append(set_key(e, w))
@@ -108,10 +109,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and members (its elements and weights as bytes) for the wanted (node, key, head)."""
+    """The wanted rows (with key and head) and members: the elements and weights of their sets as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, members = [], []
             for e, w in shingles(batch.column(1).to_pylist(), WORDS):
                 keys.append(set_key(e, w))
@@ -123,7 +124,7 @@ def weighted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
     some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi").select("doc_id", "text")
     sets = some.mapInArrow(run, "key binary, members binary").groupBy("key").agg(F.any_value("members").alias("members"))
-    return wanted.join(sets, "key").select("node", "members")
+    return wanted.join(sets, "key").drop("key", "head")
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -131,66 +132,111 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """The weighted Jaccard similarity of two sets that are not empty."""
-    (x, v), (y, w) = unpack(a), unpack(b)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(v[i], w[j]).sum())
-    return both / (int(v.sum()) + int(w.sum()) - both)
+def links_in_block(nodes: list[int], sets: list[bytes], asks: list[bool], roots: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what is similar among sets that are not empty: each asking set against all, by inverted index.
 
+    Only links between different components count, those in `roots` to begin with, so there are fewer links than nodes.
+    """
+    n = len(nodes)
+    parts = [unpack(x) for x in sets]
+    lengths = np.array([len(e) for e, _ in parts])
+    elements, owner = np.concatenate([e for e, _ in parts]), np.repeat(np.arange(n), lengths)
+    weights = np.concatenate([w for _, w in parts])
+    totals = np.bincount(owner, weights, n)
+    order = np.argsort(elements, kind="stable")
+    owner_at, weight_at, plain = owner[order], weights[order], bool((weights == 1).all())
+    new = np.concatenate([[True], np.diff(elements[order]) != 0])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(elements)))
+    which = np.empty(len(elements), np.int64)
+    which[order] = np.cumsum(new) - 1
+    ends = np.cumsum(lengths)
+    label = np.unique(np.array(roots), return_inverse=True)[1]
+    found = []
+    for i in range(n):
+        if not asks[i] or (label == label[i]).all():
+            continue
+        own = which[ends[i] - lengths[i] : ends[i]]
+        count = size[own]
+        at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        if plain:
+            both = np.bincount(owner_at[at], minlength=n)
+        else:
+            both = np.bincount(owner_at[at], np.minimum(weight_at[at], np.repeat(weights[ends[i] - lengths[i] : ends[i]], count)), n)
+        near = np.flatnonzero((both >= SIMILARITY * (totals + totals[i] - both)) & (label != label[i]))
+        for j in near.tolist():
+            if label[j] != label[i]:
+                found.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return found
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar. The set of a u with very many partners is dealt to salted copies."""
 
-    def run(batches):
-        for batch in batches:
-            got = [similarity(a, b) >= SIMILARITY for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            yield batch.select(["u", "v"]).filter(pa.array(got, pa.bool_()))
+def similar(rows: DataFrame) -> DataFrame:
+    """Links (u, v) inside the groups of rows. rows: grp (string), node, members, asks, root."""
 
-    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("salt"))
-    heads = salted.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u")
-    both = salted.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").join(heads, ["u", "salt"])
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    def run(batches):
+        held: dict[str, list] = {k: [] for k in ("node", "members", "asks", "root")}
+        at = None
 
+        def report():
+            found = links_in_block(held["node"], held["members"], held["asks"], held["root"]) if len(held["node"]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-def bucket_members(nodes: DataFrame) -> DataFrame:
-    """bucket, node for every band that more than one node shares."""
+        for batch in batches:
+            new = {k: batch.column(k).to_pylist() for k in held}
+            for i, grp in enumerate(batch.column("grp").to_pylist()):
+                if grp != at and held["node"]:
+                    yield report()
+                    held = {k: [] for k in held}
+                at = grp
+                for k in held:
+                    held[k].append(new[k][i])
+        if held["node"]:
+            yield report()
+
+    return rows.select("grp", "node", "members", "asks", "root").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
+
+
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """node, grp, n: the candidate group of every node that shares a band, and its number of nodes."""
     bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sig, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(COORDINATES // ROWS)])
-    rows = nodes.filter("sig IS NOT NULL").select("node", "total", F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return rows.join(shared, "bucket").select("bucket", "node", "total")
+    rows = nodes.filter("sig IS NOT NULL").select("node", F.explode(bands).alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = components(rows.join(shared, "bucket").select(F.col("node").alias("u"), F.col("first").alias("v")))
+    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+    return found.join(sizes, "root").select("node", F.col("root").alias("grp"), "n")
 
 
 def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root for every node that has a link."""
-    spark = docs.sparkSession
-    members = durable(bucket_members(nodes))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "head")
+    wanted = nodes.select("node", "key", "head").join(candidate_groups(nodes), "node")
     sets = durable(weighted_sets(docs, wanted))
-    edges = spark.createDataFrame([], "u long, v long")
-    roots = spark.createDataFrame([], "node long, root long")
-    n_nodes, close = nodes.count(), F.least("ta", "tb") >= SIMILARITY * F.greatest("ta", "tb")
-    while True:
-        placed = members.join(roots, "node", "left").select("bucket", "node", "total", F.coalesce("root", "node").alias("root"))
-        state = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "total", "root")).alias("first")).filter("low < high")
-        placed = durable(placed.join(state.select("bucket", "first"), "bucket"))
-        # pairs of one component: the squares of the members per bucket and component, a row for each of these
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        left = sizes.groupBy("bucket").agg(((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs").alias("p")).first().p or 0
-        if not left:
-            return roots
-        last = left <= SLACK * n_nodes
-        if last:
-            other = placed.select("bucket", F.col("node").alias("v"), F.col("total").alias("tb"), F.col("root").alias("rb"))
-            pairs = placed.select("bucket", F.col("node").alias("u"), F.col("total").alias("ta"), F.col("root").alias("ra")).join(other, "bucket").filter((F.col("u") < F.col("v")) & (F.col("ra") != F.col("rb")))
-        else:
-            pairs = placed.select(F.col("first.node").alias("u"), F.col("first.total").alias("ta"), F.col("first.root").alias("ra"), F.col("node").alias("v"), F.col("total").alias("tb"), F.col("root").alias("rb")).filter("ra <> rb")
-        found = similar(pairs.filter(close).select("u", "v").distinct(), sets)
-        edges = durable(edges.unionByName(found))
-        roots = durable(components(edges))
-        if last:
-            return roots
-        members = placed.filter("node <> first.node").select("bucket", "node", "total")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    deal = lambda rows, seed: rows.select(F.concat_ws("/", "grp", F.pmod(F.xxhash64("node", F.lit(seed)), blocks)).alias("grp"), "node", "members", F.lit(True).alias("asks"), F.col("node").alias("root"))
+    edges = durable(similar(deal(sets, 1)))
+    large = sets.filter(F.col("n") > BLOCK)
+    if not large.head(1):
+        return components(edges)
+    edges = durable(edges.unionByName(similar(deal(large, 2))))
+    roots = components(edges)
+    placed = durable(large.join(roots, "node", "left").select("grp", "node", "members", F.coalesce("root", "node").alias("root")))
+    per_root = placed.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    giant = per_root.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("giant"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    giant = giant.select("grp", "giant", F.ceil(F.col("inside") / BLOCK).alias("g"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).alias("s"))
+    rows = placed.join(giant, "grp").filter("s > 0").withColumn("outside", F.col("root") != F.col("giant"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("outside"), F.col("s")).otherwise(F.col("g"))))
+    upto = lambda name: F.sequence(F.lit(0).cast("long"), F.col(name) - 1)
+    # tasks: a block outside against itself, against each later block outside, and against each block of the component
+    task = lambda kind, i, j: F.concat_ws("/", F.col("grp"), F.lit(kind), i, j)
+    to = F.when(
+        F.col("outside"),
+        F.concat(
+            F.transform(upto("s"), lambda j: F.struct(task("s", F.least("block", j), F.greatest("block", j)).alias("grp"), (F.col("block") <= j).alias("asks"))),
+            F.transform(upto("g"), lambda j: F.struct(task("g", F.col("block"), j).alias("grp"), F.lit(True).alias("asks"))),
+        ),
+    ).otherwise(F.transform(upto("s"), lambda i: F.struct(task("g", i, F.col("block")).alias("grp"), F.lit(False).alias("asks"))))
+    dealt = rows.select("node", "members", "root", F.explode(to).alias("to")).select("to.grp", "node", "members", "to.asks", "root")
+    return components(edges.unionByName(similar(dealt)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
