@@ -101,3 +101,22 @@ def rewritten_links(pages: DataFrame) -> DataFrame:
 def landmarks(pages: DataFrame, n: int, least_bytes: int = 2048) -> DataFrame:
     """The n pages with the most citations among those with a body of some length."""
     return pages.filter(F.octet_length("body") >= least_bytes).orderBy(F.desc("citations"), "node").limit(n)
+
+
+#: An anchor with its address and content.
+ANCHOR = r"(?is)<a\b[^>]*?href=[\x22']([^\x22']*)[\x22'][^>]*>(.*?)</a>"
+
+
+def linked_markup(pages: DataFrame, targets: DataFrame, key: str = r"([^/?#]+)/?$") -> DataFrame:
+    """node, md: html(node, html) as markdown, with [[page_id|text]] for anchors whose address has a target.
+
+    targets: key, page_id. `key` takes an anchor's key from its address. Anchors become rows, meet their targets in one join
+    and go back between the pieces of text they came from; other anchors leave their text.
+    """
+    pattern = F.lit(ANCHOR)
+    found = pages.select("node", F.posexplode(F.regexp_extract_all("html", pattern, F.lit(0))).alias("at", "whole"))
+    parts = found.select("node", "at", F.regexp_extract(F.regexp_extract("whole", ANCHOR, 1), key, 1).alias("key"), F.trim(F.regexp_replace(F.regexp_extract("whole", ANCHOR, 2), "<[^>]*>", "")).alias("label"))
+    named = parts.join(targets, "key", "left").select("node", F.struct("at", F.when(F.col("page_id").isNotNull(), F.concat(F.lit("[["), "page_id", F.lit("|"), "label", F.lit("]]"))).otherwise(F.col("label")).alias("text")).alias("a"))
+    back = named.groupBy("node").agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["text"]).alias("texts"))
+    pieces = F.transform(F.split("html", ANCHOR, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("texts"), i), F.lit(""))))
+    return pages.join(back, "node", "left").select("node", tx.html_to_markdown(F.array_join(pieces, "")).alias("md"))

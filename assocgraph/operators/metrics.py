@@ -54,3 +54,19 @@ def percentiles(values: DataFrame, column: str, points: tuple[int, ...] = (50, 9
 def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """item, s: the k vectors (item, v) with the largest cosine to the one query vector (q)."""
     return vectors.crossJoin(F.broadcast(query.limit(1))).select("item", cosine(F.col("v"), F.col("q")).alias("s")).orderBy(F.desc("s"), "item").limit(k)
+
+
+def baseline_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
+    """item, s: a plain vector search to compare with: raw counts, idf ln((1 + n) / (1 + df)) + 1 fitted on the query and the
+    documents (item, text), unit length, cosine."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    n = docs.count() + 1
+    tf = docs.select("item", F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
+    asked = docs.sparkSession.range(1).select(F.explode(words(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term", "left").withColumn("df", F.col("df") + F.col("qtf").isNotNull().cast("int"))
+    idf = F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1
+    rows = tf.join(df, "term").select("item", (F.col("tf") * idf).alias("w"), (F.col("qtf") * idf).alias("q"))
+    scored = rows.groupBy("item").agg((F.sum(F.col("w") * F.col("q")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("dot"))
+    # the query's own length, unseen words included (they are in one text, the query)
+    length = asked.join(df.select("term", "df"), "term", "left").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * (F.log((1 + F.lit(float(n))) / (1 + F.coalesce("df", F.lit(1)))) + 1), F.lit(2)))).alias("length"))
+    return scored.filter("dot > 0").crossJoin(F.broadcast(length)).select("item", (F.col("dot") / F.col("length")).alias("s")).orderBy(F.desc("s"), "item").limit(k)

@@ -59,18 +59,18 @@ def similarity(index: DataFrame, doc_norms: DataFrame, pairs: DataFrame) -> Data
     return whole.select("i", "j", F.coalesce(F.col("dot") / F.nullif(F.col("norm_i") * F.col("norm_j"), F.lit(0.0)), F.lit(0.0)).alias("s"))
 
 
-def similar_pairs(index: DataFrame, doc_norms: DataFrame, threshold: float, max_df: int | None = None) -> DataFrame:
-    """i < j, s with a cosine above the threshold, by a self-join over terms.
+def similar_pairs(index: DataFrame, doc_norms: DataFrame, threshold: float) -> DataFrame:
+    """i < j, s with a cosine above the threshold.
 
-    max_df leaves terms in more documents out of the search for candidates only; their weights count in the cosine. With a
-    threshold t a pair must share a term outside the commonest ones unless these alone reach t; None searches all terms.
+    Terms are ordered from rare to common, and each document searches with the first ones only: as soon as what is left of
+    its vector is shorter than the threshold, a partner must share a term before that, for both documents alike. So common
+    terms take no part in the join, and no pair above the threshold is missed.
     """
-    search = index
-    if max_df is not None:
-        rare = index.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df).select("term")
-        search = index.join(rare, "term")
-    i = search.select("term", F.col("node").alias("i"))
-    pairs = i.join(search.select("term", F.col("node").alias("j")), "term").filter("i < j").select("i", "j").distinct()
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = index.join(df, "term").join(doc_norms.select("node", "norm"), "node").withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)) / F.col("norm"))
+    search = own.filter(F.col("left") >= threshold * (1 - 1e-9)).select("term", "node")
+    pairs = search.select("term", F.col("node").alias("i")).join(search.select("term", F.col("node").alias("j")), "term").filter("i < j").select("i", "j").distinct()
     return similarity(index, doc_norms, pairs).filter(F.col("s") > threshold)
 
 

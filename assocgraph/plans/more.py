@@ -10,7 +10,7 @@ from ..operators import etl, generate, graph, metrics, pages, retrieve, temporal
 from ..session import durable, table
 from ..streaming import access
 from . import inputs as inp
-from .core import GREEDY_SQL, IGNITE_SQL, QUERY, SIGMOID, index, r6, register
+from .core import GREEDY_SQL, IGNITE_SQL, MARKUP_SQL, QUERY, SIGMOID, index, r6, register
 
 # ---- maintenance ---------------------------------------------------------------------------------------------------
 
@@ -265,3 +265,44 @@ def generated_graphs(spark: SparkSession, d: str) -> DataFrame:
 def stream_access(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     return access.access_state(spark, d, "events.parquet", schema, "user_id", "ts").select("node", "n", "last_ts")
+
+
+# ---- markup with links, rendering, a plain vector search -------------------------------------------------------------
+
+ANCHOR_SQL = r"""(?is)<a\b[^>]*?href=[\x22''](?:[^\x22'']*)[\x22''][^>]*>(?:.*?)</a>"""
+
+
+@register(
+    MARKUP_SQL.replace("FROM pages", "FROM linked").replace(
+        "WITH a AS",
+        rf"""WITH x AS (SELECT page_id, regexp_split_to_array(html, '{ANCHOR_SQL}') AS p, regexp_extract_all(html, '{ANCHOR_SQL}') AS a FROM pages),
+y AS (SELECT page_id, p, list_transform(a, lambda s: struct_pack(k := regexp_extract(s, 'href="/([^"]*)"', 1), t := trim(regexp_replace(regexp_extract(s, '>(.*)</a>', 1), '<[^>]*>', '', 'g')))) AS a FROM x),
+z AS (SELECT page_id, p, list_transform(a, lambda s: CASE WHEN length(s.k) > 3 THEN '[[w-' || lower(s.k) || '|' || s.t || ']]' ELSE s.t END) AS a FROM y),
+linked AS (SELECT page_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(a[i], '')), '') AS html FROM z),
+a AS""",
+    )
+)
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors to words of more than three letters have a page."""
+    html = table(spark, d, "pages").select(F.col("page_id").alias("node"), "html")
+    words = html.select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("key")).distinct().filter(F.length("key") > 3)
+    targets = words.select("key", F.concat(F.lit("w-"), F.lower("key")).alias("page_id"))
+    return etl.linked_markup(html, targets, r"^/([^\x22]*)$").withColumnRenamed("node", "page_id")
+
+
+@register(r"""WITH q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all(lower('QUERY'), '[\p{L}\p{N}_]{2,}')) AS term) GROUP BY term),
+tf AS (SELECT doc_id AS item, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
+df AS (SELECT term, count(*) + CASE WHEN term IN (SELECT term FROM q) THEN 1 ELSE 0 END AS df FROM tf GROUP BY term),
+w AS (SELECT item, term, tf * (ln((2.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w, qtf * (ln((2.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS q FROM tf JOIN df USING (term) LEFT JOIN q USING (term)),
+l AS (SELECT sqrt(sum(pow(qtf * (ln((2.0 + (SELECT count(*) FROM documents)) / (1 + coalesce(df, 1))) + 1), 2))) AS l FROM q LEFT JOIN df USING (term))
+SELECT item, round(sum(w * q) / sqrt(sum(w * w)) / any_value(l), 6) AS s FROM w, l GROUP BY item HAVING sum(w * q) > 0 ORDER BY sum(w * q) / sqrt(sum(w * w)) DESC, item LIMIT 20""".replace("QUERY", QUERY))
+def baseline_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
+    return metrics.baseline_topk(docs, QUERY, 20).withColumn("s", r6("s"))
+
+
+@register(f"""WITH {inp.TOKENS_SQL}, s AS (SELECT x.node AS i, y.node AS j, sum(x.w * y.w) AS dot FROM p x JOIN p y ON x.term = y.term AND x.node < y.node GROUP BY ALL)
+SELECT i, j, round(dot / (a.norm * b.norm), 6) AS s FROM s JOIN nrm a ON a.node = i JOIN nrm b ON b.node = j WHERE dot / (a.norm * b.norm) > 0.6""")
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    posts = durable(index(spark, d)[2])
+    return tfidf.similar_pairs(posts, tfidf.norms(posts), 0.6).select("i", "j", r6("s").alias("s"))

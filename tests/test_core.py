@@ -262,3 +262,45 @@ def test_page_changes(spark):
     assert [r.ok for r in ids.select(pages.valid_id(F.col("i")).alias("ok")).collect()] == [True, False, False, False]
     up = pages.upsert(rows, spark.createDataFrame([("b", "new"), ("d", "more")], rows.schema))
     assert {r.page_id: r.body for r in up.collect()}["b"] == "new" and up.count() == 4
+
+
+def test_rendering(spark):
+    from assocgraph.functions import render
+
+    got = one(spark, render.body(F.col("t")), t="# T\nplain **b** <x>\nmore [[a|A]]\n\n* one\n* *two*\n\n[s](http://x.y)")
+    assert got == '<h2>T</h2>\n<p>plain <strong>b</strong> &lt;x&gt; more <a href="/wiki/a">A</a></p>\n<ul>\n<li>one</li>\n<li><em>two</em></li>\n</ul>\n<p><a href="http://x.y">s</a></p>'
+
+
+def test_corpus_verbs(spark, tmp_path):
+    from assocgraph.engine import Corpus, Registry
+
+    raw = spark.createDataFrame(TOY, "path string, body string")
+    own = Corpus.build(spark, raw)
+    assert tuple(own.stats().first())[:2] == (5, 5)
+    found = own.query("attention transformers", budget=100, steps=2)
+    assert found.cost <= 100 and found.picks.count() > 0
+    own.create_page("new", "New", "See [[about]] and [[nowhere]].")
+    own.update_page("unrelated", "Now [[new]] and attention.")
+    names = {r.node: r.page_id for r in own.tables["pages"].collect()}
+    edges = {(names[r.src], names[r.dst]) for r in own.tables["edges"].collect()}
+    assert {("new", "about"), ("unrelated", "new")} <= edges and len(names) == 6 and own.alive() == 6
+    for bad in ("../x", "/x", ""):
+        with pytest.raises(ValueError):
+            own.create_page(bad, "t", "c")
+    with pytest.raises(KeyError):
+        own.update_page("missing", "x")
+    done = own.maintain(temporal.Config(probe_steps=3, similarity_threshold=0.2))
+    assert 0 < done.health <= 1 and own.step == 1
+    root = str(tmp_path / "c")
+    own.save(root)
+    again = Corpus.open(spark, root)
+    assert again.step == 1 and {r.page_id for r in again.tables["pages"].collect()} == set(names.values())
+    assert {(r.src, r.dst) for r in again.tables["edges"].collect()} == {(r.src, r.dst) for r in own.tables["edges"].collect()}
+    again.read_only = True
+    with pytest.raises(PermissionError):
+        again.create_page("x", "x", "x")
+    both = Registry({"b": own, "a": again})
+    both.select("b")
+    assert [(r.name, r.active) for r in both.report().collect()] == [("a", False), ("b", True)]
+    assert own.stress("attention", 0)["count"] == 0 and own.counters["query"].report()["count"] == 1
+    assert own.hubs(1).first().n == 2 and own.neighborhood("new").count() >= 3
