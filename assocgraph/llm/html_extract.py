@@ -2,9 +2,10 @@
 
 A token is a tag at its path, or a whole text between two tags at its path. Tokens of the pages of one host that occur
 equally often on every page (equal occurrence vectors) form an equivalence class; vectors are compared by a sum of page
-hashes, which adds up over tasks, so no host's pages are ever brought together. Classes of elements that hold each other
-are nested: a class is valid if on all its pages its tokens come in one order, and the classes inside it lie between two of
-its tokens. The valid classes are the template; what lies between its tokens are the slots.
+hashes, which adds up over tasks, so no host's pages are ever brought together. A class is valid if it holds the opening and
+the closing tag of an element, each once a page: the parser closes elements from the inside out, so the tags of valid classes
+pair up on every page, and classes are nested as their elements are. The valid classes are the template; what lies between
+their tags are the slots.
 
 The main slot of a host is the deepest element of the outermost class whose slots hold most of the text of its pages; a
 page without that element (or of a host with one page) takes its own. Its text is cut into blocks at block tags, without
@@ -163,7 +164,7 @@ def tokens_of(page: Page) -> Iterator[str]:
 
 
 def stats(pages: DataFrame) -> DataFrame:
-    """Per host and token: its class (sum of page hashes times occurrences), pages, order and, for elements, text held."""
+    """Per host and token: its class (sum of page hashes times occurrences), pages, uses, and for tags element and text held."""
 
     def run(batches):
         for batch in pieces(batches, 4096):
@@ -172,42 +173,36 @@ def stats(pages: DataFrame) -> DataFrame:
                 page, host = Page(source or ""), host_of(url)
                 mark = xxhash.xxh3_64_intdigest(f"{url} {source}".encode())
                 counts, held = Counter(), text_of_elements(page)
-                place: dict[str, int] = {}
-                for i, token in enumerate(tokens_of(page)):
-                    place.setdefault(token, i)
-                    counts[token] += 1
+                counts.update(tokens_of(page))
                 for token, n in counts.items():
-                    got = sums.setdefault((host, token), [0, 0, 0, 0, 0])
+                    got = sums.setdefault((host, token), [0, 0, 0, 0])
                     got[0] = (got[0] + mark * n) & MASK
                     got[1] += 1
                     got[2] += n
-                    got[3] += place[token]
-                    got[4] += held.get(token[5:], 0) if token.startswith("open ") else 0
-                got = sums.setdefault((host, ""), [0, 0, 0, 0, 0])
+                    got[3] += held.get(token[5:], 0) if token.startswith("open ") else 0
+                got = sums.setdefault((host, ""), [0, 0, 0, 0])
                 got[1] += 1
             keys = list(sums)
-            cols = [pa.array([k[0] for k in keys]), pa.array([xxhash.xxh3_64_intdigest(k[1].encode()) - 2**63 for k in keys], pa.int64()), pa.array([k[1][5:] if k[1].startswith("open ") else None for k in keys], pa.string())]
+            cols = [pa.array([k[0] for k in keys]), pa.array([xxhash.xxh3_64_intdigest(k[1].encode()) - 2**63 for k in keys], pa.int64()), pa.array([k[1].partition(" ")[2] if k[1].startswith(("open ", "close ")) else None for k in keys], pa.string())]
             sign = lambda v: v - 2**64 if v >= 2**63 else v
-            cols += [pa.array([sign(sums[k][j]) for k in keys], pa.int64()) for j in range(5)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "element", "vector", "pages", "uses", "place", "held"])
+            cols += [pa.array([sign(sums[k][j]) for k in keys], pa.int64()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "element", "vector", "pages", "uses", "held"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, element string, vector long, pages long, uses long, place long, held long")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, element string, vector long, pages long, uses long, held long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
-    summed = rows.groupBy("host", "token").agg(F.max("element").alias("element"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("place").alias("place"), F.sum("held").alias("held"))
+    summed = rows.groupBy("host", "token").agg(F.max("element").alias("element"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("held").alias("held"))
     return summed.withColumn("vector", F.pmod("v", F.lit(str(2**64)).cast("decimal(38,0)"))).drop("v")
 
 
 def template(tokens: DataFrame) -> DataFrame:
-    """host, elements: the elements whose opening tags are in valid classes of the host's template, with the text they hold.
+    """host, elements: the elements of the valid classes of the host's template, with the text they hold.
 
-    An element's opening tag has one vector on its host; its class has at least two tokens (a tag that nothing else goes
-    along with is content). A class is nested in the one whose element encloses it.
+    Both tags of such an element have one occurrence vector, with one use on each of their pages.
     """
     whole = tokens.filter(F.col("token") == xxhash.xxh3_64_intdigest(b"") - 2**63).select("host", F.col("pages").alias("all"))
-    often = tokens.join(whole, "host").filter((F.col("pages") > 1) & (F.col("pages") >= F.col("all") * SUPPORT))
-    sizes = often.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
-    valid = often.join(sizes.filter("tokens > 1"), ["host", "vector"]).filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages")))
-    # tokens on half of the pages at least: no more per host than twice a page's mean number of different ones
+    often = tokens.filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))).join(whole, "host").filter((F.col("pages") > 1) & (F.col("pages") >= F.col("all") * SUPPORT))
+    valid = often.groupBy("host", "vector", "element").agg(F.count("*").alias("tags"), F.max("held").alias("held")).filter("tags = 2")
+    # elements on half of the pages at least: no more per host than twice a page's mean number of different ones
     return valid.groupBy("host").agg(F.collect_list(F.struct("element", "held")).alias("elements"))
 
 
