@@ -11,6 +11,10 @@ import numpy as np
 END, SEPARATOR, FIRST = 0, 1, 2
 
 
+#: The bits below each position of a word of 64.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """rank(symbol, i): how often the symbol occurs before position i. A bit per symbol and level, counts per 64 bits."""
 
@@ -32,9 +36,10 @@ class WaveletMatrix:
 
     def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            word, inside = at >> 6, (at & 63).astype(np.uint64)
-            ones = self.before[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << inside) - np.uint64(1)))
-            at = np.where((symbols >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
+            word = at >> 6
+            ones = self.before[k].take(word)
+            ones += np.bitwise_count(self.bits[k].take(word) & BELOW.take(at & 63))
+            at = np.where(symbols & (1 << (self.levels - 1 - k)), ones + self.zeros[k], at - ones)
         return at
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,7 +57,7 @@ class FMIndex:
             ahead = np.zeros_like(rank)
             ahead[: max(0, len(rank) - k)] = rank[k:]
             key = rank * (int(rank.max()) + 1) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
             rank = np.empty_like(rank)
             rank[order] = new
@@ -72,10 +77,10 @@ class FMIndex:
     def matches(self, text: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The matching statistics of streamed text at the ends of its windows, up to the threshold: how many words before
         each end also occur elsewhere in the index, and the interval of those whose statistic reaches the threshold."""
-        length = np.zeros(len(ends), np.int64)
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        on = np.arange(len(ends))
-        for i in range(threshold):
+        lo, hi = self.first[text[ends]], self.first[text[ends] + 1]  # the interval of one word needs no rank
+        length = (hi - lo > 1).astype(np.int64)
+        on = np.flatnonzero(length)
+        for i in range(1, threshold):
             lo[on], hi[on] = self.step(text[ends[on] - i], lo[on], hi[on])
             on = on[hi[on] - lo[on] > 1]
             length[on] += 1

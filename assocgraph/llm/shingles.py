@@ -10,7 +10,7 @@ import xxhash
 from .common import WORD
 
 #: Characters that are split at once, and entries of a worker's memo of word hashes; both only save time and memory.
-BLOCK_CHARS, MEMO = 1_000_000, 400_000
+BLOCK_CHARS, MEMO = 500_000, 200_000
 
 
 class WordHashes(dict):
@@ -26,8 +26,8 @@ class WordHashes(dict):
 MEMORY = WordHashes()
 
 
-def word_blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(position of the first text, hashes of all words, words of each text) for runs of texts."""
+def word_blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """(position of the first text, hashes of all words, number of words of each text, the words) for runs of texts."""
     at = 0
     while at < len(texts):
         words: list[str] = []
@@ -39,7 +39,7 @@ def word_blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             words += own
             sizes.append(len(own))
             chars += len(text)
-        yield at, np.fromiter(map(MEMORY.__getitem__, words), np.uint64, len(words)), np.array(sizes, np.int64)
+        yield at, np.fromiter(map(MEMORY.__getitem__, words), np.uint64, len(words)), np.array(sizes, np.int64), words
         at += len(sizes)
 
 
@@ -62,7 +62,7 @@ def rolling(flat: np.ndarray, n: int) -> np.ndarray:
 
 def shingles(texts: list[str], n: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its different n-grams, sorted, and how often each occurs. A shorter text is one n-gram as a whole."""
-    for _, flat, sizes in word_blocks(texts):
+    for _, flat, sizes, _ in word_blocks(texts):
         grams = rolling(flat, n)
         start = 0
         for size in sizes.tolist():

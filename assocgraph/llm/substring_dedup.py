@@ -7,12 +7,14 @@ smaller doc_id. All text of a window is covered by the removal, and windows are
    are a segment. Equal windows have equal anchors, so all occurrences of a window are in the shard of its anchor. Anchors
    that occur in one document only cannot repeat across documents and go no further. Documents of one task that share an
    anchor are known to repeat it, so a very common anchor sends one row per task.
-2. Equal segments become one row with the smallest doc_id. An anchor with more than `GROUP` different segments is cut into
-   single windows, which are dealt by their own hash: equal windows still meet, and no anchor is more than one index.
-3. Each shard (anchors up to `SHARD_WORDS` words) builds an FM-index over its segments, streams the segments' words
+2. Segments are dealt by anchor. An anchor of more than `HOT` documents is cut into single windows, which are dealt by their
+   own hash after equal ones have become one row with the smallest doc_id; equal windows still meet, and no anchor and no
+   passage, however common, is one task. Their answers are joined back to the documents.
+3. Each shard (anchors up to `SHARD_WORDS` words) builds an FM-index over its different segments, streams their words
    through it by backward search, and reports the intervals whose matching statistic reaches the window's length. The
    least doc_id in an interval of the suffix array is that of the window's first document.
-4. Reports go back to their documents, which drop the covered words.
+4. Reports go back to their documents, which drop the covered words. The texts are dealt by doc_id once, for the segments
+   and for this.
 
 Defined results: a null or empty text has no words; a text of fewer than `WINDOW` words keeps them all; a null doc_id counts
 as larger than any other; rows of equal doc_id are one document when windows are compared, so they remove nothing from each
@@ -29,22 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import BROADCAST_ROWS, WORD, pieces, written
 from .fm_index import END, FIRST, SEPARATOR, FMIndex
 from .shingles import mix, rolling, word_blocks
 
 WINDOW, ANCHOR = 13, 5
-SHARD_WORDS, GROUP = 400_000, 20_000
+SHARD_WORDS, HOT = 400_000, 5_000
 LAST = 2**63 - 1
+#: Rows whose texts a worker holds at once.
+SLICE = 512
 
 
-def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: (position of the first, text of each segment, anchor hash, first window, windows).
-
-    Window positions count from the start of the text.
+def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """For runs of texts: (position of the first, text of each segment, anchor hash, first window, windows, all words, where
+    each text's words start). Window positions count from the start of the text.
     """
     span = WINDOW - ANCHOR + 1
-    for at, flat, sizes in word_blocks(texts):
+    for at, flat, sizes, words in word_blocks(texts):
         starts = np.concatenate([[0], np.cumsum(sizes)])
         grams = rolling(flat, ANCHOR)
         n = len(flat) - WINDOW + 1
@@ -57,19 +60,20 @@ def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         fresh = whole & np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:n] != owner[: n - 1]) | ~whole[:-1]])
         first = np.flatnonzero(fresh)
         count = np.add.reduceat(whole.astype(np.int64), first) if len(first) else first
-        yield at, owner[first], grams[place[first]], first - starts[owner[first]], count
+        yield at, owner[first], grams[place[first]], first - starts[owner[first]], count, words, starts
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """did, a: the anchors of each document that also occur in another one."""
+    """did, mine (anchors of the document that also occur in another one), n (documents of an anchor, where it is counted)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             anchors, owners = [], []
-            for at, owner, a, _, _ in anchored(batch.column(1).to_pylist()):
-                anchors.append(a)
-                owners.append(ids[owner + at])
+            for skip in range(0, len(ids), SLICE):
+                for at, owner, a, *_ in anchored(batch.column(1).slice(skip, SLICE).to_pylist()):
+                    anchors.append(a)
+                    owners.append(ids[owner + at + skip])
             if not anchors:
                 continue
             a, did = np.concatenate(anchors), np.concatenate(owners)
@@ -77,126 +81,169 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             a, did = a[order], did[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (did[1:] != did[:-1])])
             a, did = a[new], did[new]
-            head = np.concatenate([[True], a[1:] != a[:-1]])
-            shared = ~head | np.concatenate([~head[1:], [False]])
-            key = np.where(head, a, mix(a ^ did.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(did), pa.array(shared), pa.array(a.view(np.int64), mask=head)], ["k", "did", "sure", "a"])
-
-    rows = docs.select("did", "text").mapInArrow(run, "k long, did long, sure boolean, a long")
+            head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            here = np.diff(np.append(head, len(a)))
+            # a row for each anchor of the batch, and one for each document with the anchors that it shares inside the batch
+            yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(did[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], ["k", "did", "here", "mine"])
+            shared = np.repeat(here > 1, here)
+            if shared.any():
+                a, did = a[shared], did[shared]
+                order = np.argsort(did, kind="stable")
+                a, did = a[order].view(np.int64), did[order]
+                cut = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]]))
+                mine = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)), pa.int32()), pa.array(a))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(did[cut].astype(np.uint64)).view(np.int64)), pa.array(did[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], ["k", "did", "here", "mine"])
+
+    rows = docs.select("did", "text").mapInArrow(run, "k long, did long, here int, mine array<long>")
     same = Window.partitionBy("k")
-    seen = rows.select("did", F.coalesce("a", "k").alias("a"), ((F.min("did").over(same) != F.max("did").over(same)) | F.max("sure").over(same)).alias("again"))
-    return seen.filter("again").select("did", "a").distinct()
+    seen = rows.select("did", "k", "mine", (F.min("did").over(same) != F.max("did").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
+    again = seen.filter("mine IS NOT NULL OR far OR n > 1")
+    return again.select("did", F.coalesce("mine", F.array("k")).alias("mine"), F.when(F.col("mine").isNull(), F.col("n")).alias("n"))
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """did, h (hash of the text), a, start (window), seg (words joined by one space) for the anchors that repeat."""
+def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """did, h (hash of the text), a, starts (windows), seg (words joined by one space) for the anchors that repeat.
+
+    A segment that a document repeats is one row.
+    """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, SLICE):
             ids, texts = batch.column("did").to_numpy(), batch.column("text").to_pylist()
-            wanted = [np.sort(np.array(w, np.int64)) for w in batch.column("anchors").to_pylist()]
+            wanted = [np.unique(np.concatenate([np.array(x, np.int64) for x in w])) for w in batch.column("anchors").to_pylist()]
             out: list[list] = [[], [], [], [], []]
-            for at, owner, a, start, count in anchored(texts):
+            for at, owner, a, start, count, words, begin in anchored(texts):
                 a = a.view(np.int64)
                 for i in np.unique(owner).tolist():
                     lo, hi = np.searchsorted(owner, [i, i + 1])
                     own = wanted[at + i]
                     pos = np.minimum(np.searchsorted(own, a[lo:hi]), len(own) - 1)
                     hits = np.flatnonzero(own[pos] == a[lo:hi]) + lo
-                    words = WORD.findall(texts[at + i])
+                    base = int(begin[i])
                     h = xxhash.xxh3_64_intdigest(texts[at + i].encode()) - 2**63
+                    own_segs: dict[tuple[int, str], list[int]] = {}
                     for s, n, x in zip(start[hits].tolist(), count[hits].tolist(), a[hits].tolist()):
-                        for values, v in zip(out, (int(ids[at + i]), h, x, s, " ".join(words[s : s + n + WINDOW - 1]))):
-                            values.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["did", "h", "a", "start", "seg"])
+                        own_segs.setdefault((x, " ".join(words[base + s : base + s + n + WINDOW - 1])), []).append(s)
+                    out[0] += [int(ids[at + i])] * len(own_segs)
+                    out[1] += [h] * len(own_segs)
+                    out[2] += [x for x, _ in own_segs]
+                    out[3] += own_segs.values()
+                    out[4] += [seg for _, seg in own_segs]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))], ["did", "h", "a", "starts", "seg"])
 
-    marked = repeated_anchors(docs).groupBy("did").agg(F.collect_list("a").alias("anchors"))
-    # doc_id comes along so that strip() can read the same exchange of the texts
-    return docs.join(marked, "did").select("did", "doc_id", "text", "anchors").mapInArrow(run, "did long, h long, a long, start int, seg string")
+    marked = repeated.groupBy("did").agg(F.collect_list("mine").alias("anchors"))
+    # all columns come along, so that strip() reads the same exchange of the texts
+    return docs.join(marked, "did").select(*docs.columns, "anchors").mapInArrow(run, "did long, h long, a long, starts array<int>, seg string")
 
 
-def cut_hot(found: DataFrame) -> DataFrame:
-    """Adds part, the key that deals segments to shards; segments of very common anchors become single windows."""
-    per_anchor = found.select("a", F.xxhash64("seg").alias("s")).distinct().groupBy("a").agg(F.count("*").alias("n"))
-    hot = per_anchor.filter(F.col("n") > GROUP).select("a", F.lit(True).alias("hot"))
+def single_windows(found: DataFrame) -> DataFrame:
+    """did, h, starts, seg, part of each window of the segments; part deals equal windows to one place."""
     words = F.split("seg", " ")
     single = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("seg"), i.alias("i")))
-    rows = found.join(hot, "a", "left").withColumn("cut", F.when(F.col("hot"), single).otherwise(F.array(F.struct(F.col("seg"), F.lit(0).alias("i")))))
-    flat = rows.select("did", "h", "a", "start", "hot", F.explode("cut").alias("c"))
-    return flat.select("did", "h", (F.col("start") + F.col("c.i")).cast("int").alias("start"), F.col("c.seg").alias("seg"), F.when(F.col("hot"), F.xxhash64("c.seg")).otherwise(F.col("a")).alias("part"))
+    flat = found.select("did", "h", "starts", F.explode(single).alias("c"))
+    return flat.select("did", "h", F.transform("starts", lambda s: (s + F.col("c.i")).cast("int")).alias("starts"), F.col("c.seg").alias("seg"), F.xxhash64("c.seg").alias("part"))
 
 
 def first_documents(segs: list[str], dids: list[int]) -> list[list[int]]:
     """For each window of each segment the smallest doc_id over all segments that hold the window, by an FM-index."""
-    ids: dict[str, int] = {}
-    text: list[int] = []
-    sizes = []
-    for s in segs:
-        words = s.split(" ")
-        sizes.append(len(words))
-        text += [ids.setdefault(w, len(ids) + FIRST) for w in words]
-        text.append(SEPARATOR)
-    text.append(END)
-    stream = np.array(text, np.int64)
-    sizes = np.array(sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+    words = " \n ".join(segs).split(" ")  # a line break is no part of a word, so it separates
+    words.append("\n")
+    ids = dict(zip(dict.fromkeys(words), range(FIRST, FIRST + len(words))))
+    stream = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    stream[stream == ids["\n"]] = SEPARATOR
+    breaks = np.flatnonzero(stream == SEPARATOR)
+    sizes = np.diff(np.concatenate([[-1], breaks])) - 1
+    starts = breaks - sizes
+    # words that occur once share one symbol; no window that holds one can occur twice, so none is searched
+    seen = np.bincount(stream)
+    seen[SEPARATOR] = 2
+    common = np.flatnonzero(seen > 1)
+    symbol = np.full(len(seen), FIRST)
+    symbol[common] = np.where(common == SEPARATOR, SEPARATOR, np.arange(len(common)) + FIRST + 1)
+    rare = np.concatenate([[0], np.cumsum(seen[stream] == 1)])
+    stream = np.append(symbol[stream], END)
     counts = sizes - WINDOW + 1
     owner = np.repeat(np.arange(len(segs)), counts)
     ends = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) + WINDOW - 1
-    index = FMIndex(stream, len(ids) + FIRST, WINDOW)
-    length, lo, hi = index.matches(stream, ends, WINDOW)
+    asked = np.flatnonzero(rare[ends + 1] == rare[ends + 1 - WINDOW])
+    index = FMIndex(stream, int(symbol.max()) + 1, WINDOW)
+    length, lo, hi = index.matches(stream, ends[asked], WINDOW)
     own = np.array(dids, np.int64)
     least = own[owner]
     full = np.flatnonzero(length == WINDOW)
+    found = asked[full]
     if len(full):
         # the document array in suffix order; the END and separators belong to no window
         documents = np.append(np.repeat(own, sizes + 1), LAST)[index.suffixes]
         spans, back = np.unique(lo[full] * (index.n + 1) + hi[full], return_inverse=True)
         bounds = np.column_stack([spans // (index.n + 1), spans % (index.n + 1)]).ravel()
-        least[full] = np.minimum.reduceat(np.append(documents, LAST), bounds)[::2][back]
+        least[found] = np.minimum.reduceat(np.append(documents, LAST), bounds)[::2][back]
     cuts = np.cumsum(counts)[:-1]
     return [x.tolist() for x in np.split(least, cuts)]
 
 
-def shard_reports(distinct: DataFrame) -> DataFrame:
-    """part, s, least: per window the smallest doc_id, for segments of which some document has to drop a window.
+def shard_reports(dealt: DataFrame) -> DataFrame:
+    """did, h, starts, mask of the segments with windows to drop; for rows without h (many documents in one) part, seg, least.
 
-    distinct: part, s, seg, did (the smallest), many (it is in more than one document), dealt and sorted by part.
+    dealt: part, seg, did, h, starts. Bit i of mask stands for the window at start + i; least is the first doc_id of a window.
     """
+    names, kinds = ["did", "h", "starts", "mask", "part", "seg", "least"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def report(rows):
-        least = first_documents(rows["seg"], rows["did"])
-        keep = [i for i, (m, d, many) in enumerate(zip(least, rows["did"], rows["many"])) if many or min(m) < d]
-        return pa.RecordBatch.from_arrays([pa.array([rows["part"][i] for i in keep], pa.int64()), pa.array([rows["s"][i] for i in keep], pa.int64()), pa.array([least[i] for i in keep], pa.list_(pa.int64()))], ["part", "s", "least"])
+        first: dict[str, int] = {}
+        for seg, did in zip(rows["seg"], rows["did"]):
+            if did < first.get(seg, LAST + 1):
+                first[seg] = did
+        least = dict(zip(first, first_documents(list(first), list(first.values()))))
+        out: list[list] = [[] for _ in names]
+        for part, seg, did, h, starts in zip(*(rows[k] for k in ("part", "seg", "did", "h", "starts"))):
+            got = least[seg]
+            row = (None, None, None, None, part, seg, got[0]) if h is None else (did, h, starts, sum(1 << i for i, m in enumerate(got) if m < did), None, None, None)
+            if h is None or row[3]:
+                for values, v in zip(out, row):
+                    values.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names)
 
     def run(batches):
-        held: dict[str, list] = {k: [] for k in ("part", "s", "seg", "did", "many")}
+        columns = ("part", "seg", "did", "h", "starts")
+        held: dict[str, list] = {k: [] for k in columns}
         words = 0
         for batch in batches:
-            new = {k: batch.column(k).to_pylist() for k in held}
+            new = {k: batch.column(k).to_pylist() for k in columns}
             for i, part in enumerate(new["part"]):
                 if words >= SHARD_WORDS and part != held["part"][-1]:
                     yield report(held)
-                    held, words = {k: [] for k in held}, 0
-                for k in held:
+                    held, words = {k: [] for k in columns}, 0
+                for k in columns:
                     held[k].append(new[k][i])
                 words += new["seg"][i].count(" ") + 2
         if words:
             yield report(held)
 
-    return distinct.mapInArrow(run, "part long, s long, least array<long>")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, "did long, h long, starts array<int>, mask long, part long, seg string, least long")
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """did and its windows to drop: (h, start, mask), bit i of mask for the window at start + i. docs: did, text."""
-    found = cut_hot(written(segments(docs)))
-    keyed = found.withColumn("s", F.xxhash64("seg"))
-    distinct = keyed.groupBy("part", "s", "seg").agg(F.min("did").alias("did"), (F.max("did") != F.min("did")).alias("many"))
-    dealt = distinct.repartition("part").sortWithinPartitions("part")
-    reports = shard_reports(dealt)
-    bit = F.transform("least", lambda m, i: F.when(m < F.col("did"), F.expr("1L") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    hits = keyed.select("did", "h", "start", "part", "s").join(reports, ["part", "s"]).select("did", "h", "start", F.aggregate(bit, F.lit(0).cast("long"), lambda x, y: x + y).alias("mask"))
-    return hits.filter("mask > 0").groupBy("did").agg(F.collect_list(F.struct("h", "start", "mask")).alias("drops"))
+    """did and its windows to drop: (h, starts, mask), bit i of mask for the windows at each start + i. docs: did, text and more."""
+    repeated = written(repeated_anchors(docs))
+    hot = repeated.filter(F.col("n") > HOT).select(F.get("mine", F.lit(0)).alias("a")).distinct()
+    n_hot = hot.count()
+    found = segments(docs, repeated)
+    plain = lambda rows: rows.select(F.col("a").alias("part"), "seg", "did", "h", "starts")
+    if not n_hot:
+        hits = shard_reports(plain(found)).select("did", "h", "starts", "mask")
+    else:
+        side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot  # a checked size
+        # only documents with such an anchor are read again for the common windows
+        owners = repeated.select("did", F.explode("mine").alias("a")).join(side, "a", "left_semi")
+        common = single_windows(segments(docs, owners.select("did", F.array("a").alias("mine"))))
+        # windows that stay in one document are answered by that
+        several = common.groupBy("part", "seg").agg(F.min("did").alias("did"), F.max("did").alias("last")).filter("did < last")
+        one = several.select("part", "seg", "did", F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<int>").alias("starts"))
+        first = shard_reports(one).select("part", "seg", "least")
+        again = common.join(first, ["part", "seg"]).filter("least < did").select("did", "h", "starts", F.lit(1).cast("long").alias("mask"))
+        hits = shard_reports(plain(found.join(side, "a", "left_anti"))).select("did", "h", "starts", "mask").unionByName(again)
+    return hits.groupBy("did").agg(F.collect_list(F.struct("h", "starts", "mask")).alias("drops"))
 
 
 def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
@@ -206,10 +253,10 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
     """
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
-    own = plain.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    own = plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), *plain.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, SLICE):
             out: list[list] = [[], [], [], []]
             for text, drop in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist()):
                 words, spans, gone = WORD.findall(text), [], 0
@@ -221,8 +268,9 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
                         if d["h"] == h:
                             for i in range(d["mask"].bit_length()):
                                 if d["mask"] >> i & 1:
-                                    edge[d["start"] + i] += 1
-                                    edge[d["start"] + i + WINDOW] -= 1
+                                    for start in d["starts"]:
+                                        edge[start + i] += 1
+                                        edge[start + i + WINDOW] -= 1
                     covered = np.cumsum(edge)[:-1] > 0
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                     spans = turns.reshape(-1, 2).tolist()
@@ -233,7 +281,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
             made = [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])
 
-    marked = own.join(drops(own.select("did", "doc_id", "text")), "did", "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
+    marked = own.join(drops(own), "did", "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
     return marked.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
 
 
