@@ -1,15 +1,18 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A token is a tag at its path, or a whole text between two tags at its path. Tokens of the pages of one host that occur
+A token is a tag at its path, or a whole block of text at its path of tag names. Tokens of the pages of one host that occur
 equally often on every page (equal occurrence vectors) form an equivalence class; vectors are compared by a sum of page
 hashes, which adds up over tasks, so no host's pages are ever brought together. A class is valid if it holds the opening and
 the closing tag of an element, each once a page: the parser closes elements from the inside out, so the tags of valid classes
-pair up on every page, and classes are nested as their elements are. The valid classes are the template; what lies between
-their tags are the slots.
+pair up on every page, and classes are nested as their elements are. A class of blocks is valid if most distinct pages of the
+host hold it, three at least, each equally often; pages are distinct if their texts are, so copies count once, and two pages
+that share a text are no proof of a template. The valid classes are the template; what lies between their tags and texts are
+the slots.
 
 The main slot of a host is the deepest element of the outermost class whose slots hold most of the text of its pages; a
 page without that element (or of a host with one page) takes its own. Its text is cut into blocks at block tags, without
-what is in scripts, styles, forms, menus, headers, footers, sidebars, adverts, notices and comments.
+what is in scripts, styles, forms, menus, headers, footers, sidebars, adverts, notices and comments, and without the blocks of the
+template.
 
 Defined results: a null or empty html has the empty text; a null url is a host of its own; broken or unclosed markup ends
 where its parent does; character references are decoded, unknown ones stay; rows that repeat are extracted each; an empty
@@ -46,9 +49,19 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Share of the host's pages that a template token is on, and share of a page's text that the main element holds.
 SUPPORT, MAIN = 0.5, 0.6
+#: Distinct pages that a text of the template is on at least.
+LEAST_PAGES = 3
 MASK = 2**64 - 1
 
 
+def hashed(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode(errors="replace")) - 2**63
+
+
+#: Tokens that stand for a page, and for a distinct one.
+PAGE, DISTINCT = hashed(""), hashed("distinct")
+
+
 def squeezed(text: str) -> str:
     return " ".join(text.split())
 
@@ -59,6 +72,7 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str, str, bool]] = []
         self.stack: list[tuple[str, str, bool]] = []  # name, path, noise
+        self.tags = {"": ""}  # the path of tag names of each path
         at = 0
         while (m := PIECE.match(source, at)) is not None:
             at = m.end()
@@ -108,6 +122,7 @@ class Page:
         body = any(x[0] in ("article", "main") for x in self.stack)
         noise = noise or name in NOISE_TAGS or (name == "header" and not body) or bool(name not in ("body", "html", "article", "main") and names and NOISE_NAMES.search(names))
         where = f"{path}/{label}" if name not in INLINE or not path else path
+        self.tags.setdefault(where, f"{self.tags[path]}/{name}")
         if name in VOID:
             self.tokens.append(("open", name, where, noise))
             return
@@ -155,78 +170,82 @@ def main_element(held: Counter | dict, allowed: set[str] | None = None) -> str:
             return at
 
 
-def tokens_of(page: Page) -> Iterator[str]:
-    for kind, what, path, _ in page.tokens:
-        if kind != "text":
-            yield f"{kind} {path}"
-        elif what := squeezed(what):
-            yield f"text {path} {what}"
+def blocks_of(page: Page) -> Iterator[tuple[str, str]]:
+    """Path and text of each block that is no noise."""
+    at, run = "", []
+    for kind, what, path, noise in [*page.tokens, ("end", "", "", True)]:
+        if kind == "text" and not noise:
+            at = at if run else path
+            run.append(entities.unescape(what))
+        elif not noise and what == "br":
+            run.append(" ")
+        elif noise or what not in INLINE:
+            if text := squeezed("".join(run)):
+                yield at, text
+            run.clear()
+
+
+def text_token(page: Page, path: str, text: str) -> int:
+    return hashed(f"text {page.tags[path]} {text}")
 
 
 def stats(pages: DataFrame) -> DataFrame:
-    """Per host and token: its class (sum of page hashes times occurrences), pages, uses, and for tags element and text held."""
+    """Per host and token: its class (sum of page hashes times occurrences), pages, uses, and for tags element and text held.
+
+    For texts, `own` counts the distinct pages, and `low` and `high` are the least and most uses on one of them.
+    """
 
     def run(batches):
         for batch in pieces(batches, 4096):
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[str, int, int | None], list] = {}
+
+            def add(host, token, mark, vector, n, element=None, held=0):
+                got = sums.setdefault((host, token, mark), [element, 0, 0, 0, 0])
+                got[1] = (got[1] + vector) & MASK
+                got[2] += 1
+                got[3] += n
+                got[4] += held
+
             for source, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 page, host = Page(source or ""), host_of(url)
-                mark = xxhash.xxh3_64_intdigest(f"{url} {source}".encode())
-                counts, held = Counter(), text_of_elements(page)
-                counts.update(tokens_of(page))
-                for token, n in counts.items():
-                    got = sums.setdefault((host, token), [0, 0, 0, 0])
-                    got[0] = (got[0] + mark * n) & MASK
-                    got[1] += 1
-                    got[2] += n
-                    got[3] += held.get(token[5:], 0) if token.startswith("open ") else 0
-                got = sums.setdefault((host, ""), [0, 0, 0, 0])
-                got[1] += 1
-            keys = list(sums)
-            cols = [pa.array([k[0] for k in keys]), pa.array([xxhash.xxh3_64_intdigest(k[1].encode()) - 2**63 for k in keys], pa.int64()), pa.array([k[1].partition(" ")[2] if k[1].startswith(("open ", "close ")) else None for k in keys], pa.string())]
+                mark, held = xxhash.xxh3_64_intdigest(f"{url} {source}".encode()), text_of_elements(page)
+                for (kind, path), n in Counter((kind, path) for kind, _, path, _ in page.tokens if kind != "text").items():
+                    add(host, hashed(f"{kind} {path}"), None, mark * n, n, path, held[path] if kind == "open" else 0)
+                add(host, PAGE, None, 0, 1)
+                blocks = list(blocks_of(page))
+                own = hashed("\n".join(text for _, text in blocks))
+                for token, n in Counter(text_token(page, *block) for block in blocks).items():
+                    add(host, token, own, 0, n)
+                add(host, DISTINCT, own, 0, 1)
             sign = lambda v: v - 2**64 if v >= 2**63 else v
-            cols += [pa.array([sign(sums[k][j]) for k in keys], pa.int64()) for j in range(4)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "element", "vector", "pages", "uses", "held"])
+            cols = [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int64()), pa.array([k[2] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.string())]
+            cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 5)]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses", "held"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, element string, vector long, pages long, uses long, held long")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element string, vector long, pages long, uses long, held long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
-    summed = rows.groupBy("host", "token").agg(F.max("element").alias("element"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("held").alias("held"))
+    added = [F.max("element").alias("element"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("held").alias("held")]
+    # copies of a page first become one row for each of its texts; the rows of tags have no mark
+    once = rows.withColumn("v", F.col("vector").cast("decimal(38,0)")).groupBy("host", "token", "mark").agg(*added)
+    each = F.when(F.col("mark").isNotNull(), F.col("uses") / F.col("pages"))
+    summed = once.withColumn("each", each).groupBy("host", "token").agg(*added, F.count("mark").alias("own"), F.min("each").alias("low"), F.max("each").alias("high"))
     return summed.withColumn("vector", F.pmod("v", F.lit(str(2**64)).cast("decimal(38,0)"))).drop("v")
 
 
 def template(tokens: DataFrame) -> DataFrame:
-    """host, elements: the elements of the valid classes of the host's template, with the text they hold.
+    """host, elements, texts: the valid classes of the host's template: elements with the text they hold, and tokens of texts.
 
     Both tags of such an element have one occurrence vector, with one use on each of their pages.
     """
-    whole = tokens.filter(F.col("token") == xxhash.xxh3_64_intdigest(b"") - 2**63).select("host", F.col("pages").alias("all"))
+    whole = tokens.filter(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
     often = tokens.filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))).join(whole, "host").filter((F.col("pages") > 1) & (F.col("pages") >= F.col("all") * SUPPORT))
     valid = often.groupBy("host", "vector", "element").agg(F.count("*").alias("tags"), F.max("held").alias("held")).filter("tags = 2")
-    # elements on half of the pages at least: no more per host than twice a page's mean number of different ones
-    return valid.groupBy("host").agg(F.collect_list(F.struct("element", "held")).alias("elements"))
-
-
-def blocks_of(page: Page, main: str) -> list[str]:
-    """The text of the main element block by block."""
-    out, run = [], []
-    inner = f"{main}/"
-
-    def end():
-        if text := squeezed("".join(run)):
-            out.append(text)
-        run.clear()
-
-    for kind, what, path, noise in page.tokens:
-        if noise or not (not main or path == main or path.startswith(inner)):
-            end()
-        elif kind == "text":
-            run.append(entities.unescape(what))
-        elif what == "br":
-            run.append(" ")
-        elif what not in INLINE:
-            end()
-    end()
-    return out
+    # elements on half of the pages at least, texts on more: no more per host than twice a page's mean number of different ones
+    elements = valid.groupBy("host").agg(F.collect_list(F.struct("element", "held")).alias("elements"))
+    distinct = tokens.filter(F.col("token") == DISTINCT).select("host", F.col("own").alias("all"))
+    shared = tokens.filter((F.col("own") >= LEAST_PAGES) & (F.col("token") != DISTINCT) & (F.col("low") == F.col("high"))).join(distinct, "host").filter(F.col("own") > F.col("all") * SUPPORT)
+    texts = shared.groupBy("host").agg(F.collect_list("token").alias("texts"))
+    return elements.join(texts, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -234,17 +253,19 @@ def extract(pages: DataFrame) -> DataFrame:
     # written once: the template needs them twice, and they are much smaller than the pages
     found = durable(template(durable(stats(pages))))
     # one row for each host of more than one page; the chosen path is a short string
-    chosen = found.mapInArrow(choose, "host string, main string")
+    chosen = durable(found.mapInArrow(choose, "host string, main string, texts array<long>"))
 
     def run(batches):
         for batch in pieces(batches):
             out: list[list] = [[], [], []]
-            for source, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist()):
+            for source, main, texts in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), batch.column("texts").to_pylist()):
                 page = Page(source or "")
                 held = text_of_elements(page)
                 if main is None or main not in held:
                     main = main_element(held)
-                blocks = blocks_of(page, main)
+                shared, inner = frozenset(texts or ()), f"{main}/"
+                inside = (b for b in blocks_of(page) if not main or b[0] == main or b[0].startswith(inner))
+                blocks = [text for path, text in inside if not shared or text_token(page, path, text) not in shared]
                 for values, v in zip(out, ("\n".join(blocks), blocks, main)):
                     values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string())], ["page_id", "url", "text", "blocks", "slot"])
@@ -252,9 +273,9 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.regexp_extract(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#]*@)?([^/?#]*)", 1)
-    n = chosen.count()
-    side = F.broadcast(chosen) if n <= 200_000 else chosen  # a checked size: a host and a path each
-    joined = own.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "main")
+    n = chosen.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("texts", F.array().cast("array<long>")))), F.lit(0))).first()[0]
+    side = F.broadcast(chosen) if n <= 200_000 else chosen  # a checked size: a host and a path each, and hashes
+    joined = own.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "main", "texts")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, blocks array<string>, slot string")
 
 
@@ -262,9 +283,9 @@ def choose(batches):
     for batch in batches:
         mains = []
         for elements in batch.column("elements").to_pylist():
-            held = {e["element"]: e["held"] for e in elements}
+            held = {e["element"]: e["held"] for e in elements or ()}
             mains.append(main_element(held) or None)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(mains, pa.string())], ["host", "main"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(mains, pa.string()), batch.column("texts").cast(pa.list_(pa.int64()))], ["host", "main", "texts"])
 
 
 def texts(pages: DataFrame) -> DataFrame:

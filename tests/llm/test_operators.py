@@ -101,6 +101,21 @@ def test_html_extract_finds_articles(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_html_extract_drops_shared_texts(spark):
+    def body(*blocks):
+        return "<html><body><div class='c1'><div class='c2'>" + "".join(f"<p>{b}</p>" for b in blocks) + "</div></div></body></html>"
+
+    rows = [(i, f"http://n.org/{i}", body(f"First words of page {i}", "This <i>notice</i> stands on every page &amp; says nothing", f"Last words of page {i}", *["Seen on two pages"] * (i < 2))) for i in range(5)]
+    # copies are one page, two pages are no template, and neither are two near copies out of three pages
+    rows += [(10 + i, f"http://copies.org/{i}", body("All of this", "is repeated")) for i in range(4)]
+    rows += [(20 + i, f"http://near.org/{i}", body("Shared by two", f"but not {i}") if i else body("Another page")) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == "\n".join([f"First words of page {i}", f"Last words of page {i}", *["Seen on two pages"] * (i < 2)])
+    assert all(got[10 + i] == "All of this\nis repeated" for i in range(4))
+    assert [got[20 + i] for i in range(3)] == ["Another page", "Shared by two\nbut not 1", "Shared by two\nbut not 2"]
+
+
 # ---- op3
 
 
