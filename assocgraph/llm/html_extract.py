@@ -9,10 +9,12 @@ host hold it, three at least, each equally often; pages are distinct if their te
 that share a text are no proof of a template. The valid classes are the template; what lies between their tags and texts are
 the slots.
 
-The main slot of a host is the deepest element of the outermost class whose slots hold most of the text of its pages; a
-page without that element (or of a host with one page) takes its own. Its text is cut into blocks at block tags, without
-what is in scripts, styles, forms, menus, headers, footers, sidebars, adverts, notices and comments, and without the blocks of the
-template.
+Of a page's text, only the blocks of the template and noise are dropped: what is in scripts, styles, forms, menus, headers,
+footers and sidebars by their tags, and in adverts, notices, comments and the like by words in the class, id or role of an
+element. Such words count for elements that are on half of the host's pages at least, so a block of one article that happens
+to have such a name stays; on hosts of one page, which have no template, they always count. All other text is kept, cut into
+blocks at block tags. The main slot of a page is the deepest element of the host's template (for a host of one page, the
+deepest element) that holds all of this text.
 
 Defined results: a null or empty html has the empty text; a null url is a host of its own; broken or unclosed markup ends
 where its parent does; character references are decoded, unknown ones stay; rows that repeat are extracted each; an empty
@@ -24,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -47,8 +49,8 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
 #: Elements that end when the next one like them starts.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Share of the host's pages that a template token is on, and share of a page's text that the main element holds.
-SUPPORT, MAIN = 0.5, 0.6
+#: Share of the host's pages that a template token is on.
+SUPPORT = 0.5
 #: Distinct pages that a text of the template is on at least.
 LEAST_PAGES = 3
 MASK = 2**64 - 1
@@ -67,11 +69,14 @@ def squeezed(text: str) -> str:
 
 
 class Page:
-    """The tokens of a page: (kind, name or text, path, noise), with kind one of open, close, text."""
+    """The tokens of a page: (kind, name or text, path, noise, named), with kind one of open, close, text.
+
+    noise: by the tag of an element around it. named: the elements around it whose names are those of noise.
+    """
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, str, bool]] = []
-        self.stack: list[tuple[str, str, bool]] = []  # name, path, noise
+        self.tokens: list[tuple[str, str, str, bool, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # name, path, noise, named
         self.tags = {"": ""}  # the path of tag names of each path
         at = 0
         while (m := PIECE.match(source, at)) is not None:
@@ -99,8 +104,8 @@ class Page:
         while self.stack:
             self.close(self.stack[-1][0])
 
-    def here(self) -> tuple[str, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
+    def here(self) -> tuple[str, bool, tuple[str, ...]]:
+        return self.stack[-1][1:] if self.stack else ("", False, ())
 
     def put(self, kind: str, what: str) -> None:
         self.tokens.append((kind, what, *self.here()))
@@ -116,17 +121,19 @@ class Page:
         elif name in BLOCKS_END_P and any(x[0] == "p" for x in self.stack):
             if all(x[0] in INLINE or x[0] == "p" for x in self.stack[max(i for i, x in enumerate(self.stack) if x[0] == "p") :]):
                 self.close("p")
-        path, noise = self.here()
+        path, noise, named = self.here()
         names = " ".join(v.strip("\"'") for v in ATTRIBUTE.findall(attributes))
         label = f"{name}.{'.'.join(sorted(set(names.lower().split())))}" if names else name
         body = any(x[0] in ("article", "main") for x in self.stack)
-        noise = noise or name in NOISE_TAGS or (name == "header" and not body) or bool(name not in ("body", "html", "article", "main") and names and NOISE_NAMES.search(names))
+        noise = noise or name in NOISE_TAGS or (name == "header" and not body)
+        if name not in ("body", "html", "article", "main") and names and NOISE_NAMES.search(names):
+            named = (*named, f"{self.tags[path]}/{label}")
         where = f"{path}/{label}" if name not in INLINE or not path else path
         self.tags.setdefault(where, f"{self.tags[path]}/{name}")
         if name in VOID:
-            self.tokens.append(("open", name, where, noise))
+            self.tokens.append(("open", name, where, noise, named))
             return
-        self.stack.append((name, where, noise))
+        self.stack.append((name, where, noise, named))
         self.put("open", name)
 
     def close(self, name: str) -> None:
@@ -142,46 +149,39 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2]
 
 
-def text_of_elements(page: Page) -> Counter:
-    """How many characters of text that is no noise each element path holds, with all that is inside it."""
-    held: Counter = Counter()
-    for kind, what, path, noise in page.tokens:
-        if kind == "text" and not noise and (n := len(squeezed(what))):
-            while path:
-                held[path] += n
-                path = path.rpartition("/")[0]
-    return held
-
-
-def main_element(held: Counter | dict, allowed: set[str] | None = None) -> str:
-    """The deepest element with at least `MAIN` of the text, and at least that of each element that holds it in turn."""
-    at = ""
-    while True:
-        inside = [p for p in held if p.rpartition("/")[0] == at and (allowed is None or p in allowed)]
-        if not inside:
-            return at
-        best = min(inside, key=lambda p: (-held[p], p))
-        total = held[at] if at else sum(held[p] for p in inside)
-        tag = best.rpartition("/")[2].split(".")[0]
-        if held[best] < MAIN * total or tag in ("p", "table", "ul", "ol", "dl", "blockquote", "pre"):
-            return at
-        at = best
-        if tag in ("article", "main"):
-            return at
-
-
-def blocks_of(page: Page) -> Iterator[tuple[str, str]]:
-    """Path and text of each block that is no noise."""
-    at, run = "", []
-    for kind, what, path, noise in [*page.tokens, ("end", "", "", True)]:
+def main_element(paths: list[str], allowed: Container[int] | None = None) -> str:
+    """The deepest element, of the allowed ones if there are such, that holds all the paths."""
+    if not paths:
+        return ""
+    low, high, at = min(paths).split("/"), max(paths).split("/"), 0
+    while at < min(len(low), len(high)) and low[at] == high[at]:
+        at += 1
+    whole = ["/".join(low[:n]) for n in range(at, 0, -1)]
+    return next((p for p in whole if allowed is None or hashed(f"open {p}") in allowed), "")
+
+
+def blocks_of(page: Page, names: Container[int] | None = None) -> Iterator[tuple[str, str, bool]]:
+    """Path, text and whether it is in an element with a name of noise, of each block that is no noise.
+
+    names: hashes of the named elements that are noise themselves, all if None.
+    """
+    at, run, known = ("", False), [], {}
+
+    def lost(named):
+        if named not in known:
+            known[named] = any(names is None or hashed(f"name {x}") in names for x in named)
+        return known[named]
+
+    for kind, what, path, noise, named in [*page.tokens, ("end", "", "", True, ())]:
+        noise = noise or bool(named) and lost(named)
         if kind == "text" and not noise:
-            at = at if run else path
+            at = at if run else (path, bool(named))
             run.append(entities.unescape(what))
         elif not noise and what == "br":
             run.append(" ")
         elif noise or what not in INLINE:
             if text := squeezed("".join(run)):
-                yield at, text
+                yield at[0], text, at[1]
             run.clear()
 
 
@@ -190,7 +190,7 @@ def text_token(page: Page, path: str, text: str) -> int:
 
 
 def stats(pages: DataFrame) -> DataFrame:
-    """Per host and token: its class (sum of page hashes times occurrences), pages, uses, and for tags element and text held.
+    """Per host and token: its class (sum of page hashes times occurrences), pages, uses, and for tags a hash of the element.
 
     For texts, `own` counts the distinct pages, and `low` and `high` are the least and most uses on one of them.
     """
@@ -199,32 +199,33 @@ def stats(pages: DataFrame) -> DataFrame:
         for batch in pieces(batches, 4096):
             sums: dict[tuple[str, int, int | None], list] = {}
 
-            def add(host, token, mark, vector, n, element=None, held=0):
-                got = sums.setdefault((host, token, mark), [element, 0, 0, 0, 0])
+            def add(host, token, mark, vector, n, element=None):
+                got = sums.setdefault((host, token, mark), [element, 0, 0, 0])
                 got[1] = (got[1] + vector) & MASK
                 got[2] += 1
                 got[3] += n
-                got[4] += held
 
             for source, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 page, host = Page(source or ""), host_of(url)
-                mark, held = xxhash.xxh3_64_intdigest(f"{url} {source}".encode()), text_of_elements(page)
-                for (kind, path), n in Counter((kind, path) for kind, _, path, _ in page.tokens if kind != "text").items():
-                    add(host, hashed(f"{kind} {path}"), None, mark * n, n, path, held[path] if kind == "open" else 0)
+                mark = xxhash.xxh3_64_intdigest(f"{url} {source}".encode())
+                for (kind, path), n in Counter((t[0], t[2]) for t in page.tokens if t[0] != "text").items():
+                    add(host, hashed(f"{kind} {path}"), None, mark * n, n, hashed(f"open {path}"))
+                for name in {x for t in page.tokens for x in t[4]}:
+                    add(host, hashed(f"name {name}"), None, 0, 1)
                 add(host, PAGE, None, 0, 1)
-                blocks = list(blocks_of(page))
-                own = hashed("\n".join(text for _, text in blocks))
-                for token, n in Counter(text_token(page, *block) for block in blocks).items():
+                blocks = list(blocks_of(page, ()))
+                own = hashed("\n".join(text for _, text, named in blocks if not named))
+                for token, n in Counter(text_token(page, path, text) for path, text, _ in blocks).items():
                     add(host, token, own, 0, n)
                 add(host, DISTINCT, own, 0, 1)
             sign = lambda v: v - 2**64 if v >= 2**63 else v
-            cols = [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int64()), pa.array([k[2] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.string())]
-            cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 5)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses", "held"])
+            cols = [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int64()), pa.array([k[2] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64())]
+            cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 4)]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element string, vector long, pages long, uses long, held long")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element long, vector long, pages long, uses long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
-    added = [F.max("element").alias("element"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), F.sum("held").alias("held")]
+    added = [F.max("element").alias("element"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses")]
     # copies of a page first become one row for each of its texts; the rows of tags have no mark
     once = rows.withColumn("v", F.col("vector").cast("decimal(38,0)")).groupBy("host", "token", "mark").agg(*added)
     each = F.when(F.col("mark").isNotNull(), F.col("uses") / F.col("pages"))
@@ -233,39 +234,36 @@ def stats(pages: DataFrame) -> DataFrame:
 
 
 def template(tokens: DataFrame) -> DataFrame:
-    """host, elements, texts: the valid classes of the host's template: elements with the text they hold, and tokens of texts.
+    """host, elements, names, texts: hashes of the valid elements, of the named elements and of the texts of the host's template.
 
-    Both tags of such an element have one occurrence vector, with one use on each of their pages.
+    Both tags of a valid element have one occurrence vector, with one use on each of their pages. Hosts of one page have no row.
     """
-    whole = tokens.filter(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
-    often = tokens.filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))).join(whole, "host").filter((F.col("pages") > 1) & (F.col("pages") >= F.col("all") * SUPPORT))
-    valid = often.groupBy("host", "vector", "element").agg(F.count("*").alias("tags"), F.max("held").alias("held")).filter("tags = 2")
-    # elements on half of the pages at least, texts on more: no more per host than twice a page's mean number of different ones
-    elements = valid.groupBy("host").agg(F.collect_list(F.struct("element", "held")).alias("elements"))
+    whole = tokens.filter((F.col("token") == PAGE) & (F.col("pages") > 1)).select("host", F.col("pages").alias("all"))
+    often = tokens.filter((F.col("own") == 0) & (F.col("pages") > 1) & (F.col("token") != PAGE)).join(whole, "host").filter(F.col("pages") >= F.col("all") * SUPPORT)
+    valid = often.filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))).groupBy("host", "vector", "element").agg(F.count("*").alias("tags")).filter("tags = 2")
+    # elements and names on half of the pages at least, texts on more: no more per host than twice a page's mean number of different ones
+    elements = valid.groupBy("host").agg(F.collect_list("element").alias("elements"))
+    names = often.filter(F.col("element").isNull()).groupBy("host").agg(F.collect_list("token").alias("names"))
     distinct = tokens.filter(F.col("token") == DISTINCT).select("host", F.col("own").alias("all"))
     shared = tokens.filter((F.col("own") >= LEAST_PAGES) & (F.col("token") != DISTINCT) & (F.col("low") == F.col("high"))).join(distinct, "host").filter(F.col("own") > F.col("all") * SUPPORT)
     texts = shared.groupBy("host").agg(F.collect_list("token").alias("texts"))
-    return elements.join(texts, "host", "full")
+    found = whole.select("host").join(elements, "host", "left").join(names, "host", "left").join(texts, "host", "left")
+    return found.select("host", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("elements", "names", "texts")])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, blocks (array), slot (path of the main element) of each page."""
     # written once: the template needs them twice, and they are much smaller than the pages
     found = durable(template(durable(stats(pages))))
-    # one row for each host of more than one page; the chosen path is a short string
-    chosen = durable(found.mapInArrow(choose, "host string, main string, texts array<long>"))
-
     def run(batches):
         for batch in pieces(batches):
             out: list[list] = [[], [], []]
-            for source, main, texts in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), batch.column("texts").to_pylist()):
-                page = Page(source or "")
-                held = text_of_elements(page)
-                if main is None or main not in held:
-                    main = main_element(held)
-                shared, inner = frozenset(texts or ()), f"{main}/"
-                inside = (b for b in blocks_of(page) if not main or b[0] == main or b[0].startswith(inner))
-                blocks = [text for path, text in inside if not shared or text_token(page, path, text) not in shared]
+            columns = [batch.column(c).to_pylist() for c in ("html", "elements", "names", "texts")]
+            for source, elements, names, texts in zip(*columns):
+                page, shared = Page(source or ""), frozenset(texts or ())
+                # null on hosts of one page: all named elements are noise, and all elements may be the slot
+                kept = [(path, text) for path, text, _ in blocks_of(page, names) if not shared or text_token(page, path, text) not in shared]
+                blocks, main = [text for _, text in kept], main_element([path for path, _ in kept], elements)
                 for values, v in zip(out, ("\n".join(blocks), blocks, main)):
                     values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string())], ["page_id", "url", "text", "blocks", "slot"])
@@ -273,20 +271,11 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.regexp_extract(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#]*@)?([^/?#]*)", 1)
-    n = chosen.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("texts", F.array().cast("array<long>")))), F.lit(0))).first()[0]
-    side = F.broadcast(chosen) if n <= 200_000 else chosen  # a checked size: a host and a path each, and hashes
-    joined = own.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "main", "texts")
+    n = found.agg(F.coalesce(F.sum(F.size("elements") + F.size("names") + F.size("texts") + 8), F.lit(0))).first()[0]
+    side = F.broadcast(found) if n <= 1_000_000 else found  # a checked size: hosts and hashes
+    joined = own.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "elements", "names", "texts")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, blocks array<string>, slot string")
 
 
-def choose(batches):
-    for batch in batches:
-        mains = []
-        for elements in batch.column("elements").to_pylist():
-            held = {e["element"]: e["held"] for e in elements or ()}
-            mains.append(main_element(held) or None)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(mains, pa.string()), batch.column("texts").cast(pa.list_(pa.int64()))], ["host", "main", "texts"])
-
-
 def texts(pages: DataFrame) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "slot")

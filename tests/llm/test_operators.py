@@ -116,6 +116,20 @@ def test_html_extract_drops_shared_texts(spark):
     assert [got[20 + i] for i in range(3)] == ["Another page", "Shared by two\nbut not 1", "Shared by two\nbut not 2"]
 
 
+def test_html_extract_keeps_split_text(spark):
+    def body(i, more=""):
+        return f"<html><body><nav>menu</nav><div class='content'><h1>Heading {i}</h1><div class='lead'>Lead of page {i}</div><div class='body'>{f'Long text {i}. ' * 9}<p>and more</p>{more}</div></div><div class='second'>Another section {i}, {f'not short {i} ' * 5}</div><div class='ad'>Buy {i}</div></body></html>"
+
+    def text(i, *more):
+        return "\n".join([f"Heading {i}", f"Lead of page {i}", f"Long text {i}. " * 9, "and more", *more, f"Another section {i}, {f'not short {i} ' * 5}"]).replace(" \n", "\n").strip()
+
+    # a name of noise on one page of a host is a block of its article, on all pages it is noise, and on a host of one page, too
+    rows = [(i, f"http://two.org/{i}", body(i, "<div class='notice'>Notice of appeal</div>" * (i == 1))) for i in range(2)] + [(5, "http://one.org", body(5, "<div class='notice'>Notice</div>"))]
+    got = {r.page_id: r for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in (0, 1, 5)] == [text(0), text(1, "Notice of appeal"), text(5)]
+    assert got[1].slot == "/html/body"
+
+
 # ---- op3
 
 
