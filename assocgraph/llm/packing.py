@@ -4,9 +4,8 @@ The global histogram of lengths decides the bucket boundaries: dynamic programmi
 when every document is padded to its bucket's boundary. Inside each bucket documents are dealt into batches whose padded
 size stays within a token budget.
 
-Lengths are numbers of words here (a parameter gives any other length column). Lengths up to `EXACT` have a cell each;
-longer ones are rounded up to a grid of `STEPS` cells per doubling, so the histogram has a few thousand cells whatever the
-input, and the boundaries are optimal on these cells. Only ids and lengths are shuffled, never texts. Ranks inside a bucket
+Lengths are numbers of words here (a parameter gives any other length column). Each length has a cell of its own: d different
+lengths are at least d * (d - 1) / 2 words in all, so the histogram grows with the square root of the corpus at most. Only ids and lengths are shuffled, never texts. Ranks inside a bucket
 are counted in salted cells of about `CELL_ROWS` rows each and shifted by the counts of the cells before them, so a bucket
 that holds most rows is not one task, and all batches but the last of each bucket are full.
 
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import durable, id_and_text
 
 BUCKETS, BUDGET = 16, 16_384
-EXACT, STEPS = 2048, 64
 CELL_ROWS = 20_000
 
 
@@ -35,13 +33,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[\x20\x09-\x0d]+"), lambda w: w != "")).cast("long")
 
 
-def grid(length: Column) -> Column:
-    """The histogram cell of a length: itself, or the next multiple of a step that grows with each doubling."""
-    power = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / EXACT)).cast("int")
-    step = F.lit(EXACT // STEPS).cast("long") * F.pow(F.lit(2.0), F.greatest(power, F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(cells: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
     """The upper boundaries of at most `buckets` buckets with the least padding. cells: (length, documents)."""
     cells = sorted(cells)
@@ -82,8 +73,8 @@ def boundaries(cells: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """lengths: doc_id, n_tokens. Adds bucket, boundary (tokens that each row is padded to), batch and slot in the batch."""
-    own = durable(lengths.select("doc_id", "n_tokens", grid(F.col("n_tokens")).alias("cell"), F.xxhash64("doc_id", "n_tokens").alias("h")))
-    cells = [(r.cell, r.n) for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    own = durable(lengths.select("doc_id", "n_tokens", F.xxhash64("doc_id", "n_tokens").alias("h")))
+    cells = [(r.n_tokens, r.n) for r in own.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()]
     tops = boundaries(cells, buckets)
     rows = [0] * max(1, len(tops))
     for size, n in cells:
@@ -92,7 +83,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     def by_bucket(values: list[int]) -> Column:
         out = F.lit(values[-1])
         for top, v in reversed(list(zip(tops[:-1], values))):
-            out = F.when(F.col("cell") <= top, F.lit(v)).otherwise(out)
+            out = F.when(F.col("n_tokens") <= top, F.lit(v)).otherwise(out)
         return out.cast("long")
 
     tops = tops or [0]

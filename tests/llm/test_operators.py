@@ -318,6 +318,15 @@ def test_packing_boundaries_are_optimal():
         assert len(tops) <= k and padding(cells, tops) == best
 
 
+def test_packing_of_long_documents_is_optimal(spark):
+    rng = random.Random(3)
+    lengths = [rng.choice((rng.randint(1, 50), rng.randint(2049, 20_000))) for _ in range(24)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), 4).collect()
+    sizes, cells = sorted(set(lengths)), list(Counter(lengths).items())
+    best = min(padding(cells, [*c, sizes[-1]]) for q in range(4) for c in itertools.combinations(sizes[:-1], q))
+    assert {r.boundary for r in rows} <= set(lengths) and sum(r.boundary - r.n_tokens for r in rows) == best
+
+
 def test_packing_batches(spark, docs, odd, empty, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 7)
     rows = packing.pack_texts(docs.unionByName(odd.select(*docs.columns)), 4, 600).collect()
