@@ -84,12 +84,30 @@ def percent_encoded(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+#: A character reference: decimal, hexadecimal, or of the list.
+REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|" + "|".join(k[1:-1] for k in ENTITIES if "#" not in k) + ");"
+
+
+def character(code: Column) -> Column:
+    """The character of a code point, null for numbers that are none."""
+    valid = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(32)), 8, "0")), "UTF-32"))
+
+
+def decoded(reference: Column) -> Column:
+    """What a reference stands for; a number that is no character stays as it is."""
+    digits = F.regexp_extract(reference, "^&#0*([0-9]{1,9});$", 1)
+    hexadecimal = F.regexp_extract(reference, "^&#[xX]0*([0-9a-fA-F]{1,8});$", 1)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), reference)
+    code = F.when(digits != "", digits.try_cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("long"))
+    return F.coalesce(named, character(code), reference)
+
+
 def entities_decoded(text: Column) -> Column:
-    """Named references of the list, the ampersand last, so that nothing is decoded twice; others stay."""
-    out = text
-    for named, plain in ENTITIES.items():
-        out = F.replace(out, F.lit(named), F.lit(plain))
-    return out
+    """Decimal and hexadecimal references and the named ones of the list, in one pass, so that nothing is decoded twice."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), found, lambda p, r: F.concat(p, F.coalesce(decoded(r), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -55,6 +55,14 @@ def test_slugs_and_escapes(spark):
     assert one(spark, tx.safe_filename(F.col("t")), t="a//b--c-") == "a-b-c"
 
 
+def test_character_references(spark):
+    cases = {"&#8217;&#233;&#0000233;": "’éé", "&#x2014;&#X1F600;": "—\U0001f600", "&mdash;&amp;&lt;&#39;": "—&<'", "&amp;#233; &amp;lt; &amp;amp;": "&#233; &lt; &amp;"}
+    cases |= {"&#xD800; &#1114112; &#99999999999; &#; &#x; &copy; & &#233": "&#xD800; &#1114112; &#99999999999; &#; &#x; &copy; & &#233", "none": "none", "": "", "a&#65;b&#x42;c": "aAbBc"}
+    for text, want in cases.items():
+        assert one(spark, tx.entities_decoded(F.col("t")), t=text) == want
+    assert one(spark, tx.html_to_markdown(F.col("t")), t="<p>caf&#233; &#x2014; &nbsp;x</p>") == "café — x"
+
+
 def test_scan_index_and_graph(spark, tmp_path):
     for path, body in TOY:
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
