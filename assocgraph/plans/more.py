@@ -66,6 +66,19 @@ def dream(spark: SparkSession, d: str) -> DataFrame:
     return temporal.dream_candidates(inp.chain_edges(spark, d), state, sims, 0.3).select("src", "dst", r6("s").alias("s"))
 
 
+@register(f"""WITH {inp.TOKENS_SQL}, {inp.CHAIN_SQL},
+s AS (SELECT x.node AS i, y.node AS j, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS s
+      FROM p x JOIN p y ON y.node > x.node AND y.term = x.term JOIN nrm a ON a.node = x.node JOIN nrm b ON b.node = y.node GROUP BY ALL),
+b AS (SELECT i AS src, j AS dst, s FROM s UNION ALL SELECT j, i, s FROM s)
+SELECT src, dst, round(s, 6) AS s FROM b WHERE s > 0.3 AND src % 11 <> 0 AND dst % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM g WHERE g.src = b.src AND g.dst = b.dst)""")
+def dream_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Dream candidates among all pairs of documents; `dream` asks for neighbours by id only."""
+    posts = durable(index(spark, d)[2])
+    state = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(0).alias("last_access"), (F.col("doc_id") % 11 != 0).alias("alive"))
+    sims = tfidf.similar_pairs(posts, tfidf.norms(posts), 0.3)
+    return temporal.dream_candidates(inp.chain_edges(spark, d), state, sims, 0.3).select("src", "dst", r6("s").alias("s"))
+
+
 def probe_sql(k: int) -> str:
     parts = [f"WITH {inp.TRADE_SQL}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS probe, CAST(n_nationkey AS BIGINT) AS node, 1.0::DOUBLE AS a FROM nation ORDER BY n_nationkey LIMIT 3), a0 AS (SELECT * FROM s)"]
     for i in range(1, k + 1):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assocgraph.functions import text as tx
 from assocgraph.operators import etl, generate, graph, metrics, pages, retrieve, select, spread, temporal, tfidf
+from assocgraph.plans import more
 from assocgraph.sources import bulk, corpus, store
 
 TOY = [
@@ -55,6 +56,13 @@ def test_slugs_and_escapes(spark):
     assert one(spark, tx.safe_filename(F.col("t")), t="a//b--c-") == "a-b-c"
 
 
+def test_dream_takes_all_pairs(spark, tmp_path):
+    docs = [(1, "a", "red green blue words"), (2, "b", "nothing alike here"), (3, "c", "something else again"), (4, "d", "red green blue words")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = more.dream_all_pairs(spark, str(tmp_path)).collect()
+    assert {(r.src, r.dst, r.s) for r in rows} == {(1, 4, 1.0), (4, 1, 1.0)}
+
+
 def test_character_references(spark):
     cases = {"&#8217;&#233;&#0000233;": "’éé", "&#x2014;&#X1F600;": "—\U0001f600", "&mdash;&amp;&lt;&#39;": "—&<'", "&amp;#233; &amp;lt; &amp;amp;": "&#233; &lt; &amp;"}
     cases |= {"&#xD800; &#1114112; &#99999999999; &#; &#x; &copy; & &#233": "&#xD800; &#1114112; &#99999999999; &#; &#x; &copy; & &#233", "none": "none", "": "", "a&#65;b&#x42;c": "aAbBc"}
