@@ -119,23 +119,22 @@ def html_to_markdown(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "^\\s+|\\s+$", "")
 
 
-def without_templates(text: Column, depth: int = 8) -> Column:
-    """{{...}} taken out from the inside, up to the given depth of nesting."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
-    return text
+def without_templates(text: Column) -> Column:
+    """{{...}} taken out from the inside until none is left: each pass takes two closing braces at least."""
+    passes = F.array_repeat(F.lit(0), F.floor(F.regexp_count(text, F.lit(r"\}")) / 2).cast("int"))
+    return F.aggregate(passes, text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
 
 
 def wikitext_to_markdown(text: Column) -> Column:
-    """Comments, references, tables, templates and tags go; headings and emphasis are rewritten."""
+    """Comments, references, tables, templates and a few tags go; headings and emphasis are rewritten."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(F.regexp_replace(out, r"<ref[^>/]*/>", ""), r"(?s)<ref[^>]*>.*?</ref>", "")
     out = without_templates(F.regexp_replace(out, r"(?s)\{\|.*?\|\}", ""))
-    out = F.regexp_replace(out, r"<[^>]+>", "")
+    out = F.regexp_replace(out, r"(?i)</?(?:small|big|sup|sub|code|nowiki|br|hr)\b[^>]*>", "")
     for level in (6, 5, 4, 3, 2):
         out = F.regexp_replace(out, rf"(?m)^={{{level}}}[ \t]*([^=\n]+?)[ \t]*={{{level}}}[ \t]*$", f"{'#' * level} $1")
     out = F.regexp_replace(F.regexp_replace(out, r"'''(.+?)'''", "**$1**"), r"''(.+?)''", "*$1*")
-    out = F.regexp_replace(F.regexp_replace(out, r"\[https?://\S+ ([^\]]+)\]", "$1"), r"\[https?://\S+\]", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\[https?://\S+ ([^\]]+)\]", "$1"), r"\[(https?://\S+)\]", "$1")
     out = F.regexp_replace(out, r"(?m)^[ \t]+", "")
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 

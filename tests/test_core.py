@@ -56,6 +56,13 @@ def test_slugs_and_escapes(spark):
     assert one(spark, tx.safe_filename(F.col("t")), t="a//b--c-") == "a-b-c"
 
 
+def test_wikitext_keeps_what_is_no_template(spark):
+    nested = "{{a" * 12 + "}}" * 12
+    assert one(spark, tx.wikitext_to_markdown(F.col("t")), t=f"x{nested}y {{{{b}}}}{{c}} {{{{open") == "xy {c} {{open"
+    assert one(spark, tx.wikitext_to_markdown(F.col("t")), t="a <br/>b <b>c</b> H<SUB>2</SUB>O 1 < 2 > 0 [http://x.org/y]") == "a b <b>c</b> H2O 1 < 2 > 0 http://x.org/y"
+    assert one(spark, tx.wikitext_to_markdown(F.col("t")), t=None) == ""
+
+
 def test_dream_takes_all_pairs(spark, tmp_path):
     docs = [(1, "a", "red green blue words"), (2, "b", "nothing alike here"), (3, "c", "something else again"), (4, "d", "red green blue words")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
