@@ -1,27 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary documents, one on toxic ones. A text is cut into
-windows of a few words; each window is compressed with either dictionary, and the number of bytes by which the toxic one
-does better is the window's margin. A document's score comes from its largest margins, its number of windows and their mean
-margin, by a logistic calibration on labelled documents that the dictionaries did not see.
-
-Training picks the dictionary's content by coverage, as dictionary builders do, but by contrast: a segment (a word or the
-beginning of one) is worth the number of different neighbourhoods that it has in toxic documents beyond what chance
-explains; a segment that overlaps a better one adds nothing. The ordinary dictionary holds the segments that cover most of
-the ordinary documents; the toxic dictionary holds the same ones too, so ordinary prose costs the same with either and a
-margin means a toxic segment.
+Two zstandard dictionaries are trained on labelled text, each on its own class alone: one on ordinary documents, one on toxic
+ones. A text is cut into overlapping windows of a few words. Each window is compressed twice, with the ordinary dictionary,
+and with the toxic one put before it; as toxic texts are ordinary prose but for some passages, the bytes that the toxic
+dictionary saves beyond the ordinary one (the window's margin) tell the two kinds apart. A document's distance is the mean
+margin of its windows, and it is toxic from a threshold on, which labelled documents that the dictionaries did not see
+calibrate: the one at which the shares of toxic documents caught and of ordinary ones left alone add up to the most. The
+score is a logistic curve of the distance, 0.5 at the threshold.
+
+Training picks a dictionary's content by coverage: words and beginnings of words that occur in a share of the class's
+documents, in as many different neighbourhoods, so that copies of a passage count once. What covers most stands last, where
+matches are cheapest. The ordinary share is much smaller than the toxic one: whatever is common enough to get into the toxic
+dictionary without being toxic is in the ordinary one too, and has no margin. Common words of the toxic class that ordinary
+texts have as well stay in its dictionary; it is compression that discounts them.
 
 The fit reads a bounded sample of labelled rows (`FIT_ROWS`, the smallest hashes of the id); every text is scored whole.
 
 Defined results: a null or empty text has one empty window and the score of a text without any margin; a text without
-white space is cut into windows of `LONG_WORD` characters; rows that repeat are scored each; equal texts score the same;
+white space is cut into words of `LONG_WORD` characters; rows that repeat are scored each; equal texts score the same;
 an empty table gives an empty table; other columns are ignored; without labelled rows of both kinds every score is the
-share of toxic ones (0 if there are none).
+share of toxic ones (0 if there are none). Labels that contradict each other count as toxic. `keep_clean` hands on all
+columns of its rows as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,19 +39,17 @@ from .common import crc_mod, id_and_text, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 8000
-WINDOW_WORDS = 8
+WINDOW_WORDS, STRIDE = 8, 4
 LONG_WORD = 64
-DICTIONARY_BYTES = 16 * 1024
-#: A toxic segment is taken when it is in at least so many toxic documents (and neighbourhoods) and so many
-#: standard deviations beyond chance.
-MIN_DOCS, MIN_Z = 5, 6.0
-LEVEL = 5
-#: Bytes from which a window's margin counts as clear.
-CLEAR = 3
+DICTIONARY_BYTES = 256 * 1024
+#: Share of the documents of its class, and number of them, that a segment of a dictionary is in at least.
+ORDINARY_SHARE, TOXIC_SHARE = (0.001, 3), (0.025, 5)
+#: With fewer attempts the compressor misses long matches in a large dictionary.
+LEVEL = 12
 BLOCK = 4096
 PUNCTUATION = ".,;:!?\"'()[]"
 #: Lengths of the beginnings of words that can be segments.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def words_of(text: str) -> list[str]:
@@ -59,44 +60,68 @@ def words_of(text: str) -> list[str]:
 
 
 def windows_of(text: str) -> list[bytes]:
-    """The whole text as runs of words, each with a space at both ends."""
+    """The whole text as overlapping runs of words, each with a space at both ends."""
     words = words_of(text)
-    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode() for i in range(0, max(1, len(words)), WINDOW_WORDS)]
+    starts = range(0, max(1, len(words) - WINDOW_WORDS + STRIDE), STRIDE)
+    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode(errors="replace") for i in starts]
 
 
-def segments_of(text: str) -> set[str]:
-    """Words and beginnings of words, with the space before them."""
-    words = {w.strip(PUNCTUATION) for w in words_of(text)}
-    return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
+def segments_of(word: str) -> list[str]:
+    """A word and its beginnings, with the space before them."""
+    return [f" {word} ", *(f" {word[:n]}" for n in STEMS if len(word) > n)]
 
 
-def contexts(texts: list[str], wanted: set[str]) -> Counter:
-    """In how many different pairs of neighbours each wanted segment occurs: copies of a passage count once."""
-    seen: set[tuple[str, str, str]] = set()
+def train(texts: list[str], share: float, least: int) -> bytes:
+    """The content of a dictionary of one class: the segments that cover most of its texts."""
+    seen: set[int] = set()
+    words: Counter = Counter()
     for t in texts:
-        words = ["", *(w.strip(PUNCTUATION) for w in words_of(t)), ""]
-        for x, w, y in zip(words, words[1:], words[2:]):
-            seen.update((s, x, y) for s in (f" {w} ", *(f" {w[:n]}" for n in STEMS if len(w) > n)) if s in wanted)
-    return Counter(s for s, _, _ in seen)
+        bare = ["", *(w.strip(PUNCTUATION) for w in words_of(t)), ""]
+        own: dict[str, tuple] = {}
+        for before, w, after in zip(bare, bare[1:], bare[2:]):
+            if len(w) > 2:
+                own.setdefault(w, (before, w, after))
+        for w, around in own.items():
+            h = xxhash.xxh3_64_intdigest(" ".join(around).encode(errors="replace"))
+            if h not in seen:
+                seen.add(h)
+                words[w] += 1
+    found: Counter = Counter()
+    for w, n in words.items():
+        for s in segments_of(w):
+            found[s] += n
+    need = max(least, share * len(texts))
+    picked: list[str] = []
+    covered: set[str] = set()
+    room = DICTIONARY_BYTES
+    for _, s in sorted(((-n * len(s), s) for s, n in found.items() if n >= need)):
+        if s not in covered:
+            room -= len(s.encode(errors="replace"))
+            if room < 0:
+                break
+            picked.append(s)
+            covered.update([s, *(s[: n + 1] for n in STEMS if n < len(s))])
+    return "".join(reversed(picked)).encode(errors="replace")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and the weights of a text's features in the log odds of a toxic label."""
+    """Two dictionaries, the threshold of the mean margin, and how far beyond it the odds of a toxic label grow by e."""
 
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, ...]
+    threshold: float
+    spread: float
 
     def compressors(self):
         make = lambda content: zs.ZstdCompressor(
             compression_params=zs.ZstdCompressionParameters.from_level(LEVEL, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False),
             dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT),
         )
-        return make(self.ordinary), make(self.toxic)
+        return make(self.ordinary), make(self.toxic + self.ordinary)
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -50, 50)))
+    def scores(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((margins - self.threshold) / self.spread, -50, 50)))
 
 
 def sizes(compressor, windows: list[bytes]) -> np.ndarray:
@@ -107,101 +132,63 @@ def sizes(compressor, windows: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(model: Model, pair, texts: list[str]) -> np.ndarray:
-    """For each text: 1, its three largest window margins (0 at least), the log of its number of windows, the share of
-    windows with a margin of `CLEAR` bytes, the mean margin."""
-    out = np.zeros((len(texts), 7))
-    out[:, 0] = 1
+def margins(model: Model, pair, texts: list[str]) -> np.ndarray:
+    """The mean margin of each text's windows, in bytes."""
+    total, number = np.zeros(len(texts)), np.ones(len(texts))
     if not model.toxic:
-        return out
+        return total
     windows: list[bytes] = []
-    pieces: list[tuple[int, int]] = []  # owner, start
+    owners: list[int] = []
 
     def flush():
         gain = sizes(pair[0], windows) - sizes(pair[1], windows)
-        ends = [start for _, start in pieces[1:]] + [len(windows)]
-        for (k, start), end in zip(pieces, ends):
-            own = gain[start:end]
-            out[k, 1:4] = np.sort(np.concatenate([out[k, 1:4], own]))[:-4:-1]
-            out[k, 4] += len(own)
-            out[k, 5] += (own >= CLEAR).sum()
-            out[k, 6] += own.sum()
+        np.add.at(total, owners, gain)
         windows.clear()
-        pieces.clear()
+        owners.clear()
 
     for k, text in enumerate(texts):
         own = windows_of(text)
+        number[k] = len(own)
         for i in range(0, len(own), 4 * BLOCK):
-            pieces.append((k, len(windows)))
-            windows.extend(own[i : i + 4 * BLOCK])
+            windows += own[i : i + 4 * BLOCK]
+            owners += [k] * (len(windows) - len(owners))
             if len(windows) >= 4 * BLOCK:
                 flush()
     if windows:
         flush()
-    out[:, 5:] /= out[:, 4:5]
-    out[:, 4] = np.log(out[:, 4])
-    return out
+    return total / number
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
-    """The weights of a logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-    return tuple(float(v) for v in w)
-
-
-def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and the toxic dictionary. What is worth most stands last, where matches are cheapest."""
-    n1, n0 = len(toxic), len(ordinary)
-    in1, in0 = Counter(s for t in toxic for s in segments_of(t)), Counter(s for t in ordinary for s in segments_of(t))
-    common = sorted(((n, s) for s, n in in0.items() if n >= MIN_DOCS), key=lambda x: (-x[0] * len(x[1]), x[1]))
-    base, room = [], DICTIONARY_BYTES
-    for _, s in common:
-        if room < len(s.encode()):
-            break
-        base.append(s)
-        room -= len(s.encode())
-    likely = {s for s, n in in1.items() if n >= MIN_DOCS and beyond(n, in0[s], n1, n0) >= MIN_Z}
-    out1, out0 = contexts(toxic, likely), contexts(ordinary, likely)
-    worth = sorted(((beyond(out1[s], out0[s], n1, n0), s) for s in likely if out1[s] >= MIN_DOCS), key=lambda x: (-x[0], x[1]))
-    longer: dict[str, list[str]] = {}
-    for s in likely:
-        for n in STEMS:
-            if len(s) > n + 1:
-                longer.setdefault(s[: n + 1], []).append(s)
-    own, room = [], DICTIONARY_BYTES
-    for z, s in worth:
-        if z < MIN_Z or room < len(s.encode()):
-            break
-        if not any(s.strip() in o or o.strip() in s for o in own):
-            # the longest extension that nearly all of its occurrences share
-            s = max((x for x in longer.get(s, ()) if out1[x] >= 0.8 * out1[s]), key=len, default=s)
-            own.append(s)
-            room -= len(s.encode())
-    plain = "".join(reversed(base)).encode()
-    return plain, (plain + "".join(reversed(own)).encode()) if own else b""
-
-
-def beyond(n: int, m: int, n1: int, n0: int) -> float:
-    """How many standard deviations n of n + m is above what n1 of n1 + n0 explains."""
-    p = n1 / (n1 + n0)
-    return (n - (n + m) * p) / math.sqrt((n + m) * p * (1 - p) + 1e-9)
+def calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The threshold at which the shares of toxic ones at or above it and of others below add up to the most, and the
+    standard deviation inside the two kinds, as the unit of distances from it."""
+    order = np.argsort(-x, kind="stable")
+    caught, lost = np.cumsum(toxic[order]), np.cumsum(~toxic[order])
+    last = np.append(x[order][1:] != x[order][:-1], True)  # equal margins are on one side
+    gain = np.where(last, caught / toxic.sum() - lost / (~toxic).sum(), -2.0)
+    at = int(gain.argmax())
+    above = x[order][at]
+    below = x[order][at + 1] if at + 1 < len(x) else above - 1.0
+    return float((above + below) / 2), float(np.sqrt((x[toxic].var() + x[~toxic].var()) / 2) + 1e-6)
 
 
 def fit_local(rows: list[tuple[str, int]]) -> Model:
     """Two of three rows train the dictionaries; the third, which they did not see, calibrates."""
-    rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0].encode()), r))  # the same order however rows arrive
+    rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0].encode(errors="replace")), r))  # the same order however rows arrive
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    constant = (math.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * 6)  # the share itself as score
-    if not 0 < share < 1:
-        return Model(b"", b"", constant)
+    constant = Model(b"", b"", -float(np.log((share + 1e-9) / (1 - share + 1e-9))), 1.0)  # the share itself as score
     own, other = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    half = Model(*train([t for t, y in own if y], [t for t, y in own if not y]), constant)
-    if not half.toxic:
-        return half
-    return Model(half.ordinary, half.toxic, logistic(features(half, half.compressors(), [t for t, _ in other]), np.array([y for _, y in other])))
+    kinds = [[t for t, y in own if not y], [t for t, y in own if y]]
+    seen = np.array([bool(y) for _, y in other], bool)
+    if not all(kinds) or not seen.any() or seen.all():
+        return constant
+    plain, toxic = (train(texts, *need) for texts, need in zip(kinds, (ORDINARY_SHARE, TOXIC_SHARE)))
+    if not plain or not toxic:
+        return constant
+    half = Model(plain, toxic, 0.0, 1.0)
+    pair = half.compressors()
+    found = [margins(half, pair, [t for t, _ in other[i : i + 512]]) for i in range(0, len(other), 512)]
+    return Model(plain, toxic, *calibrate(np.concatenate(found), seen))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = FIT_ROWS) -> DataFrame:
@@ -217,16 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and margin (the largest of a window, in bytes) of each whole text."""
+    """doc_id, score and margin (the mean of the windows, in bytes) of each whole text."""
 
     def run(batches):
         pair = model.compressors() if model.toxic else None
         for batch in pieces(batches):
-            got = features(model, pair, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(got), pa.float64()), pa.array(got[:, 1].astype(np.int64), pa.int64())], ["doc_id", "score", "margin"])
+            got = margins(model, pair, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(got), pa.float64()), pa.array(got, pa.float64())], ["doc_id", "score", "margin"])
 
     own = id_and_text(docs, id_col, text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, margin long")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, margin double")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,10 +225,12 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose text scores below 0.5."""
 
+    at = docs.columns.index("text")
+
     def run(batches):
         pair = model.compressors() if model.toxic else None
         for batch in pieces(batches):
-            got = features(model, pair, [t or "" for t in batch.column("text").to_pylist()])
+            got = margins(model, pair, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(model.scores(got) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

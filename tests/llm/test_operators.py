@@ -268,11 +268,12 @@ def test_language_counts_whole_long_texts(monkeypatch):
 
 
 def test_toxicity_accuracy(spark, odd, empty):
+    """Both kinds count alike: some labels are noise, as no word of the corpus tells them apart."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.predictions(docs.join(labels, "doc_id", "left_semi"), labels).join(labels, "doc_id").filter("held_out").collect()
-    hit = [r.toxic for r in rows if r.predicted]
-    assert np.mean(hit) > 0.85 and len(hit) > 0.4 * sum(r.toxic for r in rows)
-    assert np.mean([r.toxic == r.predicted for r in rows]) > 0.92 and all(0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.predicted for r in rows if r.toxic]) > 0.8 and np.mean([not r.predicted for r in rows if not r.toxic]) > 0.9
+    best = sorted(rows, key=lambda r: -r.score)[: int(0.4 * sum(r.toxic for r in rows))]
+    assert np.mean([r.toxic for r in best]) > 0.85 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.predictions(empty, labels).count() == 0
     model = toxicity.fit(docs, labels)
     assert toxicity.score(odd, model).count() == len(ODD)
@@ -281,6 +282,52 @@ def test_toxicity_accuracy(spark, odd, empty):
     assert all(r.score < 0.01 for r in toxicity.score(odd, toxicity.fit_local([])).collect())
 
 
+def brute_margin(model, text):
+    """One window at a time, with compressors of its own."""
+    words = [w[i : i + 64] for w in (text or "").lower().split() for i in range(0, len(w), 64)]
+    starts = [i for i in range(0, max(1, len(words)), 4) if i == 0 or i + 4 < len(words)]
+    saved = []
+    for i in starts:
+        window = f" {' '.join(words[i : i + 8])} ".encode()
+        saved.append(len(model.compressors()[0].compress(window)) - len(model.compressors()[1].compress(window)))
+    return np.mean(saved)
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        words = prose(rng.randint(1, 60), 1000 + i).split()
+        bad = i % 4 == 0
+        for _ in range(3 if bad else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["jerkwad", "nitwitted", "slimeball"]))
+        rows.append((i, " ".join(words), int(bad)))
+    model = toxicity.fit_local([(t, y) for _, t, y in rows])
+    kinds = [[t for _, t, y in rows if y == k] for k in (0, 1)]
+    # each dictionary comes from its own class: the other one's texts change nothing
+    assert b"nitwitted" in model.toxic and b"nitwitted" not in model.ordinary
+    assert toxicity.train(kinds[1], *toxicity.TOXIC_SHARE).count(b" jerkwad ") == 1 and toxicity.train(kinds[1][:4], 0.0, 5) == b""
+    texts = [*ODD, (20, "A slimeball and nitwitted"), (21, " ".join(kinds[0])), (22, " ".join(kinds[1])), (23, "q " * 9), (24, "q " * 8)]
+    frame_ = frame(spark, texts)
+    want = Counter((i, round(float(brute_margin(model, t)), 6)) for i, t in texts)
+    assert Counter((r.doc_id, round(r.margin, 6)) for r in toxicity.score(frame_, model).collect()) == want
+    monkeypatch.setattr(toxicity, "BLOCK", 3)  # texts that are longer than a block
+    assert Counter((r.doc_id, round(r.margin, 6)) for r in toxicity.score(frame_, model).collect()) == want
+    kept = toxicity.keep_clean(frame_, model).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, t) for i, t in texts if brute_margin(model, t) < model.threshold)
+    assert np.mean([(brute_margin(model, t) >= model.threshold) == bool(y) for _, t, y in rows]) > 0.95
+
+
+def test_toxicity_threshold_is_the_best():
+    for seed in range(30):
+        rng = random.Random(seed)
+        toxic = np.array([rng.random() < 0.4 for _ in range(25)] + [True, False])
+        x = np.array([rng.randint(0, 8) + 3 * t for t in toxic], float)
+        at, spread = toxicity.calibrate(x, toxic)
+        good = lambda c: np.mean(x[toxic] >= c) + np.mean(x[~toxic] < c)
+        assert spread > 0 and good(at) == pytest.approx(max(good(c) for c in np.arange(-1, 13, 0.5)))
+
+
 # ---- op6
 
 
