@@ -47,8 +47,10 @@ def spare_name(df: DataFrame, stem: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own on a local master where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="spark-")
 
 
@@ -60,11 +62,59 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables in the shared folder that cut lineages: compressed, read by column, and deleted when they are no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table; one of the same name that was there before is deleted once the new one is complete."""
+        path, old = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: compressed, and read by column."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Cut the lineage with a table in the shared folder, for as long as the job's folder lasts."""
+    return Tables(df.sparkSession).write("table", df)
+
+
+#: Keys that may count as heavy, and rows from which one can: heavy keys are broadcast, so no task gets all of a key's rows.
+HEAVY_KEYS, HEAVY_ROWS = 10_000, 1000
+
+
+def join_back(rows: DataFrame, side: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
+    """rows joined with side, which has one row for each key and in `n` its number of rows, of `total`.
+
+    Keys with more than their share of rows, no more than `HEAVY_KEYS` by that, join by a broadcast and stay where they are.
+    """
+    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    keys = [key] if isinstance(key, str) else key
+    heavy = F.broadcast(side.filter(F.col(n) > limit))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(side.filter(F.col(n) <= limit), keys)
+    return light.unionByName(rows.join(heavy, keys))
+
+
+#: Rows of a small table that one task handles.
+TASK_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than so many rows need: many small files cost more than the work on them."""
+    return df.coalesce(max(8, -(-rows // TASK_ROWS)))
 
 
 #: Rows of ids and digests that may be broadcast, after a count; beyond, they are joined by a shuffle.
