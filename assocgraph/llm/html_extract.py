@@ -2,19 +2,23 @@
 
 A token is a tag at its path, or a whole block of text at its path of tag names. Tokens of the pages of one host that occur
 equally often on every page (equal occurrence vectors) form an equivalence class; vectors are compared by a sum of page
-hashes, which adds up over tasks, so no host's pages are ever brought together. A class is valid if it holds the opening and
-the closing tag of an element, each once a page: the parser closes elements from the inside out, so the tags of valid classes
-pair up on every page, and classes are nested as their elements are. A class of blocks is valid if most distinct pages of the
-host hold it, three at least, each equally often; pages are distinct if their texts are, so copies count once, and two pages
-that share a text are no proof of a template. The valid classes are the template; what lies between their tags and texts are
-the slots.
+hashes, which adds up over tasks, so no host's pages are ever brought together. A class is valid if it is on half of the
+host's pages at least and holds elements (both tags, each once a page: the parser closes elements from the inside out, so
+the tags pair up on every page) or texts that most distinct pages hold, three at least, each equally often; pages are
+distinct if their texts are, so copies count once, and two pages that share a text are no proof of a template. A valid class
+is nested in the valid class of the nearest element around its first token. The valid classes so nested are the template
+(`template_classes`); what lies between their tags and texts are the slots.
 
 Of a page's text, only the blocks of the template and noise are dropped: what is in scripts, styles, forms, menus, headers,
 footers and sidebars by their tags, and in adverts, notices, comments and the like by words in the class, id or role of an
 element. Such words count for elements that are on half of the host's pages at least, so a block of one article that happens
-to have such a name stays; on hosts of one page, which have no template, they always count. All other text is kept, cut into
-blocks at block tags. The main slot of a page is the deepest element of the host's template (for a host of one page, the
-deepest element) that holds all of this text.
+to have such a name stays; on hosts of one page, which have no template, they always count. They never count for an element
+that holds an article, main or h1 element (on pages without any, `MOST` of the text): `with-sidebar` around a page is no
+sidebar. All other text is kept, cut into blocks at block tags. The main slot of a page is the deepest element of the host's
+template (for a host of one page, the deepest element) that holds all of this text.
+
+A page's elements are numbered, and its paths hashed step by step, so work and memory are linear in the page however deep
+its elements nest.
 
 Defined results: a null or empty html has the empty text; a null url is a host of its own; broken or unclosed markup ends
 where its parent does; character references are decoded, unknown ones stay; rows that repeat are extracted each; an empty
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces
+from .common import Tables, pieces
 
 #: Elements without content, elements whose content is no text, elements that start and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,14 +45,18 @@ RAW = frozenset("script style noscript template textarea title svg iframe object
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav aside footer form button select dialog menu head".split()) | RAW
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|footer|header|masthead|topbar|toolbar|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|respond|disqus|share|sharing|social|related(?=$|\s|[_-](?:posts?|articles?|stories|links?|items?|content|reading|news|pages?))|newsletter|subscribe|signup|login|popup|modal|overlay|footer|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
-PIECE = re.compile(r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*(?:>|\Z)|<", re.S)
+#: Names of noise outside of articles only.
+PAGE_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|side|header|masthead|topbar)(?:$|[\s_-])", re.I)
+PIECE = re.compile(r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]|=)*+)(?:>|\Z)|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*(?:>|\Z)|<", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements that end when the next one like them starts.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements around which no name means noise, and the share of the text that does instead on pages without them.
+MAIN_TAGS, MOST = frozenset(["article", "main", "h1"]), 0.8
 #: Share of the host's pages that a template token is on.
 SUPPORT = 0.5
 #: Distinct pages that a text of the template is on at least.
@@ -69,15 +77,19 @@ def squeezed(text: str) -> str:
 
 
 class Page:
-    """The tokens of a page: (kind, name or text, path, noise, named), with kind one of open, close, text.
+    """The elements of a page, numbered from 0 (the page itself) so that parents come first, and its tokens.
 
-    noise: by the tag of an element around it. named: the elements around it whose names are those of noise.
+    tokens: (kind, name or text, element), with kind one of open, close, text. Of each element: parent; name; label (the name
+    with class, id and role); path and tags (hashes of the labels, and names, from the page down; inline elements have those
+    around them); noise, by the tag of an element around it or its own; named, a hash if its label has a name of noise.
     """
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, str, bool, tuple[str, ...]]] = []
-        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # name, path, noise, named
-        self.tags = {"": ""}  # the path of tag names of each path
+        self.tokens: list[tuple[str, str, int]] = []
+        self.parent, self.name, self.label, self.path, self.tags = [-1], [""], [""], [hashed("path")], [hashed("tags")]
+        self.noise, self.named = [False], [None]
+        self.stack, self.solid = [0], [0]  # open elements, and those of them that are not inline
+        self.opened: Counter = Counter()
         at = 0
         while (m := PIECE.match(source, at)) is not None:
             at = m.end()
@@ -101,81 +113,112 @@ class Page:
                     self.close(name)
                 if at >= len(source):
                     break
-        while self.stack:
-            self.close(self.stack[-1][0])
-
-    def here(self) -> tuple[str, bool, tuple[str, ...]]:
-        return self.stack[-1][1:] if self.stack else ("", False, ())
+        while len(self.stack) > 1:
+            self.close(self.name[self.stack[-1]])
+        self.whole()
 
     def put(self, kind: str, what: str) -> None:
-        self.tokens.append((kind, what, *self.here()))
+        self.tokens.append((kind, what, self.stack[-1]))
 
     def open(self, name: str, attributes: str) -> None:
-        if name in CLOSES:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in CLOSES[name]:
-                    self.close(self.stack[i][0])
-                    break
-                if self.stack[i][0] not in INLINE:
-                    break
-        elif name in BLOCKS_END_P and any(x[0] == "p" for x in self.stack):
-            if all(x[0] in INLINE or x[0] == "p" for x in self.stack[max(i for i, x in enumerate(self.stack) if x[0] == "p") :]):
-                self.close("p")
-        path, noise, named = self.here()
+        nearest = self.name[self.solid[-1]]
+        if nearest in CLOSES.get(name, ()) or (nearest == "p" and name in BLOCKS_END_P):
+            self.close(nearest)
+        up = self.stack[-1]
         names = " ".join(v.strip("\"'") for v in ATTRIBUTE.findall(attributes))
         label = f"{name}.{'.'.join(sorted(set(names.lower().split())))}" if names else name
-        body = any(x[0] in ("article", "main") for x in self.stack)
-        noise = noise or name in NOISE_TAGS or (name == "header" and not body)
-        if name not in ("body", "html", "article", "main") and names and NOISE_NAMES.search(names):
-            named = (*named, f"{self.tags[path]}/{label}")
-        where = f"{path}/{label}" if name not in INLINE or not path else path
-        self.tags.setdefault(where, f"{self.tags[path]}/{name}")
+        inside = self.opened["article"] + self.opened["main"] > 0
+        inline = name in INLINE
+        self.parent.append(up)
+        self.name.append(name)
+        self.label.append(label)
+        self.path.append(self.path[up] if inline else hashed(f"{self.path[up]}/{label}"))
+        self.tags.append(self.tags[up] if inline else hashed(f"{self.tags[up]}/{name}"))
+        self.noise.append(self.noise[up] or name in NOISE_TAGS or (name == "header" and not inside))
+        bad = names and name not in ("body", "html") and name not in MAIN_TAGS and (NOISE_NAMES.search(names) or (not inside and PAGE_NAMES.search(names)))
+        self.named.append(hashed(f"name {self.tags[up]}/{label}") if bad else None)
+        own = len(self.parent) - 1
         if name in VOID:
-            self.tokens.append(("open", name, where, noise, named))
+            self.tokens.append(("open", name, own))
             return
-        self.stack.append((name, where, noise, named))
+        self.stack.append(own)
+        if not inline:
+            self.solid.append(own)
+        self.opened[name] += 1
         self.put("open", name)
 
     def close(self, name: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                while len(self.stack) > i:
-                    self.put("close", self.stack[-1][0])
-                    self.stack.pop()
+        if not self.opened[name]:
+            return
+        while True:
+            last = self.stack[-1]
+            self.put("close", self.name[last])
+            self.stack.pop()
+            if self.solid[-1] == last:
+                self.solid.pop()
+            self.opened[self.name[last]] -= 1
+            if self.name[last] == name:
                 return
 
+    def whole(self) -> None:
+        """Take the names of noise from elements that hold what the page is about."""
+        holds, size = [n in MAIN_TAGS and not bad for n, bad in zip(self.name, self.noise)], [0] * len(self.name)
+        for kind, what, at in self.tokens:
+            if kind == "text" and not self.noise[at]:
+                size[at] += len(what.strip())
+        for i in range(len(self.name) - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i]
+            size[self.parent[i]] += size[i]
+        for i, name in enumerate(self.named):
+            if name is not None and (holds[i] or (not holds[0] and size[i] >= MOST * size[0] > 0)):
+                self.named[i] = None
+
 
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2]
 
 
-def main_element(paths: list[str], allowed: Container[int] | None = None) -> str:
-    """The deepest element, of the allowed ones if there are such, that holds all the paths."""
-    if not paths:
-        return ""
-    low, high, at = min(paths).split("/"), max(paths).split("/"), 0
-    while at < min(len(low), len(high)) and low[at] == high[at]:
-        at += 1
-    whole = ["/".join(low[:n]) for n in range(at, 0, -1)]
-    return next((p for p in whole if allowed is None or hashed(f"open {p}") in allowed), "")
-
+def tag_token(kind: str, path: int) -> int:
+    return hashed(f"{kind} {path}")
 
-def blocks_of(page: Page, names: Container[int] | None = None) -> Iterator[tuple[str, str, bool]]:
-    """Path, text and whether it is in an element with a name of noise, of each block that is no noise.
 
-    names: hashes of the named elements that are noise themselves, all if None.
+def main_element(page: Page, blocks: list[int], allowed: Container[int] | None = None) -> str:
+    """The path of the deepest element, of the allowed ones if there are such, that holds the blocks of these elements."""
+    if not blocks:
+        return ""
+    inside = [0] * len(page.parent)
+    for i in blocks:
+        inside[i] += 1
+    best = 0
+    for i in range(len(inside) - 1, 0, -1):
+        if inside[i] == len(blocks) and page.name[i] not in INLINE and (allowed is None or tag_token("open", page.path[i]) in allowed):
+            best = i
+            break
+        inside[page.parent[i]] += inside[i]
+    labels = []
+    while best:
+        if page.name[best] not in INLINE:
+            labels.append(page.label[best])
+        best = page.parent[best]
+    return "".join(f"/{x}" for x in reversed(labels))
+
+
+def blocks_of(page: Page, names: Container[int] | None = None) -> Iterator[tuple[int, str, bool]]:
+    """Element, text and whether it is in an element with a name of noise, of each block that is no noise.
+
+    names: the hashes of names that are noise themselves, all if None.
     """
-    at, run, known = ("", False), [], {}
-
-    def lost(named):
-        if named not in known:
-            known[named] = any(names is None or hashed(f"name {x}") in names for x in named)
-        return known[named]
-
-    for kind, what, path, noise, named in [*page.tokens, ("end", "", "", True, ())]:
-        noise = noise or bool(named) and lost(named)
+    lost, within = list(page.noise), [False] * len(page.parent)
+    for i, name in enumerate(page.named):
+        if i:
+            up = page.parent[i]
+            within[i] = within[up] or name is not None
+            lost[i] = lost[i] or lost[up] or (name is not None and (names is None or name in names))
+    at, run = (0, False), []
+    for kind, what, element in [*page.tokens, ("end", "", 0)]:
+        noise = lost[element]
         if kind == "text" and not noise:
-            at = at if run else (path, bool(named))
+            at = at if run else (element, within[element])
             run.append(entities.unescape(what))
         elif not noise and what == "br":
             run.append(" ")
@@ -185,8 +228,8 @@ def blocks_of(page: Page, names: Container[int] | None = None) -> Iterator[tuple
             run.clear()
 
 
-def text_token(page: Page, path: str, text: str) -> int:
-    return hashed(f"text {page.tags[path]} {text}")
+def text_token(page: Page, element: int, text: str) -> int:
+    return hashed(f"text {page.tags[element]} {text}")
 
 
 def stats(pages: DataFrame) -> DataFrame:
@@ -196,11 +239,11 @@ def stats(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in pieces(batches, 4096):
+        for batch in pieces(batches):
             sums: dict[tuple[str, int, int | None], list] = {}
 
-            def add(host, token, mark, vector, n, element=None):
-                got = sums.setdefault((host, token, mark), [element, 0, 0, 0])
+            def add(host, token, mark, vector, n, element=None, around=None):
+                got = sums.setdefault((host, token, mark), [element, 0, 0, 0, around])
                 got[1] = (got[1] + vector) & MASK
                 got[2] += 1
                 got[3] += n
@@ -208,24 +251,30 @@ def stats(pages: DataFrame) -> DataFrame:
             for source, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 page, host = Page(source or ""), host_of(url)
                 mark = xxhash.xxh3_64_intdigest(f"{url} {source}".encode())
-                for (kind, path), n in Counter((t[0], t[2]) for t in page.tokens if t[0] != "text").items():
-                    add(host, hashed(f"{kind} {path}"), None, mark * n, n, hashed(f"open {path}"))
-                for name in {x for t in page.tokens for x in t[4]}:
-                    add(host, hashed(f"name {name}"), None, 0, 1)
+                solid = Counter(page.path[i] for i in range(1, len(page.path)) if page.name[i] not in INLINE)
+                ups = {page.path[i]: tag_token("open", page.path[page.parent[i]]) for i in range(1, len(page.path)) if page.name[i] not in INLINE}
+                closed = Counter(page.path[i] for i in range(1, len(page.path)) if page.name[i] not in INLINE and page.name[i] not in VOID)
+                for kind, counted in (("open", solid), ("close", closed)):
+                    for path, n in counted.items():
+                        add(host, tag_token(kind, path), None, mark * n, n, tag_token("open", path), ups[path])
+                for name in {x for x in page.named if x is not None}:
+                    add(host, name, None, 0, 1)
                 add(host, PAGE, None, 0, 1)
                 blocks = list(blocks_of(page, ()))
                 own = hashed("\n".join(text for _, text, named in blocks if not named))
-                for token, n in Counter(text_token(page, path, text) for path, text, _ in blocks).items():
-                    add(host, token, own, 0, n)
+                found = Counter(text_token(page, element, text) for element, text, _ in blocks)
+                ups = {text_token(page, element, text): tag_token("open", page.path[element]) for element, text, _ in reversed(blocks)}
+                for token, n in found.items():
+                    add(host, token, own, mark * n, n, None, ups[token])
                 add(host, DISTINCT, own, 0, 1)
             sign = lambda v: v - 2**64 if v >= 2**63 else v
             cols = [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int64()), pa.array([k[2] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64())]
-            cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 4)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses"])
+            cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 4)] + [pa.array([v[4] for v in sums.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses", "around"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element long, vector long, pages long, uses long")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element long, vector long, pages long, uses long, around long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
-    added = [F.max("element").alias("element"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses")]
+    added = [F.max("element").alias("element"), F.max("around").alias("around"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses")]
     # copies of a page first become one row for each of its texts; the rows of tags have no mark
     once = rows.withColumn("v", F.col("vector").cast("decimal(38,0)")).groupBy("host", "token", "mark").agg(*added)
     each = F.when(F.col("mark").isNotNull(), F.col("uses") / F.col("pages"))
@@ -233,28 +282,42 @@ def stats(pages: DataFrame) -> DataFrame:
     return summed.withColumn("vector", F.pmod("v", F.lit(str(2**64)).cast("decimal(38,0)"))).drop("v")
 
 
-def template(tokens: DataFrame) -> DataFrame:
-    """host, elements, names, texts: hashes of the valid elements, of the named elements and of the texts of the host's template.
+def template_classes(tokens: DataFrame) -> DataFrame:
+    """host, vector, pages, elements, texts, inside: the valid equivalence classes, of tokens with one occurrence vector.
 
-    Both tags of a valid element have one occurrence vector, with one use on each of their pages. Hosts of one page have no row.
+    elements and texts are hashes of the class's elements (by their opening tags) and texts; inside are the vectors of the
+    valid classes whose elements are the nearest around its tokens. Hosts of one page have no class.
     """
     whole = tokens.filter((F.col("token") == PAGE) & (F.col("pages") > 1)).select("host", F.col("pages").alias("all"))
-    often = tokens.filter((F.col("own") == 0) & (F.col("pages") > 1) & (F.col("token") != PAGE)).join(whole, "host").filter(F.col("pages") >= F.col("all") * SUPPORT)
-    valid = often.filter(F.col("element").isNotNull() & (F.col("uses") == F.col("pages"))).groupBy("host", "vector", "element").agg(F.count("*").alias("tags")).filter("tags = 2")
-    # elements and names on half of the pages at least, texts on more: no more per host than twice a page's mean number of different ones
-    elements = valid.groupBy("host").agg(F.collect_list("element").alias("elements"))
-    names = often.filter(F.col("element").isNull()).groupBy("host").agg(F.collect_list("token").alias("names"))
+    tags = tokens.filter(F.col("element").isNotNull() & (F.col("pages") > 1) & (F.col("uses") == F.col("pages"))).join(whole, "host").filter(F.col("pages") >= F.col("all") * SUPPORT)
+    pairs = tags.groupBy("host", "vector", F.col("element").alias("token")).agg(F.count("*").alias("n"), F.max("around").alias("around"), F.max("pages").alias("pages")).filter("n = 2")
     distinct = tokens.filter(F.col("token") == DISTINCT).select("host", F.col("own").alias("all"))
     shared = tokens.filter((F.col("own") >= LEAST_PAGES) & (F.col("token") != DISTINCT) & (F.col("low") == F.col("high"))).join(distinct, "host").filter(F.col("own") > F.col("all") * SUPPORT)
-    texts = shared.groupBy("host").agg(F.collect_list("token").alias("texts"))
-    found = whole.select("host").join(elements, "host", "left").join(names, "host", "left").join(texts, "host", "left")
-    return found.select("host", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("elements", "names", "texts")])
+    members = pairs.select("host", "vector", "token", "around", "pages", F.lit(False).alias("is_text")).unionByName(shared.select("host", "vector", "token", "around", "pages", F.lit(True).alias("is_text")))
+    # on half of the pages at least, so no more per host than twice a page's mean number of different tokens
+    own = lambda kind: F.collect_list(F.when(kind, F.col("token")))
+    around = pairs.select("host", F.col("token").alias("around"), F.col("vector").alias("outer"))
+    nested = members.join(around, ["host", "around"], "left").withColumn("outer", F.when(F.col("outer") != F.col("vector"), F.col("outer")))
+    return nested.groupBy("host", "vector").agg(F.max("pages").alias("pages"), own(~F.col("is_text")).alias("elements"), own(F.col("is_text")).alias("texts"), F.collect_set("outer").alias("inside"))
+
+
+def template(tokens: DataFrame) -> DataFrame:
+    """host, elements, names, texts: hashes of the elements and texts of the host's valid classes, and of its names of noise."""
+    whole = tokens.filter((F.col("token") == PAGE) & (F.col("pages") > 1)).select("host", F.col("pages").alias("all"))
+    found = template_classes(tokens).groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("texts")).alias("texts"))
+    named = tokens.filter((F.col("own") == 0) & F.col("element").isNull() & (F.col("pages") > 1) & (F.col("token") != PAGE)).join(whole, "host")
+    names = named.filter(F.col("pages") >= F.col("all") * SUPPORT).groupBy("host").agg(F.collect_list("token").alias("names"))
+    rows = whole.select("host").join(found, "host", "left").join(names, "host", "left")
+    return rows.select("host", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("elements", "names", "texts")])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, blocks (array), slot (path of the main element) of each page."""
-    # written once: the template needs them twice, and they are much smaller than the pages
-    found = durable(template(durable(stats(pages))))
+    tables = Tables(pages.sparkSession)
+    # written once: the template needs them more than once, and they are much smaller than the pages
+    found = tables.write("template", template(tables.write("tokens", stats(pages))))
+    tables.drop("tokens")
+
     def run(batches):
         for batch in pieces(batches):
             out: list[list] = [[], [], []]
@@ -262,8 +325,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for source, elements, names, texts in zip(*columns):
                 page, shared = Page(source or ""), frozenset(texts or ())
                 # null on hosts of one page: all named elements are noise, and all elements may be the slot
-                kept = [(path, text) for path, text, _ in blocks_of(page, names) if not shared or text_token(page, path, text) not in shared]
-                blocks, main = [text for _, text in kept], main_element([path for path, _ in kept], elements)
+                names, elements = names if names is None else frozenset(names), elements if elements is None else frozenset(elements)
+                kept = [(element, text) for element, text, _ in blocks_of(page, names) if not shared or text_token(page, element, text) not in shared]
+                blocks, main = [text for _, text in kept], main_element(page, [element for element, _ in kept], elements)
                 for values, v in zip(out, ("\n".join(blocks), blocks, main)):
                     values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string())], ["page_id", "url", "text", "blocks", "slot"])

@@ -130,6 +130,75 @@ def test_html_extract_keeps_split_text(spark):
     assert got[1].slot == "/html/body"
 
 
+def test_html_extract_keeps_what_names_do_not_mean(spark):
+    """Attributes with apostrophes, names of noise around whole pages or in headings, on hosts of one page and of several."""
+    def body(i):
+        return f"<html><body class='page with-sidebar'><div class='content-sidebar-wrap'><article><div class='article-header'><h2>Title {i}</h2></div><p data-x=it's class=lead>first it's words {i}</p><section id='related-work'><p>Related {i}</p></section><div class='related'>More {i}</div></article><div class='sidebar'>Side {i}</div></div><div class='header'>Head {i}</div></body></html>"
+
+    rows = [(i, f"http://w.org/{i}", body(i)) for i in range(4)] + [(9, "http://single.org", body(9))]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in (0, 1, 2, 3, 9):
+        assert got[i].blocks == [f"Title {i}", f"first it's words {i}", f"Related {i}"]
+        assert got[i].slot.endswith("/article")
+
+
+def test_html_extract_without_articles_drops_names_and_templates(spark):
+    """Plain divs only: what every page of the host shares goes, what differs stays, however the blocks are called."""
+    def body(i):
+        return f"<html><body><div class='top'>The Site</div><div class='x1'><div class='x2'><p>Story {i} begins</p><p>Read all our stories</p><p>Story {i} ends</p></div></div><div class='x3'>Printed in the city</div><div class='comments'><p>Reader {i} says</p></div></body></html>"
+
+    rows = [(i, f"http://plain.org/{i}", body(i)) for i in range(5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.texts(table).collect()} == {i: f"Story {i} begins\nStory {i} ends" for i in range(5)}
+
+
+def test_html_template_against_brute_force(spark):
+    """Classes of tokens with equal occurrence vectors, counted page by page, and the classes around them."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(9):
+        extra = "".join(f"<div class='k{k}'><p>Same {k}</p><i>own {i}</i></div>" for k in range(4) if rng.random() < 0.7)
+        rows.append((i, "http://b.org/x", f"<html><body><div class='m'>{extra}<p>Page {i}</p><ul>{'<li>z</li>' * rng.randint(0, 2)}</ul></div></body></html>"))
+    pages = [html_extract.Page(h) for _, _, h in rows]
+    vectors, kinds = {}, {}
+    for k, page in enumerate(pages):
+        for i in range(1, len(page.path)):
+            if page.name[i] not in html_extract.INLINE:
+                token = html_extract.tag_token("open", page.path[i])
+                vectors.setdefault(token, [0] * 9)[k] += 1
+                kinds[token] = "tag", html_extract.tag_token("open", page.path[page.parent[i]])
+        for element, text, _ in html_extract.blocks_of(page, ()):
+            token = html_extract.text_token(page, element, text)
+            vectors.setdefault(token, [0] * 9)[k] += 1
+            kinds.setdefault(token, ("text", html_extract.tag_token("open", page.path[element])))
+    want = {}
+    for token, vector in vectors.items():
+        on, kind = [n for n in vector if n], kinds[token][0]
+        if (kind == "tag" and len(on) > 1 and 2 * len(on) >= 9 and max(on) == 1) or (kind == "text" and len(on) >= 3 and 2 * len(on) > 9 and max(on) == min(on)):
+            want.setdefault(tuple(vector), []).append(token)
+    home = {t: v for v, ts in want.items() for t in ts if kinds[t][0] == "tag"}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.template_classes(html_extract.stats(table)).collect()
+    assert sorted(sorted(r.elements + r.texts) for r in got) == sorted(sorted(ts) for ts in want.values())
+    of = {t: r for r in got for t in r.elements + r.texts}
+    for vector, tokens in want.items():
+        outer = {home[kinds[t][1]] for t in tokens if kinds[t][1] in home} - {vector}
+        assert {of[want[v][0]].vector for v in outer} == set(of[tokens[0]].inside)
+        assert of[tokens[0]].pages == sum(n > 0 for n in vector)
+
+
+def test_html_extract_odd_pages(spark):
+    """Very deep, very long and unclosed pages in linear time and memory; columns whose names clash."""
+    deep = "<div class=aa>" * 100_000 + "deep text" + "</b></p>" * 50_000
+    many = "<p>" + "<b>x</b> " * 50_000 + "<p>end" + "<li>item" * 20_000
+    ads = "<div class=ad>" * 20_000 + "lost" + "</div>" * 20_000 + "<p>kept</p>"
+    rows = [(1, "http://deep.org", deep), (2, "http://long.org", many), (3, "http://ads.org", ads), (4, "http://main.org/2", "<main>clash</main>")]
+    table = spark.createDataFrame([(*r, "m", "e", [1]) for r in rows], "page_id long, url string, html string, main string, element string, names array<long>")
+    got = {r.page_id: r.text for r in html_extract.texts(table).collect()}
+    assert got[1] == "deep text" and got[4] == "clash" and got[3] == "kept"
+    assert got[2] == "\n".join([" ".join(["x"] * 50_000), "end", *["item"] * 20_000])
+
+
 # ---- op3
 
 
