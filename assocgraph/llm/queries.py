@@ -119,4 +119,36 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op4_chat": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following
+  FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)
+), e AS (
+  SELECT *, left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) AS edited FROM o
+), t AS (SELECT text FROM e UNION SELECT edited FROM e),
+leaves AS (
+  SELECT text, list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+           list_transform(CASE WHEN len(regexp_extract_all(p, '[\x09-\x0D\x20]*(?:[^\x09-\x0D\x20]{1,16}[\x09-\x0D\x20]*){1,8}')) = 0 THEN [p]
+                               ELSE regexp_extract_all(p, '[\x09-\x0D\x20]*(?:[^\x09-\x0D\x20]{1,16}[\x09-\x0D\x20]*){1,8}') END, lambda l: sha256(l)))) AS tree
+  FROM t
+), paragraphs AS (
+  SELECT text, list_transform(tree, lambda s: list_transform(s, lambda p: {'d': sha256(array_to_string(p, '')), 't': array_to_string(list_transform(p, lambda l: left(l, 8)), '')})) AS tree,
+         list_distinct(list_transform(flatten(flatten(tree)), lambda l: left(l, 8))) AS leaf
+  FROM leaves
+), sections AS (
+  SELECT text, leaf, list_transform(tree, lambda s: {'d': sha256(array_to_string(list_transform(s, lambda p: p.d), '')),
+           't': array_to_string(list_transform(s, lambda p: left(p.d, 12) || ':' || p.t), ',')}) AS tree
+  FROM paragraphs
+), f AS (
+  SELECT text, leaf, sha256(array_to_string(list_transform(tree, lambda s: s.d), '') || sha256(text)) || '/' ||
+           array_to_string(list_transform(tree, lambda s: left(s.d, 16) || '=' || s.t), '/') AS fp
+  FROM sections
+)
+SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+       CASE WHEN a.fp = b.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaf, b.leaf)) / (len(a.leaf) + len(b.leaf)) END AS near_edited,
+       CASE WHEN a.fp = c.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaf, c.leaf)) / (len(a.leaf) + len(c.leaf)) END AS near_next
+FROM e JOIN f a ON a.text = e.text JOIN f b ON b.text = e.edited JOIN f c ON c.text = e.following
+"""
+
+ORACLES = {"op4_chat": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_fingerprints": OP8_SQL, "op10_substring_dedup": OP10_SQL}

@@ -480,12 +480,47 @@ def test_fingerprints(spark, odd, empty):
 
 
 def test_fingerprints_locate_edits(spark):
-    text = "\n".join(prose(20, i) for i in range(6))
-    lines = text.split("\n")
-    lines[3] = "changed " + lines[3]
-    a, b = (fingerprints.merkle(F.lit(t)) for t in (text, "\n".join(lines)))
-    at = spark.range(1).select(fingerprints.differing_leaves(a, b).alias("x")).first().x
-    assert at and min(at) >= 9 and max(at) <= 11
+    """Only the changed paragraph's leaves, also when paragraphs and sections are put in, taken out or moved."""
+
+    def located(x, y):
+        a, b = (fingerprints.merkle(F.lit(t)) for t in (x, y))
+        return spark.range(1).select(fingerprints.differing_leaves(a, b).alias("x"), fingerprints.differing_leaves(b, a).alias("y")).first()
+
+    lines = [prose(20, i) for i in range(6)]  # three leaves each
+    text = "\n".join(lines)
+    put_in = lines[:3] + ["six words put in before all " + lines[3]] + lines[4:]
+    assert (located(text, "\n".join(put_in)).x, located(text, "\n".join(put_in)).y) == ([9, 10, 11], [9, 10, 11, 12])
+    assert located(text, "\n".join(lines[:2] + ["a new one"] + lines[2:])) == ([], [6])
+    assert located(text, "\n".join(lines[1:])) == ([0, 1, 2], [])
+    assert located(text, "\n".join(reversed(lines))) == ([], []) and located(text, text) == ([], [])
+    sections = ["\n".join(lines[:2]), "\n".join(lines[2:4]), "\n".join(lines[4:])]
+    last = lines[5].split()
+    changed = "\n".join([lines[4], " ".join([*last[:8], "other", *last[9:]])])
+    assert located("\n\n".join(sections), "\n\n".join([sections[1], sections[0], changed])) == ([16], [16])
+
+
+def test_fingerprints_of_text_without_spaces(spark):
+    rng = random.Random(2)
+    text, other = ("".join(rng.choice("的一是在不了有和人这中大为上个国") for _ in range(4000)) for _ in range(2))
+    got = {r.doc_id: r for r in fingerprints.edits(frame(spark, [(1, text), (2, other)])).collect()}
+    assert 0.4 < got[1].near_edited < 0.6 and got[1].near_next == 0.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Every digest of the tree anew, with other means."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def leaves(paragraph):
+        return re.findall(r"[ \t\r\f\v]*(?:[^ \t\r\f\v\n]{1,16}[ \t\r\f\v]*){1,8}", paragraph) or [paragraph]
+
+    texts = [t or "" for _, t in ODD] + ["a\n\nb", "a\n \t\nb\n", "\n\n\n", "x" * 300 + " y\xa0z\u3000w " * 40, prose(200, 5).replace(" b", "\n b")]
+    for text, r in zip(texts, spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", fingerprints.merkle(F.col("t")).alias("f")).orderBy("i").collect()):
+        sections, above = [], []
+        for s in re.split(r"\n[ \t\r]*\n", text):
+            paragraphs = [[digest(x) for x in leaves(p)] for p in s.split("\n")]
+            above.append(digest("".join(digest("".join(p)) for p in paragraphs)))
+            sections.append(f"{above[-1][:16]}=" + ",".join(f"{digest(''.join(p))[:12]}:{''.join(x[:8] for x in p)}" for p in paragraphs))
+        assert r.f == digest("".join(above) + digest(text)) + "/" + "/".join(sections)
 
 
 # ---- op10
