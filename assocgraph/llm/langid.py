@@ -6,22 +6,24 @@ labelled texts of each language are clustered by spherical k-means; a text gets
 largest cosine. Each centroid has a radius, the distance of its farthest labelled text but for a small share; a text
 outside the radius of its nearest centroid is marked as rejected.
 
-The fit reads a bounded sample of labelled rows (`FIT_ROWS`, the smallest hashes of the id); every text is scored whole.
+The fit reads a bounded sample of labelled rows, the smallest hashes of the id of each language, which have equal shares of
+`FIT_ROWS`; every text is scored whole.
 
-Defined results: a null text, or one without any letter, is `und` with score 0; ties go to the language that comes first in
+Defined results: a null text, or one without any letter (Unicode's letters: no digits, fractions or roman number signs), is
+`und` with score 0; ties go to the language that comes first in
 alphabetic order; texts that repeat score the same; an empty table gives an empty table; other columns are ignored; without
 any labelled row every text is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, id_and_text, pieces
@@ -36,7 +38,7 @@ OUTSIDE = 0.002
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 22
 #: Every ASCII byte but a letter becomes a space; runs of those count as one.
 LETTERS = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -147,11 +149,14 @@ def fit_local(rows: list[tuple[str, str]]) -> Model:
 
 
 def labelled(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = FIT_ROWS) -> DataFrame:
-    """At most `rows` texts with a language outside the held-out fold: those with the smallest hash of the id."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != held))
-    # ids are chosen first, so that only the texts of the sample move; `rows` ids are small enough to broadcast
-    chosen = F.broadcast(own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return own.join(chosen, "doc_id").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).limit(rows)
+    """At most `rows` texts with a language outside the held-out fold: of each language those with the smallest hash of the id."""
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != held)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    languages = own.select("lang").distinct().count()
+    # ids are chosen first, so that only the texts of the sample move; each task hands on no more than a language's share
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = own.select("doc_id", "lang").withColumn("at", F.row_number().over(place)).filter(F.col("at") <= max(1, rows // max(1, languages)))
+    chosen = F.broadcast(ranked.select("doc_id", "lang").distinct().limit(rows))  # a bounded size
+    return own.join(chosen, ["doc_id", "lang"]).select("text", "lang").limit(rows)
 
 
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = FIT_ROWS) -> Model:
