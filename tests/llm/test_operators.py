@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assocgraph.llm import bpe, chat, components, exact_dedup, fingerprints, fm_index, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
+from assocgraph.llm import bpe, chat, common, components, exact_dedup, fingerprints, fm_index, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
 from assocgraph.llm.common import WORD
 
 SF = "/root/testdata/sf0.001"
@@ -329,6 +329,29 @@ def test_language_accuracy(spark, odd, empty):
     assert langid.predictions(empty).count() == 0 and {r.lang_pred for r in langid.identify(odd, langid.fit_local([])).collect()} == {"und"}
 
 
+def test_language_letters_ties_and_rare_languages(spark):
+    """Number signs are no letters; equal texts tie alike; a rare language has its share of the sample."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(9)), "aa") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(["uno", "dos", "tres", "cuatro"]) for _ in range(9)), "bb") for i in range(6)]
+    rows += [(2000, "½²①Ⅷ 12", "aa"), (2001, None, "aa"), (2002, "x", None), (2003, "same words", "aa"), (2003, "same words", "bb")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.labelled(table, rows=8).collect()
+    assert len(sample) <= 8 and Counter(r.lang for r in sample) == {"aa": 4, "bb": 4}
+    model = langid.fit(table)
+    got = {r.doc_id: r for r in langid.identify(table, model).collect()}
+    assert got[2000].lang_pred == got[2001].lang_pred == "und" and got[2000].score == 0.0
+    assert all(got[i].lang_pred == y for i, t, y in rows if i < 2000)
+    # of languages with the same centroid, the first in the alphabet
+    tied = langid.fit_local([("one two", "zz"), ("one two", "yy")])
+    assert tied.predict(["one two"])[0] == ["yy"]
+    # brute force: cosines with every centroid, one text at a time
+    for i, t, _ in rows[:20]:
+        n = np.log1p(next(langid.blocks([t]))[1][0]) * model.idf
+        near = model.centroids @ (n / np.linalg.norm(n))
+        assert got[i].score == pytest.approx(near.max(), abs=1e-5) and got[i].lang_pred == model.languages[int(near.argmax())]
+
+
 def test_language_counts_whole_long_texts(monkeypatch):
     text = prose(400, 1)
     whole = next(langid.blocks([text]))[1]
@@ -417,6 +440,21 @@ def test_exact_dedup_against_groups(spark, odd, empty):
     assert exact_dedup.unique_rows(odd).columns == odd.columns
 
 
+def test_exact_dedup_of_heavy_texts_and_extreme_ids(spark, monkeypatch):
+    """One text on most rows is dealt over salts; the largest and smallest ids stay what they are."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 5)
+    rows = [(i, "same text" if i % 4 else f"own {i}") for i in range(200)] + [(2**63 - 1, "last"), (-(2**63), "first"), (None, "first"), (None, "alone")]
+    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_groups(frame(spark, rows), salts=4).collect()}
+    sha = lambda t: hashlib.sha256(t.replace(" ", "").encode()).hexdigest()
+    assert all(got[i, sha(t)].keep_id == (1 if i % 4 else i) and got[i, sha(t)].group_size == (150 if i % 4 else 1) for i, t in rows[:200])
+    assert got[2**63 - 1, sha("last")].kept and got[-(2**63), sha("first")].kept and not got[None, sha("first")].kept
+    assert got[None, sha("first")].keep_id == -(2**63) and got[None, sha("alone")].kept and got[None, sha("alone")].keep_id is None
+    twice = frame(spark, rows + rows[:9] * 3)
+    kept = exact_dedup.unique_rows(twice.withColumn("_sha", F.lit(1))).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted([(False, i, t) for i, t in rows[:200] if i % 4 == 0 or i == 1] + [(False, 2**63 - 1, "last"), (False, -(2**63), "first"), (True, 0, "alone")])
+
+
 # ---- op7
 
 
