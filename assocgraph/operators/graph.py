@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import Tables, salted_join
 
 #: The largest 32-bit float: rows whose inverse sum exceeds it count as dead.
 LARGEST = 3.4028234663852886e38
@@ -26,6 +26,32 @@ def from_dense(rows: DataFrame) -> DataFrame:
     return from_edges(flat.withColumn("dst", F.col("dst").cast("long")))
 
 
+def from_csr(rows: DataFrame) -> DataFrame:
+    """Edges of a compressed sparse matrix: rows(row_ptr, col_idx, vals), one row for a matrix or a slice of its rows.
+
+    row_ptr counts from the start of the slice's arrays; `first` (0 without the column) numbers the slice's first row. Arrays
+    that do not fit each other, pointers that fall and columns below 0 are refused with an error.
+    """
+    own = rows if "first" in rows.columns else rows.withColumn("first", F.lit(0))
+    size = F.size("col_idx")
+    falls = F.exists(F.zip_with(F.slice("row_ptr", F.lit(1), F.size("row_ptr") - 1), F.slice("row_ptr", F.lit(2), F.size("row_ptr") - 1), lambda x, y: x > y), lambda x: x)
+    good = (F.size("vals") == size) & (F.size("row_ptr") > 0) & (F.get("row_ptr", F.lit(0)) == 0) & (F.element_at("row_ptr", -1) == size) & ~falls & ~F.exists("col_idx", lambda c: c < 0)
+    checked = own.withColumn("row_ptr", F.when(good, F.col("row_ptr")).otherwise(F.raise_error(F.lit("not a sparse matrix: pointers, columns and values do not fit")).cast("array<bigint>")))
+    cells = checked.select("first", "col_idx", "vals", F.posexplode(F.transform("row_ptr", lambda p, i: F.struct(p.alias("lo"), F.get("row_ptr", i + 1).alias("hi")))).alias("at", "span")).filter("span.hi IS NOT NULL")
+    flat = cells.select((F.col("first") + F.col("at")).cast("long").alias("src"), F.explode(F.arrays_zip(F.expr("slice(col_idx, cast(span.lo + 1 as int), cast(span.hi - span.lo as int))").alias("dst"), F.expr("slice(vals, cast(span.lo + 1 as int), cast(span.hi - span.lo as int))").alias("raw_w"))).alias("c"))
+    return from_edges(flat.select("src", F.col("c.dst").cast("long").alias("dst"), F.col("c.raw_w").alias("raw_w")))
+
+
+def neighbors_out(edges: DataFrame, node: int) -> DataFrame:
+    """node, raw_w of what a node links to, in order of node; edges of weight 0 are listed, too."""
+    return edges.filter(F.col("src") == node).select(F.col("dst").alias("node"), "raw_w").orderBy("node")
+
+
+def neighbors_in(edges: DataFrame, node: int) -> DataFrame:
+    """node, raw_w of what links to a node."""
+    return edges.filter(F.col("dst") == node).select(F.col("src").alias("node"), "raw_w").orderBy("node")
+
+
 def from_links(pages: DataFrame) -> DataFrame:
     """Edges of weight 1 from pages(node, page_id, links_to); links to unknown pages and to oneself are dropped."""
     out = pages.select(F.col("node").alias("src"), F.explode("links_to").alias("target"))
@@ -35,9 +61,11 @@ def from_links(pages: DataFrame) -> DataFrame:
 
 def normalize(edges: DataFrame) -> DataFrame:
     """Adds w, the share of the source's raw weight; 0 in rows without weight or whose inverse sum overflows."""
-    total = F.sum("raw_w").over(Window.partitionBy("src"))
+    own = edges.select("src", "dst", "raw_w")
+    sums = own.groupBy("src").agg(F.sum("raw_w").alias("total"), F.count("*").alias("n"))
+    total = F.col("total")
     alive = (total > 0) & (F.lit(1.0) / F.nullif(total, F.lit(0.0)) <= LARGEST)
-    return edges.select("src", "dst", "raw_w", F.when(alive, F.col("raw_w") / total).otherwise(0.0).alias("w"))
+    return salted_join(own, sums, "src", "n", "dst").select("src", "dst", "raw_w", F.when(alive, F.col("raw_w") / total).otherwise(0.0).alias("w"))
 
 
 def not_stochastic(edges: DataFrame, tolerance: float = 1e-5) -> DataFrame:
@@ -87,17 +115,19 @@ def hops(edges: DataFrame, start: int, directed: bool = True, most: int | None =
     step = edges.select("src", "dst")
     if not directed:
         step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = durable(spark.createDataFrame([(start, 0)], "node long, hop int"))
+    tables = Tables(spark)
+    seen = tables.write("seen", spark.createDataFrame([(start, 0)], "node long, hop int"))
     hop = 0
     while most is None or hop < most:
         front = seen.filter(F.col("hop") == hop).select(F.col("node").alias("src"))
         new = step.join(front, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = durable(new.select("node", F.lit(hop + 1).alias("hop")))
+        new = tables.write("new", new.select("node", F.lit(hop + 1).alias("hop")))
         if not new.head(1):
             break
-        seen, hop = durable(seen.unionByName(new)), hop + 1
+        seen, hop = tables.write("seen", seen.unionByName(new)), hop + 1
         if goal is not None and new.filter(F.col("node") == goal).head(1):
             break
+    tables.drop("new")
     return seen
 
 
@@ -111,15 +141,23 @@ def neighborhood(edges: DataFrame, center: int, most: int = 48) -> DataFrame:
     """node, hop, direction, score of the undirected neighborhood of two hops.
 
     With more than `most` nodes those stay that come first by (hop, score descending, node); the score of a node two hops
-    away is its largest edge, either way, with a direct neighbor, and 0 for others.
+    away is its largest raw weight, either way, with a direct neighbor, and 0 for others.
     """
     reached = hops(edges, center, directed=False, most=2)
     out = edges.filter(F.col("src") == center).select(F.col("dst").alias("node"), F.lit(True).alias("is_out"))
     into = edges.filter(F.col("dst") == center).select(F.col("src").alias("node"), F.lit(True).alias("is_in"))
     first = reached.filter("hop = 1").select(F.col("node").alias("near"))
-    both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    score = both.join(first, F.col("dst") == F.col("near")).groupBy(F.col("src").alias("node")).agg(F.max("w").alias("best"))
+    both = edges.select("src", "dst", "raw_w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "raw_w"))
+    score = both.join(first, F.col("dst") == F.col("near")).groupBy(F.col("src").alias("node")).agg(F.max("raw_w").alias("best"))
     whole = reached.join(out, "node", "left").join(into, "node", "left").join(score, "node", "left")
     direction: Column = F.when(F.col("hop") == 0, "center").when(F.col("is_out") & F.col("is_in"), "both").when(F.col("is_out"), "out").when(F.col("is_in"), "in").otherwise("indirect")
     named = whole.select("node", "hop", direction.alias("direction"), F.when(F.col("hop") == 2, F.coalesce("best", F.lit(0.0))).otherwise(0.0).alias("score"))
     return named.orderBy("hop", F.desc("score"), "node").limit(most)
+
+
+def edges_among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, raw_w of the edges between the nodes (node) of a neighborhood."""
+    own = edges.filter("raw_w > 0").select("src", "dst", "raw_w")
+    for end in ("src", "dst"):
+        own = own.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    return own.select("src", "dst", "raw_w")

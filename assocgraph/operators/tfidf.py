@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import salted_join
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,9 +22,9 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def postings(counts: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
     """node, term, tf, max_tf, w with w = tf / max_tf * (ln(N / df) + 1). N counts documents without terms, too."""
-    top = counts.withColumn("max_tf", F.max("tf").over(Window.partitionBy("node")))
+    top = counts.withColumn("max_tf", F.max("tf").over(Window.partitionBy("node")))  # the terms of one document
     weight = F.col("tf") / F.col("max_tf") * (F.log(F.lit(float(n_docs)) / F.col("df")) + 1)
-    return top.join(df, "term").select("node", "term", "tf", "max_tf", weight.alias("w"))
+    return salted_join(top, df, "term", "df", "node").select("node", "term", "tf", "max_tf", weight.alias("w"))
 
 
 def norms(index: DataFrame) -> DataFrame:

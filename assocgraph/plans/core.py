@@ -71,8 +71,8 @@ def doc_norms(spark: SparkSession, d: str) -> DataFrame:
 
 IGNITE_SQL = f"""{inp.TOKENS_SQL},
 qt AS (SELECT lower(t) AS term, count(*) AS tf FROM (SELECT unnest(regexp_split_to_array('{QUERY}', '[^\\p{{L}}\\p{{N}}]+')) AS t) WHERE strlen(t) > 1 GROUP BY ALL),
-q AS (SELECT term, tf / (SELECT CAST(max(tf) AS DOUBLE) FROM qt) * (ln(n / df) + 1) AS qw FROM qt JOIN df USING (term), n),
-a0 AS (
+q AS MATERIALIZED (SELECT term, tf / (SELECT CAST(max(tf) AS DOUBLE) FROM qt) * (ln(n / df) + 1) AS qw FROM qt JOIN df USING (term), n),
+a0 AS MATERIALIZED (
   SELECT node, dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)) AS a
   FROM (SELECT node, sum(w * qw) AS dot FROM p JOIN q USING (term) GROUP BY node) JOIN nrm USING (node) WHERE norm > 0
 )"""
@@ -94,35 +94,34 @@ def ignite(spark: SparkSession, d: str) -> DataFrame:
     return ignited(spark, d).select("node", r6("a").alias("a"))
 
 
-@register(f"""WITH {inp.TOKENS_SQL}, {inp.CHAIN_SQL},
+@register(f"""WITH {inp.TOKENS_SQL}, {inp.DOC_SQL},
 dots AS (SELECT src AS i, dst AS j, sum(x.w * y.w) AS dot FROM g JOIN p x ON x.node = src JOIN p y ON y.node = dst AND y.term = x.term GROUP BY ALL)
 SELECT src AS i, dst AS j, round(coalesce(dot / (x.norm * y.norm), 0), 6) AS s
 FROM g LEFT JOIN dots ON i = src AND j = dst LEFT JOIN nrm x ON x.node = src LEFT JOIN nrm y ON y.node = dst""")
 def doc_similarity(spark: SparkSession, d: str) -> DataFrame:
     posts = durable(index(spark, d)[2])
-    pairs = inp.chain_edges(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"))
+    pairs = inp.doc_edges(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"))
     return tfidf.similarity(posts, tfidf.norms(posts), pairs).select("i", "j", r6("s").alias("s"))
 
 
-@register(r"""
-WITH old AS (SELECT * FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 <> 0),
-tok AS (SELECT doc_id AS node, lower(t) AS term FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS t FROM documents) WHERE strlen(t) > 1)
-SELECT term, count(DISTINCT node) AS df FROM tok GROUP BY term""")
+@register(f"WITH {inp.TOKENS_SQL} SELECT term, df FROM df")
 def incremental_add(spark: SparkSession, d: str) -> DataFrame:
+    """The frequencies after adding all documents but the English ones to an index of those."""
     docs = table(spark, d, "documents")
-    new = F.col("doc_id") % 5 == 0
-    counts = tfidf.term_counts(docs.filter(~new))
-    return tfidf.add_documents(counts, tfidf.document_frequency(counts), tfidf.term_counts(docs.filter(new)))[1].select("term", "df")
+    first = F.coalesce(F.col("lang") == "en", F.lit(False))
+    counts = tfidf.term_counts(docs.filter(first))
+    return tfidf.add_documents(counts, tfidf.document_frequency(counts), tfidf.term_counts(docs.filter(~first)))[1].select("term", "df")
 
 
 @register(r"""
-WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 200) || ' fresh words' ELSE text END AS text FROM documents),
+WITH docs AS (SELECT doc_id, CASE WHEN lang = 'en' THEN replace(text, 'the', 'this') || ' fresh words' ELSE text END AS text FROM documents),
 tok AS (SELECT doc_id AS node, lower(t) AS term FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS t FROM docs) WHERE strlen(t) > 1)
 SELECT term, count(DISTINCT node) AS df FROM tok GROUP BY term""")
 def incremental_update(spark: SparkSession, d: str) -> DataFrame:
+    """The frequencies after every English document got a new text."""
     docs = table(spark, d, "documents")
     counts = durable(tfidf.term_counts(docs))
-    changed = docs.filter(F.col("doc_id") % 5 == 0).select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" fresh words")).alias("text"))
+    changed = docs.filter("lang = 'en'").select("doc_id", F.concat(F.replace("text", F.lit("the"), F.lit("this")), F.lit(" fresh words")).alias("text"))
     return tfidf.update_documents(counts, tfidf.document_frequency(counts), durable(tfidf.term_counts(changed)))[1].select("term", "df")
 
 
@@ -130,21 +129,22 @@ def incremental_update(spark: SparkSession, d: str) -> DataFrame:
 
 PAGE_SQL = r"""
 SELECT node, lower(regexp_replace(path, '\.[^./]*$', '')) AS page_id,
-       lower(regexp_extract(body, '\[\[([^\]|]+)', 1)) AS first_link,
+       (SELECT string_agg(t, ' ' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i) GROUP BY t)) AS links,
        regexp_extract(body, '(?m)^[ \t]*# +(\S.*?)[ \t\r]*$', 1) AS title,
-       CAST(greatest(1, strlen(body) // 4) AS BIGINT) AS cost FROM wiki"""
+       CAST(greatest(1, strlen(body) // 4) AS BIGINT) AS cost FROM (SELECT *, list_transform(regexp_extract_all(body, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1), lambda x: lower(x)) AS ts FROM wiki)"""
 
 
 @register(f"WITH {inp.WIKI_SQL} {PAGE_SQL}")
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
     pages = inp.wiki(spark, d)
     body = F.col("body")
-    return pages.select("node", tx.page_id(F.col("path")).alias("page_id"), F.coalesce(F.get(tx.links(body), F.lit(0)), F.lit("")).alias("first_link"), tx.title(body, F.lit("")).alias("title"), tx.token_cost(body).alias("cost"))
+    return pages.select("node", tx.page_id(F.col("path")).alias("page_id"), F.array_join(tx.links(body), " ").alias("links"), tx.title(body, F.lit("")).alias("title"), tx.token_cost(body).alias("cost"))
 
 
 @register(f"""WITH {inp.WIKI_SQL}, ids AS (SELECT node, lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id FROM wiki),
-l AS (SELECT node AS src, lower(regexp_extract(body, '\\[\\[([^\\]|]+)', 1)) AS target FROM wiki)
-SELECT src, node AS dst, 1.0::DOUBLE AS raw_w, 1.0::DOUBLE AS w FROM l JOIN ids ON page_id = target WHERE node <> src""")
+l AS (SELECT DISTINCT node AS src, lower(unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1))) AS target FROM wiki),
+g AS (SELECT src, node AS dst, 1.0::DOUBLE AS raw_w FROM l JOIN ids ON page_id = target WHERE node <> src)
+SELECT src, dst, raw_w, raw_w / sum(raw_w) OVER (PARTITION BY src) AS w FROM g""")
 def link_graph(spark: SparkSession, d: str) -> DataFrame:
     pages = inp.wiki(spark, d).select("node", tx.page_id(F.col("path")).alias("page_id"), tx.links(F.col("body")).alias("links_to"))
     return graph.normalize(graph.from_links(pages))
@@ -157,11 +157,11 @@ def page_categories(spark: SparkSession, d: str) -> DataFrame:
     return categories(inp.wiki(spark, d)).select("node", "category")
 
 
-@register(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS full_slug,
-coalesce(nullif(left(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'case') || '-' || doc_id AS page_id FROM documents""")
+@register(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS whole FROM documents)
+SELECT doc_id, sha256(coalesce(nullif(whole, ''), 'case')) AS full_slug, coalesce(nullif(left(whole, 80), ''), 'case') || '-' || doc_id AS page_id FROM s""")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    name = F.left("text", F.lit(120))
-    return table(spark, d, "documents").select("doc_id", tx.slug(name, 10_000).alias("full_slug"), tx.case_page_id(F.lit(""), name, F.col("doc_id")).alias("page_id"))
+    name = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.sha2(tx.slug(name, 2**31 - 1).cast("binary"), 256).alias("full_slug"), tx.case_page_id(F.lit(""), name, F.col("doc_id")).alias("page_id"))
 
 
 ENTITY_SQL = "html"
@@ -188,9 +188,13 @@ def row_normalize(spark: SparkSession, d: str) -> DataFrame:
     return graph.normalize(inp.session_edges(spark, d)).select("src", "dst", "raw_w", r6("w").alias("w"))
 
 
-@register("SELECT CAST(0 AS BIGINT) AS n_bad")
+@register(f"""WITH {inp.SESSION_SQL}, t AS (SELECT src, sum(raw_w) AS total FROM g GROUP BY src), s AS (SELECT src, sum(w) AS total FROM e GROUP BY src)
+SELECT (SELECT count(*) FROM t WHERE abs(total - 1) > 1e-5) AS n_bad_raw, (SELECT count(*) FROM s WHERE abs(total - 1) > 1e-5) AS n_bad""")
 def row_stochastic_check(spark: SparkSession, d: str) -> DataFrame:
-    return graph.not_stochastic(graph.normalize(inp.session_edges(spark, d))).agg(F.count("*").alias("n_bad"))
+    """Rows that do not sum to 1, taking the raw weights and the normalized ones."""
+    edges = inp.session_graph(spark, d)
+    raw = graph.not_stochastic(edges.withColumn("w", F.col("raw_w"))).agg(F.count("*").alias("n_bad_raw"))
+    return raw.crossJoin(graph.not_stochastic(edges).agg(F.count("*").alias("n_bad")))  # one row each
 
 
 @register(f"WITH {inp.SESSION_SQL}, {inp.NODES_SQL} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round((SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1.0)), 9) AS density")
@@ -209,31 +213,74 @@ def hubs(spark: SparkSession, d: str) -> DataFrame:
     return graph.hubs(inp.session_edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), 20)
 
 
-@register(f"""WITH RECURSIVE {inp.TRADE_SQL}, r AS (
-  SELECT CAST(0 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON src = node WHERE hop < 25)
-SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+REACH_SQL = f"""WITH RECURSIVE {inp.DOC_SQL}, x AS (
+  SELECT CAST(0 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM x JOIN e ON src = node WHERE hop < 40),
+r AS (SELECT node, min(hop) AS hop FROM x GROUP BY node)"""
+
+
+@register(f"{REACH_SQL} SELECT node, hop FROM r")
 def breadth_first(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hops(inp.trade_graph(spark, d), 0)
+    return graph.hops(inp.doc_graph(spark, d), 0)
 
 
-@register(f"""WITH RECURSIVE {inp.TRADE_SQL}, r AS (
-  SELECT CAST(0 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON src = node WHERE hop < 25)
-SELECT CAST(0 AS BIGINT) AS start, CAST(g AS BIGINT) AS goal, (SELECT min(hop) FROM r WHERE node = g) AS hops FROM (VALUES (7), (13)) t(g)""")
+@register(f"{REACH_SQL} SELECT CAST(0 AS BIGINT) AS start, CAST(g AS BIGINT) AS goal, (SELECT hop FROM r WHERE node = g) AS hops FROM (VALUES (7), (113)) t(g)")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    edges = inp.trade_graph(spark, d)
-    return spark.createDataFrame([(0, goal, graph.shortest_path(edges, 0, goal)) for goal in (7, 13)], "start long, goal long, hops int")
-
-
-@register(f"""WITH {inp.TRADE_SQL}, u AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e),
-h1 AS (SELECT DISTINCT dst AS node FROM u WHERE src = 3 AND dst <> 3),
-h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node WHERE dst <> 3 AND dst NOT IN (SELECT node FROM h1)),
-h AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)
-SELECT node, hop, CASE WHEN hop = 0 THEN 'center' WHEN o AND i THEN 'both' WHEN o THEN 'out' WHEN i THEN 'in' ELSE 'indirect' END AS direction, round(score, 6) AS score
-FROM (SELECT *, EXISTS (SELECT 1 FROM e WHERE src = 3 AND dst = h.node) AS o, EXISTS (SELECT 1 FROM e WHERE dst = 3 AND src = h.node) AS i,
-      CASE WHEN hop = 2 THEN coalesce((SELECT max(w) FROM u WHERE u.src = h.node AND u.dst IN (SELECT node FROM h1)), 0) ELSE 0 END AS score FROM h)
-ORDER BY hop, score DESC, node LIMIT 12""")
+    edges = inp.doc_graph(spark, d)
+    return spark.createDataFrame([(0, goal, graph.shortest_path(edges, 0, goal)) for goal in (7, 113)], "start long, goal long, hops int")
+
+
+NEAR_SQL = f"""WITH {inp.DOC_SQL}, u AS (SELECT src, dst, raw_w FROM e UNION ALL SELECT dst, src, raw_w FROM e),
+h1 AS (SELECT DISTINCT dst AS node FROM u WHERE src = 12 AND dst <> 12),
+h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node WHERE dst <> 12 AND dst NOT IN (SELECT node FROM h1)),
+h AS (SELECT CAST(12 AS BIGINT) AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2),
+near AS (
+  SELECT node, hop, CASE WHEN hop = 0 THEN 'center' WHEN o AND i THEN 'both' WHEN o THEN 'out' WHEN i THEN 'in' ELSE 'indirect' END AS direction, round(score, 6) AS score
+  FROM (SELECT *, EXISTS (SELECT 1 FROM e WHERE src = 12 AND dst = h.node) AS o, EXISTS (SELECT 1 FROM e WHERE dst = 12 AND src = h.node) AS i,
+        CASE WHEN hop = 2 THEN coalesce((SELECT max(raw_w) FROM u WHERE u.src = h.node AND u.dst IN (SELECT node FROM h1)), 0) ELSE 0 END AS score FROM h)
+  ORDER BY hop, score DESC, node LIMIT 14)"""
+
+
+@register(f"{NEAR_SQL} SELECT * FROM near")
 def neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighborhood(inp.trade_graph(spark, d), 3, most=12).withColumn("score", r6("score"))
+    """Two hops around document 12; the limit is below the number of nodes, so raw weights decide who stays."""
+    return graph.neighborhood(inp.doc_graph(spark, d), 12, most=14).withColumn("score", r6("score"))
+
+
+@register(f"{NEAR_SQL} SELECT src, dst, raw_w FROM e WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
+def neighborhood_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = inp.doc_graph(spark, d)
+    return graph.edges_among(edges, durable(graph.neighborhood(edges, 12, most=14)))
+
+
+@register(f"WITH {inp.DOC_SQL} SELECT 'out' AS side, dst AS node, raw_w FROM g WHERE src = 12 UNION ALL SELECT 'in', src, raw_w FROM g WHERE dst = 12")
+def neighbors(spark: SparkSession, d: str) -> DataFrame:
+    edges = inp.doc_edges(spark, d)
+    side = lambda name, df: df.select(F.lit(name).alias("side"), "node", "raw_w")
+    return side("out", graph.neighbors_out(edges, 12)).unionByName(side("in", graph.neighbors_in(edges, 12)))
+
+
+@register(f"WITH {inp.DOC_SQL} SELECT e.src, e.dst, e.raw_w, round(e.w, 6) AS w, coalesce(b.raw_w, 0) AS back FROM e LEFT JOIN e b ON b.src = e.dst AND b.dst = e.src")
+def edge_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Each edge with the weight of the edge back, 0 without one."""
+    edges = inp.doc_graph(spark, d)
+    back = graph.weight(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("raw_w").alias("back"))
+    return edges.join(back, ["src", "dst"]).select("src", "dst", "raw_w", r6("w").alias("w"), "back")
+
+
+@register("""SELECT CAST(vec_id AS BIGINT) AS src, CAST(dst - 1 AS BIGINT) AS dst, raw_w FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS dst, CAST(unnest(embedding) AS DOUBLE) AS raw_w FROM embeddings)
+WHERE raw_w > 0 AND vec_id <> dst - 1""")
+def dense_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as the rows of a dense matrix; negative weights and loops are no edges."""
+    return graph.from_dense(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("src"), F.col("embedding").cast("array<double>").alias("weights")))
+
+
+@register("""SELECT CAST(vec_id AS BIGINT) AS src, CAST(dst - 1 AS BIGINT) AS dst, raw_w FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS dst, CAST(unnest(embedding) AS DOUBLE) AS raw_w FROM embeddings)
+WHERE raw_w > 0 AND vec_id <> dst - 1""")
+def sparse_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The same, each row a slice of a compressed sparse matrix."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("first"), F.col("embedding").cast("array<double>").alias("vals"))
+    size = F.size("vals").cast("long")
+    return graph.from_csr(rows.select("first", "vals", F.array(F.lit(0).cast("long"), size).alias("row_ptr"), F.sequence(F.lit(0).cast("long"), size - 1).alias("col_idx")))
 
 
 @register(f"""WITH {inp.SESSION_SQL}, c AS (SELECT src, dst, CASE WHEN (src + dst) % 7 = 0 THEN 0.0 ELSE 2.5 END AS new_w FROM g WHERE (src + dst) % 3 = 0 OR (src + dst) % 7 = 0),
@@ -252,9 +299,9 @@ def set_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def spread_sql(f: str, k: int) -> str:
     """A chain of k common table expressions, each one step; f is the threshold over column a."""
-    parts = [f"WITH {inp.TRADE_SQL}, s AS (SELECT CAST(x AS BIGINT) AS node, 0.5::DOUBLE AS a FROM (VALUES (0), (7)) t(x)), a0 AS (SELECT * FROM s)"]
+    parts = [f"WITH {inp.DOC_SQL}, s AS MATERIALIZED (SELECT CAST(x AS BIGINT) AS node, 0.5::DOUBLE AS a FROM (VALUES (0), (7)) t(x)), a0 AS (SELECT * FROM s)"]
     for i in range(1, k + 1):
-        parts.append(f"f{i} AS (SELECT dst AS node, 0.8 * sum(w * fa) AS flow FROM e JOIN (SELECT node AS src, {f} AS fa FROM a{i - 1}) USING (src) WHERE fa <> 0 GROUP BY dst), a{i} AS (SELECT node, coalesce(0.2 * s.a, 0) + coalesce(flow, 0) AS a FROM s FULL JOIN f{i} USING (node))")
+        parts.append(f"f{i} AS (SELECT dst AS node, 0.8 * sum(w * fa) AS flow FROM e JOIN (SELECT node AS src, {f} AS fa FROM a{i - 1}) USING (src) WHERE fa <> 0 GROUP BY dst), a{i} AS MATERIALIZED (SELECT node, coalesce(0.2 * s.a, 0) + coalesce(flow, 0) AS a FROM s FULL JOIN f{i} USING (node))")
     return ", ".join(parts)
 
 
@@ -266,7 +313,7 @@ LINEAR, HARD, SIGMOID = "a", "CASE WHEN a >= 0.01 THEN a ELSE 0 END", "a / (1 +
 
 
 def k_steps(spark: SparkSession, d: str, f: spread.Threshold) -> DataFrame:
-    return spread.steps(inp.trade_graph(spark, d), seeds(spark), f, 6).select("node", r6("a").alias("a"))
+    return spread.steps(inp.doc_graph(spark, d), seeds(spark), f, 6).select("node", r6("a").alias("a"))
 
 
 @register(f"{spread_sql(LINEAR, 6)} SELECT node, round(a, 6) AS a FROM a6")
@@ -287,12 +334,12 @@ def spread_sigmoid(spark: SparkSession, d: str) -> DataFrame:
 @register(f"{spread_sql(SIGMOID, 30)} SELECT node, round(a, 5) AS a FROM a30")
 def spread_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     """Converged within 1e-8, so thirty fixed steps give the same five digits."""
-    return spread.spread(inp.trade_graph(spark, d), seeds(spark), spread.sigmoid()).activation.select("node", F.round("a", 5).alias("a"))
+    return spread.spread(inp.doc_graph(spark, d), seeds(spark), spread.sigmoid()).activation.select("node", F.round("a", 5).alias("a"))
 
 
 @register(f"{spread_sql(LINEAR, 2)}, x AS (SELECT sum(abs(coalesce(p.a, 0) - coalesce(q.a, 0))) AS l1 FROM a2 p FULL JOIN a1 q USING (node)), y AS (SELECT 0.8 * sum(abs(coalesce(p.a, 0) - coalesce(q.a, 0))) AS l1 FROM a1 p FULL JOIN a0 q USING (node)) SELECT round(x.l1, 6) AS after, round(y.l1, 6) AS bound FROM x, y")
 def contraction_distance(spark: SparkSession, d: str) -> DataFrame:
-    e, s, f = inp.trade_graph(spark, d), seeds(spark), spread.no_threshold()
+    e, s, f = inp.doc_graph(spark, d), seeds(spark), spread.no_threshold()
     first = spread.step(e, s, s, f, 0.8)
     return spread.contraction(e, s, s, first, f).select(r6("after").alias("after"), r6("bound").alias("bound"))
 

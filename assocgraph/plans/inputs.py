@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -10,18 +10,17 @@ from ..session import durable, table
 
 
 def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, raw_w: from each user to the user of the next event of the same type and day."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    order = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    moves = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).filter("dst IS NOT NULL")
-    return graph.from_edges(moves.withColumn("raw_w", F.lit(1.0)))
+    """src, dst, raw_w: from each user to the user of the event with the next number, if it is of the same day."""
+    events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), F.col("user_id").alias("src"))
+    after = events.select((F.col("event_id") - 1).alias("event_id"), "day", F.col("src").alias("dst"))
+    return graph.from_edges(events.join(after, ["event_id", "day"]).select("src", "dst", F.lit(1.0).alias("raw_w")))
 
 
 SESSION_SQL = """
 g AS (
-  SELECT src, dst, CAST(count(*) AS DOUBLE) AS raw_w FROM (
-    SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events)
-  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst
+  SELECT a.user_id AS src, b.user_id AS dst, CAST(count(*) AS DOUBLE) AS raw_w
+  FROM events a JOIN events b ON b.event_id = a.event_id + 1 AND CAST(b.ts AS DATE) = CAST(a.ts AS DATE)
+  WHERE a.user_id <> b.user_id GROUP BY ALL
 ), e AS (SELECT src, dst, raw_w, raw_w / sum(raw_w) OVER (PARTITION BY src) AS w FROM g)
 """
 
@@ -38,78 +37,59 @@ def session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NODES_SQL = "n AS (SELECT user_id AS node, count(*) + 1 AS cost FROM events GROUP BY user_id)"
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
-    """src, dst, raw_w: line items from a supplier's nation to a customer's; the strongest `top` of each source."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("dst"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("src"))
-    counted = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey").groupBy("src", "dst").agg(F.count("*").cast("double").alias("raw_w"))
-    edges = graph.from_edges(counted)
-    if top is None:
-        return edges
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("raw_w"), "dst"))
-    return edges.withColumn("r", rank).filter(F.col("r") <= top).drop("r")
+def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, raw_w: from each document to those with the next, the double and half of its number, of weight 1, 2 and 0.5."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    i, to = F.col("doc_id"), lambda dst, w: F.struct(dst.cast("long").alias("dst"), F.lit(w).alias("raw_w"))
+    links = F.explode(F.array(to(i + 1, 1.0), to(i * 2, 2.0), to(F.expr("doc_id DIV 2"), 0.5))).alias("e")
+    out = ids.select(i.alias("src"), links).select("src", "e.dst", "e.raw_w")
+    return graph.from_edges(out.join(ids.select(i.alias("dst")), "dst", "left_semi"))
 
 
-TRADE_SQL = """
-g AS (
-  SELECT src, dst, raw_w FROM (
-    SELECT *, row_number() OVER (PARTITION BY src ORDER BY raw_w DESC, dst) AS r FROM (
-      SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS raw_w
-      FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-      GROUP BY 1, 2) WHERE src <> dst)
-  WHERE r <= 3
-), e AS (SELECT src, dst, raw_w, raw_w / sum(raw_w) OVER (PARTITION BY src) AS w FROM g)
+DOC_SQL = """
+g AS MATERIALIZED (
+  SELECT src, dst, sum(raw_w) AS raw_w FROM (
+    SELECT doc_id AS src, doc_id + 1 AS dst, 1.0::DOUBLE AS raw_w FROM documents
+    UNION ALL SELECT doc_id, doc_id * 2, 2.0 FROM documents UNION ALL SELECT doc_id, doc_id // 2, 0.5 FROM documents)
+  WHERE src <> dst AND dst IN (SELECT doc_id FROM documents) GROUP BY ALL
+), e AS MATERIALIZED (SELECT src, dst, raw_w, raw_w / sum(raw_w) OVER (PARTITION BY src) AS w FROM g)
 """
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return durable(graph.normalize(trade_edges(spark, sf_dir)))
-
-
-def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, raw_w: from each document to the next of its source, by id."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.lead("doc_id").over(order).alias("dst"))
-    return rows.filter("dst IS NOT NULL").withColumn("raw_w", F.lit(1.0))
-
-
-CHAIN_SQL = """
-g AS (
-  SELECT src, dst, 1.0 AS raw_w FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents)
-  WHERE dst IS NOT NULL
-), e AS (SELECT src, dst, raw_w, 1.0 AS w FROM g)
-"""
+def doc_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return durable(graph.normalize(doc_edges(spark, sf_dir)))
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node, path, body: documents as markdown pages `<source>/Doc <id>.md`, each with a link to the next of its source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.lead("doc_id").over(order).alias("next"))
-    body = F.concat(F.lit("# "), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.coalesce(F.concat(F.lit(" See [["), "source", F.lit("/Doc-"), F.col("next").cast("string"), F.lit("|next]].")), F.lit("")))
-    return docs.select(F.col("doc_id").alias("node"), F.concat("source", F.lit("/Doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
+    """node, path, body, lang: documents as markdown pages `shelf-<k>/Doc-<id>.md` with links to the pages of the next and the
+    double number."""
+    name = lambda i: F.concat(F.lit("shelf-"), (i % 10).cast("string"), F.lit("/Doc-"), i.cast("string"))
+    i = F.col("doc_id")
+    links = F.concat(F.lit(" See [["), name(i + 1), F.lit("|next]] and [["), name(i * 2), F.lit("]]."))
+    body = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit(" "), i.cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")), links)
+    return table(spark, sf_dir, "documents").select(i.alias("node"), F.concat(name(i), F.lit(".md")).alias("path"), body.alias("body"), "lang")
 
 
 WIKI_SQL = """
 wiki AS (
-  SELECT doc_id AS node, source || '/Doc-' || doc_id || '.md' AS path,
-         '# ' || source || ' ' || doc_id || chr(10) || chr(10) || text || coalesce(' See [[' || source || '/Doc-' || nxt || '|next]].', '') AS body
-  FROM (SELECT doc_id, source, text, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents)
+  SELECT doc_id AS node, 'shelf-' || doc_id % 10 || '/Doc-' || doc_id || '.md' AS path, lang,
+         '# ' || coalesce(source, '') || ' ' || doc_id || chr(10) || chr(10) || coalesce(text, '') ||
+         ' See [[shelf-' || (doc_id + 1) % 10 || '/Doc-' || doc_id + 1 || '|next]] and [[shelf-' || doc_id * 2 % 10 || '/Doc-' || doc_id * 2 || ']].' AS body
+  FROM documents
 )
 """
 
 TOKENS_SQL = r"""
-tok AS (
+tok AS MATERIALIZED (
   SELECT doc_id AS node, lower(t) AS term FROM (
     SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}]+')) AS t FROM documents) WHERE strlen(t) > 1
-), tf AS (SELECT node, term, count(*) AS tf FROM tok GROUP BY ALL),
+), tf AS MATERIALIZED (SELECT node, term, count(*) AS tf FROM tok GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
-p AS (
+p AS MATERIALIZED (
   SELECT node, term, tf, max_tf, tf / max_tf * (ln(n / df) + 1) AS w
   FROM (SELECT *, CAST(max(tf) OVER (PARTITION BY node) AS DOUBLE) AS max_tf FROM tf) JOIN df USING (term), n
-), nrm AS (SELECT node, CAST(max(max_tf) AS BIGINT) AS max_tf, sqrt(sum(w * w)) AS norm FROM p GROUP BY node)
+), nrm AS MATERIALIZED (SELECT node, CAST(max(max_tf) AS BIGINT) AS max_tf, sqrt(sum(w * w)) AS norm FROM p GROUP BY node)
 """
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import etl, generate, graph, metrics, pages, retrieve, temporal, tfidf
+from ..operators import etl, generate, graph, metrics, pages, retrieve, spread, temporal, tfidf
 from ..session import durable, table
 from ..streaming import access
 from . import inputs as inp
-from .core import GREEDY_SQL, IGNITE_SQL, MARKUP_SQL, QUERY, SIGMOID, index, r6, register
+from .core import GREEDY_SQL, HARD, IGNITE_SQL, MARKUP_SQL, QUERY, REACH_SQL, SIGMOID, index, r6, register
 
 # ---- maintenance ---------------------------------------------------------------------------------------------------
 
@@ -52,45 +52,90 @@ def prune(spark: SparkSession, d: str) -> DataFrame:
     return temporal.prune_candidates(state, history, now, 0.004, 5)
 
 
-@register(f"""WITH {inp.TOKENS_SQL}, {inp.CHAIN_SQL},
-s AS (SELECT x.node AS i, y.node AS j, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS s
-      FROM p x JOIN p y ON y.node = x.node + 1 AND y.term = x.term JOIN nrm a ON a.node = x.node JOIN nrm b ON b.node = y.node GROUP BY ALL),
-b AS (SELECT i AS src, j AS dst, s FROM s UNION ALL SELECT j, i, s FROM s)
-SELECT src, dst, round(s, 6) AS s FROM b WHERE s > 0.3 AND src % 11 <> 0 AND dst % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM g WHERE g.src = b.src AND g.dst = b.dst)""")
-def dream(spark: SparkSession, d: str) -> DataFrame:
+def dream_sql(threshold: float) -> str:
+    """Common table expressions: s (cosines of all pairs above the threshold) and dreams (both ways, where no edge is)."""
+    return f"""{inp.TOKENS_SQL}, {inp.DOC_SQL},
+dot AS (SELECT x.node AS i, y.node AS j, sum(x.w * y.w) AS dot FROM p x JOIN p y ON y.node > x.node AND y.term = x.term GROUP BY ALL),
+s AS (SELECT i, j, dot / (a.norm * b.norm) AS s FROM dot JOIN nrm a ON a.node = i JOIN nrm b ON b.node = j WHERE dot / (a.norm * b.norm) > {threshold}),
+dreams AS (SELECT * FROM (SELECT i AS src, j AS dst, s FROM s UNION ALL SELECT j, i, s FROM s) x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = x.src AND g.dst = x.dst))"""
+
+
+ALIVE_SQL = "alive AS (SELECT doc_id AS node FROM documents WHERE lang IS DISTINCT FROM 'es')"
+
+
+def doc_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every document but the Spanish ones is alive, none was accessed yet."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("last_access"), (~F.col("lang").eqNullSafe("es")).alias("alive"))
+
+
+def dreamed(spark: SparkSession, d: str, threshold: float) -> DataFrame:
     posts = durable(index(spark, d)[2])
-    docs = table(spark, d, "documents").select("doc_id")
-    pairs = docs.select(F.col("doc_id").alias("i"), (F.col("doc_id") + 1).alias("j")).join(docs.select(F.col("doc_id").alias("j")), "j", "left_semi").select("i", "j")
-    state = docs.select(F.col("doc_id").alias("node"), F.lit(0).alias("last_access"), (F.col("doc_id") % 11 != 0).alias("alive"))
-    sims = tfidf.similarity(posts, tfidf.norms(posts), pairs)
-    return temporal.dream_candidates(inp.chain_edges(spark, d), state, sims, 0.3).select("src", "dst", r6("s").alias("s"))
-
-
-@register(f"""WITH {inp.TOKENS_SQL}, {inp.CHAIN_SQL},
-s AS (SELECT x.node AS i, y.node AS j, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS s
-      FROM p x JOIN p y ON y.node > x.node AND y.term = x.term JOIN nrm a ON a.node = x.node JOIN nrm b ON b.node = y.node GROUP BY ALL),
-b AS (SELECT i AS src, j AS dst, s FROM s UNION ALL SELECT j, i, s FROM s)
-SELECT src, dst, round(s, 6) AS s FROM b WHERE s > 0.3 AND src % 11 <> 0 AND dst % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM g WHERE g.src = b.src AND g.dst = b.dst)""")
+    sims = tfidf.similar_pairs(posts, tfidf.norms(posts), threshold)
+    return temporal.dream_candidates(inp.doc_edges(spark, d), doc_state(spark, d), sims, threshold).select("src", "dst", r6("s").alias("s"))
+
+
+DREAM_SQL = "SELECT src, dst, round(s, 6) AS s FROM dreams WHERE src IN (FROM alive) AND dst IN (FROM alive)"
+
+
+@register(f"WITH {dream_sql(0.5)}, {ALIVE_SQL} {DREAM_SQL}")
+def dream(spark: SparkSession, d: str) -> DataFrame:
+    """Links that a maintenance cycle dreams of: among all pairs, above its usual threshold."""
+    return dreamed(spark, d, 0.5)
+
+
+@register(f"WITH {dream_sql(0.3)}, {ALIVE_SQL} {DREAM_SQL}")
 def dream_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Dream candidates among all pairs of documents; `dream` asks for neighbours by id only."""
-    posts = durable(index(spark, d)[2])
-    state = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(0).alias("last_access"), (F.col("doc_id") % 11 != 0).alias("alive"))
-    sims = tfidf.similar_pairs(posts, tfidf.norms(posts), 0.3)
-    return temporal.dream_candidates(inp.chain_edges(spark, d), state, sims, 0.3).select("src", "dst", r6("s").alias("s"))
+    """The same with a low threshold: many more pairs."""
+    return dreamed(spark, d, 0.3)
 
 
-def probe_sql(k: int) -> str:
-    parts = [f"WITH {inp.TRADE_SQL}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS probe, CAST(n_nationkey AS BIGINT) AS node, 1.0::DOUBLE AS a FROM nation ORDER BY n_nationkey LIMIT 3), a0 AS (SELECT * FROM s)"]
+def probe_sql(k: int, edges: str, alive: str) -> str:
+    """Common table expressions for k linear steps from the first ten living nodes; a<k> is the last."""
+    parts = [f"probes AS MATERIALIZED (SELECT node AS probe, node, 1.0::DOUBLE AS a FROM {alive} ORDER BY node LIMIT 10), pa0 AS (SELECT * FROM probes)"]
     for i in range(1, k + 1):
-        parts.append(f"f{i} AS (SELECT probe, dst AS node, 0.8 * sum(w * a) AS flow FROM e JOIN a{i - 1} ON src = node GROUP BY probe, dst), a{i} AS (SELECT probe, node, coalesce(0.2 * s.a, 0) + coalesce(flow, 0) AS a FROM s FULL JOIN f{i} USING (probe, node))")
+        parts.append(f"pf{i} AS (SELECT probe, dst AS node, 0.8 * sum(w * a) AS flow FROM {edges} JOIN pa{i - 1} ON src = node GROUP BY probe, dst), pa{i} AS MATERIALIZED (SELECT probe, node, coalesce(0.2 * s.a, 0) + coalesce(flow, 0) AS a FROM probes s FULL JOIN pf{i} USING (probe, node))")
     return ", ".join(parts)
 
 
-@register(f"{probe_sql(8)} SELECT round(count(DISTINCT node) / (SELECT count(*) FROM nation), 6) AS health FROM a8 WHERE a > 0.05")
+def health_sql(alive: str, k: int = 50) -> str:
+    return f"(SELECT count(DISTINCT node) FROM pa{k} WHERE a > 0.01 AND node IN (SELECT node FROM {alive})) / (SELECT count(*) FROM {alive})"
+
+
+@register(f"WITH {inp.DOC_SQL}, {ALIVE_SQL}, {probe_sql(50, 'e', 'alive')} SELECT round({health_sql('alive')}, 6) AS health")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    state = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.lit(0).alias("last_access"), F.lit(True).alias("alive"))
-    config = temporal.Config(probes=3, probe_steps=8, activation_threshold=0.05)
-    return temporal.health(inp.trade_graph(spark, d), state, config).select(r6("health").alias("health"))
+    return temporal.health(inp.doc_graph(spark, d), doc_state(spark, d)).select(r6("health").alias("health"))
+
+
+def linear_sql(k: int) -> str:
+    """k linear steps from even activation; la<k> is the last."""
+    parts = ["la0 AS MATERIALIZED (SELECT doc_id AS node, 1.0::DOUBLE / (SELECT count(*) FROM documents) AS a FROM documents)"]
+    for i in range(1, k + 1):
+        parts.append(f"lf{i} AS (SELECT dst AS node, 0.8 * sum(w * a) AS flow FROM e JOIN la{i - 1} ON src = node GROUP BY dst), la{i} AS MATERIALIZED (SELECT node, coalesce(0.2 * s.a, 0) + coalesce(flow, 0) AS a FROM la0 s FULL JOIN lf{i} USING (node))")
+    return ", ".join(parts)
+
+
+CYCLE_SQL = f"""{dream_sql(0.5)}, {linear_sql(85)},
+st AS (SELECT doc_id AS node, CASE WHEN a > 0.002 THEN 1 ELSE 0 END AS last_access FROM documents JOIN la85 ON node = doc_id),
+{ALIVE_SQL},
+dec AS (SELECT src, dst, raw_w * exp(-0.05 * (1 - last_access)) AS raw_w FROM g JOIN st ON node = src),
+un AS (SELECT src, dst, sum(raw_w) AS raw_w FROM (SELECT * FROM dec UNION ALL SELECT src, dst, 0.5 FROM dreams WHERE src IN (FROM alive) AND dst IN (FROM alive)) GROUP BY ALL),
+ne AS MATERIALIZED (SELECT src, dst, raw_w, raw_w / sum(raw_w) OVER (PARTITION BY src) AS w FROM un)"""
+
+
+def one_cycle(spark: SparkSession, d: str) -> temporal.Cycle:
+    """A whole maintenance cycle over the documents: even activation, all similar pairs, ten probes of fifty steps."""
+    posts = durable(index(spark, d)[2])
+    n = posts.sparkSession.read.parquet(f"{d}/documents.parquet").count()
+    start = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(1.0 / max(1, n)).alias("a"))
+    history = spark.createDataFrame([], "step long, node long, a double")
+    config = temporal.Config(activation_threshold=0.002)
+    return temporal.cycle(inp.doc_graph(spark, d), doc_state(spark, d), history, start, tfidf.similar_pairs(posts, tfidf.norms(posts), config.similarity_threshold), 1, config)
+
+
+@register(f"WITH {CYCLE_SQL} SELECT src, dst, round(raw_w, 6) AS raw_w, round(w, 6) AS w FROM ne")
+def maintain(spark: SparkSession, d: str) -> DataFrame:
+    """The edges after one maintenance cycle. Documents whose activation passed 0.002 count as accessed."""
+    return one_cycle(spark, d).edges.select("src", "dst", r6("raw_w").alias("raw_w"), r6("w").alias("w"))
 
 
 # ---- metrics -------------------------------------------------------------------------------------------------------
@@ -106,21 +151,19 @@ def recall_precision_f1(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recall_precision(found, relevant).select(*[r6(c).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@register(f"""WITH RECURSIVE {inp.TRADE_SQL}, r AS (SELECT CAST(0 AS BIGINT) AS item, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON src = item WHERE hop < 25),
-h AS (SELECT item, min(hop) AS hop FROM r GROUP BY item)
-SELECT hop, round(sum(CASE WHEN item < 12 THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM h GROUP BY hop""")
+@register(f"{REACH_SQL} SELECT hop, round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM r LEFT JOIN labels ON doc_id = node GROUP BY hop")
 def hop_recall(spark: SparkSession, d: str) -> DataFrame:
-    relevant = graph.hops(inp.trade_graph(spark, d), 0).withColumnRenamed("node", "item")
-    found = table(spark, d, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").cast("long").alias("item"))
+    relevant = graph.hops(inp.doc_graph(spark, d), 0).withColumnRenamed("node", "item")
+    found = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"))
     return metrics.hop_recall(found, relevant).select("hop", r6("recall").alias("recall"))
 
 
-@register("""WITH v AS (SELECT vec_id // 10 AS chunk, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 7 <> 6),
+@register("""WITH v AS (SELECT vec_id // 10 AS chunk, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT x.chunk, list_cosine_similarity(x.v, y.v) AS s FROM v x JOIN v y ON x.chunk = y.chunk AND x.vec_id < y.vec_id),
 c AS (SELECT chunk, coalesce((SELECT avg(s) FROM p WHERE p.chunk = v.chunk), 1.0) AS c FROM v GROUP BY chunk)
 SELECT chunk, round(c, 5) AS coherence FROM c""")
 def coherence(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").filter("vec_id % 7 <> 6").select(F.expr("vec_id DIV 10").alias("chunk"), F.col("embedding").cast("array<double>").alias("v"))
+    vectors = table(spark, d, "embeddings").select(F.expr("vec_id DIV 10").alias("chunk"), F.col("embedding").cast("array<double>").alias("v"))
     return metrics.coherence(vectors).select("chunk", F.round("coherence", 5).alias("coherence"))
 
 
@@ -145,30 +188,42 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 
-def retrieval_sql(k: int, budget: int) -> str:
-    """RECURSIVE common table expressions for k sigmoid steps from the ignited documents and the greedy walk."""
-    parts = [f"{IGNITE_SQL}, {inp.CHAIN_SQL.replace('g AS', 'cg AS').replace('FROM g', 'FROM cg')}"]
+def retrieval_sql(k: int, budget: int, f: str = SIGMOID) -> str:
+    """RECURSIVE common table expressions for k steps from the ignited documents and the greedy walk."""
+    parts = [f"{IGNITE_SQL}, {inp.DOC_SQL}"]
     for i in range(1, k + 1):
-        parts.append(f"f{i} AS (SELECT dst AS node, 0.8 * sum(w * fa) AS flow FROM e JOIN (SELECT node AS src, {SIGMOID} AS fa FROM a{i - 1}) USING (src) WHERE fa <> 0 GROUP BY dst), a{i} AS (SELECT node, coalesce(0.2 * a0.a, 0) + coalesce(flow, 0) AS a FROM a0 FULL JOIN f{i} USING (node))")
-    items = f"items AS (SELECT node AS item, a AS score, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS cost FROM a{k} JOIN documents ON doc_id = node)"
+        parts.append(f"f{i} AS (SELECT dst AS node, 0.8 * sum(w * fa) AS flow FROM e JOIN (SELECT node AS src, {f} AS fa FROM a{i - 1}) USING (src) WHERE fa <> 0 GROUP BY dst), a{i} AS MATERIALIZED (SELECT node, coalesce(0.2 * a0.a, 0) + coalesce(flow, 0) AS a FROM a0 FULL JOIN f{i} USING (node))")
+    items = f"items AS MATERIALIZED (SELECT node AS item, round(a, 6) AS score, CAST(greatest(1, strlen(coalesce(text, '')) // 4) AS BIGINT) AS cost FROM a{k} JOIN documents ON doc_id = node)"
     return GREEDY_SQL.replace("RECURSIVE {items}", "RECURSIVE {parts}, {items}").format(parts=", ".join(parts), items=items, budget=budget)
 
 
-@register(f"WITH {retrieval_sql(3, 4000)} SELECT CAST(row_number() OVER (ORDER BY r) AS INT) AS pick_rank, item, round(score, 6) AS score, cost FROM walk WHERE took")
-def retrieve_pages(spark: SparkSession, d: str) -> DataFrame:
+def retrieved(spark: SparkSession, d: str, threshold: spread.Threshold | None = None) -> DataFrame:
+    """Picks for the query, spread to the fixed point; scores count to six digits, so that equal ones tie."""
     _, df, posts, n = index(spark, d)
     posts = durable(posts)
-    edges = durable(graph.normalize(inp.chain_edges(spark, d)))
     nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node"), tx.token_cost(F.col("text")).alias("cost"))
-    return retrieve.query(QUERY, posts, df, tfidf.norms(posts), n, edges, nodes, steps=3).picks.withColumn("score", r6("score"))
+    return retrieve.query(QUERY, posts, df, tfidf.norms(posts), n, inp.doc_graph(spark, d), nodes, threshold=threshold, digits=6).picks
+
+
+@register(f"WITH {retrieval_sql(40, 4000)} SELECT CAST(row_number() OVER (ORDER BY r) AS INT) AS pick_rank, item, score, cost FROM walk WHERE took")
+def retrieve_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Converged within 1e-8, so forty fixed steps give the same six digits."""
+    return retrieved(spark, d)
+
+
+@register(f"WITH {retrieval_sql(85, 4000, HARD)} SELECT CAST(row_number() OVER (ORDER BY r) AS INT) AS pick_rank, item, score, cost FROM walk WHERE took")
+def retrieve_hard(spark: SparkSession, d: str) -> DataFrame:
+    """With a hard threshold, under which a step shrinks distances by 0.8 at best."""
+    return retrieved(spark, d, spread.hard())
 
 
 # ---- bulk transforms -----------------------------------------------------------------------------------------------
 
 CITATION_SQL = """
+wanted AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0),
 c AS (SELECT o_custkey AS src, CAST(p_size AS BIGINT) AS dst, CAST(sum(l_linenumber) AS BIGINT) AS depth
       FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
-      WHERE o_custkey <> p_size AND o_custkey % 3 = 0 AND p_size % 3 = 0 GROUP BY ALL)
+      WHERE o_custkey <> p_size AND o_custkey IN (FROM wanted) AND p_size IN (FROM wanted) GROUP BY ALL)
 """
 
 
@@ -176,7 +231,7 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"), F.col("l_linenumber").cast("long").alias("depth"))
     citing_map = table(spark, d, "orders").select(F.col("o_orderkey").alias("opinion"), F.col("o_custkey").alias("cluster"))
     cited_map = table(spark, d, "part").select(F.col("p_partkey").alias("opinion"), F.col("p_size").cast("long").alias("cluster"))
-    wanted = citing_map.select("cluster").unionByName(cited_map.select("cluster")).filter("cluster % 3 = 0").distinct()
+    wanted = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("cluster"))
     return etl.aggregate_citations(lines, citing_map, cited_map, wanted)
 
 
@@ -198,19 +253,19 @@ def citation_lists(spark: SparkSession, d: str) -> DataFrame:
     return etl.citation_list(cited(spark, d), names, 5)
 
 
-@register("SELECT o_orderkey AS opinion, o_custkey AS cluster FROM orders WHERE o_custkey % 4 = 0")
+@register("SELECT o_orderkey AS opinion, o_custkey AS cluster FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def opinion_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("cluster_id"))
-    wanted = table(spark, d, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("cluster"))
+    wanted = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("cluster"))
     return etl.project(rows, wanted)
 
 
-@register("""WITH x AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN '020lead' WHEN 'user' THEN '040dissent' ELSE '030concurrence' END AS type FROM conversations WHERE conv_id % 2 = 0)
+@register("""WITH x AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN '020lead' WHEN 'user' THEN '040dissent' ELSE '030concurrence' END AS type FROM conversations)
 SELECT conv_id AS cluster, string_agg('## ' || CASE type WHEN '020lead' THEN 'Opinion' WHEN '040dissent' THEN 'Dissent' ELSE 'Concurrence' END || chr(10) || chr(10) || text, chr(10) || chr(10)
   ORDER BY CASE type WHEN '020lead' THEN 0 WHEN '030concurrence' THEN 2 ELSE 3 END, turn, text) AS body FROM x GROUP BY conv_id""")
 def section_bodies(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("role") == "system", "020lead").when(F.col("role") == "user", "040dissent").otherwise("030concurrence")
-    rows = table(spark, d, "conversations").filter("conv_id % 2 = 0").select(F.col("conv_id").alias("cluster"), F.col("turn").alias("id"), kind.alias("type"), F.col("text").alias("md"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("cluster"), F.col("turn").alias("id"), kind.alias("type"), F.col("text").alias("md"))
     return etl.sections(rows)
 
 
@@ -223,9 +278,11 @@ def wikitext_markdown(spark: SparkSession, d: str) -> DataFrame:
     return docs.filter(plain).select("doc_id", tx.wikitext_to_markdown(markup).alias("md"))
 
 
-@register("SELECT doc_id, slug FROM (SELECT doc_id, left(lower(text), 6) AS slug, row_number() OVER (PARTITION BY left(lower(text), 6) ORDER BY doc_id) AS r FROM documents WHERE NOT starts_with(lower(ltrim(text)), '#redirect [[')) WHERE r = 1")
+@register("""SELECT doc_id, slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS r FROM (
+  SELECT doc_id, text, coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'case') AS slug FROM documents)
+  WHERE NOT starts_with(lower(ltrim(text)), '#redirect [[')) WHERE r = 1""")
 def first_per_slug(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "documents").select("doc_id", "text", F.left(F.lower("text"), F.lit(6)).alias("slug"))
+    records = table(spark, d, "documents").select("doc_id", "text", tx.slug(F.col("text")).alias("slug"))
     return etl.first_of_each(records, "slug", "doc_id").select("doc_id", "slug")
 
 
@@ -238,29 +295,34 @@ def landmarks(spark: SparkSession, d: str) -> DataFrame:
 # ---- page changes --------------------------------------------------------------------------------------------------
 
 
-@register("""WITH a AS (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents),
-old AS (SELECT src, dst, 3.0::DOUBLE AS raw_w FROM a WHERE dst IS NOT NULL)
-SELECT src, dst, raw_w FROM old WHERE src % 10 <> 0
-UNION ALL SELECT src, dst, raw_w FROM old WHERE src % 10 = 0
-UNION ALL SELECT doc_id, 1, 1.0 FROM documents WHERE doc_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM old WHERE src = doc_id AND dst = 1)""")
+@register("""WITH old AS (SELECT DISTINCT doc_id AS src, dst, 3.0::DOUBLE AS raw_w FROM (SELECT doc_id, unnest([doc_id + 1, doc_id * 2]) AS dst FROM documents) WHERE doc_id <> dst AND dst IN (SELECT doc_id FROM documents))
+SELECT src, dst, raw_w FROM old
+UNION ALL SELECT doc_id, 1, 1.0 FROM documents WHERE doc_id <> 1 AND NOT EXISTS (SELECT 1 FROM old WHERE src = doc_id AND dst = 1)""")
 def update_links(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth page links to page 1, too; its link to the next page keeps its weight."""
+    """Every page is changed to link to page 1, too; its other links keep their weight."""
     wiki = inp.wiki(spark, d)
     rows = wiki.select("node", tx.page_id(F.col("path")).alias("page_id"), "body")
-    old = inp.chain_edges(spark, d).withColumn("raw_w", F.lit(3.0))
+    old = graph.from_links(rows.select("node", "page_id", tx.links(F.col("body")).alias("links_to"))).withColumn("raw_w", F.lit(3.0))
     one = rows.filter("node = 1").select(F.concat(F.lit(" [["), "page_id", F.lit("]]")).alias("more"))
-    changed = rows.filter("node % 10 = 0").crossJoin(F.broadcast(one)).select("node", F.concat("body", "more").alias("body"))  # one row
+    changed = rows.crossJoin(F.broadcast(one)).select("node", F.concat("body", "more").alias("body"))  # one row
     return pages.relink(old, rows.select("node", "page_id"), changed)
 
 
-@register(f"WITH {inp.WIKI_SQL} SELECT lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id, regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) AS body FROM wiki WHERE node % 7 = 0 AND NOT contains(body, '## See Also')")
+SECTION = "\n\n## See Also\n- [[old/one]]\n\n## Notes\nlast words"
+
+
+@register(f"""WITH {inp.WIKI_SQL} SELECT lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id,
+CASE WHEN lang = 'en' THEN body || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[old/one]]' || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) || chr(10) || '## Notes' || chr(10) || 'last words'
+     ELSE regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) END AS body FROM wiki""")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    rows = inp.wiki(spark, d).filter((F.col("node") % 7 == 0) & ~F.contains("body", F.lit("## See Also"))).select(tx.page_id(F.col("path")).alias("page_id"), "body")
+    """Two links back for every page; English pages have a section for them already, before another one."""
+    body = F.when(F.col("lang") == "en", F.concat("body", F.lit(SECTION))).otherwise(F.col("body")).alias("body")
+    rows = inp.wiki(spark, d).select(tx.page_id(F.col("path")).alias("page_id"), body)
     links = rows.select("page_id", F.explode(F.array(F.lit("target/b"), F.lit("target/a"))).alias("target"))
     return pages.add_backlinks(rows, links)
 
 
-@register(f"WITH {inp.WIKI_SQL} SELECT node, lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id, CAST(CASE WHEN contains(body, '[[') THEN 0.51 ELSE 0.5 END AS DOUBLE) AS priority FROM wiki")
+@register(f"WITH {inp.WIKI_SQL} SELECT node, lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id, CAST(CASE WHEN node = 1 THEN 0.51 ELSE 0.52 END AS DOUBLE) AS priority FROM wiki")
 def sitemap(spark: SparkSession, d: str) -> DataFrame:
     rows = inp.wiki(spark, d).select("node", tx.page_id(F.col("path")).alias("page_id"), tx.links(F.col("body")).alias("links_to"))
     return pages.sitemap(rows).join(rows.select("node", "page_id"), "page_id").select("node", "page_id", "priority")

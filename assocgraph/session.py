@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(name: str = "assocgraph", **conf: str) -> SparkSession:
@@ -17,8 +18,10 @@ def build(name: str = "assocgraph", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir; one of our own on a local master where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="spark-")
 
 
@@ -34,5 +37,45 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables in the shared folder that cut lineages: read by column, and deleted when they are no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table; one of the same name that was there before is deleted once the new one is complete."""
+        path, old = new_folder(self.spark, name), self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one key that a task may get; beyond, they are dealt to several. At 10^12 rows there are 10^6 such keys at most.
+KEY_ROWS = 1_000_000
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """rows joined with side, which has one row for each key and in `n` its number of rows.
+
+    The rows of a key that has more than `KEY_ROWS` are dealt by a hash of the column `by`, and side has a row for each part.
+    """
+    parts = F.ceil(F.col(n) / KEY_ROWS)
+    heavy = F.broadcast(side.filter(F.col(n) > KEY_ROWS).select(key, parts.alias("_parts")))
+    dealt = rows.join(heavy, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0))).drop("_parts")
+    return dealt.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), [key, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
