@@ -44,7 +44,7 @@ from .shingles import mix, shingles
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 96, 4
 #: Nodes of a block, and bytes of their sets (one set may be larger, and is then a block with few others).
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Ids of candidates that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
