@@ -80,8 +80,18 @@ def html_escaped(text: Column) -> Column:
     return out
 
 
+def json_escaped(text: Column) -> Column:
+    """Text as it stands between the quotes of a JSON string."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in range(32):
+        out = F.replace(out, F.lit(chr(code)), F.lit({9: "\\t", 10: "\\n", 13: "\\r"}.get(code, f"\\u{code:04x}")))
+    return out
+
+
 def percent_encoded(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Everything but letters, digits and `-_.~` as bytes in hexadecimal."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 #: A character reference: decimal, hexadecimal, or of the list.
@@ -125,27 +135,48 @@ def without_templates(text: Column) -> Column:
     return F.aggregate(passes, text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
 
 
-def wikitext_to_markdown(text: Column) -> Column:
-    """Comments, references, tables, templates and a few tags go; headings and emphasis are rewritten."""
+def wikitext_prepared(text: Column) -> Column:
+    """Comments, references, tables, templates and a few tags go; headings, emphasis and external links are rewritten."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"<ref[^>/]*/>", ""), r"(?s)<ref[^>]*>.*?</ref>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?is)<ref\b[^>]*>.*?</ref>", ""), r"(?i)<ref\b[^>]*/>", "")
     out = without_templates(F.regexp_replace(out, r"(?s)\{\|.*?\|\}", ""))
     out = F.regexp_replace(out, r"(?i)</?(?:small|big|sup|sub|code|nowiki|br|hr)\b[^>]*>", "")
     for level in (6, 5, 4, 3, 2):
-        out = F.regexp_replace(out, rf"(?m)^={{{level}}}[ \t]*([^=\n]+?)[ \t]*={{{level}}}[ \t]*$", f"{'#' * level} $1")
-    out = F.regexp_replace(F.regexp_replace(out, r"'''(.+?)'''", "**$1**"), r"''(.+?)''", "*$1*")
-    out = F.regexp_replace(F.regexp_replace(out, r"\[https?://\S+ ([^\]]+)\]", "$1"), r"\[(https?://\S+)\]", "$1")
-    out = F.regexp_replace(out, r"(?m)^[ \t]+", "")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+        out = F.regexp_replace(out, rf"(?md)^={{{level}}}\s*(.+?)\s*={{{level}}}\s*$", f"{'#' * level} $1")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)'''(.+?)'''", "**$1**"), r"(?s)''(.+?)''", "*$1*")
+    return F.regexp_replace(F.regexp_replace(out, r"\[(https?://\S+)\s+([^\]]+)\]", "[$2]($1)"), r"\[(https?://\S+)\]", "$1")
+
+
+def wikitext_finished(text: Column) -> Column:
+    """Without blanks at the start of lines, runs of blank lines and white space around."""
+    out = F.regexp_replace(F.regexp_replace(text, r"(?md)^[ \t]+", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(out, r"\A\s+|\s+\z", "")
+
+
+def wikitext_to_markdown(text: Column) -> Column:
+    """A text by itself: wiki links stay as they are (`etl.wikitext_pages` rewrites them among the pages of a corpus)."""
+    return wikitext_finished(wikitext_prepared(text))
+
+
+#: A wiki link with what is between its brackets.
+WIKILINK = r"\[\[([^\[\]]+?)\]\]"
+
+
+def link_slug(target: Column) -> Column:
+    """The normalized title that a wiki link names: its target without the fragment."""
+    return normalized_link(F.substring_index(target, "#", 1))
+
+
+def dropped_namespace(target: Column) -> Column:
+    low, out = F.lower(target), F.lit(False)
+    for name in NAMESPACES:
+        out = out | low.startswith(name)
+    return out
 
 
 def kept_wikilink(target: Column) -> Column:
     """The normalized target of a wiki link without its fragment; null for the dropped namespaces and bare fragments."""
-    low, bare = F.lower(F.trim(target)), F.trim(F.regexp_replace(target, "(?s)#.*$", ""))
-    dropped = low.startswith(NAMESPACES[0])
-    for name in NAMESPACES[1:]:
-        dropped = dropped | low.startswith(name)
-    return F.when(~dropped & (bare != ""), normalized_link(bare))
+    return F.when(~dropped_namespace(F.trim(target)), F.nullif(link_slug(target), F.lit("")))
 
 
 def cosine(a: Column, b: Column) -> Column:

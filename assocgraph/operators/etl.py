@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import salted_join
 
 #: Order and heading of each opinion type (fixed values); others come last as `Opinion`.
 TYPES = {
@@ -70,10 +71,31 @@ def sections(opinions: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n\n").alias("body"))
 
 
-def header(name: Column, filed: Column, status: Column, count: Column) -> Column:
-    clean = F.translate(name, "|[]", " ()")
-    facts = F.concat_ws(", ", F.concat(F.lit("filed "), F.nullif(filed, F.lit(""))), F.nullif(status, F.lit("")), F.concat(count.cast("string"), F.lit(" incoming citations")))
-    return F.concat(F.lit("# "), clean, F.lit("\n\n"), facts)
+def header(cluster: Column, name: Column, short: Column, filed: Column, status: Column, count: Column) -> Column:
+    """The head of a page: the name (the short one, or `Case <cluster>`, if there is none) and the known facts in italics."""
+    chosen = F.trim(F.coalesce(F.nullif(name, F.lit("")), short, F.lit("")))
+    title = F.when(chosen == "", F.concat(F.lit("Case "), cluster.cast("string"))).otherwise(chosen)
+    some = F.when(count > 0, F.concat(count.cast("string"), F.lit(" incoming citations")))
+    facts = F.concat_ws(", ", F.concat(F.lit("filed "), F.nullif(filed, F.lit(""))), F.nullif(F.lower(status), F.lit("")), some)
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.when(facts == "", "").otherwise(F.concat(F.lit("*"), facts, F.lit("*\n\n"))))
+
+
+def footer(edges: DataFrame, names: DataFrame, k: int = 200) -> DataFrame:
+    """src, md: the section of a page's citations with their number."""
+    sizes = top_citations(edges, k).groupBy("src").agg(F.count("*").alias("n"))
+    listed = sizes.join(citation_list(edges, names, k), "src", "left")
+    lines = F.coalesce(F.concat("md", F.lit("\n")), F.lit(""))
+    return listed.select("src", F.concat(F.lit("## Cites ("), F.col("n").cast("string"), F.lit(")\n\n"), lines, F.lit("\n")).alias("md"))
+
+
+def case_pages(meta: DataFrame, opinions: DataFrame, edges: DataFrame, names: DataFrame, k: int = 200) -> DataFrame:
+    """cluster, body: header, opinions and citations of each cluster of meta(cluster, case_name, case_name_short, date_filed,
+    precedential_status, citation_count)."""
+    head = meta.select("cluster", header(*[F.col(c) for c in ("cluster", "case_name", "case_name_short", "date_filed", "precedential_status", "citation_count")]).alias("head"))
+    middle = sections(opinions).select("cluster", F.concat("body", F.lit("\n\n")).alias("middle"))
+    tail = footer(edges, names, k).select(F.col("src").alias("cluster"), F.col("md").alias("tail"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return head.join(middle, "cluster", "left").join(tail, "cluster", "left").select("cluster", F.concat("head", empty("middle"), empty("tail")).alias("body"))
 
 
 def citation_list(edges: DataFrame, names: DataFrame, k: int = 200) -> DataFrame:
@@ -98,6 +120,28 @@ def rewritten_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id").join(per_page, "page_id", "left").select("page_id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
+def wikitext_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """node, md: wikitext of pages(node, text) as markdown; links among the pages titles(title) become [[slug|text]].
+
+    Links of dropped namespaces go, those to other pages leave their text. Links become rows, meet the known slugs in one
+    join, however popular a slug is, and go back between the pieces of text that they came from.
+    """
+    ready = pages.select("node", tx.wikitext_prepared(F.col("text")).alias("text"))
+    found = ready.select("node", F.posexplode(F.regexp_extract_all("text", F.lit(tx.WIKILINK), F.lit(1))).alias("at", "inner"))
+    inner = F.trim("inner")
+    cut = found.select("node", "at", F.trim(F.substring_index(inner, "|", 1)).alias("target"), F.trim(F.regexp_replace(inner, r"\A[^|]*\|", "")).alias("display"))
+    bare = F.when(F.contains("target", F.lit("#")), F.trim(F.substring_index("target", "#", 1))).otherwise(F.col("target"))
+    named = cut.select("node", "at", "display", bare.alias("bare"), tx.dropped_namespace(F.col("target")).alias("gone"), tx.link_slug(F.col("target")).alias("slug"))
+    known = titles.select(tx.normalized_link(F.col("title")).alias("slug")).distinct().withColumn("known", F.lit(True))
+    side = named.groupBy("slug").agg(F.count("*").alias("n")).join(known, "slug", "left")
+    plain = (F.col("display") == "") | (F.lower("display") == F.lower("bare"))
+    link = F.when(plain, F.concat(F.lit("[["), "slug", F.lit("]]"))).otherwise(F.concat(F.lit("[["), "slug", F.lit("|"), "display", F.lit("]]")))
+    text = F.when(F.col("gone"), "").when((F.col("bare") != "") & F.col("known"), link).otherwise(F.col("display"))
+    back = salted_join(named, side, "slug", "n", "node").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda a: a["t"]).alias("texts"))
+    pieces = F.transform(F.split("text", tx.WIKILINK, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("texts"), i), F.lit(""))))
+    return ready.join(back, "node", "left").select("node", tx.wikitext_finished(F.array_join(pieces, "")).alias("md"))
+
+
 def landmarks(pages: DataFrame, n: int, least_bytes: int = 2048) -> DataFrame:
     """The n pages with the most citations among those with a body of some length."""
     return pages.filter(F.octet_length("body") >= least_bytes).orderBy(F.desc("citations"), "node").limit(n)

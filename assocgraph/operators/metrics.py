@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..session import Tables
 
 
 def recall_precision(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -47,8 +48,24 @@ def density_variance(items: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, column: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """avg, low, high and nearest-rank percentiles, one row."""
-    return values.agg(F.avg(column).alias("avg"), F.min(column).alias("low"), F.max(column).alias("high"), *[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in points])
+    """avg, low, high and nearest-rank percentiles, one row; nulls are left out.
+
+    Different values are counted, ranked in ranges and shifted by the counts of the ranges before, so no task sees all.
+    """
+    tables = Tables(values.sparkSession)
+    own = values.select(F.col(column).alias("v")).filter("v IS NOT NULL")
+    counted = own.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part"))
+    counted = tables.write("counted", counted)
+    sizes = counted.groupBy("part").agg(F.sum("n").alias("size"))  # a row for each range
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    last = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = counted.withColumn("last", last).join(F.broadcast(before), "part").select("v", "n", (F.col("before") + F.col("last")).alias("last"))
+    total = counted.agg(F.sum("n").alias("total"))
+    placed = ranked.crossJoin(F.broadcast(total))  # one row
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("total") / 100))
+    return placed.agg(
+        (F.sum(F.col("v") * F.col("n")) / F.max("total")).alias("avg"), F.min("v").alias("low"), F.max("v").alias("high"), *[F.min(F.when(F.col("last") >= rank(p), F.col("v"))).alias(f"p{p}") for p in points]
+    )
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -60,12 +60,12 @@ s AS (SELECT i, j, dot / (a.norm * b.norm) AS s FROM dot JOIN nrm a ON a.node =
 dreams AS (SELECT * FROM (SELECT i AS src, j AS dst, s FROM s UNION ALL SELECT j, i, s FROM s) x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = x.src AND g.dst = x.dst))"""
 
 
-ALIVE_SQL = "alive AS (SELECT doc_id AS node FROM documents WHERE lang IS DISTINCT FROM 'es')"
+ALIVE_SQL = "alive AS (SELECT doc_id AS node FROM documents WHERE source IS DISTINCT FROM 'src1')"
 
 
 def doc_state(spark: SparkSession, d: str) -> DataFrame:
-    """Every document but the Spanish ones is alive, none was accessed yet."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("last_access"), (~F.col("lang").eqNullSafe("es")).alias("alive"))
+    """Every document but those of one source is alive, none was accessed yet."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("last_access"), (~F.col("source").eqNullSafe("src1")).alias("alive"))
 
 
 def dreamed(spark: SparkSession, d: str, threshold: float) -> DataFrame:
@@ -269,15 +269,6 @@ def section_bodies(spark: SparkSession, d: str) -> DataFrame:
     return etl.sections(rows)
 
 
-@register(r"""
-SELECT doc_id, '## ' || source || chr(10) || '**' || lang || '** [[File:a.png|b]] ' || chr(10) || regexp_replace(left(text, 300), '\n{3,}', chr(10) || chr(10), 'g') AS md FROM documents WHERE text NOT LIKE '%<%' AND text NOT LIKE '%{%' AND text NOT LIKE '%=%' AND text NOT LIKE '%[%' AND NOT regexp_matches(left(text, 300), '^\s|\s$') AND text NOT LIKE '%''%' AND NOT regexp_matches(text, '\n[ \t]')""")
-def wikitext_markdown(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    plain = ~F.col("text").rlike(r"[<{=\[']|\n[ \t]") & ~F.left("text", F.lit(300)).rlike(r"\A\s|\s\z")
-    markup = F.concat(F.lit("== "), "source", F.lit(" ==\n'''"), "lang", F.lit("''' [[File:a.png|b]] {{cite {{x}} y}}<ref>z</ref>\n  "), F.left("text", F.lit(300)))
-    return docs.filter(plain).select("doc_id", tx.wikitext_to_markdown(markup).alias("md"))
-
-
 @register("""SELECT doc_id, slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS r FROM (
   SELECT doc_id, text, coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'case') AS slug FROM documents)
   WHERE NOT starts_with(lower(ltrim(text)), '#redirect [[')) WHERE r = 1""")

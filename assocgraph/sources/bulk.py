@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Tables
+
 META = "case_name STRING, case_name_short STRING, date_filed STRING, citation_count BIGINT, precedential_status STRING"
 
 
-def csv(spark: SparkSession, path: str, columns: tuple[str, ...], multiline: bool = True) -> DataFrame:
-    """Columns by header name, as strings; quotes are escaped by a backslash, rows may be ragged, line breaks are kept."""
-    return spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape="\\", mode="PERMISSIVE", inferSchema=False).select(*columns)
+def csv(spark: SparkSession, path: str, columns: tuple[str, ...], multiline: bool = True, limit: int | None = None) -> DataFrame:
+    """Columns by header name, as strings; quotes are escaped by a backslash, rows may be ragged, line breaks are kept.
+
+    `limit` caps the rows that are scanned, before any filter. Files with line breaks in values are a task each: exports of
+    that kind are best cut into many files.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape="\\", mode="PERMISSIVE", inferSchema=False).select(*columns)
+    return rows if limit is None else rows.limit(limit)
 
 
 def whole(column: str) -> Column:
     return F.expr(f"try_cast({column} AS BIGINT)").alias(column)
 
 
-def opinions(spark: SparkSession, path: str) -> DataFrame:
+def opinions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """id, cluster_id, type, html; rows without numbers in the first two are skipped."""
-    rows = csv(spark, path, ("id", "cluster_id", "type", "html_with_citations"))
+    rows = csv(spark, path, ("id", "cluster_id", "type", "html_with_citations"), limit=limit)
     return rows.select(whole("id"), whole("cluster_id"), "type", F.col("html_with_citations").alias("html")).dropna(subset=["id", "cluster_id"])
 
 
-def citations(spark: SparkSession, path: str) -> DataFrame:
+def citations(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """citing, cited, depth; rows that lack one are skipped. One row a line, so large files are split."""
-    rows = csv(spark, path, ("citing_opinion_id", "cited_opinion_id", "depth"), multiline=False)
+    rows = csv(spark, path, ("citing_opinion_id", "cited_opinion_id", "depth"), multiline=False, limit=limit)
     digits = lambda c, n: F.expr(f"try_cast(regexp_extract({c}, '^\"?([0-9]+)', 1) AS BIGINT)").alias(n)
     return rows.select(digits("citing_opinion_id", "citing"), digits("cited_opinion_id", "cited"), digits("depth", "depth")).dropna()
 
@@ -80,10 +87,16 @@ def peek(rows: DataFrame, column: str, n: int = 5, least_bytes: int = 200, chars
 
 
 def write_bodies(opinions_read: DataFrame, wanted: DataFrame, folder: str) -> None:
-    """The opinion map of all rows, and the bodies of the wanted clusters (cluster) that have one."""
+    """The opinion map of all rows, and the bodies of the wanted clusters (cluster) that have one.
+
+    The rows are parsed once, into a table that both outputs are written from.
+    """
+    tables = Tables(opinions_read.sparkSession)
+    opinions_read = tables.write("opinions", opinions_read)
     opinions_read.select("id", "cluster_id").write.mode("overwrite").csv(f"{folder}/opinion_to_cluster")
     kept = opinions_read.join(wanted.select(F.col("cluster").alias("cluster_id")), "cluster_id", "left_semi").filter("html <> ''")
     kept.select("id", F.col("cluster_id").alias("cid"), "type", "html").write.mode("overwrite").json(f"{folder}/bodies", compression="gzip")
+    tables.drop()
 
 
 def write_edges(edges: DataFrame, folder: str) -> None:

@@ -1,4 +1,4 @@
-"""A catalog of versioned tables: every save is a new folder, and a pointer file names the one that counts."""
+"""A catalog of versioned tables: every save is a new folder, and the newest complete pointer file names the one that counts."""
 
 from __future__ import annotations
 
@@ -7,22 +7,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+POINTER, END = "CURRENT", "end"
+
+
+def _path(spark: SparkSession, *parts: str):
+    return spark._jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
 
 
 def _fs(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return _path(spark, root).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _path(spark: SparkSession, *parts: str):
-    return spark._jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
+def pointers(spark: SparkSession, root: str) -> list[tuple[int, list[str]]]:
+    """Number and lines (version, tables) of the complete pointers, in order. A pointer is complete if it ends with its last line."""
+    found = _fs(spark, root).globStatus(_path(spark, root, f"{POINTER}-*")) or []
+    out = []
+    for x in found:
+        lines = [r.value for r in spark.read.text(x.getPath().toString()).collect()]
+        if lines and lines[-1] == END:
+            out.append((int(x.getPath().getName().split("-")[1]), lines[:-1]))
+    return sorted(out)
 
 
-def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
-    """Write all tables to a new version and point to it. Readers see the old version until the pointer moves.
+def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None, keep: dict[str, str] | None = None) -> str:
+    """Write all tables to a new version and add a pointer to it. Nothing is moved or replaced: readers see the old version
+    until the new pointer is whole, and a save that fails leaves none.
 
-    The pointer is written beside and renamed, so it is whole at any time; a save that fails leaves it as it was.
+    keep: tables that the last version has already, unchanged, as {name: folder}; the pointer names their folders.
     """
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
@@ -30,26 +41,28 @@ def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
         writer.parquet(f"{root.rstrip('/')}/{version}/{name}")
-    fs, new, old = _fs(spark, root), _path(spark, root, f"{POINTER}-{version}"), _path(spark, root, POINTER)
-    out = fs.create(new, True)
-    out.write(bytearray("\n".join([version, *sorted(tables)]).encode()))
+    before = pointers(spark, root)
+    number = before[-1][0] + 1 if before else 0
+    out = _fs(spark, root).create(_path(spark, root, f"{POINTER}-{number:09d}-{uuid.uuid4().hex}"), False)
+    lines = [f"{name}={version}/{name}" for name in tables] + [f"{name}={folder}" for name, folder in (keep or {}).items()]
+    out.write(bytearray("\n".join([*sorted(lines), END]).encode()))
     out.close()
-    if not fs.rename(new, old):
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"the pointer in {root} could not be moved")
     return version
 
 
+def folders(spark: SparkSession, root: str) -> dict[str, str] | None:
+    """The folder of each table of the current version, below the root; None without a pointer or if one is missing."""
+    found = pointers(spark, root)
+    if not found:
+        return None
+    named = dict(line.split("=", 1) for line in found[-1][1])
+    return named if all(_fs(spark, root).exists(_path(spark, root, f)) for f in named.values()) else None
+
+
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     """The tables of the current version; None without a pointer or if a table is missing."""
-    fs, pointer = _fs(spark, root), _path(spark, root, POINTER)
-    if not fs.exists(pointer):
-        return None
-    version, *names = [r.value for r in spark.read.text(f"{root.rstrip('/')}/{POINTER}").collect()]
-    if not all(fs.exists(_path(spark, root, version, n)) for n in names):
-        return None
-    return {n: spark.read.parquet(f"{root.rstrip('/')}/{version}/{n}") for n in names}
+    named = folders(spark, root)
+    return None if named is None else {n: spark.read.parquet(f"{root.rstrip('/')}/{f}") for n, f in named.items()}
 
 
 def consistent(tables: dict[str, DataFrame]) -> bool:

@@ -50,7 +50,7 @@ def test_slugs_and_escapes(spark):
     assert one(spark, tx.html_escaped(F.col("t")), t="<a&\"'>") == "&lt;a&amp;&quot;&#39;&gt;"
     assert one(spark, tx.percent_encoded(F.col("t")), t="a/b c") == "a%2Fb%20c"
     assert one(spark, tx.html_to_markdown(F.col("t")), t="<p>a &amp;lt; b</p><script>x</script><br/><br/><br/>c ") == "a &lt; b\n\nc"
-    assert one(spark, tx.wikitext_to_markdown(F.col("t")), t="<!-- x -->== H ==\n'''b''' ''i''{{a{{b}}}} <ref>r</ref>[http://x y]") == "## H\n**b** *i* y"
+    assert one(spark, tx.wikitext_to_markdown(F.col("t")), t="<!-- x -->== H ==\n'''b''' ''i''{{a{{b}}}} <ref>r</ref>[http://x y]") == "## H\n**b** *i* [y](http://x)"  # the address of an external link stays
     assert one(spark, tx.kept_wikilink(F.col("t")), t="File:a.png") is None
     assert one(spark, tx.kept_wikilink(F.col("t")), t=" Foo Bar#x ") == "foo-bar"
     assert one(spark, tx.safe_filename(F.col("t")), t="a//b--c-") == "a-b-c"
@@ -304,6 +304,8 @@ def test_corpus_verbs(spark, tmp_path):
     assert found.cost <= 100 and found.picks.count() > 0
     own.create_page("new", "New", "See [[about]] and [[nowhere]].")
     own.update_page("unrelated", "Now [[new]] and attention.")
+    assert own.changes["pages"].count() == 2 and own.base["pages"].count() == 5  # a changed page leaves the large tables alone
+    assert own.page("unrelated").body == "Now [[new]] and attention." and own.query("attention", budget=100).picks.count() > 0
     names = {r.node: r.page_id for r in own.tables["pages"].collect()}
     edges = {(names[r.src], names[r.dst]) for r in own.tables["edges"].collect()}
     assert {("new", "about"), ("unrelated", "new")} <= edges and len(names) == 6 and own.alive() == 6
@@ -316,8 +318,13 @@ def test_corpus_verbs(spark, tmp_path):
     assert 0 < done.health <= 1 and own.step == 1
     root = str(tmp_path / "c")
     own.save(root)
+    first = dict(own.saved)
+    own.maintain(temporal.Config(probe_steps=3, similarity_threshold=0.2))
+    own.save(root)  # pages and counts stay where they are, the history grows by its new step
+    assert own.saved["pages"] == first["pages"] and own.saved["edges"] != first["edges"] and {"history_000000001", "history_000000002"} <= set(own.saved)
     again = Corpus.open(spark, root)
-    assert again.step == 1 and {r.page_id for r in again.tables["pages"].collect()} == set(names.values())
+    assert again.tables["history"].select("step").distinct().count() == 2
+    assert again.step == 2 and {r.page_id for r in again.tables["pages"].collect()} == set(names.values())
     assert {(r.src, r.dst) for r in again.tables["edges"].collect()} == {(r.src, r.dst) for r in own.tables["edges"].collect()}
     again.read_only = True
     with pytest.raises(PermissionError):
@@ -325,5 +332,116 @@ def test_corpus_verbs(spark, tmp_path):
     both = Registry({"b": own, "a": again})
     both.select("b")
     assert [(r.name, r.active) for r in both.report().collect()] == [("a", False), ("b", True)]
-    assert own.stress("attention", 0)["count"] == 0 and own.counters["query"].report()["count"] == 1
+    assert own.stress("attention", 0)["count"] == 0 and own.counters["query"].report()["count"] == 2
     assert own.hubs(1).first().n == 2 and own.neighborhood("new").count() >= 3
+
+
+def test_page_changes_match_a_new_build(spark):
+    """Deltas or compaction: the tables of a corpus built from the changed pages."""
+    from assocgraph import engine
+
+    texts = {p.removesuffix(".md"): b for p, b in TOY}
+    for limit in (1000, 2):
+        own = engine.Corpus.build(spark, spark.createDataFrame(TOY, "path string, body string"))
+        engine.COMPACT, before = limit, engine.COMPACT
+        try:
+            changed = {p.lower(): b for p, b in texts.items()}
+            for page, body in (("about", "# About\n\n[[unrelated]] fresh words"), ("zz", "# Z\n\n[[about]]\n"), ("about", "# About\n\n[[zz]] and [[unrelated]]")):
+                own._put(own.page(page).node if page in changed else len(changed), page, body)
+                changed[page] = body
+        finally:
+            engine.COMPACT = before
+        built = engine.Corpus.build(spark, spark.createDataFrame([(f"{p}.md", b) for p, b in changed.items()], "path string, body string"))
+
+        def plain(c):
+            names = {r.node: r.page_id for r in c.tables["pages"].collect()}
+            edges = {(names[r.src], names[r.dst]) for r in c.tables["edges"].collect()}
+            return edges, {(names[r.node], r.term, r.tf) for r in c.tables["counts"].collect()}, {(r.page_id, r.title, r.token_cost) for r in c.tables["pages"].collect()}
+
+        got, want = plain(own), plain(built)
+        assert got == want
+
+
+def test_pointers(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store.save(spark, root, {"a": spark.range(3)})
+    store.save(spark, root, {"b": spark.range(4)}, keep={"a": store.folders(spark, root)["a"]})
+    assert {n: df.count() for n, df in store.load(spark, root).items()} == {"a": 3, "b": 4}
+    (tmp_path / "s" / "CURRENT-000000009-x").write_text("a=nowhere\n")  # a save that was cut off
+    assert store.load(spark, root)["a"].count() == 3
+
+
+def test_stream_restarts_and_empty_sources(spark, tmp_path):
+    import datetime as dt
+
+    from assocgraph.streaming import access
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = spark.createDataFrame([], "node long, ts timestamp").schema
+    (tmp_path / "in").mkdir()
+    read = lambda: {(r.node, r.n, r.last_step) for r in access.access_state(spark, source, "*.parquet", schema, "node", "ts", folder).collect()}
+    at = dt.datetime(2024, 1, 1)
+    assert read() == set()
+    spark.createDataFrame([(1, at), (1, at), (2, at)], schema).coalesce(1).write.mode("append").parquet(source)
+    assert read() == {(1, 2, 0), (2, 1, 0)} and read() == {(1, 2, 0), (2, 1, 0)}  # again without new rows
+    spark.createDataFrame([(2, at), (3, at)], schema).coalesce(1).write.mode("append").parquet(source)
+    assert read() == {(1, 2, 0), (2, 2, 1), (3, 1, 1)}
+
+
+def test_matrices_and_neighbors(spark):
+    rows = spark.createDataFrame([([0, 2, 2, 3], [1, 2, 0], [1.0, 2.0, 4.0])], "row_ptr array<long>, col_idx array<long>, vals array<double>")
+    assert {tuple(r) for r in graph.from_csr(rows).collect()} == {(0, 1, 1.0), (0, 2, 2.0), (2, 0, 4.0)}
+    for bad in (([0, 2, 1, 3], [1, 2, 0], [1.0, 2.0, 4.0]), ([0, 3], [1, 2], [1.0, 2.0, 4.0]), ([0, 1], [-1], [1.0])):
+        with pytest.raises(Exception, match="sparse matrix"):
+            graph.from_csr(spark.createDataFrame([bad], rows.schema)).collect()
+    edges = spark.createDataFrame([(0, 3, 1.0), (0, 1, 0.0), (2, 0, 5.0)], "src long, dst long, raw_w double")
+    assert [r.node for r in graph.neighbors_out(edges, 0).collect()] == [1, 3] and [tuple(r) for r in graph.neighbors_in(edges, 0).collect()] == [(2, 5.0)]
+
+
+def test_neighborhood_goes_by_raw_weights(spark):
+    """Normalized, 0.5 of node 3 is more than 9 among many of node 4; raw, it is the other way."""
+    rows = [(0, 1, 1.0), (0, 2, 1.0), (3, 1, 0.5), (4, 2, 9.0)] + [(4, 10 + i, 9.0) for i in range(30)]
+    edges = graph.normalize(spark.createDataFrame(rows, "src long, dst long, raw_w double"))
+    near = graph.neighborhood(edges, 0, most=4)
+    assert [r.node for r in near.collect()] == [0, 1, 2, 4]
+    assert {(r.src, r.dst, r.raw_w) for r in graph.edges_among(edges, near).collect()} == {(0, 1, 1.0), (0, 2, 1.0), (4, 2, 9.0)}
+
+
+def test_case_pages(spark):
+    facts = "cluster long, case_name string, case_name_short string, date_filed string, precedential_status string, citation_count long"
+    meta = spark.createDataFrame([(1, "A v. B", "A", "1999-01-02", "Published", 3), (2, "", None, "", "", 0), (3, None, " Short ", None, "Errata", 1)], facts)
+    opinions = spark.createDataFrame([(1, 5, "040dissent", "no"), (1, 4, "020lead", "yes")], "cluster long, id long, type string, md string")
+    edges = spark.createDataFrame([(1, 3, 2), (1, 9, 1)], "src long, dst long, depth long")
+    names = spark.createDataFrame([(3, "short-3", "Sh|o[r]t")], "cluster long, page_id string, name string")
+    got = {r.cluster: r.body for r in etl.case_pages(meta, opinions, edges, names).collect()}
+    assert got[1] == "# A v. B\n\n*filed 1999-01-02, published, 3 incoming citations*\n\n## Opinion\n\nyes\n\n## Dissent\n\nno\n\n## Cites (2)\n\n- [[short-3|Sh o(r)t]] ×2\n\n"
+    assert got[2] == "# Case 2\n\n" and got[3] == "# Short\n\n*errata, 1 incoming citations*\n\n"
+
+
+def test_wikitext_links(spark):
+    text = (
+        "a [[Two Words#part|second]] [[two words]] [[TWO words|Two Words]] [[File:x.png|x]] [[None|gone]] [[#top|up]]\n  [http://x.y z w] [https://b.c]\n"
+        "=== H === \n\n{{a {{b}} c}}<ref name=q>k</ref> l '''bold''' ''it''"
+    )
+    pages = spark.createDataFrame([(1, text), (2, None), (3, "")], "node long, text string")
+    got = {r.node: r.md for r in etl.wikitext_pages(pages, spark.createDataFrame([("Two Words",), ("",)], "title string")).collect()}
+    want = "a [[two-words|second]] [[two-words]] [[two-words]]  gone up\n[z w](http://x.y) https://b.c\n### H\nl **bold** *it*"
+    assert got == {1: want, 2: "", 3: ""}
+
+
+def test_percentiles_in_ranges(spark):
+    rng = random.Random(5)
+    for values in ([rng.choice([1.5, 2.0, 7.25, 9.0]) for _ in range(57)], [3.0], list(map(float, range(200)))):
+        r = metrics.percentiles(spark.createDataFrame([(v,) for v in values] + [(None,)], "x double"), "x").first()
+        s = sorted(values)
+        assert [r.p50, r.p95, r.p99] == [s[max(0, math.ceil(p * len(s) / 100) - 1)] for p in (50, 95, 99)]
+        assert r.avg == pytest.approx(sum(s) / len(s)) and (r.low, r.high) == (s[0], s[-1])
+
+
+def test_escapes_as_json_and_addresses(spark):
+    import json
+    from urllib.parse import quote
+
+    for text in ('a"b\\c\n\t\r\x01\x1f é~*(x) /', ""):
+        r = spark.createDataFrame([(text,)], "t string").select(tx.json_escaped(F.col("t")).alias("j"), tx.percent_encoded(F.col("t")).alias("p")).first()
+        assert json.loads(f'"{r.j}"') == text and r.p == quote(text, safe="-_.~")
