@@ -63,15 +63,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Tables in the shared folder that cut lineages: compressed, read by column, and deleted when they are no longer needed."""
+    """Tables in the shared folder that cut lineages: read by column, and deleted when they are no longer needed.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    Without a codec named they are not compressed: hashes do not shrink, and the compressors' buffers are outside of the heap.
+    """
+
+    def __init__(self, spark: SparkSession, codec: str = "none"):
+        self.spark, self.codec, self.paths = spark, codec, {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df as a table; one of the same name that was there before is deleted once the new one is complete."""
         path, old = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
-        df.write.parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         self.paths[name] = path
         if old:
             self._delete(old)
@@ -89,7 +92,7 @@ class Tables:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, for as long as the job's folder lasts."""
-    return Tables(df.sparkSession).write("table", df)
+    return Tables(df.sparkSession, "snappy").write("table", df)
 
 
 #: Keys that may count as heavy, and rows from which one can: heavy keys are broadcast, so no task gets all of a key's rows.
