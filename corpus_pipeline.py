@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark, "snappy")
     for _, stage in STAGES[:-1]:
         docs = tables.write("stage", stage(spark, docs, sf_dir))  # the table of the stage before goes once this one is complete
     return STAGES[-1][1](spark, docs, sf_dir)
