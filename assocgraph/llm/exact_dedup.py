@@ -47,7 +47,7 @@ def winners(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, size (code points of the original) of each row."""
     rows = prepared(docs, id_col, text_col, salts)
-    best = winners(rows)
+    best = written(winners(rows))  # digests and numbers: texts stop here, and are merged once for both sides of what follows
     slim = rows.select("doc_id", "size", "sha", "xx", F.char_length("bare").alias("bare_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))
     out = salted_join(slim, best, ["sha", "xx", "bare_size"], "group_size", docs.count(), ["doc_id", "size"])
