@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,20 @@ def meta_text(pages: DataFrame) -> DataFrame:
 
 def page_text(title: str, content: str) -> str:
     return f"# {title}\n\n{content}\n"
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the files that a table is read from: paths, sizes and times of change."""
+    files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    row = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")).alias("h")).first()
+    return f"{row.n}-{row.h}"
+
+
+def stage(root: str, name: str, inputs: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a stage, made once for the files that its inputs are read from and reused while those stay the same."""
+    spark = inputs[0].sparkSession
+    key = hashlib.sha256("/".join(fingerprint(x) for x in inputs).encode()).hexdigest()[:32]
+    path = f"{root.rstrip('/')}/{name}-{key}"
+    if not _fs(spark, root).exists(_path(spark, path, "_SUCCESS")):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
