@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces
+from .common import id_and_text, in_arrow, pieces
 
 #: Entries of the memo of encoded pieces, per generation and Python worker. It only saves time.
 MEMO = 150_000
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     plain = id_and_text(docs, id_col, text_col)
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return in_arrow(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -148,7 +148,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([own.decode(i or b"") for i in ids.to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
     slim = encoded.select("doc_id", "ids")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return in_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,20 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Rows and bytes of the batches that go to Python and back, unless the session has its own: both sides hold some of them
+#: outside of the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches of moderate size."""
+    conf = df.sparkSession.conf
+    for key, (default, own) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, own)
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(id_col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of the contracts."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

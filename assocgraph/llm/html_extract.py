@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, pieces
+from .common import Tables, in_arrow, pieces
 
 #: Elements without content, elements whose content is no text, elements that start and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,7 +272,7 @@ def stats(pages: DataFrame) -> DataFrame:
             cols += [pa.array([sign(v[j]) for v in sums.values()], pa.int64()) for j in range(1, 4)] + [pa.array([v[4] for v in sums.values()], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["host", "token", "mark", "element", "vector", "pages", "uses", "around"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, token long, mark long, element long, vector long, pages long, uses long, around long")
+    rows = in_arrow(pages.select("url", "html"), run, "host string, token long, mark long, element long, vector long, pages long, uses long, around long")
     # vectors add up modulo 2^64: the sum of decimals is exact, its remainder is the vector
     added = [F.max("element").alias("element"), F.max("around").alias("around"), F.sum("v").alias("v"), F.sum("pages").alias("pages"), F.sum("uses").alias("uses")]
     # copies of a page first become one row for each of its texts; the rows of tags have no mark
@@ -338,7 +338,7 @@ def extract(pages: DataFrame) -> DataFrame:
     n = found.agg(F.coalesce(F.sum(F.size("elements") + F.size("names") + F.size("texts") + 8), F.lit(0))).first()[0]
     side = F.broadcast(found) if n <= 1_000_000 else found  # a checked size: hosts and hashes
     joined = own.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "elements", "names", "texts")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, blocks array<string>, slot string")
+    return in_arrow(joined, run, f"page_id {kind}, url string, text string, blocks array<string>, slot string")
 
 
 def texts(pages: DataFrame) -> DataFrame:

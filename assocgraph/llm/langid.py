@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, pieces
+from .common import crc_mod, id_and_text, in_arrow, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 3000
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     own = id_and_text(docs, id_col, text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return in_arrow(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def predictions(docs: DataFrame) -> DataFrame:

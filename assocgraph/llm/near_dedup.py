@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, id_and_text, join_back, pieces, without
+from .common import Tables, id_and_text, in_arrow, join_back, pieces, without
 from .components import components, to_least
 from .shingles import mix, shingles
 
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(totals, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "total", "sig"])
 
     own = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, key binary, total long, sig binary")
+    return in_arrow(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, key binary, total long, sig binary")
 
 
 def numbered(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def plain_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:  # a checked size
         ids = F.broadcast(ids)
     some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi").select("doc_id", "text")
-    sets = some.mapInArrow(run, "key binary, members binary").groupBy("key").agg(F.any_value("members").alias("members"))
+    sets = in_arrow(some, run, "key binary, members binary").groupBy("key").agg(F.any_value("members").alias("members"))
     return wanted.join(sets, "key").drop("key", "head")
 
 
@@ -197,7 +197,7 @@ def similar(rows: DataFrame) -> DataFrame:
         if held["node"]:
             yield report()
 
-    return rows.select("grp", "node", "members", "asks", "root").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
+    return in_arrow(rows.select("grp", "node", "members", "asks", "root").repartition("grp").sortWithinPartitions("grp"), run, "u long, v long")
 
 
 def candidate_groups(nodes: DataFrame, total: int, tables: Tables) -> DataFrame:

@@ -31,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, pieces, written
+from .common import BROADCAST_ROWS, WORD, in_arrow, pieces, written
 from .fm_index import END, FIRST, SEPARATOR, FMIndex
 from .shingles import mix, rolling, word_blocks
 
 WINDOW, ANCHOR = 13, 5
 SHARD_WORDS, HOT = 400_000, 5_000
 LAST = 2**63 - 1
-#: Rows whose texts a worker holds at once.
-SLICE = 512
+#: Rows whose texts a worker holds at once, and anchors that it combines.
+SLICE, COMBINED = 512, 500_000
 
 
 def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
@@ -66,35 +66,40 @@ def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """did, mine (anchors of the document that also occur in another one), n (documents of an anchor, where it is counted)."""
 
+    def combined(anchors, owners):
+        a, did = np.concatenate(anchors), np.concatenate(owners)
+        order = np.lexsort((did, a))
+        a, did = a[order], did[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (did[1:] != did[:-1])])
+        a, did = a[new], did[new]
+        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        here = np.diff(np.append(head, len(a)))
+        # a row for each anchor, and one for each document with the anchors that it shares with others here
+        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(did[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], ["k", "did", "here", "mine"])
+        shared = np.repeat(here > 1, here)
+        if shared.any():
+            a, did = a[shared], did[shared]
+            order = np.argsort(did, kind="stable")
+            a, did = a[order].view(np.int64), did[order]
+            cut = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]]))
+            mine = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)), pa.int32()), pa.array(a))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(did[cut].astype(np.uint64)).view(np.int64)), pa.array(did[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], ["k", "did", "here", "mine"])
+
     def run(batches):
-        for batch in batches:
+        anchors, owners, n = [], [], 0
+        for batch in pieces(batches, SLICE):
             ids = batch.column(0).to_numpy()
-            anchors, owners = [], []
-            for skip in range(0, len(ids), SLICE):
-                for at, owner, a, *_ in anchored(batch.column(1).slice(skip, SLICE).to_pylist()):
-                    anchors.append(a)
-                    owners.append(ids[owner + at + skip])
-            if not anchors:
-                continue
-            a, did = np.concatenate(anchors), np.concatenate(owners)
-            order = np.lexsort((did, a))
-            a, did = a[order], did[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (did[1:] != did[:-1])])
-            a, did = a[new], did[new]
-            head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            here = np.diff(np.append(head, len(a)))
-            # a row for each anchor of the batch, and one for each document with the anchors that it shares inside the batch
-            yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(did[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], ["k", "did", "here", "mine"])
-            shared = np.repeat(here > 1, here)
-            if shared.any():
-                a, did = a[shared], did[shared]
-                order = np.argsort(did, kind="stable")
-                a, did = a[order].view(np.int64), did[order]
-                cut = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]]))
-                mine = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)), pa.int32()), pa.array(a))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(did[cut].astype(np.uint64)).view(np.int64)), pa.array(did[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], ["k", "did", "here", "mine"])
-
-    rows = docs.select("did", "text").mapInArrow(run, "k long, did long, here int, mine array<long>")
+            for at, owner, a, *_ in anchored(batch.column(1).to_pylist()):
+                anchors.append(a)
+                owners.append(ids[owner + at])
+                n += len(a)
+            if n >= COMBINED:
+                yield from combined(anchors, owners)
+                anchors, owners, n = [], [], 0
+        if n:
+            yield from combined(anchors, owners)
+
+    rows = in_arrow(docs.select("did", "text"), run, "k long, did long, here int, mine array<long>")
     same = Window.partitionBy("k")
     seen = rows.select("did", "k", "mine", (F.min("did").over(same) != F.max("did").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
     again = seen.filter("mine IS NOT NULL OR far OR n > 1")
@@ -133,7 +138,7 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     marked = repeated.groupBy("did").agg(F.collect_list("mine").alias("anchors"))
     # all columns come along, so that strip() reads the same exchange of the texts
-    return docs.join(marked, "did").select(*docs.columns, "anchors").mapInArrow(run, "did long, h long, a long, starts array<int>, seg string")
+    return in_arrow(docs.join(marked, "did").select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
 
 
 def single_windows(found: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def shard_reports(dealt: DataFrame) -> DataFrame:
         if words:
             yield report(held)
 
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, "did long, h long, starts array<int>, mask long, part long, seg string, least long")
+    return in_arrow(dealt.repartition("part").sortWithinPartitions("part"), run, "did long, h long, starts array<int>, mask long, part long, seg string, least long")
 
 
 def drops(docs: DataFrame) -> DataFrame:
@@ -282,7 +287,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])
 
     marked = own.join(drops(own), "did", "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
-    return marked.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
+    return in_arrow(marked, run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, pieces
+from .common import crc_mod, id_and_text, in_arrow, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 8000
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(got), pa.float64()), pa.array(got, pa.float64())], ["doc_id", "score", "margin"])
 
     own = id_and_text(docs, id_col, text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, margin double")
+    return in_arrow(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, margin double")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             got = margins(model, pair, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(model.scores(got) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

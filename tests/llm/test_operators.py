@@ -646,6 +646,50 @@ def test_pipeline_stages(spark):
         assert stage(spark, only, "/root/testdata/sf0.01").count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and clashing names, each stage by brute force."""
+    rng, rows = random.Random(21), []
+    for i in range(200):
+        words = prose(rng.randint(1, 40), 3000 + i).split()
+        for _ in range(3 if i % 4 == 0 else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["jerkwad", "nitwitted", "slimeball"]))
+        rows.append((i, " ".join(words)))
+    passage, base = prose(20, 77), prose(40, 78)
+    odd = [(None, None), (None, None), (1000, None), (1001, ""), (1002, " \t\n"), (1003, "x"), (None, "null id"), (1005, "twice twice"), (1005, "twice twice"), (1006, "z" * 5000), (1007, base), (1008, base + " more"), (1009, base.replace(" ", "\n"))]
+    odd += [(1010 + i, f"{prose(9, 400 + i)} {passage} {prose(9, 500 + i)}") for i in range(4)] + [(1020, prose(12_000, 9)), (1021, prose(12_000, 9) + " end"), (-5, base + " more")]
+    clash = ["did", "h", "key", "row", "sha", "salt", "members", "score", "_id", "_salt", "node", "drops", "size"]
+    schema = DOCS + ", " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "s", None, *[None if k % 2 else f"c{k}"] * len(clash)) for k, (i, t) in enumerate(rows + odd)], schema)
+    spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)] + [(None, 0, None), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "packing":
+            assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(WORD.findall(t or ""))) for i, t in before)
+            break
+        assert out.columns == docs.columns
+        if name == "toxicity":
+            assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t in before if brute_margin(model, t) < model.threshold)
+            assert len(got) < len(before) - 40
+        if name == "exact_dedup":
+            bare = {}
+            for i, t in before:
+                bare.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i is None, i or 0))
+            assert sorted((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in got) == sorted(min(x) for x in bare.values())
+        if name == "near_dedup":
+            named = set(brute_classes(before))
+            assert Counter(r.doc_id for r in got if r.doc_id is not None) == Counter({c for _, c, _ in named if c is not None})
+        if name == "substring_dedup":
+            want = Counter()
+            for (d, t, _, gone), n in brute_strip(before).items():
+                whole = [x or "" for i, x in before if i == d and " ".join(WORD.findall(x or "")) == t]
+                want[d, t if gone else whole[0]] += n
+            assert Counter((r.doc_id, r.text) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
+        docs = spark.createDataFrame(got, docs.schema)
+
+
 def brute_near(texts):
     """(doc_id, class, size) with candidates by shared 5-grams, for tables too large for all pairs."""
     rows = sorted(texts.items())
