@@ -13,8 +13,8 @@ smaller doc_id. All text of a window is covered by the removal, and windows are
 3. Each shard (anchors up to `SHARD_WORDS` words) builds an FM-index over its different segments, streams their words
    through it by backward search, and reports the intervals whose matching statistic reaches the window's length. The
    least doc_id in an interval of the suffix array is that of the window's first document.
-4. Reports go back to their documents, which drop the covered words. The texts are dealt by doc_id once, for the segments
-   and for this.
+4. Reports go back to their rows, which drop the covered words. The texts are dealt by doc_id and a hash of the text once,
+   for the segments and for this, so rows without an id do not meet.
 
 Defined results: a null or empty text has no words; a text of fewer than `WINDOW` words keeps them all; a null doc_id counts
 as larger than any other; rows of equal doc_id are one document when windows are compared, so they remove nothing from each
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,57 +63,62 @@ def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """did, mine (anchors of the document that also occur in another one), n (documents of an anchor, where it is counted)."""
-
-    def combined(anchors, owners):
-        a, did = np.concatenate(anchors), np.concatenate(owners)
-        order = np.lexsort((did, a))
-        a, did = a[order], did[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (did[1:] != did[:-1])])
-        a, did = a[new], did[new]
+    """did, h, mine (anchors of the row that also occur in another one), n (rows of an anchor, where it is counted).
+
+    docs: did, h (a hash of the text), text. A row is known by both, as rows may share an id.
+    """
+
+    def combined(anchors, owners, hashes):
+        a, did, h = np.concatenate(anchors), np.concatenate(owners), np.concatenate(hashes)
+        order = np.lexsort((h, did, a))
+        a, did, h = a[order], did[order], h[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (did[1:] != did[:-1]) | (h[1:] != h[:-1])])
+        a, did, h = a[new], did[new], h[new]
         head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         here = np.diff(np.append(head, len(a)))
-        # a row for each anchor, and one for each document with the anchors that it shares with others here
-        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(did[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], ["k", "did", "here", "mine"])
+        names = ["k", "did", "h", "here", "mine"]
+        # a row for each anchor, and one for each row with the anchors that it shares with others here
+        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(did[head]), pa.array(h[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], names)
         shared = np.repeat(here > 1, here)
         if shared.any():
-            a, did = a[shared], did[shared]
-            order = np.argsort(did, kind="stable")
-            a, did = a[order].view(np.int64), did[order]
-            cut = np.flatnonzero(np.concatenate([[True], did[1:] != did[:-1]]))
+            a, did, h = a[shared], did[shared], h[shared]
+            order = np.lexsort((h, did))
+            a, did, h = a[order].view(np.int64), did[order], h[order]
+            cut = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (h[1:] != h[:-1])]))
             mine = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)), pa.int32()), pa.array(a))
-            yield pa.RecordBatch.from_arrays([pa.array(mix(did[cut].astype(np.uint64)).view(np.int64)), pa.array(did[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], ["k", "did", "here", "mine"])
+            place = mix(did[cut].astype(np.uint64) ^ mix(h[cut].astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(did[cut]), pa.array(h[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], names)
 
     def run(batches):
-        anchors, owners, n = [], [], 0
+        held, n = [[], [], []], 0
         for batch in pieces(batches, SLICE):
-            ids = batch.column(0).to_numpy()
-            for at, owner, a, *_ in anchored(batch.column(1).to_pylist()):
-                anchors.append(a)
-                owners.append(ids[owner + at])
+            ids, hashes = batch.column("did").to_numpy(), batch.column("h").to_numpy()
+            for at, owner, a, *_ in anchored(batch.column("text").to_pylist()):
+                for x, values in zip(held, (a, ids[owner + at], hashes[owner + at])):
+                    x.append(values)
                 n += len(a)
             if n >= COMBINED:
-                yield from combined(anchors, owners)
-                anchors, owners, n = [], [], 0
+                yield from combined(*held)
+                held, n = [[], [], []], 0
         if n:
-            yield from combined(anchors, owners)
+            yield from combined(*held)
 
-    rows = in_arrow(docs.select("did", "text"), run, "k long, did long, here int, mine array<long>")
+    rows = in_arrow(docs.select("did", "h", "text"), run, "k long, did long, h long, here int, mine array<long>")
     same = Window.partitionBy("k")
-    seen = rows.select("did", "k", "mine", (F.min("did").over(same) != F.max("did").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
+    seen = rows.select("did", "h", "k", "mine", (F.min("did").over(same) != F.max("did").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
     again = seen.filter("mine IS NOT NULL OR far OR n > 1")
-    return again.select("did", F.coalesce("mine", F.array("k")).alias("mine"), F.when(F.col("mine").isNull(), F.col("n")).alias("n"))
+    return again.select("did", "h", F.coalesce("mine", F.array("k")).alias("mine"), F.when(F.col("mine").isNull(), F.col("n")).alias("n"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """did, h (hash of the text), a, starts (windows), seg (words joined by one space) for the anchors that repeat.
+    """did, h, a, starts (windows), seg (words joined by one space) for the anchors that repeat.
 
-    A segment that a document repeats is one row.
+    A segment that a row repeats is one row.
     """
 
     def run(batches):
         for batch in pieces(batches, SLICE):
-            ids, texts = batch.column("did").to_numpy(), batch.column("text").to_pylist()
+            ids, hashes, texts = batch.column("did").to_numpy(), batch.column("h").to_numpy(), batch.column("text").to_pylist()
             wanted = [np.unique(np.concatenate([np.array(x, np.int64) for x in w])) for w in batch.column("anchors").to_pylist()]
             out: list[list] = [[], [], [], [], []]
             for at, owner, a, start, count, words, begin in anchored(texts):
@@ -125,7 +129,7 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     pos = np.minimum(np.searchsorted(own, a[lo:hi]), len(own) - 1)
                     hits = np.flatnonzero(own[pos] == a[lo:hi]) + lo
                     base = int(begin[i])
-                    h = xxhash.xxh3_64_intdigest(texts[at + i].encode()) - 2**63
+                    h = int(hashes[at + i])
                     own_segs: dict[tuple[int, str], list[int]] = {}
                     for s, n, x in zip(start[hits].tolist(), count[hits].tolist(), a[hits].tolist()):
                         own_segs.setdefault((x, " ".join(words[base + s : base + s + n + WINDOW - 1])), []).append(s)
@@ -136,9 +140,9 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     out[4] += [seg for _, seg in own_segs]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))], ["did", "h", "a", "starts", "seg"])
 
-    marked = repeated.groupBy("did").agg(F.collect_list("mine").alias("anchors"))
+    marked = repeated.groupBy("did", "h").agg(F.collect_list("mine").alias("anchors"))
     # all columns come along, so that strip() reads the same exchange of the texts
-    return in_arrow(docs.join(marked, "did").select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
+    return in_arrow(docs.join(marked, ["did", "h"]).select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
 
 
 def single_windows(found: DataFrame) -> DataFrame:
@@ -229,7 +233,7 @@ def shard_reports(dealt: DataFrame) -> DataFrame:
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """did and its windows to drop: (h, starts, mask), bit i of mask for the windows at each start + i. docs: did, text and more."""
+    """did, h and the row's windows to drop: (starts, mask), bit i of mask for the windows at each start + i. docs: did, h, text and more."""
     repeated = written(repeated_anchors(docs))
     hot = repeated.filter(F.col("n") > HOT).select(F.get("mine", F.lit(0)).alias("a")).distinct()
     n_hot = hot.count()
@@ -240,15 +244,15 @@ def drops(docs: DataFrame) -> DataFrame:
     else:
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot  # a checked size
         # only documents with such an anchor are read again for the common windows
-        owners = repeated.select("did", F.explode("mine").alias("a")).join(side, "a", "left_semi")
-        common = single_windows(segments(docs, owners.select("did", F.array("a").alias("mine"))))
+        owners = repeated.select("did", "h", F.explode("mine").alias("a")).join(side, "a", "left_semi")
+        common = single_windows(segments(docs, owners.select("did", "h", F.array("a").alias("mine"))))
         # windows that stay in one document are answered by that
         several = common.groupBy("part", "seg").agg(F.min("did").alias("did"), F.max("did").alias("last")).filter("did < last")
         one = several.select("part", "seg", "did", F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<int>").alias("starts"))
         first = shard_reports(one).select("part", "seg", "least")
         again = common.join(first, ["part", "seg"]).filter("least < did").select("did", "h", "starts", F.lit(1).cast("long").alias("mask"))
         hits = shard_reports(plain(found.join(side, "a", "left_anti"))).select("did", "h", "starts", "mask").unionByName(again)
-    return hits.groupBy("did").agg(F.collect_list(F.struct("h", "starts", "mask")).alias("drops"))
+    return hits.groupBy("did", "h").agg(F.collect_list(F.struct("starts", "mask")).alias("drops"))
 
 
 def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
@@ -258,7 +262,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
     """
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
-    own = plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), *plain.columns)
+    own = plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("h"), *plain.columns)
 
     def run(batches):
         for batch in pieces(batches, SLICE):
@@ -267,15 +271,13 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
                 words, spans, gone = WORD.findall(text), [], 0
                 kept = words
                 if drop:
-                    h = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
                     edge = np.zeros(len(words) + 1, np.int64)
                     for d in drop:
-                        if d["h"] == h:
-                            for i in range(d["mask"].bit_length()):
-                                if d["mask"] >> i & 1:
-                                    for start in d["starts"]:
-                                        edge[start + i] += 1
-                                        edge[start + i + WINDOW] -= 1
+                        for i in range(d["mask"].bit_length()):
+                            if d["mask"] >> i & 1:
+                                for start in d["starts"]:
+                                    edge[start + i] += 1
+                                    edge[start + i + WINDOW] -= 1
                     covered = np.cumsum(edge)[:-1] > 0
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                     spans = turns.reshape(-1, 2).tolist()
@@ -286,7 +288,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
             made = [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])
 
-    marked = own.join(drops(own), "did", "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
+    marked = own.join(drops(own), ["did", "h"], "left").select("doc_id", "text", "drops", *(["row"] if carry else []))
     return in_arrow(marked, run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
 
 
