@@ -38,15 +38,19 @@ def new_folder(spark: SparkSession, stem: str) -> str:
 
 
 class Tables:
-    """Tables in the shared folder that cut lineages: read by column, and deleted when they are no longer needed."""
+    """Tables in the shared folder that cut lineages: read by column, and deleted when they are no longer needed.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    Without a codec named they are not compressed: hashes and weights hardly shrink, and the compressors' buffers are outside
+    of the heap.
+    """
+
+    def __init__(self, spark: SparkSession, codec: str = "none"):
+        self.spark, self.codec, self.paths = spark, codec, {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df as a table; one of the same name that was there before is deleted once the new one is complete."""
         path, old = new_folder(self.spark, name), self.paths.get(name)
-        df.write.parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         self.paths[name] = path
         if old:
             self._delete(old)
