@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Tables, durable, table  # noqa: F401  the operators and queries take them from here
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, null texts as empty ones; whatever else the table holds cannot clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -60,50 +56,6 @@ def spare_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own on a local master where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-class Tables:
-    """Tables in the shared folder that cut lineages: read by column, and deleted when they are no longer needed.
-
-    Without a codec named they are not compressed: hashes do not shrink, and the compressors' buffers are outside of the heap.
-    """
-
-    def __init__(self, spark: SparkSession, codec: str = "none"):
-        self.spark, self.codec, self.paths = spark, codec, {}
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """df as a table; one of the same name that was there before is deleted once the new one is complete."""
-        path, old = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
-        df.write.option("compression", self.codec).parquet(path)
-        self.paths[name] = path
-        if old:
-            self._delete(old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names or list(self.paths):
-            if path := self.paths.pop(name, None):
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, for as long as the job's folder lasts."""
     return Tables(df.sparkSession, "snappy").write("table", df)
