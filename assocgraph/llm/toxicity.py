@@ -39,13 +39,13 @@ from .common import crc_mod, id_and_text, in_arrow, pieces
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 8000
-WINDOW_WORDS, STRIDE = 8, 4
+WINDOW_WORDS, STRIDE = 9, 6
 LONG_WORD = 64
 DICTIONARY_BYTES = 256 * 1024
 #: Share of the documents of its class, and number of them, that a segment of a dictionary is in at least.
 ORDINARY_SHARE, TOXIC_SHARE = (0.001, 3), (0.025, 5)
-#: With fewer attempts the compressor misses long matches in a large dictionary.
-LEVEL = 12
+#: At lower levels the compressor misses long matches in a large dictionary; shorter matches cost time and tell little.
+LEVEL, MIN_MATCH = 12, 5
 BLOCK = 4096
 PUNCTUATION = ".,;:!?\"'()[]"
 #: Lengths of the beginnings of words that can be segments.
@@ -115,7 +115,7 @@ class Model:
 
     def compressors(self):
         make = lambda content: zs.ZstdCompressor(
-            compression_params=zs.ZstdCompressionParameters.from_level(LEVEL, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False),
+            compression_params=zs.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False),
             dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT),
         )
         return make(self.ordinary), make(self.toxic + self.ordinary)

@@ -377,10 +377,11 @@ def test_toxicity_accuracy(spark, odd, empty):
 def brute_margin(model, text):
     """One window at a time, with compressors of its own."""
     words = [w[i : i + 64] for w in (text or "").lower().split() for i in range(0, len(w), 64)]
-    starts = [i for i in range(0, max(1, len(words)), 4) if i == 0 or i + 4 < len(words)]
+    size, stride = toxicity.WINDOW_WORDS, toxicity.STRIDE
+    starts = [i for i in range(0, max(1, len(words)), stride) if i == 0 or i + size - stride < len(words)]  # until one reaches the end
     saved = []
     for i in starts:
-        window = f" {' '.join(words[i : i + 8])} ".encode()
+        window = f" {' '.join(words[i : i + size])} ".encode()
         saved.append(len(model.compressors()[0].compress(window)) - len(model.compressors()[1].compress(window)))
     return np.mean(saved)
 
