@@ -13,8 +13,8 @@ smaller doc_id. All text of a window is covered by the removal, and windows are
 3. Each shard (anchors up to `SHARD_WORDS` words) builds an FM-index over its different segments, streams their words
    through it by backward search, and reports the intervals whose matching statistic reaches the window's length. The
    least doc_id in an interval of the suffix array is that of the window's first document.
-4. Reports go back to their rows, which drop the covered words. The texts are dealt by a hash of id and text once, for the
-   segments and for this, so rows without an id do not meet.
+4. Reports go back to their rows, which drop the covered words. The texts are dealt by doc_id (rows without one by a hash of
+   the text, so that they do not meet) once, for the segments and for this.
 
 Defined results: a null or empty text has no words; a text of fewer than `WINDOW` words keeps them all; a null doc_id counts
 as larger than any other; rows of equal doc_id are one document when windows are compared, so they remove nothing from each
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WORD, in_arrow, pieces, written
@@ -38,7 +38,7 @@ WINDOW, ANCHOR = 13, 5
 SHARD_WORDS, HOT = 400_000, 5_000
 LAST = 2**63 - 1
 #: Rows whose texts a worker holds at once, and anchors that it combines.
-SLICE, COMBINED = 512, 500_000
+SLICE, COMBINED = 512, 1_000_000
 
 
 def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
@@ -63,38 +63,38 @@ def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """h, mine (anchors of the row that also occur in another one), n (rows of an anchor, where it is counted).
+    """c, mine (anchors of the document that also occur in another one), n (documents of an anchor, where it is counted).
 
-    docs: h (a hash of id and text, by which a row is known, as rows may share an id), text.
+    docs: c (the id, or for rows without one a hash of the text, so that they do not meet), text.
     """
 
-    def combined(anchors, hashes):
-        a, h = np.concatenate(anchors), np.concatenate(hashes)
-        order = np.lexsort((h, a))
-        a, h = a[order], h[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (h[1:] != h[:-1])])
-        a, h = a[new], h[new]
+    def combined(anchors, owners):
+        a, c = np.concatenate(anchors), np.concatenate(owners)
+        order = np.lexsort((c, a))
+        a, c = a[order], c[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        a, c = a[new], c[new]
         head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         here = np.diff(np.append(head, len(a)))
-        names = ["k", "h", "here", "mine"]
+        names = ["k", "c", "here", "mine"]
         # a row for each anchor, and one for each row with the anchors that it shares with others here
-        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(h[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(c[head]), pa.array(here, pa.int32()), pa.nulls(len(head), pa.list_(pa.int64()))], names)
         shared = np.repeat(here > 1, here)
         if shared.any():
-            a, h = a[shared], h[shared]
-            order = np.argsort(h, kind="stable")
-            a, h = a[order].view(np.int64), h[order]
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            a, c = a[shared], c[shared]
+            order = np.argsort(c, kind="stable")
+            a, c = a[order].view(np.int64), c[order]
+            cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             mine = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)), pa.int32()), pa.array(a))
-            yield pa.RecordBatch.from_arrays([pa.array(mix(h[cut].astype(np.uint64)).view(np.int64)), pa.array(h[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], names)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(c[cut].astype(np.uint64)).view(np.int64)), pa.array(c[cut]), pa.array(np.zeros(len(cut)), pa.int32()), mine], names)
 
     def run(batches):
         held, n = [[], []], 0
         for batch in pieces(batches, SLICE):
-            hashes = batch.column("h").to_numpy()
+            owners = batch.column("c").to_numpy()
             for at, owner, a, *_ in anchored(batch.column("text").to_pylist()):
                 held[0].append(a)
-                held[1].append(hashes[owner + at])
+                held[1].append(owners[owner + at])
                 n += len(a)
             if n >= COMBINED:
                 yield from combined(*held)
@@ -102,11 +102,11 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         if n:
             yield from combined(*held)
 
-    rows = in_arrow(docs.select("h", "text"), run, "k long, h long, here int, mine array<long>")
+    rows = in_arrow(docs.select("c", "text"), run, "k long, c long, here int, mine array<long>")
     same = Window.partitionBy("k")
-    seen = rows.select("h", "k", "mine", (F.min("h").over(same) != F.max("h").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
+    seen = rows.select("c", "k", "mine", (F.min("c").over(same) != F.max("c").over(same)).alias("far"), F.sum("here").over(same).alias("n"))
     again = seen.filter("mine IS NOT NULL OR far OR n > 1")
-    return again.select("h", F.coalesce("mine", F.array("k")).alias("mine"), F.when(F.col("mine").isNull(), F.col("n")).alias("n"))
+    return again.select("c", F.coalesce("mine", F.array("k")).alias("mine"), F.when(F.col("mine").isNull(), F.col("n")).alias("n"))
 
 
 def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -139,9 +139,9 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     out[4] += [seg for _, seg in own_segs]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))], ["did", "h", "a", "starts", "seg"])
 
-    marked = repeated.groupBy("h").agg(F.collect_list("mine").alias("anchors"))
+    marked = repeated.groupBy("c").agg(F.collect_list("mine").alias("anchors"))
     # all columns come along, so that strip() reads the same exchange of the texts
-    return in_arrow(docs.join(marked, "h").select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
+    return in_arrow(docs.join(marked, "c").select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
 
 
 def single_windows(found: DataFrame) -> DataFrame:
@@ -231,8 +231,16 @@ def shard_reports(dealt: DataFrame) -> DataFrame:
     return in_arrow(dealt.repartition("part").sortWithinPartitions("part"), run, "did long, h long, starts array<int>, mask long, part long, seg string, least long")
 
 
+def known_by() -> Column:
+    """What rows are dealt by: the id, or for those without one the hash of their text."""
+    return F.when(F.col("did") == LAST, F.col("h")).otherwise(F.col("did"))
+
+
 def drops(docs: DataFrame) -> DataFrame:
-    """h and the row's windows to drop: (did, starts, mask), bit i of mask for the windows at each start + i. docs: did, h, text and more."""
+    """c and windows to drop: (did, h, starts, mask), bit i of mask for the windows at each start + i. docs: did, h, c, text and more.
+
+    A row's are those with its did and h, as rows may share an id.
+    """
     repeated = written(repeated_anchors(docs))
     hot = repeated.filter(F.col("n") > HOT).select(F.get("mine", F.lit(0)).alias("a")).distinct()
     n_hot = hot.count()
@@ -243,15 +251,15 @@ def drops(docs: DataFrame) -> DataFrame:
     else:
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot  # a checked size
         # only documents with such an anchor are read again for the common windows
-        owners = repeated.select("h", F.explode("mine").alias("a")).join(side, "a", "left_semi")
-        common = single_windows(segments(docs, owners.select("h", F.array("a").alias("mine"))))
+        owners = repeated.select("c", F.explode("mine").alias("a")).join(side, "a", "left_semi")
+        common = single_windows(segments(docs, owners.select("c", F.array("a").alias("mine"))))
         # windows that stay in one document are answered by that
         several = common.groupBy("part", "seg").agg(F.min("did").alias("did"), F.max("did").alias("last")).filter("did < last")
         one = several.select("part", "seg", "did", F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<int>").alias("starts"))
         first = shard_reports(one).select("part", "seg", "least")
         again = common.join(first, ["part", "seg"]).filter("least < did").select("did", "h", "starts", F.lit(1).cast("long").alias("mask"))
         hits = shard_reports(plain(found.join(side, "a", "left_anti"))).select("did", "h", "starts", "mask").unionByName(again)
-    return hits.groupBy("h").agg(F.collect_list(F.struct("did", "starts", "mask")).alias("drops"))
+    return hits.groupBy(known_by().alias("c")).agg(F.collect_list(F.struct("did", "h", "starts", "mask")).alias("drops"))
 
 
 def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
@@ -262,18 +270,18 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    own = plain.select(did.alias("did"), F.xxhash64(did, "text").alias("h"), *plain.columns)
+    own = plain.select(did.alias("did"), F.xxhash64("text").alias("h"), *plain.columns).withColumn("c", known_by())
 
     def run(batches):
         for batch in pieces(batches, SLICE):
             out: list[list] = [[], [], [], []]
-            for did, text, drop in zip(*(batch.column(c).to_pylist() for c in ("did", "text", "drops"))):
+            for did, h, text, drop in zip(*(batch.column(c).to_pylist() for c in ("did", "h", "text", "drops"))):
                 words, spans, gone = WORD.findall(text), [], 0
                 kept = words
                 if drop:
                     edge = np.zeros(len(words) + 1, np.int64)
                     for d in drop:
-                        for i in range(d["mask"].bit_length() if d["did"] == did else 0):
+                        for i in range(d["mask"].bit_length() if d["did"] == did and d["h"] == h else 0):
                             if d["mask"] >> i & 1:
                                 for start in d["starts"]:
                                     edge[start + i] += 1
@@ -288,7 +296,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
             made = [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])
 
-    marked = own.join(drops(own), "h", "left").select("did", "doc_id", "text", "drops", *(["row"] if carry else []))
+    marked = own.join(drops(own), "c", "left").select("did", "h", "doc_id", "text", "drops", *(["row"] if carry else []))
     return in_arrow(marked, run, f"doc_id {kinds['doc_id']}, text string, n_words long, n_removed long, spans array<array<long>>" + (f", row {kinds['row']}" if carry else ""))
 
 
