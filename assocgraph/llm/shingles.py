@@ -10,7 +10,7 @@ import xxhash
 from .common import WORD
 
 #: Characters that are split at once, and entries of a worker's memo of word hashes; both only save time and memory.
-BLOCK_CHARS, MEMO = 500_000, 200_000
+BLOCK_CHARS, MEMO = 500_000, 20_000
 
 
 class WordHashes(dict):
