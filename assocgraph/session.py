@@ -47,10 +47,10 @@ class Tables:
     def __init__(self, spark: SparkSession, codec: str = "none"):
         self.spark, self.codec, self.paths = spark, codec, {}
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, **options) -> DataFrame:
         """df as a table; one of the same name that was there before is deleted once the new one is complete."""
         path, old = new_folder(self.spark, name), self.paths.get(name)
-        df.write.option("compression", self.codec).parquet(path)
+        df.write.options(compression=self.codec, **options).parquet(path)
         self.paths[name] = path
         if old:
             self._delete(old)
