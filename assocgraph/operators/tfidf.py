@@ -51,6 +51,27 @@ def ignite(index: DataFrame, doc_norms: DataFrame, vector: DataFrame) -> DataFra
     return dots.join(doc_norms, "node").crossJoin(F.broadcast(length)).filter("norm > 0 AND q_norm > 0").select("node", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("a"))
 
 
+def query_vectors(df: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
+    """q, term, w of many queries(q, text), each as in `query_vector`."""
+    words = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("tf"))
+    top = words.withColumn("max_tf", F.max("tf").over(Window.partitionBy("q")))  # the terms of one query
+    return top.join(df, "term").select("q", "term", (F.col("tf") / F.col("max_tf") * (F.log(F.lit(float(n_docs)) / F.col("df")) + 1)).alias("w"))
+
+
+#: Terms of a batch that are broadcast, after a count; those of a larger batch meet the postings in a shuffle.
+BATCH_TERMS = 1_000_000
+
+
+def ignite_many(index: DataFrame, doc_norms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """q, node, a of a batch of queries(q, term, w) that is stored, each as in `ignite`: one pass over the postings for all."""
+    q = vectors.select("q", "term", F.col("w").alias("qw"))
+    lengths = vectors.groupBy("q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
+    if q.count() <= BATCH_TERMS:
+        q = F.broadcast(q)
+    dots = index.join(q, "term").groupBy("q", "node").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(doc_norms, "node").join(lengths, "q").filter("norm > 0 AND q_norm > 0").select("q", "node", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("a"))
+
+
 def similarity(index: DataFrame, doc_norms: DataFrame, pairs: DataFrame) -> DataFrame:
     """i, j, s: cosines of the given pairs, 0 without a shared term."""
     left = pairs.join(index.select(F.col("node").alias("i"), "term", F.col("w").alias("wi")), "i")
@@ -60,21 +81,6 @@ def similarity(index: DataFrame, doc_norms: DataFrame, pairs: DataFrame) -> Data
     return whole.select("i", "j", F.coalesce(F.col("dot") / F.nullif(F.col("norm_i") * F.col("norm_j"), F.lit(0.0)), F.lit(0.0)).alias("s"))
 
 
-def similar_pairs(index: DataFrame, doc_norms: DataFrame, threshold: float) -> DataFrame:
-    """i < j, s with a cosine above the threshold.
-
-    Terms are ordered from rare to common, and each document searches with the first ones only: as soon as what is left of
-    its vector is shorter than the threshold, a partner must share a term before that, for both documents alike. So common
-    terms take no part in the join, and no pair above the threshold is missed.
-    """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = index.join(df, "term").join(doc_norms.select("node", "norm"), "node").withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)) / F.col("norm"))
-    search = own.filter(F.col("left") >= threshold * (1 - 1e-9)).select("term", "node")
-    pairs = search.select("term", F.col("node").alias("i")).join(search.select("term", F.col("node").alias("j")), "term").filter("i < j").select("i", "j").distinct()
-    return similarity(index, doc_norms, pairs).filter(F.col("s") > threshold)
-
-
 def add_documents(counts: DataFrame, df: DataFrame, new_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts and frequencies with new documents; stored counts make every weight exact again, without idf drift."""
     more = new_counts.groupBy("term").agg(F.count("*").alias("df"))

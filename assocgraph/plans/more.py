@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import etl, generate, graph, metrics, pages, retrieve, spread, temporal, tfidf
+from ..operators import etl, generate, graph, metrics, pages, retrieve, similar, spread, temporal, tfidf
 from ..session import durable, table
 from ..streaming import access
 from . import inputs as inp
@@ -70,7 +70,7 @@ def doc_state(spark: SparkSession, d: str) -> DataFrame:
 
 def dreamed(spark: SparkSession, d: str, threshold: float) -> DataFrame:
     posts = durable(index(spark, d)[2])
-    sims = tfidf.similar_pairs(posts, tfidf.norms(posts), threshold)
+    sims = similar.similar_pairs(posts, tfidf.norms(posts), threshold)
     return temporal.dream_candidates(inp.doc_edges(spark, d), doc_state(spark, d), sims, threshold).select("src", "dst", r6("s").alias("s"))
 
 
@@ -129,7 +129,7 @@ def one_cycle(spark: SparkSession, d: str) -> temporal.Cycle:
     start = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit(1.0 / max(1, n)).alias("a"))
     history = spark.createDataFrame([], "step long, node long, a double")
     config = temporal.Config(activation_threshold=0.002)
-    return temporal.cycle(inp.doc_graph(spark, d), doc_state(spark, d), history, start, tfidf.similar_pairs(posts, tfidf.norms(posts), config.similarity_threshold), 1, config)
+    return temporal.cycle(inp.doc_graph(spark, d), doc_state(spark, d), history, start, similar.similar_pairs(posts, tfidf.norms(posts), config.similarity_threshold), 1, config)
 
 
 @register(f"WITH {CYCLE_SQL} SELECT src, dst, round(raw_w, 6) AS raw_w, round(w, 6) AS w FROM ne")
@@ -371,4 +371,4 @@ def baseline_topk(spark: SparkSession, d: str) -> DataFrame:
 SELECT i, j, round(dot / (a.norm * b.norm), 6) AS s FROM s JOIN nrm a ON a.node = i JOIN nrm b ON b.node = j WHERE dot / (a.norm * b.norm) > 0.6""")
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     posts = durable(index(spark, d)[2])
-    return tfidf.similar_pairs(posts, tfidf.norms(posts), 0.6).select("i", "j", r6("s").alias("s"))
+    return similar.similar_pairs(posts, tfidf.norms(posts), 0.6).select("i", "j", r6("s").alias("s"))

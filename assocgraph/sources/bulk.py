@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Tables
+from . import records
 
 META = "case_name STRING, case_name_short STRING, date_filed STRING, citation_count BIGINT, precedential_status STRING"
 
@@ -13,10 +14,10 @@ META = "case_name STRING, case_name_short STRING, date_filed STRING, citation_co
 def csv(spark: SparkSession, path: str, columns: tuple[str, ...], multiline: bool = True, limit: int | None = None) -> DataFrame:
     """Columns by header name, as strings; quotes are escaped by a backslash, rows may be ragged, line breaks are kept.
 
-    `limit` caps the rows that are scanned, before any filter. Files with line breaks in values are a task each: exports of
-    that kind are best cut into many files.
+    `limit` caps the rows that are scanned, before any filter. Large files are read by many tasks, also those with line
+    breaks in values.
     """
-    rows = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape="\\", mode="PERMISSIVE", inferSchema=False).select(*columns)
+    rows = (records.csv(spark, path) if multiline else spark.read.csv(path, header=True, inferSchema=False, **records.CSV)).select(*columns)
     return rows if limit is None else rows.limit(limit)
 
 
@@ -55,8 +56,9 @@ def opinion_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cluster_meta(spark: SparkSession, path: str) -> DataFrame:
-    """cluster and its facts from one JSON object per file, keyed by id; keys that are no numbers are skipped."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<{META.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>>")).alias("key", "m"))
+    """cluster and its facts from one JSON object per file, keyed by id; keys that are no numbers are skipped. A large file is
+    read by many tasks."""
+    rows = records.object_members(spark, path, f"STRUCT<{META.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>")
     return rows.select(F.expr("try_cast(key AS BIGINT)").alias("cluster"), "m.*").dropna(subset=["cluster"]).withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
 
 

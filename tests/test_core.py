@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assocgraph.functions import text as tx
-from assocgraph.operators import etl, generate, graph, metrics, pages, retrieve, select, spread, temporal, tfidf
+from assocgraph.operators import etl, generate, graph, metrics, pages, retrieve, select, similar, spread, temporal, tfidf
 from assocgraph.plans import more
 from assocgraph.sources import bulk, corpus, store
 
@@ -117,7 +117,7 @@ def test_tfidf_against_model(spark):
     index = tfidf.postings(counts, freq, n)
     got = {r.node: r.a for r in tfidf.ignite(index, tfidf.norms(index), tfidf.query_vector(freq, "cat bird zebra zebra", n)).collect()}
     assert got == pytest.approx({i: sum(q.get(t, 0) * w for t, w in v.items()) / (qn * norm[i]) for i, v in enumerate(vec) if set(v) & set(q)})
-    sims = {(r.i, r.j): r.s for r in tfidf.similar_pairs(index, tfidf.norms(index), 0.1).collect()}
+    sims = {(r.i, r.j): r.s for r in similar.similar_pairs(index, tfidf.norms(index), 0.1).collect()}
     for i, j in itertools.combinations(range(n), 2):
         s = sum(vec[i].get(t, 0) * w for t, w in vec[j].items()) / (norm[i] * norm[j]) if norm[i] and norm[j] else 0
         assert (s > 0.1) == ((i, j) in sims) and sims.get((i, j), s) == pytest.approx(s)
