@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assocgraph.functions import text as tx
-from assocgraph.operators import etl, generate, graph, metrics, pages, retrieve, select, similar, spread, temporal, tfidf
+from assocgraph.operators import blocks, etl, generate, graph, metrics, pages, retrieve, select, similar, spread, temporal, tfidf
 from assocgraph.plans import more
 from assocgraph.sources import bulk, corpus, store
 
@@ -160,6 +160,55 @@ def test_spread_against_model(spark, name):
     assert {k: got.get(k, 0) for k in want} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("name", ["linear", "hard", "sigmoid"])
+@pytest.mark.parametrize("block", [1_000_000, 15, 0])
+def test_fixed_points_are_the_same_in_tasks_blocks_and_steps(spark, monkeypatch, name, block):
+    """All edges in one task; blocks of 15 edges; no task for any, so a job for each step."""
+    edges = random_graph(11)
+    f, model = {
+        "linear": (spread.no_threshold(), lambda a: a),
+        "hard": (spread.hard(0.05), lambda a: a if a >= 0.05 else 0),
+        "sigmoid": (spread.sigmoid(), lambda a: a / (1 + math.exp(-4 * (a - 0.01)))),
+    }[name]
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", block)
+    start = {0: 0.7, 5: 0.3, 12: 0.2}  # the last one has no edge
+    frame = spark.createDataFrame(list(start.items()), "node long, a double")
+    done = spread.spread(frame_of(spark, edges), frame, f, spread.Config(epsilon=1e-10 if block else 1e-4, unroll=5))
+    now, n = model_spread(edges, start, model, 200, 13), 0
+    got = {r.node: r.a for r in done.activation.collect()}
+    if done.converged:
+        assert {k: got.get(k, 0) for k in now} == pytest.approx(now, abs=1e-8 if block else 1e-3)
+    if block == 1_000_000:
+        before = start
+        while n < 100:  # steps and residuals are those of the model
+            after, n = model_spread(edges, start, model, n + 1, 13), n + 1
+            assert done.residuals[n - 1] == pytest.approx(sum(abs(after.get(k, 0) - before.get(k, 0)) for k in after.keys() | before.keys()), abs=1e-12)
+            if done.residuals[n - 1] < 1e-10:
+                break
+            before = after
+        assert done.iterations == n and done.converged == (done.residuals[-1] < 1e-10)
+
+
+@pytest.mark.parametrize("block", [1_000_000, 0])
+def test_batch_of_queries_is_each_query(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", block)
+    e = frame_of(spark, random_graph(4)).cache()
+    starts = {"x": {0: 0.7, 5: 0.3}, "y": {3: 1.0}, "z": {2: 1e-12}}
+    rows = [(q, n, a) for q, own in starts.items() for n, a in own.items()]
+    batch = spread.spread_many(e, spark.createDataFrame(rows, "q string, node long, a double"), spread.sigmoid(), spread.Config(unroll=3, epsilon=1e-4))
+    got = {(r.q, r.node): r.a for r in batch.activation.collect()}
+    progress = {r.q: r for r in batch.progress.collect()}
+    assert set(progress) == {r[0] for r in rows} and all(p.converged and p.residual < 1e-4 for p in progress.values())
+    for q in progress:
+        one = spread.spread_by_steps(e, spark.createDataFrame(list(starts[q].items()), "node long, a double"), spread.sigmoid(), spread.Config(epsilon=1e-4, unroll=3))
+        want = {(q, r.node): r.a for r in one.activation.collect()}
+        keys = want.keys() | {k for k in got if k[0] == q}
+        assert {k: got.get(k, 0) for k in keys} == pytest.approx({k: want.get(k, 0) for k in keys}, abs=1e-3)
+        assert one.iterations - 2 <= progress[q].iterations <= one.iterations
+    none = spread.spread_many(e, spark.createDataFrame([], "q string, node long, a double"), spread.sigmoid())
+    assert none.activation.count() == 0 and none.progress.count() == 0
+
+
 def test_spread_converges_and_keeps_mass(spark):
     e = frame_of(spark, random_graph(5))
     start = spark.createDataFrame([(1, 1.0)], "node long, a double")
@@ -520,4 +569,18 @@ def test_probe_record(spark):
 
     own = Corpus.build(spark, spark.createDataFrame(TOY, "path string, body string"))
     record = own.probe(["attention", "nothing"])
-    assert record["trials"] == 2 and record["converged_pct"] == 100 and record["n_nodes"] == 5 and 0 < record["p50"] <= record["p99"] and record["iters_avg"] > 1 and record["rss_mb"] > 0
+    # the same by the model: steps until a change of less than 1e-8, a hundred at most; a text without known terms takes none
+    edges = [(r.src, r.dst, r.raw_w) for r in own.edges.collect()]
+    posts, df, norms, n = own.index()
+    total, done = 0, 0
+    for text in ("attention", "nothing"):
+        start = {r.node: r.a for r in tfidf.ignite(posts, norms, tfidf.query_vector(df, text, n)).collect()}
+        before, steps, converged = start, 0, not start
+        while steps < 100 and not converged:
+            steps += 1
+            after = model_spread(edges, start, lambda a: a / (1 + math.exp(-4 * (a - 0.01))), steps, 5)
+            converged = sum(abs(after.get(k, 0) - before.get(k, 0)) for k in after.keys() | before.keys()) < 1e-8
+            before = after
+        total, done = total + steps, done + converged
+    assert record["trials"] == 2 and record["n_nodes"] == 5 and 0 < record["p50"] <= record["p99"] and record["rss_mb"] > 0
+    assert record["converged_pct"] == 50 * done and record["iters_avg"] == total / 2
