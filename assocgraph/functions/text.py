@@ -130,9 +130,17 @@ def html_to_markdown(html: Column) -> Column:
 
 
 def without_templates(text: Column) -> Column:
-    """{{...}} taken out from the inside until none is left: each pass takes two closing braces at least."""
-    passes = F.array_repeat(F.lit(0), F.floor(F.regexp_count(text, F.lit(r"\}")) / 2).cast("int"))
-    return F.aggregate(passes, text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
+    """{{...}} taken out from the inside until none is left: as many passes as templates are deep, which is half of the most
+    braces that are open at once."""
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(acc: Column, brace: Column) -> Column:
+        now = F.greatest(F.lit(0), acc["now"] + F.when(brace == "{", 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    braces = F.split(F.regexp_replace(text, "[^{}]", ""), "(?<=.)(?=.)")
+    deep = F.floor(F.aggregate(braces, zero, count)["most"] / 2).cast("int")
+    return F.aggregate(F.array_repeat(F.lit(0), deep), text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
 
 
 def wikitext_prepared(text: Column) -> Column:

@@ -111,15 +111,6 @@ def first_of_each(records: DataFrame, key: str, order: str) -> DataFrame:
     return real.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_r = 1").drop("_r")
 
 
-def rewritten_links(pages: DataFrame) -> DataFrame:
-    """page_id, links (array): the wiki links of pages(page_id, text) whose target is a page, in order, each once."""
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))).alias("at", "target"))
-    known = pages.select(F.col("page_id").alias("slug")).distinct()
-    kept = found.withColumn("slug", tx.kept_wikilink(F.col("target"))).join(known, "slug", "left_semi").groupBy("page_id", "slug").agg(F.min("at").alias("at"))
-    per_page = kept.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "slug"))), lambda s: s["slug"]).alias("links"))
-    return pages.select("page_id").join(per_page, "page_id", "left").select("page_id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
-
-
 def wikitext_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """node, md: wikitext of pages(node, text) as markdown; links among the pages titles(title) become [[slug|text]].
 
@@ -160,7 +151,9 @@ def linked_markup(pages: DataFrame, targets: DataFrame, key: str = r"([^/?#]+)/?
     pattern = F.lit(ANCHOR)
     found = pages.select("node", F.posexplode(F.regexp_extract_all("html", pattern, F.lit(0))).alias("at", "whole"))
     parts = found.select("node", "at", F.regexp_extract(F.regexp_extract("whole", ANCHOR, 1), key, 1).alias("key"), F.trim(F.regexp_replace(F.regexp_extract("whole", ANCHOR, 2), "<[^>]*>", "")).alias("label"))
-    named = parts.join(targets, "key", "left").select("node", F.struct("at", F.when(F.col("page_id").isNotNull(), F.concat(F.lit("[["), "page_id", F.lit("|"), "label", F.lit("]]"))).otherwise(F.col("label")).alias("text")).alias("a"))
+    # a label's own bars and brackets would end the link; without a label the page stands for itself
+    safe = F.coalesce(F.nullif(F.translate("label", "|[]", " ()"), F.lit("")), F.col("page_id"))
+    named = parts.join(targets, "key", "left").select("node", F.struct("at", F.when(F.col("page_id").isNotNull(), F.concat(F.lit("[["), "page_id", F.lit("|"), safe, F.lit("]]"))).otherwise(F.col("label")).alias("text")).alias("a"))
     back = named.groupBy("node").agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["text"]).alias("texts"))
     pieces = F.transform(F.split("html", ANCHOR, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("texts"), i), F.lit(""))))
     return pages.join(back, "node", "left").select("node", tx.html_to_markdown(F.array_join(pieces, "")).alias("md"))

@@ -9,17 +9,19 @@ from ..functions import text as tx
 from . import graph
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+\z", "")
+SEE_ALSO = "## See Also"
 
 
 def with_backlink(body: Column, target: Column) -> Column:
-    """The body with [[target]] at the end of its `## See Also` section, a new one if there is none; unchanged if it is there."""
+    """The body with [[target]] in its first `## See Also` section, before the line break that the next heading follows, or at
+    the end of a new section; unchanged if the link is there already."""
     link = F.concat(F.lit("[["), target, F.lit("]]"))
-    rest = F.regexp_extract(body, r"(?s)## See Also\n(.*?)(?:\n## |\z)", 1)
-    section = F.concat(F.lit("## See Also\n"), rest)
-    grown = F.replace(body, section, F.concat(trimmed(section), F.lit("\n- "), link, F.lit("\n")))
-    return F.when(F.contains(body, link), body).when(F.contains(body, F.lit("## See Also\n")), grown).otherwise(F.concat(trimmed(body), F.lit("\n\n## See Also\n- "), link, F.lit("\n")))
+    at = F.instr(body, SEE_ALSO) + len(SEE_ALSO)
+    rest = F.substring(body, at, F.length(body))
+    following = F.instr(rest, "\n## ")
+    end = F.when(following > 0, at + following - 1).otherwise(F.length(body) + 1)
+    grown = F.concat(F.substring(body, F.lit(1), end - 1), F.lit("\n- "), link, F.substring(body, end, F.length(body)))
+    return F.when(F.contains(body, link), body).when(F.contains(body, F.lit(SEE_ALSO)), grown).otherwise(F.concat(body, F.lit(f"\n\n{SEE_ALSO}\n\n- "), link, F.lit("\n")))
 
 
 def add_backlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -53,12 +55,6 @@ def relink(edges: DataFrame, pages: DataFrame, changed: DataFrame) -> DataFrame:
     return rest.unionByName(kept)
 
 
-def mentions(pages: DataFrame) -> DataFrame:
-    """node, page_id, target of links that resolve, for previews and site maps."""
-    out = pages.select("node", "page_id", F.explode("links_to").alias("target"))
-    return out.join(pages.select(F.col("page_id").alias("target")).distinct(), "target", "left_semi").select("node", "page_id", "target")
-
-
 def sitemap(pages: DataFrame) -> DataFrame:
     """page_id, priority."""
     share = F.least(F.lit(0.3), F.size("links_to") * 0.01)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import text as tx
 from ..operators import etl, generate, graph, metrics, pages, retrieve, similar, spread, temporal, tfidf
 from ..session import durable, table
@@ -303,8 +304,8 @@ SECTION = "\n\n## See Also\n- [[old/one]]\n\n## Notes\nlast words"
 
 
 @register(f"""WITH {inp.WIKI_SQL} SELECT lower(regexp_replace(path, '\\.[^./]*$', '')) AS page_id,
-CASE WHEN lang = 'en' THEN body || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[old/one]]' || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) || chr(10) || '## Notes' || chr(10) || 'last words'
-     ELSE regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) END AS body FROM wiki""")
+CASE WHEN lang = 'en' THEN body || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[old/one]]' || chr(10) || chr(10) || '- [[target/a]]' || chr(10) || '- [[target/b]]' || chr(10) || '## Notes' || chr(10) || 'last words'
+     ELSE body || chr(10) || chr(10) || '## See Also' || chr(10) || chr(10) || '- [[target/a]]' || chr(10) || chr(10) || '- [[target/b]]' END AS body FROM wiki""")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     """Two links back for every page; English pages have a section for them already, before another one."""
     body = F.when(F.col("lang") == "en", F.concat("body", F.lit(SECTION))).otherwise(F.col("body")).alias("body")
@@ -335,22 +336,36 @@ def stream_access(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- markup with links, rendering, a plain vector search -------------------------------------------------------------
 
+ESCAPED_SQL = "replace(replace(replace(replace(replace(plain, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@register(rf"""WITH t AS (SELECT doc_id AS node, trim(regexp_replace(translate(coalesce(text, ''), '*[]#', '....'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM documents)
+SELECT node, '<h2>Doc ' || node || '</h2>' || chr(10) || CASE WHEN plain = '' THEN '' ELSE '<p>' || {ESCAPED_SQL} || '</p>' || chr(10) END ||
+  '<ul>' || chr(10) || '  <li><strong>' || node || '</strong></li>' || chr(10) || '  <li><a href="/w/main/a%20b%2F' || node || '">next &amp; last</a></li>' || chr(10) || '</ul>' || chr(10) ||
+  '<p>so <em>see</em> <a href="http://x.org/?a=1&amp;b=2" rel="nofollow noopener" target="_blank">site</a> [open **not bold**</p>' || chr(10) AS html FROM t""")
+def rendered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a page of markdown (its own marks made plain), rendered as HTML."""
+    i = F.col("doc_id").cast("string")
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "*[]#", "...."), r"\s+", " "))
+    text = F.concat(F.lit("# Doc "), i, F.lit("\n\n"), plain, F.lit("\n\n* **"), i, F.lit("**\n * [[ a b/"), i, F.lit(" | next & last ]]\n\nso *see* [site](http://x.org/?a=1&b=2) [open **not bold**"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("node"), render.body(text).alias("html"))
+
 ANCHOR_SQL = r"""(?is)<a\b[^>]*?href=[\x22''](?:[^\x22'']*)[\x22''][^>]*>(?:.*?)</a>"""
 
 
 @register(
     MARKUP_SQL.replace("FROM pages", "FROM linked").replace(
         "WITH a AS",
-        rf"""WITH x AS (SELECT page_id, regexp_split_to_array(html, '{ANCHOR_SQL}') AS p, regexp_extract_all(html, '{ANCHOR_SQL}') AS a FROM pages),
+        rf"""WITH x AS (SELECT page_id, regexp_split_to_array(html, '{ANCHOR_SQL}') AS p, regexp_extract_all(html, '{ANCHOR_SQL}') AS a FROM (SELECT page_id, html || '<p><a href="/known">see [1] a|b</a> <a href="/known"> </a></p>' AS html FROM pages)),
 y AS (SELECT page_id, p, list_transform(a, lambda s: struct_pack(k := regexp_extract(s, 'href="/([^"]*)"', 1), t := trim(regexp_replace(regexp_extract(s, '>(.*)</a>', 1), '<[^>]*>', '', 'g')))) AS a FROM x),
-z AS (SELECT page_id, p, list_transform(a, lambda s: CASE WHEN length(s.k) > 3 THEN '[[w-' || lower(s.k) || '|' || s.t || ']]' ELSE s.t END) AS a FROM y),
+z AS (SELECT page_id, p, list_transform(a, lambda s: CASE WHEN length(s.k) > 3 THEN '[[w-' || lower(s.k) || '|' || coalesce(nullif(translate(s.t, '|[]', ' ()'), ''), 'w-' || lower(s.k)) || ']]' ELSE s.t END) AS a FROM y),
 linked AS (SELECT page_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(a[i], '')), '') AS html FROM z),
 a AS""",
     )
 )
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors to words of more than three letters have a page."""
-    html = table(spark, d, "pages").select(F.col("page_id").alias("node"), "html")
+    """Anchors to words of more than three letters have a page; every page gets two with a label of brackets and with none."""
+    html = table(spark, d, "pages").select(F.col("page_id").alias("node"), F.concat("html", F.lit('<p><a href="/known">see [1] a|b</a> <a href="/known"> </a></p>')).alias("html"))
     words = html.select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("key")).distinct().filter(F.length("key") > 3)
     targets = words.select("key", F.concat(F.lit("w-"), F.lower("key")).alias("page_id"))
     return etl.linked_markup(html, targets, r"^/([^\x22]*)$").withColumnRenamed("node", "page_id")

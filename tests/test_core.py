@@ -173,11 +173,11 @@ def test_fixed_points_are_the_same_in_tasks_blocks_and_steps(spark, monkeypatch,
     monkeypatch.setattr(blocks, "BLOCK_EDGES", block)
     start = {0: 0.7, 5: 0.3, 12: 0.2}  # the last one has no edge
     frame = spark.createDataFrame(list(start.items()), "node long, a double")
-    done = spread.spread(frame_of(spark, edges), frame, f, spread.Config(epsilon=1e-10 if block else 1e-4, unroll=5))
+    done = spread.spread(frame_of(spark, edges), frame, f, spread.Config(epsilon={0: 1e-4, 15: 1e-5}.get(block, 1e-10), unroll=5))
     now, n = model_spread(edges, start, model, 200, 13), 0
     got = {r.node: r.a for r in done.activation.collect()}
     if done.converged:
-        assert {k: got.get(k, 0) for k in now} == pytest.approx(now, abs=1e-8 if block else 1e-3)
+        assert {k: got.get(k, 0) for k in now} == pytest.approx(now, abs=1e-8 if block > 15 else 1e-3)
     if block == 1_000_000:
         before = start
         while n < 100:  # steps and residuals are those of the model
@@ -328,7 +328,9 @@ def test_page_changes(spark):
     links = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "t")], "page_id string, target string")
     got = {r.page_id: r.body for r in pages.add_backlinks(rows, links).collect()}
     assert got["a"].index("[[k]]") < got["a"].index("[[t]]") < got["a"].index("## Next")
-    assert got["b"] == "z\n\n## See Also\n- [[t]]\n" and got["c"] == "has [[t]]"
+    assert got["a"] == "x\n\n## See Also\n- [[k]]\n\n- [[t]]\n## Next\ny" and got["b"] == "z\n\n## See Also\n\n- [[t]]\n" and got["c"] == "has [[t]]"
+    twice = spark.createDataFrame([("a", "x \n## See Also\n\n## See Also\nz \n")], "page_id string, body string")
+    assert pages.add_backlinks(twice, links).first().body == "x \n## See Also\n\n- [[t]]\n## See Also\nz \n"
     ids = spark.createDataFrame([("a/b",), ("../x",), ("/x",), ("",)], "i string")
     assert [r.ok for r in ids.select(pages.valid_id(F.col("i")).alias("ok")).collect()] == [True, False, False, False]
     up = pages.upsert(rows, spark.createDataFrame([("b", "new"), ("d", "more")], rows.schema))
@@ -338,8 +340,43 @@ def test_page_changes(spark):
 def test_rendering(spark):
     from assocgraph.functions import render
 
-    got = one(spark, render.body(F.col("t")), t="# T\nplain **b** <x>\nmore [[a|A]]\n\n* one\n* *two*\n\n[s](http://x.y)")
-    assert got == '<h2>T</h2>\n<p>plain <strong>b</strong> &lt;x&gt; more <a href="/wiki/a">A</a></p>\n<ul>\n<li>one</li>\n<li><em>two</em></li>\n</ul>\n<p><a href="http://x.y">s</a></p>'
+    away = 'rel="nofollow noopener" target="_blank"'
+    blocks_of = {
+        "# T\n\nplain **b** <x>\nmore [[a|A]]": '<h2>T</h2>\n<p>plain <strong>b</strong> &lt;x&gt; more <a href="/w/main/a">A</a></p>\n',
+        "#Title\nstill the title\n\n####### seven": "<h2>Title\nstill the title</h2>\n<h6># seven</h6>\n",
+        "* one\n * *two*\n***three": "<ul>\n  <li>one</li>\n  <li><em>two</em></li>\n  <li>three</li>\n</ul>\n",
+        "- a\n- b\n\n\n\n  c\t": "<p>- a - b</p>\n<p>c</p>\n",
+        "* one\nno list": "<p>* one no list</p>\n",
+        "[[x y/z]] [[ a | b|c ]]": '<p><a href="/w/main/x%20y%2Fz">x y/z</a> <a href="/w/main/a">b|c</a></p>\n',
+        "[[a]b]] x]": '<p><a href="/w/main/a%5Db">a]b</a> x]</p>\n',
+        "a [[open **b** <i>": "<p>a [[open **b** &lt;i&gt;</p>\n",
+        "a **open *b* [x](y)": "<p>a **open *b* [x](y)</p>\n",
+        "a *open [x](y)": "<p>a *open [x](y)</p>\n",
+        "so **a*b** *c* **": "<p>so <strong>a*b</strong> <em>c</em> **</p>\n",
+        "[s](http://x.y?a&b) [t] [u](gone [v": f'<p><a href="http://x.y?a&amp;b" {away}>s</a> [t] [u]</p>\n',
+        "[a [b](c)": f'<p><a href="c" {away}>a [b</a></p>\n',
+        "[**x**] [y": "<p>[**x**] [y</p>\n",
+        "": "", " \n\n ": "",
+    }
+    for text, want in blocks_of.items():
+        assert one(spark, render.body(F.col("t")), t=text) == want, text
+    long = "x](" * 20000 + "[[" + "a]" * 20000 + "]"
+    assert one(spark, render.body(F.col("t")), t=long).count("<a ") == 1
+    assert one(spark, render.body(F.col("t"), "my corpus"), t="[[a]]") == '<p><a href="/w/my%20corpus/a">a</a></p>\n'
+
+
+def test_templates_of_any_depth_and_number(spark):
+    from assocgraph.functions.text import without_templates
+
+    def by_hand(text):
+        while (new := re.sub(r"\{\{[^{}]*\}\}", "", text)) != text:
+            text = new
+        return text
+
+    rng = random.Random(2)
+    texts = ["{{a}}" * 30000, "{{" * 40 + "x" + "}}" * 40, "}}}{{a}}", "{{{a}}}", "{{a {b}}} {{c}}", "}" * 50 + "{{{{x}}y}}"] + ["".join(rng.choice(["{{", "}}", "{", "}", "a", "b\n"]) for _ in range(60)) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", without_templates(F.col("t")).alias("got"))
+    assert all(r.got == by_hand(r.t) for r in rows.collect())
 
 
 def test_corpus_verbs(spark, tmp_path):
