@@ -137,6 +137,38 @@ def shortest_path(edges: DataFrame, start: int, goal: int) -> int | None:
     return None if found is None else int(found.hop)
 
 
+#: Settings of a recursion over rows: without a limit of their number, as it grows with the pairs.
+RECURSION = {"spark.sql.cteRecursionRowLimit": "-1"}
+
+
+def paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """start, goal, hops, path of pairs(start, goal) with a path of at most `most` hops: the shortest, of equal ones the least.
+
+    One recursive query for all pairs. A path never comes to a node twice and ends at its goal, and `most` bounds the depth, so
+    this is for short searches from many nodes; `hops` searches a whole graph from one.
+    """
+    spark = edges.sparkSession
+    names = {"edges_": edges.select("src", "dst"), "pairs_": pairs.select("start", "goal").distinct()}
+    kept = {k: spark.conf.get(k, None) for k in RECURSION}
+    try:
+        for k, v in RECURSION.items():
+            spark.conf.set(k, v)
+        walk = f"""
+            WITH RECURSIVE walk(start, goal, node, hops, path) MAX RECURSION LEVEL {most + 1} AS (
+              SELECT start, goal, start, 0, array(start) FROM {{pairs_}}
+              UNION ALL
+              SELECT start, goal, dst, hops + 1, array_append(path, dst) FROM walk JOIN {{edges_}} ON src = node
+              WHERE hops < {most} AND node <> goal AND NOT array_contains(path, dst)
+            ) SELECT start, goal, hops, path FROM walk WHERE node = goal"""
+        # the limits hold while the query runs, so it runs here
+        found = Tables(spark).write("paths", spark.sql(walk, **names))
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    best = found.groupBy("start", "goal").agg(F.min(F.struct("hops", "path")).alias("best"))
+    return best.select("start", "goal", "best.hops", "best.path")
+
+
 def neighborhood(edges: DataFrame, center: int, most: int = 48) -> DataFrame:
     """node, hop, direction, score of the undirected neighborhood of two hops.
 

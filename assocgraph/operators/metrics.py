@@ -87,3 +87,28 @@ def baseline_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
     # the query's own length, unseen words included (they are in one text, the query)
     length = asked.join(df.select("term", "df"), "term", "left").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * (F.log((1 + F.lit(float(n))) / (1 + F.coalesce("df", F.lit(1)))) + 1), F.lit(2)))).alias("length"))
     return scored.filter("dot > 0").crossJoin(F.broadcast(length)).select("item", (F.col("dot") / F.col("length")).alias("s")).orderBy(F.desc("s"), "item").limit(k)
+
+
+#: Positions of a bin of the interval join.
+BIN = 64
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
+    """points(pos, ...) with the columns of each of the ranges(first, end, ...) that they lie in, first <= pos < end.
+
+    A range has a row for each bin that it crosses, a point for its own bin; they meet there by equality, and the bounds are
+    looked at after. A bin of very many ranges is split by the join's own handling of skew.
+    """
+    crossed = ranges.filter("first < end").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("end") - 1) / width))))
+    placed = points.withColumn("_bin", F.floor(F.col("pos") / width))
+    return placed.join(crossed, "_bin").filter("first <= pos AND pos < end").drop("_bin")
+
+
+def range_coherence(vectors: DataFrame, chunks: DataFrame, width: int = BIN) -> DataFrame:
+    """chunk, n, coherence of chunks(chunk, first, end) over vectors(pos, v), as in `coherence`; ranges may be uneven, overlap
+    or hold nothing."""
+    inside = in_ranges(vectors, chunks.select("chunk", "first", "end"), width).select("chunk", "v")
+    tables = Tables(vectors.sparkSession)
+    inside = tables.write("inside", inside)
+    found = coherence(inside).join(inside.groupBy("chunk").agg(F.count("*").alias("n")), "chunk")
+    return chunks.select("chunk").join(found, "chunk", "left").select("chunk", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("coherence", F.lit(1.0)).alias("coherence"))

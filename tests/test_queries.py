@@ -8,7 +8,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
-from assocgraph.plans import batch, core, files, more  # noqa: E402,F401
+from assocgraph.plans import batch, core, files, joins, more  # noqa: E402,F401
 
 SF = "/root/testdata/sf0.001"
 
