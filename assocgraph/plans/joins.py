@@ -1,13 +1,16 @@
-"""Queries over stored terms, ranges and many paths, each with its SQL."""
+"""Queries over stored terms, ranges, many paths and keyed streams, each with its SQL."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, metrics, tfidf
 from ..session import new_folder, table
 from ..sources.terms import TermStore
+from ..streaming import keyed
 from . import inputs as inp
 from .core import IGNITE_SQL, QUERY, r6, register
 
@@ -48,3 +51,10 @@ def paths_of_pairs(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     pairs = table(spark, d, "documents").select(i.alias("start"), (i * 2 + 3).alias("goal"))
     return graph.paths(inp.doc_graph(spark, d), pairs, 4).withColumn("path", F.array_join("path", ">"))
+
+
+@register("""SELECT user_id AS node, count(*) AS n, epoch_us(max(ts)) // 1000 AS last_ms, epoch_us(max(ts)) // 1000 + 3600000 > (SELECT epoch_us(max(ts)) // 1000 FROM events) AS alive FROM events GROUP BY user_id""")
+def stream_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses by user in the state store of a stream; who was idle for an hour before the last event is no longer alive."""
+    schema = table(spark, d, "events").schema
+    return keyed.access_state(spark, d, "events.parquet", schema, "user_id", "ts", timedelta(hours=1))
