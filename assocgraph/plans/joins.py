@@ -1,4 +1,5 @@
-"""Queries over stored terms, ranges, many paths and keyed streams, each with its SQL."""
+"""Queries over stored terms, ranges, many paths, keyed streams, page folders and random
+numbers, each with its SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +8,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, tfidf
+from ..operators import graph, metrics, randoms, tfidf
 from ..session import new_folder, table
+from ..sources import corpus, store
+from ..sources.markdown import MarkdownFolder
 from ..sources.terms import TermStore
 from ..streaming import keyed
 from . import inputs as inp
@@ -58,3 +61,32 @@ def stream_keyed(spark: SparkSession, d: str) -> DataFrame:
     """Accesses by user in the state store of a stream; who was idle for an hour before the last event is no longer alive."""
     schema = table(spark, d, "events").schema
     return keyed.access_state(spark, d, "events.parquet", schema, "user_id", "ts", timedelta(hours=1))
+
+
+@register(rf"""WITH {inp.WIKI_SQL}, t AS (SELECT path, body, list_distinct(list_transform(regexp_extract_all(body, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1), lambda x: lower(x))) AS links,
+  regexp_extract(body, '(?m)^[ \t]*# +(\S.*?)[ \t\r]*$', 1) AS title FROM wiki),
+f AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM wiki),
+b AS (SELECT folder, CASE WHEN folder = '' THEN 0 ELSE 1 << least(row_number() OVER (ORDER BY folder) - 1, 62) END AS bit FROM f)
+SELECT path, sha256(body) AS body_sha256, 'title: ' || title || chr(10) || 'tokens: ' || greatest(1, strlen(body) // 4) || chr(10) || 'category: ' || bit || chr(10) AS head, CAST(len(links) AS INT) AS n_links
+FROM t JOIN b ON folder = regexp_replace(path, '/?[^/]*$', '')""")
+def markdown_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a page and its sidecar in a folder, and both read back."""
+    spark.dataSource.register(MarkdownFolder)
+    pages = corpus.page_table(inp.wiki(spark, d).select("path", "body"))
+    folder = new_folder(spark, "pages")
+    sidecars = store.meta_text(pages)
+    pages.select("page_id", "path", "body").join(sidecars, "page_id").select("path", "body", "meta").write.format("markdown").mode("append").save(folder)
+    back = spark.read.format("markdown").load(folder)
+    links = F.size(F.filter(F.split(F.regexp_extract("meta", r"(?s)links:\n(.*)$", 1), "\n"), lambda x: x.startswith("  - ")))
+    return back.select("path", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), F.regexp_extract("meta", r"(?s)^(.*)links:\n", 1).alias("head"), links.alias("n_links"))
+
+
+@register("""WITH RECURSIVE s(i, v) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(12648430 AS UBIGINT)
+  UNION ALL SELECT i + 1, xor(c, (c & ((CAST(1 AS UBIGINT) << 47) - 1)) << 17) FROM (SELECT i, xor(b, b >> 7) AS c FROM (SELECT i, xor(v, (v & ((CAST(1 AS UBIGINT) << 51) - 1)) << 13) AS b FROM s WHERE i + 1 < (SELECT count(*) FROM documents)))),
+k AS (SELECT doc_id AS node, CAST(v % 7 AS INT) AS cluster FROM documents JOIN s ON i = doc_id)
+SELECT node, cluster, lead(node) OVER (PARTITION BY cluster ORDER BY node) AS next FROM k""")
+def planted_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Documents drawn into seven chains by one sequence of random numbers."""
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
+    return randoms.planted(ids, 0xC0FFEE, 7, ids.count())

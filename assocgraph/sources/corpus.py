@@ -10,7 +10,7 @@ from ..session import durable
 
 
 def scan(spark: SparkSession, root: str, hidden: str = ".state") -> DataFrame:
-    """path (relative), body of every .md file under root; anything below a hidden folder is left out."""
+    """path (relative), body of every .md file under root; anything below a hidden folder is left out, and empty files."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("body"))
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")

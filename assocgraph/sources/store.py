@@ -77,8 +77,8 @@ def consistent(tables: dict[str, DataFrame]) -> bool:
 
 def meta_text(pages: DataFrame) -> DataFrame:
     """page_id, meta: the sidecar text of each page."""
-    links = F.when(F.size("links_to") == 0, F.lit("(none)")).otherwise(F.array_join("links_to", ", "))
-    return pages.select("page_id", F.concat(F.lit("title: "), "title", F.lit("\ntokens: "), F.col("token_cost").cast("string"), F.lit("\ncategory: "), F.col("category").cast("string"), F.lit("\nlinks: "), links, F.lit("\n")).alias("meta"))
+    links = F.when(F.size("links_to") == 0, F.lit("  (none)")).otherwise(F.array_join(F.transform("links_to", lambda x: F.concat(F.lit("  - "), x)), "\n"))
+    return pages.select("page_id", F.concat(F.lit("title: "), "title", F.lit("\ntokens: "), F.col("token_cost").cast("string"), F.lit("\ncategory: "), F.col("category").cast("string"), F.lit("\nlinks:\n"), links, F.lit("\n")).alias("meta"))
 
 
 def page_text(title: str, content: str) -> str:
