@@ -2,7 +2,7 @@
 
 Tasks write below a hidden folder; their commit messages name what they wrote, and only when all have ended well are the
 files moved to their places. A task that fails, or is run again, leaves nothing that readers see: its folder is
-in no message, and the hidden folder goes at the end in any case. Files are reached by pyarrow's file systems, so the folder may be
+in no message. The hidden folder goes at the end, but for what tasks write after their job was given up. Files are reached by pyarrow's file systems, so the folder may be
 a local one or any store that pyarrow knows by its address.
 
     spark.dataSource.register(MarkdownFolder)

@@ -39,7 +39,9 @@ def test_a_task_that_fails_leaves_no_file(spark, tmp_path, bad):
     rows = [(f"p{i}.md", "x", "y") for i in range(20)] + [(bad, "x", "y")]
     with pytest.raises(Exception, match="not the path of a page|PYTHON_DATA_SOURCE|aborted"):
         spark.createDataFrame(rows, SCHEMA).repartition(4).write.format("markdown").mode("append").save(root)
-    assert not os.path.exists(root) or files(root) == []
+    # tasks that were still at work when the job was given up may leave parts of the hidden folder
+    assert not os.path.exists(root) or all(f.startswith(".staging") for f in files(root))
+    assert not os.path.exists(root) or spark.read.format("markdown").load(root).count() == 0
     assert not os.path.exists(tmp_path / "out.md")
 
 
