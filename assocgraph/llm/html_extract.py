@@ -11,11 +11,13 @@ is nested in the valid class of the nearest element around its first token. The
 
 Of a page's text, only the blocks of the template and noise are dropped: what is in scripts, styles, forms, menus, headers,
 footers and sidebars by their tags, and in adverts, notices, comments and the like by words in the class, id or role of an
-element. Such words count for elements that are on half of the host's pages at least, so a block of one article that happens
-to have such a name stays; on hosts of one page, which have no template, they always count. They never count for an element
-that holds an article, main or h1 element (on pages without any, `MOST` of the text): `with-sidebar` around a page is no
-sidebar. All other text is kept, cut into blocks at block tags. The main slot of a page is the deepest element of the host's
-template (for a host of one page, the deepest element) that holds all of this text.
+element. Words for comments and adverts always count outside of articles, all words where two pages of the host have the
+same name at the same place, so a block of one article that happens to have such a name stays; on hosts of one page, which
+have no template, they always count. They never count for an element that holds an article, main or h1 element (on pages
+without any, `MOST` of the text): `with-sidebar` around a page is no sidebar. Nor is a tag noise that holds all that the
+page has of article and main elements (a form also those of h1), like a form around the whole page. All other text is kept,
+cut into blocks at block tags. The main slot of a page is the deepest element of the host's template (for a host of one page,
+the deepest element) that holds all of this text.
 
 A page's elements are numbered, and its paths hashed step by step, so work and memory are linear in the page however deep
 its elements nest.
@@ -44,8 +46,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg iframe object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav aside footer form button select dialog menu head".split()) | RAW
+#: Elements that a head can hold; any other one ends it, and so does text.
+HEAD_TAGS = frozenset("head base link meta noscript script style template title".split())
+#: Names of adverts, comments and cookies, and of all noise.
+STRONG = r"ads?|advert\w*|sponsor\w*|cookie(?:s|bar|banner|box|consent|law|notice|popup)*|comment(?:s|list|form|area|box|section|thread|wrap|wrapper)*|replies|respond|disqus"
+STRONG_NAMES = re.compile(rf"(?:^|[\s_-])(?:{STRONG})(?:$|[\s_-])", re.I)
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|respond|disqus|share|sharing|social|related(?=$|\s|[_-](?:posts?|articles?|stories|links?|items?|content|reading|news|pages?))|newsletter|subscribe|signup|login|popup|modal|overlay|footer|toolbar|pagination|pager|skip)(?:$|[\s_-])",
+    rf"(?:^|[\s_-])(?:{STRONG}|promo\w*|consent|gdpr|notice|notification|alert|sidebar|widget|menu|(?:top|side|main|sub|site|page|bottom)?nav(?:bar|igation|list|links)?|breadcrumbs?|share|sharing|social|related(?=$|\s|[_-](?:posts?|articles?|stories|links?|items?|content|reading|news|pages?))|newsletter|subscribe|signup|login|popup|modal|overlay|footer|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
 #: Names of noise outside of articles only.
@@ -59,8 +66,8 @@ BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset foote
 MAIN_TAGS, MOST = frozenset(["article", "main", "h1"]), 0.8
 #: Share of the host's pages that a template token is on.
 SUPPORT = 0.5
-#: Distinct pages that a text of the template is on at least.
-LEAST_PAGES = 3
+#: Distinct pages that a text of the template is on at least, and pages that a name of noise is on.
+LEAST_PAGES, LEAST_NAMES = 3, 2
 MASK = 2**64 - 1
 
 
@@ -81,13 +88,14 @@ class Page:
 
     tokens: (kind, name or text, element), with kind one of open, close, text. Of each element: parent; name; label (the name
     with class, id and role); path and tags (hashes of the labels, and names, from the page down; inline elements have those
-    around them); noise, by the tag of an element around it or its own; named, a hash if its label has a name of noise.
+    around them); noise, by the tag of an element around it or its own; named, a hash if its label has a name of noise; strong,
+    whether that is one of comments or adverts outside of articles.
     """
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str, int]] = []
         self.parent, self.name, self.label, self.path, self.tags = [-1], [""], [""], [hashed("path")], [hashed("tags")]
-        self.noise, self.named = [False], [None]
+        self.noise, self.named, self.strong = [False], [None], [False]
         self.stack, self.solid = [0], [0]  # open elements, and those of them that are not inline
         self.opened: Counter = Counter()
         at = 0
@@ -100,13 +108,17 @@ class Page:
                     text = text[9:].removesuffix("]]>")
                 elif text.startswith("<!") or text.startswith("<?"):
                     continue
+                if self.name[self.stack[-1]] == "head" and text.strip():
+                    self.close("head")
                 self.put("text", text)
             elif m[1]:
                 self.close(name.lower())
             else:
                 name = name.lower()
                 self.open(name, m[3] or "")
-                if name in RAW and not (m[3] or "").rstrip().endswith("/"):
+                if name in RAW and (m[3] or "").rstrip().endswith("/"):
+                    self.close(name)
+                elif name in RAW:
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                     self.put("text", source[at : end.start() if end else len(source)])
                     at = end.end() if end else len(source)
@@ -121,6 +133,8 @@ class Page:
         self.tokens.append((kind, what, self.stack[-1]))
 
     def open(self, name: str, attributes: str) -> None:
+        if self.opened["head"] and name not in HEAD_TAGS:
+            self.close("head")
         nearest = self.name[self.solid[-1]]
         if nearest in CLOSES.get(name, ()) or (nearest == "p" and name in BLOCKS_END_P):
             self.close(nearest)
@@ -134,9 +148,10 @@ class Page:
         self.label.append(label)
         self.path.append(self.path[up] if inline else hashed(f"{self.path[up]}/{label}"))
         self.tags.append(self.tags[up] if inline else hashed(f"{self.tags[up]}/{name}"))
-        self.noise.append(self.noise[up] or name in NOISE_TAGS or (name == "header" and not inside))
+        self.noise.append(name in NOISE_TAGS or (name == "header" and not inside))
         bad = names and name not in ("body", "html") and name not in MAIN_TAGS and (NOISE_NAMES.search(names) or (not inside and PAGE_NAMES.search(names)))
         self.named.append(hashed(f"name {self.tags[up]}/{label}") if bad else None)
+        self.strong.append(bool(bad and not inside and STRONG_NAMES.search(names)))
         own = len(self.parent) - 1
         if name in VOID:
             self.tokens.append(("open", name, own))
@@ -161,12 +176,29 @@ class Page:
                 return
 
     def whole(self) -> None:
-        """Take the names of noise from elements that hold what the page is about."""
-        holds, size = [n in MAIN_TAGS and not bad for n, bad in zip(self.name, self.noise)], [0] * len(self.name)
+        """Take noise from elements that hold what the page is about: their tags, then their names; and hand on what is left."""
+        own, n = self.noise, len(self.name)
+        inside = [False] * n  # in noise by tag
+        articles, titles = [0] * n, [0] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or own[i]
+            articles[i], titles[i] = int(self.name[i] in ("article", "main")), int(self.name[i] == "h1")
+        free = any(not inside[i] and (articles[i] or titles[i]) for i in range(1, n))
+        for i in range(n - 1, 0, -1):
+            articles[self.parent[i]] += articles[i]
+            titles[self.parent[i]] += titles[i]
+        if not free:
+            for i in range(1, n):
+                held = articles[i] == articles[0] > 0 or (self.name[i] == "form" and not articles[0] and titles[i] == titles[0] > 0)
+                if own[i] and held and self.name[i] not in ("article", "main"):
+                    own[i] = False
+        for i in range(1, n):
+            own[i] = own[i] or own[self.parent[i]]
+        holds, size = [name in MAIN_TAGS and not bad for name, bad in zip(self.name, own)], [0] * n
         for kind, what, at in self.tokens:
-            if kind == "text" and not self.noise[at]:
+            if kind == "text" and not own[at]:
                 size[at] += len(what.strip())
-        for i in range(len(self.name) - 1, 0, -1):
+        for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
             size[self.parent[i]] += size[i]
         for i, name in enumerate(self.named):
@@ -206,14 +238,14 @@ def main_element(page: Page, blocks: list[int], allowed: Container[int] | None =
 def blocks_of(page: Page, names: Container[int] | None = None) -> Iterator[tuple[int, str, bool]]:
     """Element, text and whether it is in an element with a name of noise, of each block that is no noise.
 
-    names: the hashes of names that are noise themselves, all if None.
+    names: the hashes of names that are noise themselves besides those of comments and adverts, all if None.
     """
     lost, within = list(page.noise), [False] * len(page.parent)
     for i, name in enumerate(page.named):
         if i:
             up = page.parent[i]
             within[i] = within[up] or name is not None
-            lost[i] = lost[i] or lost[up] or (name is not None and (names is None or name in names))
+            lost[i] = lost[i] or lost[up] or (name is not None and (names is None or page.strong[i] or name in names))
     at, run = (0, False), []
     for kind, what, element in [*page.tokens, ("end", "", 0)]:
         noise = lost[element]
@@ -306,7 +338,7 @@ def template(tokens: DataFrame) -> DataFrame:
     whole = tokens.filter((F.col("token") == PAGE) & (F.col("pages") > 1)).select("host", F.col("pages").alias("all"))
     found = template_classes(tokens).groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("texts")).alias("texts"))
     named = tokens.filter((F.col("own") == 0) & F.col("element").isNull() & (F.col("pages") > 1) & (F.col("token") != PAGE)).join(whole, "host")
-    names = named.filter(F.col("pages") >= F.col("all") * SUPPORT).groupBy("host").agg(F.collect_list("token").alias("names"))
+    names = named.filter(F.col("pages") >= LEAST_NAMES).groupBy("host").agg(F.collect_list("token").alias("names"))
     rows = whole.select("host").join(found, "host", "left").join(names, "host", "left")
     return rows.select("host", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("elements", "names", "texts")])
 

@@ -152,6 +152,39 @@ def test_html_extract_without_articles_drops_names_and_templates(spark):
     assert {r.page_id: r.text for r in html_extract.texts(table).collect()} == {i: f"Story {i} begins\nStory {i} ends" for i in range(5)}
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_extract_finds_what_a_page_is_about(spark):
+    """Heads without an end, forms and other noise around the article, elements that close themselves."""
+    pages = {
+        "<html><head><title>x</title><body><article><p>hello world</p></article></body></html>": "hello world",
+        "<head><title>x</title><meta charset=u><link href=y><p>first<p>second": "first\nsecond",
+        "<head><script>no</script>bare text<p>more": "bare text\nmore",
+        "<head><title>t</title></head><body><header><h1>Site</h1></header><p>text</p>": "text",
+        "<body><form id='aspnetForm'><nav>menu</nav><article><h1>T</h1><p>in a form</p><form><p>mail</p></form></article></form></body>": "T\nin a form",
+        "<body><form><div><h1>Title</h1><p>words</p></div><select><option>a</select></form></body>": "Title\nwords",
+        "<body><form><p>Your mail</p></form><p>text</p></body>": "text",
+        "<body><aside><main><p>all there is</p></main></aside></body>": "all there is",
+        "<body><article><p>one</p></article><aside><article><p>teaser</p></article></aside></body>": "one",
+        "<article><p>a</p><svg viewBox='0 0'/><p>b</p><script src='x'/><p>c</p><svg><path d='x'/></svg><p>d</p></article>": "a\nb\nc\nd",
+        "<main><p>text</p></main><ul class='topnav'><li>x</ul><ol class=commentlist><li>first!</ol><div id=cookiebar>ok</div><div class='ad-box'>buy</div>": "text",
+        "<main><p>text</p><div class='commentary'>kept</div></main>": "text\nkept",
+    }
+    rows = [(i, f"http://h{i}.org/", source) for i, source in enumerate(pages)]
+    assert extracted(spark, rows) == dict(enumerate(pages.values()))
+
+
+def test_html_extract_drops_comments_of_a_few_pages(spark):
+    def body(i):
+        parts = ["<div class='comments'><p>Reader</p></div>"] * (i < 3) + ["<div class='advert'>Buy</div>"] * (4 <= i < 8) + ["<div class='notice'>Closed on Monday</div>"] * (i in (2, 9)) + ["<div class='alert'>Only here</div>"] * (i == 5)
+        return f"<html><body><article><h1>T {i}</h1><p>Words {i}</p></article>{''.join(parts)}</body></html>"
+
+    got = extracted(spark, [(i, f"http://few.org/{i}", body(i)) for i in range(10)])
+    assert got == {i: f"T {i}\nWords {i}" + "\nOnly here" * (i == 5) for i in range(10)}
+
+
 def test_html_template_against_brute_force(spark):
     """Classes of tokens with equal occurrence vectors, counted page by page, and the classes around them."""
     rng = random.Random(4)
