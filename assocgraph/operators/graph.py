@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,19 +118,22 @@ def hops(edges: DataFrame, start: int, directed: bool = True, most: int | None =
     if not directed:
         step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     tables = Tables(spark)
-    seen = tables.write("seen", spark.createDataFrame([(start, 0)], "node long, hop int"))
-    hop = 0
+    # each hop is a table of its own: written once, and read by the hops after it to leave out what is known
+    found, hop = [tables.write("hop-0", spark.createDataFrame([(start, 0)], "node long, hop int"))], 0
     while most is None or hop < most:
-        front = seen.filter(F.col("hop") == hop).select(F.col("node").alias("src"))
-        new = step.join(front, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = tables.write("new", new.select("node", F.lit(hop + 1).alias("hop")))
+        new = step.join(found[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        # one way, any earlier hop may be met again, both ways only the last two
+        known = found if directed else found[-2:]
+        new = new.join(reduce(DataFrame.unionByName, known).select("node"), "node", "left_anti")
+        hop += 1
+        new = tables.write(f"hop-{hop}", new.select("node", F.lit(hop).alias("hop")))
         if not new.head(1):
+            tables.drop(f"hop-{hop}")
             break
-        seen, hop = tables.write("seen", seen.unionByName(new)), hop + 1
+        found.append(new)
         if goal is not None and new.filter(F.col("node") == goal).head(1):
             break
-    tables.drop("new")
-    return seen
+    return reduce(DataFrame.unionByName, found)
 
 
 def shortest_path(edges: DataFrame, start: int, goal: int) -> int | None:

@@ -601,6 +601,33 @@ def test_stages_are_reused(spark, tmp_path):
     assert run() == 7 and len(made) == 2
 
 
+def test_many_pages_and_texts_at_once(spark):
+    from assocgraph.engine import Corpus
+
+    one, many = (Corpus.build(spark, spark.createDataFrame(TOY, "path string, body string")) for _ in range(2))
+    changes = {"index": "# Start\n\nnow about [[ai/new]] and [[about]]", "ai/new": "# New\n\nattention is [[about]]", "zoo": "# Zoo\n\n[[index]] animals"}
+    for page_id, body in sorted(changes.items()):
+        one.put_pages(spark.createDataFrame([(page_id, body)], "page_id string, body string"))
+    assert many.put_pages(spark.createDataFrame([*changes.items(), ("zoo", "")], "page_id string, body string")) == 3 and many.put_pages(spark.createDataFrame([], "page_id string, body string")) == 0
+    rows = lambda c, name: sorted(map(str, c.table(name).select(*sorted(c.table(name).columns)).collect()))
+    for name in ("pages", "counts", "state"):
+        assert rows(one, name) == rows(many, name), name
+    assert {(r.src, r.dst) for r in many.table("edges").collect()} >= {(r.src, r.dst) for r in one.table("edges").collect()}
+    with pytest.raises(ValueError):
+        many.put_pages(spark.createDataFrame([("../x", "")], "page_id string, body string"))
+    texts = {"a": "attention animals", "b": "transformers", "c": "nothing of it"}
+    picks, progress = many.query_many(spark.createDataFrame(list(texts.items()), "q string, text string"), budget=40)
+    got = {}
+    for r in picks.collect():
+        got.setdefault(r.q, []).append((r.pick_rank, r.item, round(r.score, 9), r.cost))
+        assert r.page_id and r.path == f"{r.page_id}.md" or r.path in dict(TOY)
+    done = {r.q: r.converged for r in progress.collect()}
+    for q, text in texts.items():
+        alone = many.query(text, budget=40)
+        assert sorted(got.get(q, [])) == [(r.pick_rank, r.item, round(r.score, 9), r.cost) for r in alone.picks.orderBy("pick_rank").collect()]
+        assert done.get(q, True) == alone.converged
+
+
 def test_probe_record(spark):
     from assocgraph.engine import Corpus
 
