@@ -72,15 +72,6 @@ def ignite_many(index: DataFrame, doc_norms: DataFrame, vectors: DataFrame) -> D
     return dots.join(doc_norms, "node").join(lengths, "q").filter("norm > 0 AND q_norm > 0").select("q", "node", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("a"))
 
 
-def similarity(index: DataFrame, doc_norms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """i, j, s: cosines of the given pairs, 0 without a shared term."""
-    left = pairs.join(index.select(F.col("node").alias("i"), "term", F.col("w").alias("wi")), "i")
-    dots = left.join(index.select(F.col("node").alias("j"), "term", F.col("w").alias("wj")), ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
-    n = lambda k: doc_norms.select(F.col("node").alias(k), F.col("norm").alias(f"norm_{k}"))
-    whole = pairs.join(dots, ["i", "j"], "left").join(n("i"), "i", "left").join(n("j"), "j", "left")
-    return whole.select("i", "j", F.coalesce(F.col("dot") / F.nullif(F.col("norm_i") * F.col("norm_j"), F.lit(0.0)), F.lit(0.0)).alias("s"))
-
-
 def add_documents(counts: DataFrame, df: DataFrame, new_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts and frequencies with new documents; stored counts make every weight exact again, without idf drift."""
     more = new_counts.groupBy("term").agg(F.count("*").alias("df"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import graph, select, spread, tfidf
+from ..operators import graph, select, similar, spread, tfidf
 from ..session import durable, table
 from ..sources.corpus import categories
 from . import inputs as inp
@@ -101,7 +101,7 @@ FROM g LEFT JOIN dots ON i = src AND j = dst LEFT JOIN nrm x ON x.node = src LEF
 def doc_similarity(spark: SparkSession, d: str) -> DataFrame:
     posts = durable(index(spark, d)[2])
     pairs = inp.doc_edges(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    return tfidf.similarity(posts, tfidf.norms(posts), pairs).select("i", "j", r6("s").alias("s"))
+    return similar.similarity(posts, tfidf.norms(posts), pairs).select("i", "j", r6("s").alias("s"))
 
 
 @register(f"WITH {inp.TOKENS_SQL} SELECT term, df FROM df")
