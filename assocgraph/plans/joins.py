@@ -8,14 +8,15 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, randoms, tfidf
+from ..functions import text as tx
+from ..operators import graph, metrics, randoms, spread, tfidf
 from ..session import new_folder, table
-from ..sources import corpus, store
+from ..sources import bulk, corpus, store
 from ..sources.markdown import MarkdownFolder
 from ..sources.terms import TermStore
 from ..streaming import keyed
 from . import inputs as inp
-from .core import IGNITE_SQL, QUERY, r6, register
+from .core import HARD, IGNITE_SQL, QUERY, SIGMOID, r6, register, seeds, spread_sql
 
 
 @register(f"WITH {IGNITE_SQL} SELECT node, round(a, 6) AS a FROM a0")
@@ -90,3 +91,53 @@ def planted_chains(spark: SparkSession, d: str) -> DataFrame:
     """Documents drawn into seven chains by one sequence of random numbers."""
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
     return randoms.planted(ids, 0xC0FFEE, 7, ids.count())
+
+
+# ---- traces and small readers --------------------------------------------------------------------------------------
+
+
+def trace_sql(f: str, k: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT {i} AS step, sum(abs(coalesce(p.a, 0) - coalesce(q.a, 0))) AS l1 FROM a{i} p FULL JOIN a{i - 1} q USING (node)" for i in range(1, k + 1))
+    return f"{spread_sql(f, k)} SELECT step, round(l1, 6) AS residual FROM ({parts})"
+
+
+@register(trace_sql(SIGMOID, 12))
+def residual_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The change of each of the first twelve steps."""
+    done = spread.spread(inp.doc_graph(spark, d), seeds(spark), spread.sigmoid(), spread.Config(max_iter=12))
+    return spark.createDataFrame([(i, r) for i, r in enumerate(done.residuals, 1)], "step int, residual double").withColumn("residual", r6("residual"))
+
+
+@register(f"{spread_sql(HARD, 2)}, x AS (SELECT sum(abs(coalesce(p.a, 0) - coalesce(q.a, 0))) AS l1 FROM a2 p FULL JOIN a1 q USING (node)), y AS (SELECT 0.8 * sum(abs(coalesce(p.a, 0) - coalesce(q.a, 0))) AS l1 FROM a1 p FULL JOIN a0 q USING (node)) SELECT round(x.l1, 6) AS after, round(y.l1, 6) AS bound FROM x, y")
+def contraction_hard(spark: SparkSession, d: str) -> DataFrame:
+    """The distance of two activations after a step with the hard threshold, which need not shrink it."""
+    e, s, f = inp.doc_graph(spark, d), seeds(spark), spread.hard()
+    return spread.contraction(e, s, s, spread.step(e, s, s, f, 0.8), f).select(r6("after").alias("after"), r6("bound").alias("bound"))
+
+
+@register(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), '/', '-'), '-+', '-', 'g'), '^[- \t\n\x0B\f\r]+|[- \t\n\x0B\f\r]+$', '', 'g') AS name FROM documents""")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.safe_filename(F.coalesce("text", F.lit(""))).alias("name"))
+
+
+@register("""WITH k AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT o_orderkey AS id, o_custkey AS docket_id, 'Case, "' || o_orderkey || '"' || chr(10) || o_orderpriority AS case_name, CAST(o_custkey % 5 AS BIGINT) AS citation_count FROM orders WHERE o_custkey IN (FROM k)""")
+def docket_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as clusters of the dockets of one segment's customers, through CSV files whose values hold line breaks."""
+    dockets, clusters = new_folder(spark, "dockets"), new_folder(spark, "clusters")
+    kept = {"header": True, "quote": '"', "escape": "\\", "quoteAll": True}
+    table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("court_id")).write.csv(dockets, **kept)
+    i = F.col("o_orderkey").cast("string")
+    rows = table(spark, d, "orders").select(i.alias("id"), F.col("o_custkey").alias("docket_id"), F.concat(F.lit('Case, "'), i, F.lit('"\n'), "o_orderpriority").alias("case_name"), F.lit("c").alias("case_name_short"), F.lit("2020-01-01").alias("date_filed"), (F.col("o_custkey") % 5).alias("citation_count"), F.lit("P").alias("precedential_status"), i.alias("slug"))
+    rows.write.csv(clusters, **kept)
+    return bulk.clusters(spark, clusters, bulk.dockets(spark, dockets, "BUILDING")).select("id", "docket_id", "case_name", "citation_count")
+
+
+@register("SELECT doc_id AS pageid, source || ' ' || doc_id AS title, text AS wikitext, 2 AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL")
+def wiki_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the lines of a wiki export, read back; bad lines are skipped."""
+    folder = new_folder(spark, "wiki")
+    rows = table(spark, d, "documents").filter("source IS NOT NULL AND text IS NOT NULL")
+    lines = rows.select(F.to_json(F.struct(F.col("doc_id").alias("pageid"), F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("wikitext"), F.array(F.lit("a"), F.col("lang")).alias("categories"))).alias("value"))
+    lines.unionByName(lines.limit(1).select(F.lit('{"pageid": 1, "title": "cut').alias("value"))).write.text(folder, compression="gzip")
+    return bulk.wiki_records(spark, folder).select("pageid", "title", "wikitext", F.size("categories").alias("n"))
