@@ -20,6 +20,7 @@ from ..session import new_folder
 STATE = "n long, last_ms long, alive boolean"
 OUTPUT = "node long, n long, last_ms long, alive boolean"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTS = "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -78,14 +79,18 @@ def follow(accesses: DataFrame, idle: timedelta, folder: str, sink=None) -> None
     sink: a function of (batch of changes, number), none to keep the state only.
     """
     spark = accesses.sparkSession
-    kept = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    # the state has as many parts as there are cores, for as long as the folder lasts
+    own = {PROVIDER: ROCKS, PARTS: str(spark.sparkContext.defaultParallelism)}
+    kept = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         # where a batch is written again after a failure it holds the same changes
         query = changes(accesses, idle).writeStream.outputMode("update").foreachBatch(sink or (lambda batch, number: batch.write.format("noop").mode("append").save())).option("checkpointLocation", folder).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if kept is None else spark.conf.set(PROVIDER, kept)
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,29 +25,25 @@ def hours(ms):
 
 def test_many_batches_restart_and_expiry(spark, tmp_path):
     pytest.importorskip("google.protobuf")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
     source, folder, seen = tmp_path / "in", str(tmp_path / "state"), []
     batches = [[(1, 0), (2, 1), (1, 2)], [(3, 3), (1, 3)], [(2, 30)], [(2, 31), (5, 31)], [(1, 60)], [(9, 61), (9, 61)]]
-    try:
-        for i, rows in enumerate(batches[:3]):
-            put(spark, source, i, rows)
-        sink = lambda batch, number: seen.append({r.node: (r.n, r.alive) for r in batch.collect()})
-        keyed.follow(stream(spark, source), timedelta(hours=20), folder, sink)
-        for i, rows in enumerate(batches[3:], 3):
-            put(spark, source, i, rows)
-        keyed.follow(stream(spark, source), timedelta(hours=20), folder, sink)  # goes on from the state
-        got = {r.node: (r.n, hours(r.last_ms)) for r in keyed.state(spark, folder).collect()}
-        alive = {r.node for r in keyed.state(spark, folder).filter("alive").collect()}
-        assert keyed.state(spark, folder).count() == len(got)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for i, rows in enumerate(batches[:3]):
+        put(spark, source, i, rows)
+    sink = lambda batch, number: seen.append({r.node: (r.n, r.alive) for r in batch.collect()})
+    keyed.follow(stream(spark, source), timedelta(hours=20), folder, sink)
+    for i, rows in enumerate(batches[3:], 3):
+        put(spark, source, i, rows)
+    keyed.follow(stream(spark, source), timedelta(hours=20), folder, sink)  # goes on from the state
+    got = {r.node: (r.n, hours(r.last_ms)) for r in keyed.state(spark, folder).collect()}
+    alive = {r.node for r in keyed.state(spark, folder).filter("alive").collect()}
+    assert keyed.state(spark, folder).count() == len(got)
     flat = [x for rows in batches for x in rows]
     assert got == {n: (sum(1 for m, _ in flat if m == n), max(h for m, h in flat if m == n)) for n, _ in flat}
     assert alive == {1, 9}  # the others were idle for twenty hours before the last access
     # a batch changes the nodes that it holds and those whose time is over, no others
     held = [set(b) for b in seen if b]
     assert held[0] == {1, 2} and held[1] == {1, 3} and all(len(b) <= 3 for b in held)
-    assert spark.conf.get(keyed.PROVIDER, None) != keyed.ROCKS
+    assert spark.conf.get(keyed.PROVIDER, None) != keyed.ROCKS and spark.conf.get(keyed.PARTS) == "4"
 
 
 def test_nothing_to_follow(spark, tmp_path):
