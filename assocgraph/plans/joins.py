@@ -104,7 +104,7 @@ def trace_sql(f: str, k: int) -> str:
 @register(trace_sql(SIGMOID, 12))
 def residual_trace(spark: SparkSession, d: str) -> DataFrame:
     """The change of each of the first twelve steps."""
-    done = spread.spread(inp.doc_graph(spark, d), seeds(spark), spread.sigmoid(), spread.Config(max_iter=12))
+    done = spread.spread(inp.doc_graph(spark, d), seeds(spark), spread.sigmoid(), spread.Config(max_iter=12, epsilon=0.0, stepwise=True))
     return spark.createDataFrame([(i, r) for i, r in enumerate(done.residuals, 1)], "step int, residual double").withColumn("residual", r6("residual"))
 
 
