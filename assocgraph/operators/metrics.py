@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
-from ..session import Tables
+from ..session import Tables, common_join, durable
+from . import tfidf
 
 
 def recall_precision(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -78,11 +79,11 @@ def baseline_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
     documents (item, text), unit length, cosine."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     n = docs.count() + 1
-    tf = docs.select("item", F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
+    tf = durable(tfidf.counted(docs, "item", words=words(F.coalesce("text", F.lit("")))).select(F.col("node").alias("item"), "term", "tf"))
     asked = docs.sparkSession.range(1).select(F.explode(words(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term", "left").withColumn("df", F.col("df") + F.col("qtf").isNotNull().cast("int"))
+    df = durable(tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term", "left").withColumn("df", F.col("df") + F.col("qtf").isNotNull().cast("int")))
     idf = F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1
-    rows = tf.join(df, "term").select("item", (F.col("tf") * idf).alias("w"), (F.col("qtf") * idf).alias("q"))
+    rows = common_join(tf, df, "term", "df").select("item", (F.col("tf") * idf).alias("w"), (F.col("qtf") * idf).alias("q"))
     scored = rows.groupBy("item").agg((F.sum(F.col("w") * F.col("q")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("dot"))
     # the query's own length, unseen words included (they are in one text, the query)
     length = asked.join(df.select("term", "df"), "term", "left").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * (F.log((1 + F.lit(float(n))) / (1 + F.coalesce("df", F.lit(1)))) + 1), F.lit(2)))).alias("length"))

@@ -19,15 +19,19 @@ from . import inputs as inp
 from .core import HARD, IGNITE_SQL, QUERY, SIGMOID, r6, register, seeds, spread_sql
 
 
+#: So buckets of a stored index grow in number, not in size.
+DOCS_OF_A_BUCKET = 10_000
+
+
 @register(f"WITH {IGNITE_SQL} SELECT node, round(a, 6) AS a FROM a0")
 def ignite_stored(spark: SparkSession, d: str) -> DataFrame:
     """Ignition from an index stored by term: English documents come later, as a change, and the stores are compacted."""
     docs = table(spark, d, "documents")
     late = F.coalesce(F.col("lang") == "en", F.lit(False))
-    counts = tfidf.term_counts(docs.filter(~late))
-    store = TermStore.create(counts, docs.filter(~late).count(), new_folder(spark, "terms"), 16)
+    counts, n = tfidf.counted(docs.filter(~late)), docs.count()
+    store = TermStore.create(counts, docs.filter(~late).count(), new_folder(spark, "terms"), max(16, n // DOCS_OF_A_BUCKET))
     fresh = docs.filter(late)
-    store.add(counts.limit(0), tfidf.term_counts(fresh), fresh.select(F.col("doc_id").alias("node")), docs.count())
+    store.add(counts.limit(0), tfidf.counted(fresh), fresh.select(F.col("doc_id").alias("node")), n)
     return store.compact(new_folder(spark, "terms")).ignite(QUERY).select("node", r6("a").alias("a"))
 
 

@@ -22,9 +22,9 @@ KEY = {"postings": "term", "df": "term", "norms": "node"}
 
 
 def with_top(counts: DataFrame) -> DataFrame:
-    """term, node, tf, max_tf of counts(node, term, tf)."""
-    top = counts.groupBy("node").agg(F.max("tf").alias("max_tf"))
-    return counts.join(top, "node").select("term", "node", "tf", "max_tf")
+    """term, node, tf, max_tf of counts(node, term, tf), which may have max_tf already."""
+    own = counts if "max_tf" in counts.columns else tfidf.with_top(counts)
+    return own.select("term", "node", "tf", "max_tf")
 
 
 @dataclass
@@ -96,16 +96,20 @@ class TermStore:
             first = first.unionByName(rows)
         return first.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """node, term, tf, max_tf, w: of all terms, or from the buckets of the given ones alone."""
+    def counts(self, terms: list[str] | None = None) -> DataFrame:
+        """term, node, tf, max_tf: of all terms, or from the buckets of the given ones alone."""
         parts, out = self._rows("postings", terms), None
         for k, rows in enumerate(parts):
             for later in range(k + 1, self.parts):
                 # the pages of a change are few
                 rows = rows.join(F.broadcast(self._read("norms", later).select("node")), "node", "left_anti")
             out = rows if out is None else out.unionByName(rows.select(*out.columns))
+        return out
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """The same with w."""
         weight = F.col("tf") / F.col("max_tf") * (F.log(F.lit(float(self.n_docs)) / F.col("df")) + 1)
-        return out.join(self.frequencies(terms), "term").select("node", "term", "tf", "max_tf", weight.alias("w"))
+        return self.counts(terms).join(self.frequencies(terms), "term").select("node", "term", "tf", "max_tf", weight.alias("w"))
 
     def norms(self) -> DataFrame:
         """node, norm: as stored, or made anew where pages changed since, as each of them changes the weights of all."""
@@ -120,7 +124,7 @@ class TermStore:
     def compact(self, folder: str) -> TermStore:
         """All parts as one, in another folder."""
         tables = Tables(self.spark)
-        counts = tables.write("counts", self.postings().select("node", "term", "tf"))
+        counts = tables.write("counts", self.counts())
         made = TermStore.create(counts, self.n_docs, folder, self.buckets)
         tables.drop()
         return made

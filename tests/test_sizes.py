@@ -29,3 +29,34 @@ def test_fixed_point_has_all_nodes_that_thirty_steps_reach(spark, tmp_path):
 def test_residuals_are_those_of_steps_where_edges_fill_several_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_EDGES", 200)
     against_sql(spark, tmp_path, NUMBERS.format(300), "residual_trace", "spread_fixed_point")
+
+
+def test_counts_of_odd_texts(spark):
+    from assocgraph.operators import tfidf
+    from pyspark.sql import functions as F
+
+    from assocgraph.functions import text as tx
+
+    texts = ["İstanbul ΑΣ'Α ΟΔΟΣ K kelvin K2", None, "", "the The THE of a I Ⅳ ① éÉ", "İ", "Σ σΣ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    each = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), tx.BREAKS), lambda t: F.octet_length(t) > 1), F.lower)
+    want = {(r.doc_id, r.term): r["count"] for r in docs.select("doc_id", F.explode(each).alias("term")).groupBy("doc_id", "term").count().collect()}
+    got = {(r.node, r.term): (r.tf, r.max_tf) for r in tfidf.counted(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(top == max(n for (d, _), n in want.items() if d == k[0]) for k, (_, top) in got.items())
+    # rows of one id are one document
+    twice = {(r.node, r.term): (r.tf, r.max_tf) for r in tfidf.counted(docs.withColumn("doc_id", F.lit(7))).collect()}
+    assert twice[7, "the"] == (3, 3) and sum(v[0] for v in twice.values()) == sum(want.values())
+
+
+def test_postings_stay_where_they_are(spark):
+    """Frequent terms meet their frequencies without an exchange: of a plan's exchanges, none holds the counts of all terms by node."""
+    from assocgraph.operators import tfidf
+    from assocgraph.session import durable
+    from pyspark.sql import functions as F
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common words"), F.concat(F.lit("rare"), "id")).alias("text"))
+    counts = durable(tfidf.counted(docs))
+    df = durable(tfidf.document_frequency(counts))
+    plan = tfidf.postings(counts, df, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning(node") == 0
