@@ -60,3 +60,18 @@ def test_postings_stay_where_they_are(spark):
     df = durable(tfidf.document_frequency(counts))
     plan = tfidf.postings(counts, df, 300)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange hashpartitioning(node") == 0
+
+
+def test_probes_of_a_graph_of_several_blocks(spark, tmp_path, monkeypatch):
+    """Probes are columns there; twenty of them are two groups."""
+    from pyspark.sql import functions as F
+
+    from assocgraph.operators import temporal
+
+    edges = spark.range(200).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") * 2) % 200, (F.col("id") + 1) % 200)).alias("dst")).filter("src <> dst").distinct().withColumn("w", F.lit(0.5)).cache()
+    probes = spark.range(20).select(F.col("id").alias("probe"))
+    rows = lambda df: {(r.probe, r.node): round(r.a, 9) for r in df.collect()}
+    want = rows(temporal.probe(edges, probes, 7))
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 50)
+    assert rows(temporal.probe(edges, probes, 7)) == want and len(want) > 1000
+    against_sql(spark, tmp_path, NUMBERS.format(300), "health")
