@@ -75,3 +75,30 @@ def test_probes_of_a_graph_of_several_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_EDGES", 50)
     assert rows(temporal.probe(edges, probes, 7)) == want and len(want) > 1000
     against_sql(spark, tmp_path, NUMBERS.format(300), "health")
+
+
+def test_optima_of_groups_of_all_sizes_against_every_subset():
+    """Equal sizes at once, beyond 20 items no masks; the greedy walk and the single item beside them."""
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    from assocgraph.operators import select
+
+    rng, groups = random.Random(5), []
+    for n in [0, 1, 2, 3, 7, 7, 9, 21]:
+        items = [(float(rng.randint(0, 50)), rng.randint(1, 9)) for _ in range(n)]
+        groups.append(sorted(items, key=lambda x: -x[0] / x[1]))
+    lists = [pa.array([[x[k] for x in g] for g in groups], pa.list_(kind)) for k, kind in ((0, pa.float64()), (1, pa.int64()))]
+    many, one, rooms, masks = (a.to_pylist() for a in select.worths_of(*lists, 12))
+    for i, g in enumerate(groups):
+        room, worth = 12, 0.0
+        for score, cost in g:
+            if cost <= room:
+                room, worth = room - cost, worth + score
+        assert many[i] == worth and one[i] == max((x[0] for x in g), default=0.0)
+        if len(g) <= 9:
+            subsets = itertools.chain.from_iterable(itertools.combinations(g, k) for k in range(len(g) + 1))
+            assert rooms[i] == masks[i] == max(sum(x[0] for x in s) for s in subsets if sum(x[1] for x in s) <= 12)
+    assert masks[-1] is None and rooms[-1] >= many[-1]
