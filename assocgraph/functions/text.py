@@ -146,7 +146,7 @@ def without_templates(text: Column) -> Column:
         now = F.greatest(F.lit(0), acc["now"] + F.when(brace == "{", 1).otherwise(-1))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    braces = F.split(F.regexp_replace(text, "[^{}]", ""), "(?<=.)(?=.)")
+    braces = F.split(F.regexp_replace(text, "[^{}]+", ""), "(?<=.)(?=.)")
     deep = F.floor(F.aggregate(braces, zero, count)["most"] / 2).cast("int")
     return F.aggregate(F.array_repeat(F.lit(0), deep), text, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
 

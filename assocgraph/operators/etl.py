@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import salted_join
+from ..session import salted_join, stored
 
 #: Order and heading of each opinion type (fixed values); others come last as `Opinion`.
 TYPES = {
@@ -115,9 +115,10 @@ def wikitext_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """node, md: wikitext of pages(node, text) as markdown; links among the pages titles(title) become [[slug|text]].
 
     Links of dropped namespaces go, those to other pages leave their text. Links become rows, meet the known slugs in one
-    join, however popular a slug is, and go back between the pieces of text that they came from.
+    join, however popular a slug is, and go back between the pieces of text that they came from. The prepared text is stored,
+    so that it is made once, although the links and the pieces are both taken from it.
     """
-    ready = pages.select("node", tx.wikitext_prepared(F.col("text")).alias("text"))
+    ready = stored("ready", pages.select("node", tx.wikitext_prepared(F.col("text")).alias("text")))
     found = ready.select("node", F.posexplode(F.regexp_extract_all("text", F.lit(tx.WIKILINK), F.lit(1))).alias("at", "inner"))
     inner = F.trim("inner")
     cut = found.select("node", "at", F.trim(F.substring_index(inner, "|", 1)).alias("target"), F.trim(F.regexp_replace(inner, r"\A[^|]*\|", "")).alias("display"))

@@ -102,3 +102,13 @@ def test_optima_of_groups_of_all_sizes_against_every_subset():
             subsets = itertools.chain.from_iterable(itertools.combinations(g, k) for k in range(len(g) + 1))
             assert rooms[i] == masks[i] == max(sum(x[0] for x in s) for s in subsets if sum(x[1] for x in s) <= 12)
     assert masks[-1] is None and rooms[-1] >= many[-1]
+
+
+def test_wikitext_is_prepared_once(spark):
+    """Links and pieces are taken from the stored text: what is left of the plan has no comment or template to take out."""
+    from assocgraph.operators import etl
+
+    pages = spark.createDataFrame([(1, "{{a {{b}} }}x<!-- c --> [[Two|t]] [[Other|o]]"), (2, None)], "node long, text string")
+    found = etl.wikitext_pages(pages, spark.createDataFrame([("Two",)], "title string"))
+    assert "<!--" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "x [[two|t]] o"), (2, "")}
