@@ -7,35 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-from .common import WORD
-
 #: Characters that are split at once, and entries of a worker's memo of word hashes; both only save time and memory.
-BLOCK_CHARS, MEMO = 500_000, 20_000
+BLOCK_CHARS, MEMO = 500_000, 100_000
 
 
 class WordHashes(dict):
     """The xxh3 hash of each word, remembered."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
 
 MEMORY = WordHashes()
 
 
-def word_blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-    """(position of the first text, hashes of all words, number of words of each text, the words) for runs of texts."""
+def word_blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(position of the first text, hashes of all words, number of words of each text, the words in UTF-8) for runs of texts."""
     at = 0
     while at < len(texts):
-        words: list[str] = []
+        words: list[bytes] = []
         sizes: list[int] = []
         chars = 0
         while at + len(sizes) < len(texts) and (chars < BLOCK_CHARS or not sizes):
             text = texts[at + len(sizes)]
-            own = WORD.findall(text)
+            own = text.encode().split()  # bytes are split at the white space of the contracts, and at no other
             words += own
             sizes.append(len(own))
             chars += len(text)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, in_arrow, pieces, written
+from .common import BROADCAST_ROWS, in_arrow, pieces, written
 from .fm_index import END, FIRST, SEPARATOR, FMIndex
 from .shingles import mix, rolling, word_blocks
 
@@ -41,7 +41,7 @@ LAST = 2**63 - 1
 SLICE, COMBINED = 512, 1_000_000
 
 
-def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
     """For runs of texts: (position of the first, text of each segment, anchor hash, first window, windows, all words, where
     each text's words start). Window positions count from the start of the text.
     """
@@ -129,9 +129,9 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     hits = np.flatnonzero(own[pos] == a[lo:hi]) + lo
                     base = int(begin[i])
                     h = int(hashes[at + i])
-                    own_segs: dict[tuple[int, str], list[int]] = {}
+                    own_segs: dict[tuple[int, bytes], list[int]] = {}
                     for s, n, x in zip(start[hits].tolist(), count[hits].tolist(), a[hits].tolist()):
-                        own_segs.setdefault((x, " ".join(words[base + s : base + s + n + WINDOW - 1])), []).append(s)
+                        own_segs.setdefault((x, b" ".join(words[base + s : base + s + n + WINDOW - 1])), []).append(s)
                     out[0] += [int(ids[at + i])] * len(own_segs)
                     out[1] += [h] * len(own_segs)
                     out[2] += [x for x, _ in own_segs]
@@ -250,9 +250,9 @@ def drops(docs: DataFrame) -> DataFrame:
         hits = shard_reports(plain(found)).select("did", "h", "starts", "mask")
     else:
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot  # a checked size
-        # only documents with such an anchor are read again for the common windows
+        # only documents with such an anchor are read again for the common windows, once: their segments are few and stored
         owners = repeated.select("c", F.explode("mine").alias("a")).join(side, "a", "left_semi")
-        common = single_windows(segments(docs, owners.select("c", F.array("a").alias("mine"))))
+        common = single_windows(written(segments(docs, owners.select("c", F.array("a").alias("mine")))))
         # windows that stay in one document are answered by that
         several = common.groupBy("part", "seg").agg(F.min("did").alias("did"), F.max("did").alias("last")).filter("did < last")
         one = several.select("part", "seg", "did", F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<int>").alias("starts"))
@@ -276,7 +276,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
         for batch in pieces(batches, SLICE):
             out: list[list] = [[], [], [], []]
             for did, h, text, drop in zip(*(batch.column(c).to_pylist() for c in ("did", "h", "text", "drops"))):
-                words, spans, gone = WORD.findall(text), [], 0
+                words, spans, gone = text.encode().split(), [], 0
                 kept = words
                 if drop:
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -291,7 +291,7 @@ def strip(docs: DataFrame, carry: tuple[str, ...] = (), rejoin: bool = True) ->
                     spans = turns.reshape(-1, 2).tolist()
                     gone = int(covered.sum())
                     kept = [w for w, c in zip(words, covered.tolist()) if not c]
-                for values, v in zip(out, (" ".join(kept) if rejoin or gone else text, len(words), gone, spans)):
+                for values, v in zip(out, (b" ".join(kept) if rejoin or gone else text, len(words), gone, spans)):
                     values.append(v)
             made = [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("row")] if carry else [])], ["doc_id", "text", "n_words", "n_removed", "spans", *(["row"] if carry else [])])

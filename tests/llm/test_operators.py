@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from assocgraph.llm import bpe, chat, common, components, exact_dedup, fingerprints, fm_index, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
 from assocgraph.llm.common import WORD
+from assocgraph.llm.shingles import word_blocks
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -632,6 +633,20 @@ def test_substring_dedup_against_windows(spark, monkeypatch, hot, shard):
     assert all(sum(b - a for a, b in r.spans) == r.n_removed for r in got)
 
 
+def test_common_windows_are_cut_from_texts_once(spark, monkeypatch):
+    """Segments of common anchors are stored: the rest of the plan reads texts for the other anchors only, and makes two reports."""
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    docs = frame(spark, [(i, prose(20, 1) + " " + prose(5, 100 + i)) for i in range(6)])
+    own = docs.selectExpr("doc_id AS did", "xxhash64(text) AS h", "text", "doc_id AS c")
+    assert substring_dedup.drops(own)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+
+
+def test_words_of_the_contract():
+    """Bytes are split at the white space of the contracts alone."""
+    text = "a\x1cb\x85c\xa0d\u2003e  f\x0bg\x0ch\r\ni\tj "
+    assert [w.decode() for _, _, _, words in word_blocks([text, "", " \n"]) for w in words] == WORD.findall(text)
+
+
 def test_substring_dedup_odd_tables(odd, empty):
     assert substring_dedup.digests(empty).count() == 0 and substring_dedup.digests(odd).count() == len(ODD)
 
