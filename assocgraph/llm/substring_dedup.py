@@ -8,8 +8,9 @@ smaller doc_id. All text of a window is covered by the removal, and windows are
    that occur in one document only cannot repeat across documents and go no further. Documents of one task that share an
    anchor are known to repeat it, so a very common anchor sends one row per task.
 2. Segments are dealt by anchor. An anchor of more than `HOT` documents is cut into single windows, which are dealt by their
-   own hash after equal ones have become one row with the smallest doc_id; equal windows still meet, and no anchor and no
-   passage, however common, is one task. Their answers are joined back to the documents.
+   own hash; equal windows still meet. Before that, equal windows among some rows of a task are one: all but those of the
+   smallest doc_id are decided there, as a document with a smaller doc_id holds the same words. So no anchor and no passage,
+   however common, is one task, and a common window is exchanged once for each such group, however many documents hold it.
 3. Each shard (anchors up to `SHARD_WORDS` words) builds an FM-index over its different segments, streams their words
    through it by backward search, and reports the intervals whose matching statistic reaches the window's length. The
    least doc_id in an interval of the suffix array is that of the window's first document.
@@ -23,30 +24,34 @@ other; rows that repeat are answered each; an empty table gives an empty table;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, in_arrow, pieces, written
 from .fm_index import END, FIRST, SEPARATOR, FMIndex
-from .shingles import mix, rolling, word_blocks
+from .shingles import bounded_words, mix, rolling
 
 WINDOW, ANCHOR = 13, 5
 SHARD_WORDS, HOT = 400_000, 5_000
 LAST = 2**63 - 1
 #: Rows whose texts a worker holds at once, and anchors that it combines.
 SLICE, COMBINED = 512, 1_000_000
+#: Occurrences of common windows that a worker holds at once, and rows of a batch that it makes of them.
+GROUPED, BATCH_ROWS = 200_000, 2000
 
 
-def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """For runs of texts: (position of the first, text of each segment, anchor hash, first window, windows, all words, where
-    each text's words start). Window positions count from the start of the text.
+def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For runs of texts: (position of the first, text of each segment, anchor hash, first window, windows, the words of the
+    segments at some places, joined by one space). Window positions count from the start of the text.
     """
     span = WINDOW - ANCHOR + 1
-    for at, flat, sizes, words in word_blocks(texts):
+    for at, flat, sizes, raw, begin, end in bounded_words(texts):
         starts = np.concatenate([[0], np.cumsum(sizes)])
         grams = rolling(flat, ANCHOR)
         n = len(flat) - WINDOW + 1
@@ -59,7 +64,11 @@ def anchored(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         fresh = whole & np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:n] != owner[: n - 1]) | ~whole[:-1]])
         first = np.flatnonzero(fresh)
         count = np.add.reduceat(whole.astype(np.int64), first) if len(first) else first
-        yield at, owner[first], grams[place[first]], first - starts[owner[first]], count, words, starts
+
+        def words(some, raw=raw, low=begin[first], high=end[first + count + WINDOW - 2]):
+            return [b" ".join(raw[x:y].split()) for x, y in zip(low[some].tolist(), high[some].tolist())]
+
+        yield at, owner[first], grams[place[first]], first - starts[owner[first]], count, words
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -115,45 +124,92 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     A segment that a row repeats is one row.
     """
 
+    def paired(anchors, rows):
+        """One number of an anchor and a row; where two meet by chance, a segment more goes on."""
+        return mix(anchors.view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
     def run(batches):
         for batch in pieces(batches, SLICE):
             ids, hashes, texts = batch.column("did").to_numpy(), batch.column("h").to_numpy(), batch.column("text").to_pylist()
-            wanted = [np.unique(np.concatenate([np.array(x, np.int64) for x in w])) for w in batch.column("anchors").to_pylist()]
-            out: list[list] = [[], [], [], [], []]
-            for at, owner, a, start, count, words, begin in anchored(texts):
-                a = a.view(np.int64)
-                for i in np.unique(owner).tolist():
-                    lo, hi = np.searchsorted(owner, [i, i + 1])
-                    own = wanted[at + i]
-                    pos = np.minimum(np.searchsorted(own, a[lo:hi]), len(own) - 1)
-                    hits = np.flatnonzero(own[pos] == a[lo:hi]) + lo
-                    base = int(begin[i])
-                    h = int(hashes[at + i])
-                    own_segs: dict[tuple[int, bytes], list[int]] = {}
-                    for s, n, x in zip(start[hits].tolist(), count[hits].tolist(), a[hits].tolist()):
-                        own_segs.setdefault((x, b" ".join(words[base + s : base + s + n + WINDOW - 1])), []).append(s)
-                    out[0] += [int(ids[at + i])] * len(own_segs)
-                    out[1] += [h] * len(own_segs)
-                    out[2] += [x for x, _ in own_segs]
-                    out[3] += own_segs.values()
-                    out[4] += [seg for _, seg in own_segs]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))], ["did", "h", "a", "starts", "seg"])
+            lists = batch.column("anchors").flatten()
+            per_row, per_list = (pc.list_value_length(x).to_numpy() for x in (batch.column("anchors"), lists))
+            wanted = np.sort(paired(lists.flatten().to_numpy(), np.repeat(np.repeat(np.arange(len(texts)), per_row), per_list)))
+            for at, owner, a, start, _, words in anchored(texts):
+                key = paired(a, owner + at)
+                hits = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                if not len(hits):
+                    continue
+                segs = words(hits)
+                _, back, times = np.unique(key[hits], return_inverse=True, return_counts=True)
+                places: list[list[int]] = [[x] for x in start[hits].tolist()]
+                kept = np.ones(len(hits), bool)
+                same: dict[tuple[int, bytes], int] = {}
+                for i in np.flatnonzero(times[back] > 1).tolist():
+                    if (j := same.setdefault((int(key[hits[i]]), segs[i]), i)) != i:
+                        places[j] += places[i]
+                        kept[i] = False
+                rows = owner[hits] + at
+                made = [pa.array(ids[rows]), pa.array(hashes[rows]), pa.array(a[hits].view(np.int64)), pa.array(places, pa.list_(pa.int32())), pa.array(segs, pa.string())]
+                yield pa.RecordBatch.from_arrays(made, ["did", "h", "a", "starts", "seg"]).filter(pa.array(kept))
 
     marked = repeated.groupBy("c").agg(F.collect_list("mine").alias("anchors"))
     # all columns come along, so that strip() reads the same exchange of the texts
     return in_arrow(docs.join(marked, "c").select(*docs.columns, "anchors"), run, "did long, h long, a long, starts array<int>, seg string")
 
 
-def single_windows(found: DataFrame) -> DataFrame:
-    """did, h, starts, seg, part of each window of the segments; part deals equal windows to one place."""
-    words = F.split("seg", " ")
-    single = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("seg"), i.alias("i")))
-    flat = found.select("did", "h", "starts", F.explode(single).alias("c"))
-    return flat.select("did", "h", F.transform("starts", lambda s: (s + F.col("c.i")).cast("int")).alias("starts"), F.col("c.seg").alias("seg"), F.xxhash64("c.seg").alias("part"))
+def first_of_group(found: DataFrame) -> DataFrame:
+    """part, seg, did, h, starts, common: the segments, dealt by anchor, and those of common anchors as single windows.
+
+    Of equal windows in a group of a task's rows only those of the smallest did go on. The others are decided: a row for each
+    document with all their starts, without seg, dealt by what the document is dealt by.
+    """
+    names, kinds = ["part", "seg", "did", "h", "starts", "common"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]
 
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
 
-def first_documents(segs: list[str], dids: list[int]) -> list[list[int]]:
-    """For each window of each segment the smallest doc_id over all segments that hold the window, by an FM-index."""
+    def flush(first, decided):
+        for at in range(0, len(windows := list(first)), BATCH_ROWS):
+            some = windows[at : at + BATCH_ROWS]
+            parts = [int(x) for x in np.array([xxhash.xxh3_64_intdigest(w) for w in some], np.uint64).view(np.int64)]
+            yield made([(part, w, first[w][0], h, starts, True) for part, w in zip(parts, some) for h, starts in first[w][1]])
+        for at in range(0, len(rows := list(decided.items())), BATCH_ROWS):
+            yield made([(h if did == LAST else did, None, did, h, starts, True) for (did, h), starts in rows[at : at + BATCH_ROWS]])
+
+    def run(batches):
+        first: dict[str, tuple[int, list]] = {}
+        decided: dict[tuple[int, int], list[int]] = {}
+        n = 0
+        for batch in batches:
+            common = batch.column("common")
+            rest = batch.filter(pc.invert(common))
+            yield pa.RecordBatch.from_arrays([rest.column("a"), *(rest.column(k) for k in names[1:])], names)
+            rows = batch.filter(common)
+            for did, h, seg, starts in zip(*(rows.column(k).to_pylist() for k in ("did", "h", "seg", "starts"))):
+                words = seg.split(" ")
+                for i in range(len(words) - WINDOW + 1):
+                    window, at = " ".join(words[i : i + WINDOW]), [s + i for s in starts]
+                    least, owners = first.get(window, (None, None))
+                    if owners is None or did < least:
+                        for own, places in owners or ():
+                            decided.setdefault((least, own), []).extend(places)
+                        first[window] = did, [(h, at)]
+                    elif did == least:
+                        owners.append((h, at))
+                    else:
+                        decided.setdefault((did, h), []).extend(at)
+                    n += len(at)
+                if n >= GROUPED:
+                    yield from flush(first, decided)
+                    first, decided, n = {}, {}, 0
+        yield from flush(first, decided)
+
+    return in_arrow(found, run, "part long, seg string, did long, h long, starts array<int>, common boolean")
+
+
+def first_documents(segs: list[str], dids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment the smallest doc_id over all segments that hold the window, by an FM-index; and the
+    number of windows of each segment."""
     words = " \n ".join(segs).split(" ")  # a line break is no part of a word, so it separates
     words.append("\n")
     ids = dict(zip(dict.fromkeys(words), range(FIRST, FIRST + len(words))))
@@ -186,49 +242,74 @@ def first_documents(segs: list[str], dids: list[int]) -> list[list[int]]:
         spans, back = np.unique(lo[full] * (index.n + 1) + hi[full], return_inverse=True)
         bounds = np.column_stack([spans // (index.n + 1), spans % (index.n + 1)]).ravel()
         least[found] = np.minimum.reduceat(np.append(documents, LAST), bounds)[::2][back]
-    cuts = np.cumsum(counts)[:-1]
-    return [x.tolist() for x in np.split(least, cuts)]
+    return least, counts
 
 
 def shard_reports(dealt: DataFrame) -> DataFrame:
-    """did, h, starts, mask of the segments with windows to drop; for rows without h (many documents in one) part, seg, least.
+    """did, h, starts, mask of the segments with windows to drop. dealt: part, seg, did, h, starts, common.
 
-    dealt: part, seg, did, h, starts. Bit i of mask stands for the window at start + i; least is the first doc_id of a window.
+    Bit i of mask stands for the window at start + i. Rows without seg are decided and handed on.
     """
-    names, kinds = ["did", "h", "starts", "mask", "part", "seg", "least"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    names = ["did", "h", "starts", "mask"]
 
     def report(rows):
+        segs, dids = rows.column("seg").to_pylist(), rows.column("did").to_pylist()
         first: dict[str, int] = {}
-        for seg, did in zip(rows["seg"], rows["did"]):
+        for seg, did in zip(segs, dids):
             if did < first.get(seg, LAST + 1):
                 first[seg] = did
-        least = dict(zip(first, first_documents(list(first), list(first.values()))))
-        out: list[list] = [[] for _ in names]
-        for part, seg, did, h, starts in zip(*(rows[k] for k in ("part", "seg", "did", "h", "starts"))):
-            got = least[seg]
-            row = (None, None, None, None, part, seg, got[0]) if h is None else (did, h, starts, sum(1 << i for i, m in enumerate(got) if m < did), None, None, None)
-            if h is None or row[3]:
-                for values, v in zip(out, row):
-                    values.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names)
+        least, counts = first_documents(list(first), list(first.values()))
+        place = dict(zip(first, range(len(first))))
+        of = np.fromiter(map(place.__getitem__, segs), np.int64, len(segs))
+        # the windows of each row, those of its segment
+        n = counts[of]
+        ends = np.cumsum(n)
+        i = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        gone = least[np.repeat((np.cumsum(counts) - counts)[of], n) + i] < np.repeat(np.array(dids, np.int64), n)
+        mask = np.add.reduceat(gone.astype(np.int64) << i, ends - n)
+        some = pa.array(np.flatnonzero(mask))
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks().take(some) for k in names[:3]), pa.array(mask[mask != 0])], names)
 
     def run(batches):
-        columns = ("part", "seg", "did", "h", "starts")
-        held: dict[str, list] = {k: [] for k in columns}
-        words = 0
+        held: list[pa.RecordBatch] = []
+        words, last, now, seen = 0, None, None, {}
         for batch in batches:
-            new = {k: batch.column(k).to_pylist() for k in columns}
-            for i, part in enumerate(new["part"]):
-                if words >= SHARD_WORDS and part != held["part"][-1]:
-                    yield report(held)
-                    held, words = {k: [] for k in columns}, 0
-                for k in columns:
-                    held[k].append(new[k][i])
-                words += new["seg"][i].count(" ") + 2
+            open_rows = batch.column("seg").is_valid()
+            if batch.num_rows > open_rows.true_count:
+                done = batch.filter(pc.invert(open_rows))
+                yield pa.RecordBatch.from_arrays([*(done.column(k) for k in names[:3]), pa.array(np.ones(done.num_rows, np.int64))], names)
+                batch = batch.filter(open_rows)
+            common = np.flatnonzero(batch.column("common").to_numpy(zero_copy_only=False))
+            if len(common):
+                # rows come by did, so the first of a window has the least: others of that did have nothing to drop
+                stay = np.ones(batch.num_rows, bool)
+                some = batch.take(pa.array(common))
+                for i, part, seg, did in zip(common.tolist(), *(some.column(k).to_pylist() for k in ("part", "seg", "did"))):
+                    if part != now:
+                        now, seen = part, {}
+                    if seen.get(seg) == did:
+                        stay[i] = False
+                    seen.setdefault(seg, did)
+                batch = batch.filter(pa.array(stay))
+            if not batch.num_rows:
+                continue
+            parts = batch.column("part").to_numpy()
+            size = np.cumsum(pc.count_substring(batch.column("seg"), " ").to_numpy() + 2)
+            fresh = np.flatnonzero(np.concatenate([[parts[0] != last], parts[1:] != parts[:-1]]))
+            at = 0
+            for i in fresh.tolist():
+                before = int(size[i - 1]) if i else 0
+                if words + before - (int(size[at - 1]) if at else 0) >= SHARD_WORDS:
+                    held.append(batch.slice(at, i - at))
+                    yield report(pa.Table.from_batches(held))
+                    held, words, at = [], 0, i
+            held.append(batch.slice(at))
+            words += int(size[-1]) - (int(size[at - 1]) if at else 0)
+            last = parts[-1]
         if words:
-            yield report(held)
+            yield report(pa.Table.from_batches(held))
 
-    return in_arrow(dealt.repartition("part").sortWithinPartitions("part"), run, "did long, h long, starts array<int>, mask long, part long, seg string, least long")
+    return in_arrow(dealt.repartition("part").sortWithinPartitions("part", "did"), run, "did long, h long, starts array<int>, mask long")
 
 
 def known_by() -> Column:
@@ -242,23 +323,14 @@ def drops(docs: DataFrame) -> DataFrame:
     A row's are those with its did and h, as rows may share an id.
     """
     repeated = written(repeated_anchors(docs))
-    hot = repeated.filter(F.col("n") > HOT).select(F.get("mine", F.lit(0)).alias("a")).distinct()
+    hot = repeated.filter(F.col("n") > HOT).select(F.get("mine", F.lit(0)).alias("a"), F.lit(True).alias("common")).distinct()
     n_hot = hot.count()
     found = segments(docs, repeated)
-    plain = lambda rows: rows.select(F.col("a").alias("part"), "seg", "did", "h", "starts")
     if not n_hot:
-        hits = shard_reports(plain(found)).select("did", "h", "starts", "mask")
+        hits = shard_reports(found.select(F.col("a").alias("part"), "seg", "did", "h", "starts", F.lit(False).alias("common")))
     else:
         side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot  # a checked size
-        # only documents with such an anchor are read again for the common windows, once: their segments are few and stored
-        owners = repeated.select("c", F.explode("mine").alias("a")).join(side, "a", "left_semi")
-        common = single_windows(written(segments(docs, owners.select("c", F.array("a").alias("mine")))))
-        # windows that stay in one document are answered by that
-        several = common.groupBy("part", "seg").agg(F.min("did").alias("did"), F.max("did").alias("last")).filter("did < last")
-        one = several.select("part", "seg", "did", F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<int>").alias("starts"))
-        first = shard_reports(one).select("part", "seg", "least")
-        again = common.join(first, ["part", "seg"]).filter("least < did").select("did", "h", "starts", F.lit(1).cast("long").alias("mask"))
-        hits = shard_reports(plain(found.join(side, "a", "left_anti"))).select("did", "h", "starts", "mask").unionByName(again)
+        hits = shard_reports(first_of_group(found.join(side, "a", "left").withColumn("common", F.coalesce("common", F.lit(False)))))
     return hits.groupBy(known_by().alias("c")).agg(F.collect_list(F.struct("did", "h", "starts", "mask")).alias("drops"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assocgraph.llm import bpe, chat, common, components, exact_dedup, fingerprints, fm_index, html_extract, langid, near_dedup, packing, substring_dedup, toxicity
+from assocgraph.llm import bpe, chat, common, components, exact_dedup, fingerprints, fm_index, html_extract, langid, near_dedup, packing, shingles, substring_dedup, toxicity
 from assocgraph.llm.common import WORD
 from assocgraph.llm.shingles import word_blocks
 
@@ -641,12 +641,58 @@ def test_common_windows_are_cut_from_texts_once(spark, monkeypatch):
     assert substring_dedup.drops(own)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
 
 
+@pytest.mark.parametrize("grouped", [3, 200_000])
+def test_common_windows_need_no_second_pass(spark, monkeypatch, grouped):
+    """With common anchors the texts are cut, and so exchanged, as often as without: once."""
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "GROUPED", grouped, raising=False)
+    calls, cut = [], substring_dedup.segments
+    monkeypatch.setattr(substring_dedup, "segments", lambda *a: calls.append(1) or cut(*a))
+    passage = prose(20, 1)
+    rows = [(i, passage + " " + prose(i % 7, 100 + i)) for i in (5, 3, 3, 9, 0, 0, 7)] + [(None, prose(4, 7) + " " + passage), (None, passage), (0, passage + " " + passage), (8, "a " * 40), (6, "a " * 30), (None, "a " * 20)]
+    for some in (rows, [(None, t) for _, t in rows]):
+        calls.clear()
+        got = substring_dedup.strip(frame(spark, some)).collect()
+        assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in got) == brute_strip(some)
+        assert len(calls) == 1
+
+
+def test_a_common_window_goes_on_once_for_a_group(spark):
+    """Of equal windows in a task those of the smallest doc_id are exchanged, the others are one decided row for each document."""
+    seg = prose(14, 1)
+    schema = "did long, h long, a long, starts array<int>, seg string, common boolean"
+    found = spark.createDataFrame([(i, 100 + i, 1, [0, 50], seg, True) for i in (4, 2, 9, 2, 7)] + [(1, 101, 2, [3], seg, False)], schema).coalesce(1)
+    got = substring_dedup.first_of_group(found).collect()
+    assert [(r.part, r.did, r.starts) for r in got if not r.common] == [(2, 1, [3])]
+    assert sorted((r.did, r.starts) for r in got if r.common and r.seg) == [(2, [0, 50])] * 2 + [(2, [1, 51])] * 2
+    assert sorted((r.part, r.did, r.h, sorted(r.starts)) for r in got if r.seg is None) == [(i, i, 100 + i, [0, 1, 50, 51]) for i in (4, 7, 9)]
+
+
 def test_words_of_the_contract():
     """Bytes are split at the white space of the contracts alone."""
     text = "a\x1cb\x85c\xa0d\u2003e  f\x0bg\x0ch\r\ni\tj "
     assert [w.decode() for _, _, _, words in word_blocks([text, "", " \n"]) for w in words] == WORD.findall(text)
 
 
+def test_bounded_words(monkeypatch):
+    """The same words as one by one, where they are, with equal hashes for equal words alone, also in small pieces."""
+    texts = [prose(40, i) for i in range(30)] + ["", " \n", "a\x1cb\x85c\xa0d\u2003e  f\x0bg\x0ch\r\ni\tj ", " \u00e4\u00f6 \u4e2d\u6587\u4e2d\u6587 ", "x" * 300 + " y", "ab ba aa b a", "\x00 \x00\x00"]
+    seen = {}
+    for chars, at_once in ((500_000, 1 << 20), (50, 16)):
+        monkeypatch.setattr(shingles, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(shingles, "AT_ONCE", at_once)
+        got, n = [], 0
+        for at, flat, sizes, raw, begin, end in shingles.bounded_words(texts):
+            assert at == n
+            n += len(sizes)
+            words = [raw[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())]
+            for w, h in zip(words, flat.tolist()):
+                assert seen.setdefault(w, h) == h
+            got += [words[y - x : y] for x, y in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
+        assert got == [WORD.findall(t) for t in texts]
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_substring_dedup_odd_tables(odd, empty):
     assert substring_dedup.digests(empty).count() == 0 and substring_dedup.digests(odd).count() == len(ODD)
 
