@@ -11,7 +11,7 @@ from ..operators import etl, generate, graph, metrics, pages, retrieve, similar,
 from ..session import durable, stored, table
 from ..streaming import access
 from . import inputs as inp
-from .core import GREEDY_SQL, HARD, IGNITE_SQL, MARKUP_SQL, QUERY, REACH_SQL, SIGMOID, index, r6, register
+from .core import GREEDY_SQL, HARD, IGNITE_SQL, MARKUP_SQL, QUERY, REACH_SQL, SIGMOID, index, r6, register, slug_text
 
 # ---- maintenance ---------------------------------------------------------------------------------------------------
 
@@ -279,7 +279,7 @@ def section_bodies(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, text, coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'case') AS slug FROM documents)
   WHERE NOT starts_with(lower(ltrim(text)), '#redirect [[')) WHERE r = 1""")
 def first_per_slug(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "documents").select("doc_id", "text", tx.slug(F.col("text")).alias("slug"))
+    records = table(spark, d, "documents").select("doc_id", "text", tx.slug(slug_text(F.col("text"))).alias("slug"))
     return etl.first_of_each(records, "slug", "doc_id").select("doc_id", "slug")
 
 

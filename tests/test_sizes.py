@@ -112,3 +112,10 @@ def test_wikitext_is_prepared_once(spark):
     found = etl.wikitext_pages(pages, spark.createDataFrame([("Two",)], "title string"))
     assert "<!--" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(1, "x [[two|t]] o"), (2, "")}
+
+
+def test_slugs_of_texts_without_a_name(spark, tmp_path):
+    """No text, an empty one, one of marks only, and the letter whose lower case is an i alone in SQL."""
+    texts = ["NULL", "''", "'  '", "'!?'", "'éé'", "'İSTANBUL İ'", "'K elvin'", "'Roe v. Wade!!'", "repeat('ab ', 60)", "'-'"]
+    rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS doc_id, {t} AS text, 'en' AS lang, 's' AS source, CAST(4 AS BIGINT) AS n_chars" for i, t in enumerate(texts))
+    against_sql(spark, tmp_path, rows, "slugs", "first_per_slug")
