@@ -119,3 +119,14 @@ def test_slugs_of_texts_without_a_name(spark, tmp_path):
     texts = ["NULL", "''", "'  '", "'!?'", "'éé'", "'İSTANBUL İ'", "'K elvin'", "'Roe v. Wade!!'", "repeat('ab ', 60)", "'-'"]
     rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS doc_id, {t} AS text, 'en' AS lang, 's' AS source, CAST(4 AS BIGINT) AS n_chars" for i, t in enumerate(texts))
     against_sql(spark, tmp_path, rows, "slugs", "first_per_slug")
+
+
+def test_lines_of_no_order_and_of_odd_amounts(spark, tmp_path):
+    """Lines without an order or a number, parts of units, and nothing, null and negative amounts."""
+    con = duckdb.connect()
+    lines = """SELECT CASE WHEN i % 55 = 0 THEN NULL ELSE i // 12 END AS l_orderkey, CAST(CASE WHEN i % 5 = 0 THEN NULL ELSE i % 12 END AS INTEGER) AS l_linenumber,
+        CASE i % 7 WHEN 0 THEN 2.5 WHEN 1 THEN 3.5 WHEN 2 THEN 0.4 WHEN 3 THEN NULL WHEN 4 THEN -3 WHEN 5 THEN 10.7 ELSE 40 END::DOUBLE AS l_quantity,
+        CASE i % 13 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -7.5 ELSE 100 * (i % 7 + 1) + i / 100.0 END::DOUBLE AS l_extendedprice FROM range(600) t(i)"""
+    con.sql(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    same(core.QUERIES["greedy_by_group"](spark, str(tmp_path)), con.sql(core.ORACLES["greedy_by_group"]))
