@@ -130,3 +130,16 @@ def test_lines_of_no_order_and_of_odd_amounts(spark, tmp_path):
     con.sql(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     same(core.QUERIES["greedy_by_group"](spark, str(tmp_path)), con.sql(core.ORACLES["greedy_by_group"]))
+
+
+def test_a_cycle_is_measured_when_asked(spark, tmp_path, monkeypatch):
+    """The edges of a cycle do not wait for probes over all of them."""
+    from assocgraph.operators import temporal
+
+    asked = []
+    monkeypatch.setattr(temporal, "health", lambda edges, state, config, seed, own=temporal.health: asked.append(seed) or own(edges, state, config, seed))
+    texts = "SELECT range AS doc_id, 'same words ' || range % 3 AS text, 'en' AS lang, 's' AS source, 4 AS n_chars FROM range(30)"
+    against_sql(spark, tmp_path, texts, "maintain")
+    assert asked == []
+    done = more.one_cycle(spark, str(tmp_path))
+    assert 0 < done.health <= 1 and done.health == done.health and asked == [None]
