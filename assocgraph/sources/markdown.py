@@ -5,13 +5,17 @@ files moved to their places. A task that fails, or is run again, leaves nothing
 in no message. The hidden folder goes at the end, but for what tasks write after their job was given up. Files are reached by pyarrow's file systems, so the folder may be
 a local one or any store that pyarrow knows by its address.
 
+The driver lists one folder at a time; what it keeps of it for the tasks is a few bytes for each page.
+
     spark.dataSource.register(MarkdownFolder)
     pages.select("path", "body", "meta").write.format("markdown").mode("append").save(folder)
 """
 
 from __future__ import annotations
 
+import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -21,8 +25,8 @@ from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 STAGING = ".staging"
-#: Files that one task reads, and moves at once.
-FILES, MOVES = 500, 16
+#: Files that one task reads; moves at once, and those that are waited for together.
+FILES, MOVES, WAITING = 500, 16, 2000
 
 
 def reach(path: str) -> tuple[fs.FileSystem, str]:
@@ -32,6 +36,21 @@ def reach(path: str) -> tuple[fs.FileSystem, str]:
     return system, at.rstrip("/")
 
 
+def entries(system: fs.FileSystem, folder: str) -> tuple[list[str], list[str]]:
+    """The names of the folders and of the files in a folder, in order; of local ones without an object for each."""
+    folders, files = [], []
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                kind = folders if x.is_dir() else files if x.is_file() else []
+                kind.append(x.name)
+    else:
+        for x in system.get_file_info(fs.FileSelector(folder)):
+            kind = {fs.FileType.Directory: folders, fs.FileType.File: files}.get(x.type, [])
+            kind.append(x.base_name)
+    return sorted(folders), sorted(files)
+
+
 def sidecar(path: str) -> str:
     return path.removesuffix(".md") + ".meta"
 
@@ -65,20 +84,27 @@ class Writer(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = reach(self.root)
-        for message in messages:
-            if message is None or not message.pages:
-                continue
-            found = system.get_file_info(fs.FileSelector(message.folder, recursive=True))
-            places = [(f.path, f"{root}/{f.path.removeprefix(message.folder).lstrip('/')}") for f in found if f.type == fs.FileType.File]
-            for parent in {to.rpartition("/")[0] for _, to in places}:
-                system.create_dir(parent, recursive=True)
-            with ThreadPoolExecutor(MOVES) as pool:
-                list(pool.map(lambda pair: system.move(*pair), places))
+        with ThreadPoolExecutor(MOVES) as pool:
+            for message in messages:
+                if message is not None and message.pages:
+                    self._move(system, message.folder, root, pool)
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
+    def _move(self, system: fs.FileSystem, folder: str, root: str, pool: ThreadPoolExecutor) -> None:
+        """The files below a folder to the same places below root, a folder after the other."""
+        left = [""]
+        while left:
+            at = left.pop()
+            folders, files = entries(system, folder + at)
+            left += [f"{at}/{name}" for name in folders]
+            if files:
+                system.create_dir(root + at, recursive=True)
+            for i in range(0, len(files), WAITING):
+                list(pool.map(lambda name, at=at: system.move(f"{folder}{at}/{name}", f"{root}{at}/{name}"), files[i : i + WAITING]))
+
     def _clear(self) -> None:
         system, root = reach(self.root)
         if system.get_file_info(f"{root}/{STAGING}/{self.job}").type == fs.FileType.Directory:
@@ -89,7 +115,17 @@ class Writer(DataSourceWriter):
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Paths below the root, compressed: names of a folder have most of their letters in common."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, paths: list[str]) -> Files:
+        return cls(zlib.compress("\0".join(paths).encode(errors="surrogateescape")))
+
+    @property
+    def paths(self) -> list[str]:
+        return [p for p in zlib.decompress(self.packed).decode(errors="surrogateescape").split("\0") if p]
 
 
 class Reader(DataSourceReader):
@@ -98,9 +134,19 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, root = reach(self.root)
-        paths = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".md")]
-        own = sorted(p for p in paths if not any(part.startswith(".") for part in p.removeprefix(root).split("/")))
-        return [Files(own[i : i + FILES]) for i in range(0, len(own), FILES)]
+        out, own, left = [], [], [""]
+        while left:
+            at = left.pop()
+            folders, files = entries(system, root + at)
+            left += [f"{at}/{name}" for name in reversed(folders) if not name.startswith(".")]
+            for name in files:
+                if name.endswith(".md") and not name.startswith("."):
+                    own.append(f"{at}/{name}")
+                    if len(own) == FILES:
+                        out.append(Files.of(own))
+                        own = []
+        # a folder without pages is one part without paths
+        return out if out and not own else [*out, Files.of(own)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, root = reach(self.root)
@@ -112,7 +158,7 @@ class Reader(DataSourceReader):
                 return f.read().decode()
 
         for path in partition.paths:
-            yield path.removeprefix(root).lstrip("/"), text(path), text(sidecar(path))
+            yield path.lstrip("/"), text(root + path), text(root + sidecar(path))
 
 
 class MarkdownFolder(DataSource):

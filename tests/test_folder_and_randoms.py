@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assocgraph.operators import randoms
 from assocgraph.sources import corpus
+from assocgraph.sources import markdown
 from assocgraph.sources.markdown import MarkdownFolder
 
 PAGES = [("index.md", "# I\n\n[[a/x]]", "title: I\n"), ("a/x.md", "é \U0001f600", None), ("a/b/y z.md", "", "title: y\n"), ("a/x+1%.md", "plus", "m")]
@@ -73,3 +74,33 @@ def test_planted_chains(spark, monkeypatch):
     got = {r.node: (r.cluster, r.next) for r in randoms.planted(spark.range(400).select(F.col("id").alias("node")), 3, 5, 400).collect()}
     cluster = [v % 5 for v in one_by_one(3, 400)]
     assert got == {i: (c, next((j for j in range(i + 1, 400) if cluster[j] == c), None)) for i, c in enumerate(cluster)}
+
+
+def test_the_driver_keeps_little_of_a_folder(tmp_path, monkeypatch):
+    """What is planned takes a few bytes a page, however long the paths; pages are moved a few at a time; all of them come."""
+    import pickle
+
+    monkeypatch.setattr(markdown, "WAITING", 7)
+    root = str(tmp_path / ("long-" * 10) / "wiki")
+    writer = markdown.Writer(root)
+    names = [f"shelf-{i % 3}/deep/Doc-{i}.md" for i in range(2500)] + [f"one-{i}/x.md" for i in range(20)] + ["top.md"]
+    Page = type("Page", (), {})
+    pages = []
+    for name in names:
+        page = Page()
+        page.path, page.body, page.meta = name, f"# {name}", None if name == "top.md" else "m"
+        pages.append(page)
+    at_once = []
+    own = markdown.ThreadPoolExecutor.map
+    monkeypatch.setattr(markdown.ThreadPoolExecutor, "map", lambda self, f, some: at_once.append(len(some)) or own(self, f, some))
+    writer.commit([writer.write(iter(pages[:1000])), None, writer.write(iter(pages[1000:]))])
+    assert max(at_once) == 7 and sum(at_once) == 2 * len(names) - 1
+    os.makedirs(f"{root}/.hidden/a")
+    for extra in (".hidden/a/x.md", "one-1/.y.md", "one-1/note.txt"):
+        open(f"{root}/{extra}", "w").close()
+    reader = markdown.Reader(root)
+    planned = reader.partitions()
+    assert len(planned) == -(-len(names) // markdown.FILES)
+    assert sum(len(pickle.dumps(p)) for p in planned) < 16 * len(names)
+    found = [row for p in planned for row in reader.read(p)]
+    assert sorted(found, key=str) == sorted(((n, f"# {n}", None if n == "top.md" else "m") for n in names), key=str)
