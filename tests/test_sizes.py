@@ -143,3 +143,24 @@ def test_a_cycle_is_measured_when_asked(spark, tmp_path, monkeypatch):
     assert asked == []
     done = more.one_cycle(spark, str(tmp_path))
     assert 0 < done.health <= 1 and done.health == done.health and asked == [None]
+
+
+def test_a_batch_in_groups_keeps_its_picks_only(spark, tmp_path, monkeypatch):
+    """Groups of queries give the rows of all at once, and no activation is left on disk."""
+    import os
+
+    from assocgraph.operators import retrieve
+    from assocgraph.session import Tables
+
+    con, left = duckdb.connect(), []
+    con.sql(f"COPY (SELECT range AS doc_id, 'common w' || range % 7 || ' x' || range % 5 || repeat(' more', (range % 4)::int) AS text, 'en' AS lang, 's' AS source, 4 AS n_chars FROM range(60)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT range AS item_id, CASE WHEN range = 3 THEN 'unknown' ELSE 'common w' || range END AS text FROM range(9)) TO '{tmp_path}/benchmark.parquet' (FORMAT parquet)")
+    ask = lambda: sorted(map(tuple, core.QUERIES["retrieve_batch"](spark, str(tmp_path)).collect()))
+    want = ask()
+    own = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, name, df, **o: [own(self, name, df, **o), left.append((name, self.paths[name], df.count() if name == "ignited" else 0))][0])
+    monkeypatch.setattr(retrieve, "MANY_ROWS", 150)
+    assert ask() == want and len(want) > 8
+    lit = [n for name, _, n in left if name == "ignited"]
+    assert len(lit) == 4 and max(lit) < sum(lit)
+    assert not [name for name, path, _ in left if os.path.exists(path) and name.startswith(("ignited", "now", "base", "fixed", "found", "change", "asked", "norms", "nodes"))]
